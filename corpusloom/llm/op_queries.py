@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, ppm, secrets, substrings, toxicity
+from corpusloom.llm import bpe, chat, jaccard, ppm, secrets, substrings, toxicity
 from corpusloom.llm.store import only, table
 
 
@@ -28,6 +28,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", *bpe.digests(F.col("ids"), F.col("decoded")))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(only(table(spark, sf_dir, "documents"), "doc_id", "text")).drop("kept_text")
 
@@ -41,4 +45,4 @@ def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1)
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op4_chat_format": op4_chat_format, "op5_byte_bpe": op5_byte_bpe, "op7_substring_dedup": op7_substring_dedup, "op8_secret_scan": op8_secret_scan, "op10_ppm_score": op10_ppm_score}
+QUERIES = {"op3_toxicity": op3_toxicity, "op4_chat_format": op4_chat_format, "op5_byte_bpe": op5_byte_bpe, "op6_jaccard_join": op6_jaccard_join, "op7_substring_dedup": op7_substring_dedup, "op8_secret_scan": op8_secret_scan, "op10_ppm_score": op10_ppm_score}
