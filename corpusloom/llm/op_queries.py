@@ -7,10 +7,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, jaccard, ppm, secrets, substrings, toxicity
+from corpusloom.llm import bpe, chat, decontamination, jaccard, merkle, pii, ppm, secrets, substrings, toxicity
 from corpusloom.llm.store import only, table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(decontamination.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
     learn = toxicity.trained_rows(F.col("doc_id"))
@@ -40,9 +48,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(only(table(spark, sf_dir, "documents"), "doc_id", "text")))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
     return ppm.score_documents(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1)
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op4_chat_format": op4_chat_format, "op5_byte_bpe": op5_byte_bpe, "op6_jaccard_join": op6_jaccard_join, "op7_substring_dedup": op7_substring_dedup, "op8_secret_scan": op8_secret_scan, "op10_ppm_score": op10_ppm_score}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_fingerprint": op2_fingerprint, "op3_toxicity": op3_toxicity, "op4_chat_format": op4_chat_format, "op5_byte_bpe": op5_byte_bpe, "op6_jaccard_join": op6_jaccard_join, "op7_substring_dedup": op7_substring_dedup, "op8_secret_scan": op8_secret_scan, "op9_personal_data": op9_personal_data, "op10_ppm_score": op10_ppm_score}
