@@ -3,13 +3,13 @@ prefix join, and the components that the links make.
 
 1. Documents of the same set are one class; what follows is between classes, so a group of copies,
    however large, is one class and its links are implied.
-2. Shingles have one order: by how often they occur (a count sketch of fixed size, rounded to powers
-   of two), then by name. In this order two sets that reach the threshold share a shingle of their
+2. Shingles have one order: by how often they repeat (a count sketch of fixed size over those that
+   repeat within a task, rounded to powers of two), then by name. In this order two sets that reach the threshold share a shingle of their
    prefixes, the first n - ceil(t n) + 1. Classes of the same size and prefix are one group.
 3. For each prefix shingle, groups are reduced to the smallest and largest before they are shuffled;
    shingles of one group alone are done with.
-4. First the smallest group of each shared shingle is tried against the others, by one member each,
-   and each group's members against one of them; the links found make components. Then pairs of
+4. First each group is tried, by one member each, against the likeliest centre among those that share a
+   prefix shingle with it, and each group's members against one of them; the links found make components. Then pairs of
    groups that are not of one component are filtered by size and by the number of prefix shingles
    that they share, expanded to members, and the members of different components verified. So every
    link either is verified or lies inside one component already.
@@ -35,6 +35,8 @@ PERCENT = 80
 SHINGLE = 5
 #: log2 of the sketch's counters (one byte each when broadcast), and of its ranges.
 SKETCH, SKETCH_RANGES = 22, 4
+#: Shingles of a task that are counted together for the sketch.
+CHUNK = 4_000_000
 #: Partners of a member that one task verifies at once.
 SPREAD = 64
 
@@ -61,20 +63,30 @@ _FIRST_ARROW = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int
 
 def _sets_and_sketch(batches):
     """kind 0: a document's set size and class; kind 1: a task's counters of one range, those that are
-    not zero."""
+    not zero. Only shingles that repeat among some ``CHUNK`` shingles of a task are counted: the many
+    that occur once would drown the counters, and need none."""
     sketch = np.zeros(1 << SKETCH, np.uint32)
+    chunk: list[np.ndarray] = []
+
+    def count():
+        names = np.sort(np.concatenate(chunk))
+        at = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, int)
+        times = np.diff(np.append(at, len(names)))
+        np.add.at(sketch, (names[at[times > 1]] >> _SKETCH_AT).astype(np.int64), times[times > 1].astype(np.uint32))
+        chunk.clear()
+
     for batch in batches:
         for start in range(0, batch.num_rows, 512):
             part = batch.slice(start, 512)
             sets = [shingle_set(t, SHINGLE) for t in part.column(1).to_pylist()]
-            slots = (np.concatenate(sets) >> _SKETCH_AT).astype(np.int64)
-            if len(slots) > 1 << (SKETCH - 3):
-                sketch += np.bincount(slots, minlength=1 << SKETCH).astype(np.uint32)
-            else:
-                np.add.at(sketch, slots, 1)
+            chunk += sets
+            if sum(map(len, chunk)) >= CHUNK:
+                count()
             m = len(sets)
             nil = pa.nulls(m, pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_name(s) for s in sets], pa.int64()), nil, nil], schema=_FIRST_ARROW)
+    if chunk:
+        count()
     size = 1 << (SKETCH - SKETCH_RANGES)
     for r in range(1 << SKETCH_RANGES):
         own = sketch[r * size : (r + 1) * size]
@@ -136,7 +148,7 @@ def _prefixes(shared, percent: int):
 
 
 def _shared_tokens(shared):
-    """(grp, n, token) for the prefix tokens that the filter lets through."""
+    """(grp, n, token, at: its place from 0) for the prefix tokens that the filter lets through."""
 
     def run(batches):
         words = shared.value
@@ -145,8 +157,9 @@ def _shared_tokens(shared):
             flat, offsets = lists.flatten(), lists.offsets.to_numpy()
             tokens = flat.to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            place = np.arange(len(row)) - np.repeat(offsets[:-1] - offsets[0], np.diff(offsets))
             stay = may_hold(words, mix(tokens.view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[stay])), batch.column(1).take(pa.array(row[stay])), pa.array(tokens[stay])], names=["grp", "n", "token"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[stay])), batch.column(1).take(pa.array(row[stay])), pa.array(tokens[stay]), pa.array(place[stay])], names=["grp", "n", "token", "at"])
 
     return run
 
@@ -214,20 +227,27 @@ def _links(docs: DataFrame, members: DataFrame, pairs: DataFrame, percent: int)
     return materialize(rows.mapInArrow(_verify(percent), "a long, b long"), "jaccard-links")
 
 
-def _group_pairs(groups: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
+def _group_pairs(groups: DataFrame, listed: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs of groups (p, q) whose members are not all of one component, that share a prefix
-    shingle, and whose sizes and number of shared prefix shingles allow the threshold.
-    ``groups``: grp, n, least, most (components of the members); ``listed``: grp, token."""
+    shingle, and whose sizes, places of it and number of shared prefix shingles allow the threshold.
+    ``groups``: grp, n, least, most (components of the members); ``listed``: grp, token, at."""
     named = listed.join(groups, "grp")
     mixed = named.groupBy("token").agg(F.min("least").alias("p"), F.max("most").alias("q")).filter("p < q").select("token")
     left = materialize(named.join(mixed, "token"), "jaccard-mixed")
-    x, y = (left.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("grp", "n", "least", "most")]) for s in "xy")
-    both = x.join(y, "token").filter("grp_x < grp_y and least(least_x, least_y) < greatest(most_x, most_y)").filter(f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
-    small, large = F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
+    x, y = (left.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("grp", "n", "at", "least", "most")]) for s in "xy")
     need = F.ceil(percent * (F.col("n_x") + F.col("n_y")) / (100 + percent))
+    # of the first shingle that two sets share, no more than what follows it in either can be shared
+    ahead = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    sizes = f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
+    both = x.join(y, (x["token"] == y["token"]) & F.expr(f"grp_x < grp_y and least(least_x, least_y) < greatest(most_x, most_y) and {sizes}") & (ahead >= need))
+    pairs = materialize(both.select("grp_x", "grp_y", "n_x", "n_y").distinct(), "jaccard-candidates")
+    some = pairs.select(F.col("grp_x").alias("grp")).union(pairs.select("grp_y")).distinct()
+    known = materialize(prefixes.select("grp", "prefix").join(some, "grp").dropDuplicates(["grp"]), "jaccard-compared")
+    x, y = (known.select(F.col("grp").alias(f"grp_{s}"), F.col("prefix").alias(f"prefix_{s}")) for s in "xy")
+    small, large = F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
     behind = F.ceil(percent * large / 100) - 1  # shingles behind the prefix, of the larger set
-    pairs = both.groupBy("grp_x", "grp_y", "n_x", "n_y").agg(F.count("*").alias("shared")).filter(F.least(F.col("shared") + behind, small) >= need)
-    return pairs.select(F.col("grp_x").alias("p"), F.col("grp_y").alias("q"))
+    shared = F.size(F.array_intersect("prefix_x", "prefix_y"))
+    return pairs.join(x, "grp_x").join(y, "grp_y").filter(F.least(shared + behind, small) >= need).select(F.col("grp_x").alias("p"), F.col("grp_y").alias("q"))
 
 
 def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -246,12 +266,19 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     tokens = prefixes.select("grp", F.explode("prefix").alias("token"))
     span = tokens.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low < high")
     span = materialize(span, "jaccard-tokens")
-    listed = prefixes.select("grp", "n", "prefix").mapInArrow(_shared_tokens(_bits(span, "token")), "grp long, n long, token long").distinct()
-    listed = materialize(listed.join(span, "token").select("grp", "n", "token", "low"), "jaccard-lists")
-
-    # first: in each list the smallest group's head against the other heads, and each head against its group
-    some = listed.filter("grp != low").groupBy(F.col("low").alias("p"), F.col("grp").alias("q")).agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    promising = _heads_of(some.filter(F.col("shared") * 110 >= F.col("n")).select("p", "q"), heads)
+    listed = prefixes.select("grp", "n", "prefix").mapInArrow(_shared_tokens(_bits(span, "token")), "grp long, n long, token long, at long").distinct()
+    listed = materialize(listed.join(span, "token").select("grp", "n", "token", "at"), "jaccard-lists")
+
+    # first: each group's head against that of the likeliest centre it shares a list with, and the members of a
+    # group against its head. A text that others were made from has a prefix of shared shingles only;
+    # what changed in a copy is rare, and fills the copy's prefix. So the centre of a list is the group
+    # with the largest share of its prefix in lists.
+    prefix = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    share = listed.groupBy("grp", "n").agg(F.count("*").alias("c")).select("grp", (F.col("c") / prefix).alias("share"))
+    centres = listed.join(share, "grp").groupBy("token").agg(F.max(F.struct("share", "grp")).alias("c")).select("token", F.col("c.grp").alias("p"))
+    some = listed.join(centres, "token").filter("grp != p").groupBy("p", F.col("grp").alias("q")).agg(F.count("*").alias("shared"))
+    best = some.groupBy("q").agg(F.max(F.struct("shared", "p")).alias("best")).select("best.p", "q")
+    promising = _heads_of(best, heads)
     inside = classes.join(heads, "grp").filter("class != head").select(F.col("head").alias("a"), F.col("class").alias("b"))
     links = _links(docs, members, promising.union(inside).distinct(), percent)
     label = components(links)
@@ -259,7 +286,7 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # then: members of different components, of one group or of two that share a prefix shingle
     named = materialize(classes.join(label, F.col("class") == F.col("node"), "left").select("grp", "class", F.coalesce("label", "class").alias("part")), "jaccard-classes")
     groups = named.groupBy("grp").agg(F.min("part").alias("least"), F.max("part").alias("most"))
-    pairs = _group_pairs(groups.join(heads.select("grp", "n"), "grp"), listed.select("grp", "token"), percent)
+    pairs = _group_pairs(groups.join(heads.select("grp", "n"), "grp"), listed.select("grp", "token", "at"), prefixes, percent)
     pairs = pairs.union(groups.filter("least < most").select("grp", "grp"))
     x, y = (named.select(F.col("grp").alias(g), F.col("class").alias(c), F.col("part").alias(f"part_{c}")) for g, c in (("p", "a"), ("q", "b")))
     expanded = pairs.join(x, "p").join(y, "q").filter("part_a != part_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
