@@ -2,6 +2,511 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusloom.functions import rules
+from corpusloom.functions import text as T
+from corpusloom.operators import answers, chunking, conversations, dedup, evaluation, governance, retrieval
+from corpusloom.plans.rebuild import HashEmbedder, embed
+from corpusloom.streaming import events as E
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "retrieve_hybrid"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql.replace("count_if(", "count(*) FILTER (WHERE ")  # a BIGINT, as in Spark
+        return f
+
+    return register
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(spark, d):
+    return _read(spark, d, "documents")
+
+
+#: A path for each document, as the reference's files have: source, file name, extension by language.
+_PATH = F.concat("source", F.lit("/"), F.lit("doc_"), F.col("doc_id").cast("string"), F.when(F.col("lang") == "en", ".md").otherwise(".txt"))
+_PATH_SQL = "source || '/doc_' || doc_id || CASE WHEN lang = 'en' THEN '.md' ELSE '.txt' END"
+_SPACE = r"[ \t\x1F\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
+_STRIP_SQL = r"regexp_replace(regexp_replace({0}, '^(\s|[\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}])+', ''), '(\s|[\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}])+$', '')"
+
+
+def _strip(x: str) -> str:
+    return _STRIP_SQL.format(x)
+
+
+def _quote(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_NORMALISED = _strip(rf"regexp_replace(regexp_replace(regexp_replace(replace(text, chr(0), ''), '\r\n?|[\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g'), '{_SPACE}+(\n|$)', '\1', 'g'), '\n{{4,}}', repeat(chr(10), 3), 'g')")
+
+
+# --- text -------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, length(n) AS n_chars_normalised, sha256(n) AS content_sha256 FROM (SELECT doc_id, {_NORMALISED} AS n FROM documents)")
+def normalise_text(spark, d):
+    n = _docs(spark, d).select("doc_id", T.normalise(F.col("text")).alias("n"))
+    return n.select("doc_id", F.length("n").cast("long").alias("n_chars_normalised"), T.content_sha256(F.col("n")).alias("content_sha256"))
+
+
+_IDS = f"""SELECT doc_id, p AS path, substr(sha256(p), 1, 20) AS document_id, u AS unit_id,
+  sha256('{{"chunk_index_within_unit": 0, "content_sha256": "' || s || '", "source_unit_id": "' || u || '"}}') AS chunk_id
+FROM (SELECT *, sha256('{{"selector": "", "source_path": "' || p || '", "source_sha256": "' || s || '", "unit_index": 0, "unit_type": "file"}}') AS u
+  FROM (SELECT doc_id, {_PATH_SQL} AS p, sha256(text) AS s FROM documents))"""
+
+
+@query(_IDS)
+def stable_ids(spark, d):
+    x = _docs(spark, d).select("doc_id", _PATH.alias("path"), T.content_sha256(F.col("text")).alias("s"))
+    u = T.unit_id(F.lit(""), F.col("path"), F.col("s"), F.lit(0), F.lit("file"))
+    return x.select("doc_id", "path", T.document_id(F.col("path")).alias("document_id"), u.alias("unit_id"), T.chunk_id(F.lit(0), F.col("s"), u).alias("chunk_id"))
+
+
+_NS = "922127d7" + "a1b24c3d9e8f0a1b2c3d4e5f"
+
+
+@query()
+def point_ids(spark, d):
+    return stable_ids(spark, d).select("doc_id", T.uuid5(_NS, F.col("chunk_id")).alias("point_id"))
+
+
+@query(rf"""SELECT page_id, CASE WHEN instr(p, '/') > 0 THEN split_part(p, '/', 1) ELSE 'uncategorized' END AS category,
+  lower(regexp_extract(p, '[^/.](\.[^./]+)$', 1)) AS extension, regexp_matches(p, '(^|/)\.') AS hidden,
+  CASE WHEN c = '' THEN 'uncategorized' ELSE c END AS safe_category
+FROM (SELECT page_id, p, regexp_replace(regexp_replace(p, '[^A-Za-z0-9\x{{0E01}}-\x{{0E59}}_-]+', '_', 'g'), '^_+|_+$', '', 'g') AS c
+  FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS p FROM pages))""")
+def path_parts(spark, d):
+    p = _read(spark, d, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("p"))
+    c = F.col("p")
+    return p.select("page_id", T.category(c).alias("category"), T.extension(c).alias("extension"), T.hidden(c).alias("hidden"), T.safe_category(c).alias("safe_category"))
+
+
+@query(r"SELECT doc_id, CASE WHEN t AND l THEN 'mixed' WHEN t THEN 'th' WHEN l THEN 'en' ELSE 'other' END AS language FROM (SELECT doc_id, regexp_matches(text, '[\x{0E00}-\x{0E7F}]') AS t, regexp_matches(text, '[A-Za-z]') AS l FROM documents)")
+def detect_language(spark, d):
+    return _docs(spark, d).select("doc_id", T.detect_language(F.col("text")).alias("language"))
+
+
+_STOP = "[" + ", ".join(map(_quote, rules.STOPWORDS)) + "]"
+
+
+def _tokens_sql(x: str) -> str:
+    return f"list_transform(regexp_extract_all({x}, '{rules.TOKEN}', 0), lambda t: lower(t))"
+
+
+def _contentful_sql(x: str) -> str:
+    return f"list_distinct(list_filter({x}, lambda t: length(t) >= 2 AND NOT list_contains({_STOP}, t)))"
+
+
+@query(f"SELECT doc_id, len(t) AS n_tokens, len({_contentful_sql('t')}) AS n_terms, array_to_string(t[1:5], ' ') AS first_tokens FROM (SELECT doc_id, {_tokens_sql('text')} AS t FROM documents)")
+def lexical_tokens(spark, d):
+    t = _docs(spark, d).select("doc_id", T.tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(T.contentful(F.col("t"))).cast("long").alias("n_terms"), F.array_join(F.slice("t", 1, 5), " ").alias("first_tokens"))
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN f = '' THEN 'New chat' WHEN length(f) <= 48 THEN f ELSE rtrim(substr(f, 1, 47)) || '…' END AS title, substr(text, 1, 500) AS preview FROM (SELECT *, {_strip(chr(39).join(['regexp_replace(text, ', chr(92) + 's+', ', ', ' ', ', ', 'g', ')']))} AS f FROM conversations)")
+def titles_and_previews(spark, d):
+    return _read(spark, d, "conversations").select("conv_id", "turn", T.session_title(F.col("text")).alias("title"), F.substring("text", 1, 500).alias("preview"))
+
+
+@query(f"SELECT conv_id, turn, CAST('0x' || substr(sha256(conv_id || '::' || lower({_strip('text')})), 1, 2) AS BIGINT) % 5 AS variation FROM conversations")
+def stable_variation(spark, d):
+    return _read(spark, d, "conversations").select("conv_id", "turn", T.stable_variation(F.col("conv_id").cast("string"), F.col("text"), 5).alias("variation"))
+
+
+@query("SELECT event_id, s || '_' || substr(sha1(s), 1, 8) AS rebuild_id FROM (SELECT event_id, strftime(ts, '%Y%m%dT%H%M%SZ') AS s FROM events)")
+def rebuild_ids(spark, d):
+    return _read(spark, d, "events").select("event_id", T.rebuild_id(F.col("ts")).alias("rebuild_id"))
+
+
+@query("""SELECT o_orderkey, coalesce(nullif(concat_ws('; ', CASE WHEN o_orderkey % 3 = 0 THEN 'page ' || o_orderkey % 7 END, CASE WHEN o_orderkey % 2 = 0 THEN 'sheet ' || o_orderpriority END,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'rows ' || 1 || '-' || o_orderkey END, CASE WHEN o_orderkey % 4 = 0 THEN 'A > ' || o_orderstatus END), ''), 'document') AS label FROM orders""")
+def location_labels(spark, d):
+    k = F.col("o_orderkey")
+    heads = F.when(k % 4 == 0, F.array(F.lit("A"), F.col("o_orderstatus"))).otherwise(F.array().cast("array<string>"))
+    label = T.location_label(F.when(k % 3 == 0, (k % 7).cast("string")), F.when(k % 2 == 0, F.col("o_orderpriority")), F.when(k % 5 == 0, F.lit("1")), F.when(k % 5 == 0, k.cast("string")), heads)
+    return _read(spark, d, "orders").select("o_orderkey", label.alias("label"))
+
+
+@query("""SELECT c_nationkey, block, min(r) AS row_start, max(r) AS row_end, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || c_custkey || ' | ' || c_name || ' |', chr(10) ORDER BY r) AS body
+FROM (SELECT *, (r - 1) // 50 AS block FROM (SELECT c_nationkey, c_custkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer)) GROUP BY ALL""")
+def row_blocks(spark, d):
+    r = _read(spark, d, "customer").select("c_nationkey", "c_custkey", "c_name", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).cast("long").alias("r"))
+    line = T.markdown_row(F.array(F.col("c_custkey").cast("string"), T.markdown_cell(F.col("c_name"))))
+    g = r.withColumn("block", F.floor((F.col("r") - 1) / 50)).groupBy("c_nationkey", "block").agg(F.min("r").alias("row_start"), F.max("r").alias("row_end"), F.array_sort(F.collect_list(F.struct("r", line.alias("line")))).alias("lines"))
+    body = F.concat(F.lit("| key | name |\n| --- | --- |\n"), F.array_join(F.col("lines.line"), "\n"))
+    return g.select("c_nationkey", "block", "row_start", "row_end", body.alias("body"))
+
+
+# --- governance -------------------------------------------------------------------------------
+
+
+def _hits_sql(x: str, table: dict[str, str]) -> str:
+    return "list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches({x}, {_quote(p)}) THEN '{n}' END" for n, p in table.items()) + "], lambda h: h IS NOT NULL))"
+
+
+_NAME, _SEEN = "translate(p, '_-', '  ')", "translate(p, '_-', '  ') || chr(10) || substr(text, 1, 200000)"
+_SCANNED = f"""SELECT doc_id, secret, synthetic, book, p, text, regexp_matches(p, {_quote(rules.STALE_PATH)}) OR regexp_matches(text, {_quote(rules.STALE_CONTENT)}) AS stale,
+ CASE WHEN len(secret) > 0 THEN 'rejected' WHEN len(synthetic) > 0 OR len(book) > 0 THEN 'quarantined' ELSE 'accepted' END AS status
+FROM (SELECT doc_id, p, text, list_sort(list_distinct(list_concat({_hits_sql(_SEEN, rules.SECRET)}, {_hits_sql(_NAME, rules.SECRET_NAME)}))) AS secret, {_hits_sql(_SEEN, rules.SYNTHETIC)} AS synthetic, {_hits_sql(_SEEN, rules.BOOK)} AS book
+FROM (SELECT doc_id, {_PATH_SQL} AS p, text FROM documents))"""
+
+
+def _scanned(spark, d):
+    return governance.scan(_docs(spark, d).select("doc_id", _PATH.alias("path"), "text"), production=True)
+
+
+@query(f"SELECT doc_id, status, array_to_string(secret, ',') AS secret_hits, array_to_string(synthetic, ',') AS synthetic_hits, array_to_string(book, ',') AS external_book_hits, stale FROM ({_SCANNED})")
+def safety_scan(spark, d):
+    return _scanned(spark, d).select("doc_id", "status", *[F.array_join(c, ",").alias(c) for c in ("secret_hits", "synthetic_hits", "external_book_hits")], (F.size("stale_hits") > 0).alias("stale"))
+
+
+@query(f"SELECT count_if(status = 'accepted') AS accepted_files, count_if(status = 'quarantined') AS quarantined_files, count_if(status = 'rejected') AS rejected_files, count_if(stale) AS warned_files, count_if(len(secret) > 0) AS secret_hits, count_if(len(synthetic) > 0) AS synthetic_fixture_hits, count_if(len(book) > 0) AS external_book_hits, count_if(stale) AS stale_hits FROM ({_SCANNED})")
+def safety_summary(spark, d):
+    return governance.summary(_scanned(spark, d))
+
+
+# --- duplicates and counters ------------------------------------------------------------------
+
+
+def _chunks(spark, d):
+    return _docs(spark, d).select(F.col("doc_id").alias("ord"), F.col("doc_id").alias("chunk_id"), _PATH.alias("source_path"), T.content_sha256(F.col("text")).alias("content_sha256"))
+
+
+_CHUNKS = f"(SELECT doc_id AS ord, doc_id AS chunk_id, {_PATH_SQL} AS source_path, sha256(text) AS content_sha256 FROM documents)"
+
+
+@query(f"SELECT content_sha256, min(ord) AS representative_id, array_to_string(list_sort(list(ord))[2:], ',') AS duplicate_chunk_ids, array_to_string(list_sort(list(DISTINCT source_path)), ',') AS occurrence_source_paths, count(*) - 1 AS duplicate_count FROM {_CHUNKS} GROUP BY 1 HAVING count(*) > 1")
+def duplicate_groups(spark, d):
+    return dedup.duplicate_groups(_chunks(spark, d)).select("content_sha256", "representative_id", F.array_join(F.col("duplicate_chunk_ids").cast("array<string>"), ",").alias("duplicate_chunk_ids"), F.array_join("occurrence_source_paths", ",").alias("occurrence_source_paths"), "duplicate_count")
+
+
+@query(f"SELECT chunk_id, row_number() OVER (PARTITION BY content_sha256 ORDER BY ord) = 1 AS first FROM {_CHUNKS}")
+def unique_chunks(spark, d):
+    return dedup.unique_chunks(_chunks(spark, d)).select("chunk_id", "first")
+
+
+@query(f"SELECT count_if(n > 1) AS duplicate_groups, sum(n - 1)::BIGINT AS skipped_exact_duplicates, count(*) AS unique_chunks, sum(n)::BIGINT AS all_chunks FROM (SELECT count(*) AS n FROM {_CHUNKS} GROUP BY content_sha256)")
+def duplicate_counters(spark, d):
+    return dedup.counters(_chunks(spark, d))
+
+
+@query("SELECT source AS category, count(*) AS files, count(DISTINCT lang) AS languages, sum(length(text))::BIGINT AS characters, count_if(length(text) > 1600) AS oversized, count_if(length(text) < 80) AS small FROM documents GROUP BY source")
+def ingestion_counters(spark, d):
+    n = F.length("text")
+    return _docs(spark, d).groupBy(F.col("source").alias("category")).agg(F.count("*").alias("files"), F.count_distinct("lang").alias("languages"), F.sum(n).alias("characters"), F.count_if(n > 1600).alias("oversized"), F.count_if(n < 80).alias("small"))
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2', (SELECT min(source) FROM documents)) GROUP BY ALL")
+def match_filter(spark, d):
+    docs = _docs(spark, d)
+    low = docs.agg(F.min("source")).first()[0]
+    return docs.filter(retrieval.match_filter(lang="en", source=["src1", "src2", low], missing=None, empty=[])).groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+@query()
+def chunk_documents(spark, d):
+    docs = _docs(spark, d)
+    return chunking.chunk_units(docs.select(F.col("doc_id").cast("string").alias("unit_id"), "text")).drop("text")
+
+
+@query()
+def embed_documents(spark, d):
+    return embed(_docs(spark, d).select("doc_id", "text"), HashEmbedder()).select("doc_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+
+
+# --- vectors and retrieval --------------------------------------------------------------------
+
+#: The query set: every vector whose id is divisible by 20.
+_UNIT = "list_transform(embedding, lambda x: x::DOUBLE / CASE WHEN n = 0 THEN 1 ELSE n END)"
+_POINTS = f"(SELECT vec_id, label, {_UNIT} AS u FROM (SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings))"
+_DENSE = f"SELECT query_id, point_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM (SELECT q.vec_id AS query_id, p.vec_id AS point_id, round(list_dot_product(q.u, p.u), 9) AS score FROM {_POINTS} q, {_POINTS} p WHERE q.vec_id % 20 = 0 {{0}})) WHERE rank <= {{1}}"
+
+
+def _points(spark, d):
+    return _read(spark, d, "embeddings").select(F.col("vec_id").alias("point_id"), "embedding", "label")
+
+
+def _vectors(spark, d):
+    return _points(spark, d).filter("point_id % 20 = 0").select(F.col("point_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query(f"SELECT query_id, point_id, round(score, 6) AS score, rank FROM ({_DENSE.format('', 8)})")
+def dense_top_k(spark, d):
+    return retrieval.dense_search(_points(spark, d), _vectors(spark, d), 8).select("query_id", "point_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"SELECT query_id, point_id, round(score, 6) AS score, rank FROM ({_DENSE.format('AND p.label IN (1, 2)', 4)})")
+def dense_top_k_filtered(spark, d):
+    return retrieval.dense_search(_points(spark, d), _vectors(spark, d), 4, criteria={"label": [1, 2], "page": None}).select("query_id", "point_id", F.round("score", 6).alias("score"), "rank")
+
+
+_QUERY_TEXT = "array_to_string(string_split(text, ' ')[1:12], ' ')"
+_NORM = _strip("translate(replace(lower(text), chr(8203), ''), '“”‘’', '\"\"''''')")
+_LEX_SIDE = f"SELECT doc_id, source, norm, toks, {_contentful_sql('toks')} AS terms, list_distinct(list_filter(toks, lambda t: regexp_matches(t, '[._/:]|^--'))) AS phrases FROM (SELECT *, {_tokens_sql('norm')} AS toks FROM (SELECT doc_id, source, {_NORM} AS norm FROM @TABLE))"
+_LEX_ALL = f"""WITH c AS ({_LEX_SIDE.replace('@TABLE', 'documents')}), q AS ({_LEX_SIDE.replace('@TABLE', f'(SELECT doc_id, source, {_QUERY_TEXT} AS text FROM documents WHERE doc_id % 20 = 0 AND doc_id < 100)')}),
+s AS (SELECT q.doc_id AS query_id, c.doc_id AS point_id, len(list_intersect(q.terms, c.terms)) AS matched,
+ round(least(1.0, CASE WHEN len(q.terms) = 0 THEN 0 ELSE 0.45::DOUBLE * len(list_intersect(q.terms, c.terms))::DOUBLE / greatest(len(q.terms), 1) + 0.10::DOUBLE * len(list_intersect(q.terms, c.terms))::DOUBLE / sqrt((len(q.terms) * greatest(len(c.terms), 1))::DOUBLE) END
+ + coalesce(list_sum(list_transform(list_filter(q.phrases, lambda p: contains(c.norm, p)), lambda p: CASE WHEN regexp_matches(p, '^--|[_/.()]|^[0-9]+$') THEN 0.65::DOUBLE ELSE 0.45::DOUBLE END)), 0)
+ + 0.10::DOUBLE * len(list_filter(q.toks, lambda t: regexp_matches(t, '[./]|^--') AND contains(c.norm, t)))), 9) AS score FROM q, c),
+lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, matched DESC, point_id) AS rank FROM s WHERE score > 0) WHERE rank <= 32)"""
+
+
+def _lexical(spark, d):
+    docs = _docs(spark, d)
+    asked = docs.filter("doc_id % 20 = 0 and doc_id < 100").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("query"))
+    return retrieval.lexical_search(docs.select(F.col("doc_id").alias("point_id"), "text"), asked, 32)
+
+
+@query(f"{_LEX_ALL} SELECT query_id, point_id, round(score, 6) AS score, matched, rank FROM lex")
+def lexical_top_k(spark, d):
+    return _lexical(spark, d).select("query_id", "point_id", F.round("score", 6).alias("score"), "matched", "rank")
+
+
+_NEIGHBOURS = f"""{_LEX_ALL}, places AS (SELECT doc_id AS point_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS at FROM documents),
+near AS (SELECT DISTINCT l.query_id, b.point_id FROM lex l JOIN places a USING (point_id) JOIN places b ON a.source = b.source AND abs(a.at - b.at) = 1),
+every AS (SELECT query_id, point_id, score, matched FROM lex UNION ALL SELECT query_id, point_id, 0.30, 0 FROM near n WHERE NOT EXISTS (SELECT 1 FROM lex l WHERE l.query_id = n.query_id AND l.point_id = n.point_id)),
+expanded AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, matched DESC, point_id) AS rank FROM every) WHERE rank <= 32)"""
+
+
+def _expanded(spark, d):
+    places = _docs(spark, d).select(F.col("doc_id").alias("point_id"), "source", F.col("doc_id").alias("place"))
+    return retrieval.with_neighbours(_lexical(spark, d), places, 32)
+
+
+@query(f"{_NEIGHBOURS} SELECT query_id, point_id, round(score, 6) AS score, matched, rank FROM expanded")
+def lexical_with_neighbours(spark, d):
+    return _expanded(spark, d).select("query_id", "point_id", F.round("score", 6).alias("score"), "matched", "rank")
+
+
+_FUSED = f"""{_NEIGHBOURS}, dense AS ({_DENSE.format('', 24)}), fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, score DESC, point_id) AS rank FROM (
+ SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.point_id, b.point_id) AS point_id, CASE WHEN b.ls IS NOT NULL AND (a.score IS NULL OR b.ls > a.score) THEN b.ls ELSE a.score END AS score,
+ CASE WHEN a.score IS NULL THEN 'lexical' WHEN b.ls > a.score THEN 'hybrid' END AS match_type, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 12) AS rrf
+ FROM dense a FULL JOIN (SELECT *, greatest(0.30::DOUBLE, least(0.99::DOUBLE, 0.35::DOUBLE + score)) AS ls FROM expanded) b ON a.query_id = b.query_id AND a.point_id = b.point_id)),
+cut AS (SELECT * FROM fused WHERE rank <= 24),
+taken AS (SELECT *, score >= 0.28 AND sum((score >= 0.28)::INT) OVER (PARTITION BY query_id ORDER BY rank) <= 8 AS accepted FROM cut)"""
+
+
+def _hybrid(spark, d):
+    dense = retrieval.dense_search(_points(spark, d), _vectors(spark, d), 24)
+    return retrieval.accept(retrieval.fuse(dense, _expanded(spark, d), 24), 0.28, 8)
+
+
+@query(f"{_FUSED} SELECT query_id, point_id, round(score, 6) AS score, match_type, round(rrf, 9) AS rrf, rank, accepted FROM taken")
+def retrieve_hybrid(spark, d):
+    return _hybrid(spark, d).select("query_id", "point_id", F.round("score", 6).alias("score"), "match_type", F.round("rrf", 9).alias("rrf"), "rank", "accepted")
+
+
+@query(rf"""{_FUSED}, b AS (SELECT t.query_id, t.rank, t.point_id, d.text, 63 + length(d.text) AS size FROM taken t JOIN documents d ON d.doc_id = t.point_id WHERE accepted),
+l AS (SELECT *, 12000 - coalesce(sum(size) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM b),
+st AS (SELECT *, rest < 250 OR size > rest AS stop FROM l), ss AS (SELECT *, sum(stop::INT) OVER (PARTITION BY query_id ORDER BY rank) AS stops, greatest(0, rest - 63 - 30) AS room FROM st),
+k AS (SELECT *, stop AND stops = 1 AND rest >= 250 AND room >= 150 AS cut FROM ss)
+SELECT query_id, 'S' || row_number() OVER (PARTITION BY query_id ORDER BY rank) AS source_id, point_id, cut AS truncated, CASE WHEN cut THEN length({_strip('substr(text, 1, room::BIGINT)')}) + 15 ELSE length(text) END AS n_chars FROM k WHERE stops = 0 OR cut""")
+def pack_context(spark, d):
+    hits = _hybrid(spark, d).filter("accepted").join(_docs(spark, d).select(F.col("doc_id").alias("point_id"), "text"), "point_id")
+    packed = retrieval.pack_context(hits, 12000, F.lit(63))
+    return packed.select("query_id", "source_id", "point_id", "truncated", F.length("block_text").cast("long").alias("n_chars"))
+
+
+# --- conversations ----------------------------------------------------------------------------
+
+_M = "(SELECT *, turn AS message_id FROM conversations)"
+
+
+def _messages(spark, d):
+    return _read(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("message_id"), "role", F.col("text").alias("content"))
+
+
+@query("SELECT conv_id AS session_id, turn AS message_id, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) WHERE b <= 3")
+def recent_messages(spark, d):
+    return conversations.recent_messages(_messages(spark, d), 3).select("session_id", "message_id", "role")
+
+
+@query("SELECT conv_id AS session_id, count(*) AS messages, max(turn) AS updated_at FROM conversations GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 10")
+def list_sessions(spark, d):
+    s = conversations.sessions_of(_messages(spark, d), "message_id")
+    return conversations.list_sessions(s, 10).select("session_id", "messages", "updated_at")
+
+
+@query("SELECT conv_id AS session_id, count(*) AS unsummarized FROM conversations WHERE turn > conv_id % 3 GROUP BY 1 HAVING count(*) >= 4")
+def summary_needed(spark, d):
+    m = _messages(spark, d)
+    marks = m.select("session_id").distinct().withColumn("summarized_until", F.col("session_id") % 3)
+    return conversations.summary_needed(m, marks, 4)
+
+
+@query("SELECT conv_id AS session_id, turn AS message_id, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM conversations")
+def previous_user_message(spark, d):
+    return conversations.before(_messages(spark, d), "user").select("session_id", "message_id", "previous")
+
+
+@query("SELECT (SELECT count(*) FROM orders WHERE o_custkey % 7 <> 0) AS orders_left, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 7 = 0)) AS lines_left")
+def delete_cascade(spark, d):
+    gone = _read(spark, d, "customer").filter("c_custkey % 7 = 0").select("c_custkey")
+    orders, lines = conversations.delete_cascade(gone, [(_read(spark, d, "orders"), "o_orderkey", "o_custkey"), (_read(spark, d, "lineitem"), "l_linenumber", "l_orderkey")])
+    return orders.agg(F.count("*").alias("orders_left")).join(lines.agg(F.count("*").alias("lines_left")))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS v FROM events) WHERE v = 1")
+def latest_version(spark, d):
+    e = _read(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
+    return conversations.latest(e, "user_id", "at").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT a.conv_id AS session_id, a.turn AS message_id, count(b.turn) AS sources FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn < a.turn AND b.role = 'user' WHERE a.role = 'assistant' GROUP BY ALL")
+def messages_with_sources(spark, d):
+    m = _messages(spark, d)
+    a, b = m.filter("role = 'assistant'").select("session_id", "message_id"), m.filter("role = 'user'").select(F.col("session_id").alias("s"), F.col("message_id").alias("source"))
+    return a.join(b, (F.col("s") == F.col("session_id")) & (F.col("source") < F.col("message_id")), "left").groupBy("session_id", "message_id").agg(F.count("source").alias("sources"))
+
+
+# --- routes, answers, evaluation --------------------------------------------------------------
+
+
+def _route_sql(x: str, history: str) -> str:
+    out = []
+    for name, confidence, pattern in rules.ROUTES:
+        test = f"regexp_matches({x}, {_quote('(?i)' + pattern)})" + (f" AND {history}" if name == "follow_up" else "")
+        out.append((test, name, confidence))
+    return out
+
+
+_RULES = _route_sql("m", "h")
+_ROUTE = "CASE " + " ".join(f"WHEN {t} THEN '{n}'" for t, n, _ in _RULES) + " END"
+_CONF = "CASE " + " ".join(f"WHEN {t} THEN {c}::DOUBLE" for t, _, c in _RULES) + " END"
+_ASKED = """(SELECT conv_id, turn, turn > 0 AS h, CASE turn % 9 WHEN 0 THEN 'hello!' WHEN 1 THEN 'What about Plant B?' WHEN 2 THEN 'How do I deploy the service?' WHEN 3 THEN 'leave request form'
+ WHEN 4 THEN 'My screen shows a timeout' WHEN 5 THEN 'It is still not working' WHEN 6 THEN 'Tell me about the company' ELSE text END AS m, text FROM conversations WHERE role = 'user')"""
+
+
+def _asked(spark, d):
+    u = _read(spark, d, "conversations").filter("role = 'user'")
+    said = ["hello!", "What about Plant B?", "How do I deploy the service?", "leave request form", "My screen shows a timeout", "It is still not working", "Tell me about the company"]
+    m = F.coalesce(F.get(F.array(*map(F.lit, said)), (F.col("turn") % 9).cast("int")), F.col("text"))
+    return u.select("conv_id", "turn", (F.col("turn") > 0).alias("h"), m.alias("m"))
+
+
+@query(f"SELECT conv_id, turn, {_ROUTE} AS route, {_CONF} AS confidence FROM {_ASKED}")
+def classify_routes(spark, d):
+    return _asked(spark, d).withColumn("r", answers.route(F.col("m"), F.col("h"), F.lit("none"))).select("conv_id", "turn", "r.route", "r.confidence")
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN NOT h THEN 'standalone' WHEN regexp_matches(m, {_quote('(?i)' + rules.BROAD)}) AND NOT regexp_matches(m, {_quote('(?i)' + rules.PRONOUN)}) THEN 'broad' WHEN length(m) > 100 AND NOT regexp_matches(m, {_quote('(?i)' + rules.CONTEXT_HINT)}) THEN 'independent' END AS kind, coalesce({_ROUTE} IN ('technical_troubleshooting', 'kafka_iot_support'), false) AND (length(m) >= 180 OR regexp_matches(m, {_quote('(?i)' + rules.COMPLEX)})) AS thinking FROM {_ASKED}")
+def followups_and_thinking(spark, d):
+    r = _asked(spark, d).withColumn("r", answers.route(F.col("m"), F.col("h"), F.lit("none")))
+    return r.select("conv_id", "turn", answers.followup(F.col("m"), F.col("h")).alias("kind"), answers.thinking(F.col("m"), F.col("r.route")).alias("thinking"))
+
+
+#: Answers with the flaws that the checks look for, made from the conversations.
+_ANSWER_SQL = "CASE turn % 8 WHEN 0 THEN text WHEN 1 THEN text || ' [S1, S9] and [S2]' WHEN 2 THEN '**' || text WHEN 3 THEN substr(text, 1, 15) WHEN 4 THEN text || ' as follows:' WHEN 5 THEN text || ' and `field' || chr(96) WHEN 6 THEN text || ' or this' ELSE chr(96) || text END"
+_ANSWERS = f"(SELECT conv_id, turn, {_strip(_ANSWER_SQL)} AS a FROM conversations)"
+
+
+def _answered(spark, d):
+    t, x = F.col("turn") % 8, F.col("text")
+    a = F.when(t == 0, x).when(t == 1, F.concat(x, F.lit(" [S1, S9] and [S2]"))).when(t == 2, F.concat(F.lit("**"), x)).when(t == 3, F.substring(x, 1, 15)).when(t == 4, F.concat(x, F.lit(" as follows:"))).when(t == 5, F.concat(x, F.lit(" and `field`"))).when(t == 6, F.concat(x, F.lit(" or this"))).otherwise(F.concat(F.lit("`"), x))
+    return _read(spark, d, "conversations").select("conv_id", "turn", T.strip(a).alias("a"))
+
+
+def _odd(x: str, mark: str) -> str:
+    return f"((length({x}) - length(replace({x}, '{mark}', ''))) // {len(mark)}) % 2 <> 0"
+
+
+_CONJ, _FIELD = _quote(answers.CONJUNCTION), _quote(answers.FIELD)
+_QUALITY = f"CASE WHEN a = '' THEN 'empty answer' WHEN length(a) < 20 THEN 'suspiciously short answer' WHEN {_odd('a', '**')} THEN 'unmatched bold markdown marker' WHEN {_odd('a', '`')} THEN 'unmatched inline-code marker' WHEN {_odd('a', '```')} THEN 'unclosed code fence' WHEN regexp_matches(a, {_quote(rules.DANGLING)}) THEN 'answer ends with dangling punctuation' WHEN regexp_matches(a, {_CONJ}) THEN 'answer appears truncated after conjunction or field name' WHEN regexp_matches(a, {_FIELD}) THEN 'answer ends with unfinished technical field' ELSE 'ok' END"
+_BARE = "regexp_replace(a, '(?s)```.*?```', '', 'g')"
+_MARKDOWN = f"CASE WHEN {_odd('a', '```')} THEN 'unclosed code fence' WHEN {_odd(_BARE, '`')} THEN 'unmatched inline-code marker' WHEN {_odd(_BARE, '**')} THEN 'unmatched bold marker' WHEN regexp_matches(a, '[:,;\\-—(]$') THEN 'answer ends with dangling punctuation' WHEN regexp_matches(a, {_CONJ}) THEN 'answer appears truncated after conjunction or field name' WHEN regexp_matches(a, {_FIELD}) THEN 'answer ends with unfinished technical field' ELSE 'ok' END"
+_WORDS24 = ", ".join(map(_quote, rules.TRAILING_WORDS))
+_TRIMMED = _strip(r"regexp_replace(a, '\s*\[S\d+(\s*,\s*S\d+)*\]\s*$', '')")
+
+
+@query(f"SELECT conv_id, turn, {_QUALITY} AS quality, {_MARKDOWN} AS markdown, length(b) < 24 OR regexp_matches(b, '[:;,\\-—(]$') OR coalesce(regexp_extract_all(lower(b), '[a-z]+')[-1] IN ({_WORDS24}), false) AS incomplete FROM (SELECT *, {_TRIMMED} AS b FROM {_ANSWERS})")
+def answer_quality(spark, d):
+    a = F.col("a")
+    return _answered(spark, d).select("conv_id", "turn", answers.quality_issue(a, F.lit("")).alias("quality"), answers.markdown_issue(a).alias("markdown"), answers.looks_incomplete(a).alias("incomplete"))
+
+
+@query(r"SELECT conv_id, turn, CASE WHEN turn % 8 = 1 THEN 'S1,S9,S2' ELSE '' END AS cited, CASE WHEN turn % 8 = 1 THEN replace(a, '[S1, S9]', '[S1]') ELSE a END AS kept FROM " + _ANSWERS)
+def citations(spark, d):
+    a = F.col("a")
+    return _answered(spark, d).select("conv_id", "turn", F.array_join(answers.cited_ids(a), ",").alias("cited"), answers.keep_citations(a, F.array(F.lit("S1"), F.lit("S2"))).alias("kept"))
+
+
+def _cases(spark, d):
+    return _answered(spark, d).select(
+        F.concat_ws("-", "conv_id", "turn").alias("case_id"), F.col("a").alias("answer"), (F.col("turn") % 11 == 10).alias("skip"), F.lit(True).alias("answerable"), F.lit(True).alias("expected_answerable"), F.lit(None).cast("string").alias("route"), F.lit("x").alias("expected_route"),
+        F.lit(40).alias("min_answer_chars"), F.lit(1.0).alias("latency_seconds"), F.lit(1.0).alias("max_latency_seconds"), (F.col("turn") % 8 == 1).alias("require_sources"), F.lit(True).alias("require_valid_markdown"), F.array(F.lit("the")).alias("expected_fragments"),
+        F.array(F.lit("as follows")).alias("forbidden_fragments"), F.array(F.array(F.lit("a"), F.lit("e"))).alias("expected_any_fragments"),
+    )
+
+
+_FAILED = f"(SELECT turn, (length(a) < 40)::INT + (turn % 8 = 1 AND NOT regexp_matches(a, '\\[S\\d+'))::INT + ({_MARKDOWN} <> 'ok')::INT + (NOT contains(lower(a), 'the'))::INT + contains(lower(a), 'as follows')::INT + (NOT contains(lower(a), 'a') AND NOT contains(lower(a), 'e'))::INT AS n FROM {_ANSWERS})"
+
+
+@query(f"SELECT count(*) AS total, count_if(n = 0) AS passed, count_if(n > 0) AS failed, 0::BIGINT AS skipped, round(count_if(n = 0) / greatest(1, count(*)), 9) AS pass_rate, sum(n)::BIGINT AS failures FROM {_FAILED}")
+def evaluate_cases(spark, d):
+    r = evaluation.failures(_cases(spark, d).withColumn("skip", F.lit(False)))
+    t = evaluation.totals(r).withColumn("pass_rate", F.round("pass_rate", 9))
+    return t.join(r.agg(F.sum(F.size("failures")).alias("failures")))
+
+
+@query("SELECT 'unique_ids' AS \"check\", (SELECT count(*) = count(DISTINCT doc_id) FROM documents) AS ok UNION ALL SELECT 'no_empty_text', (SELECT count_if(length(text) = 0) = 0 FROM documents) UNION ALL SELECT 'five_languages', (SELECT count(DISTINCT lang) >= 5 FROM documents)")
+def release_gates(spark, d):
+    checks = [("unique_ids", F.count("*") == F.count_distinct("doc_id")), ("no_empty_text", F.count_if(F.length("text") == 0) == 0), ("five_languages", F.count_distinct("lang") >= 5)]
+    return conversations.gates(checks, _docs(spark, d))
+
+
+@query("SELECT l.doc_id, l.toxic, d.source, d.lang FROM labels l LEFT JOIN documents d USING (doc_id)")
+def attach_lineage(spark, d):
+    return _read(spark, d, "labels").select("doc_id", "toxic").join(_docs(spark, d).select("doc_id", "source", "lang"), "doc_id", "left")
+
+
+# --- events -----------------------------------------------------------------------------------
+
+
+def _events(spark, d):
+    return _read(spark, d, "events")
+
+
+@query("""SELECT w AS "start", w + INTERVAL 15 MINUTE AS "end", event_type, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT event_type, value, time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '2000-01-01') - INTERVAL 5 MINUTE * i AS w FROM events, (VALUES (0), (1), (2)) v(i)) GROUP BY ALL""")
+def windowed_counts(spark, d):
+    return E.windowed_counts(_events(spark, d)).withColumn("total", F.round("total", 6))
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 900 SECOND PRECEDING AND CURRENT ROW) AS n_15m, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW) AS n_60m FROM events")
+def rolling_counts(spark, d):
+    return E.rolling(_events(spark, d), n_15m=900, n_60m=3600).select("event_id", "n_15m", "n_60m")
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS streak, round((epoch_us(ts) - first_value(epoch_us(ts)) OVER (PARTITION BY user_id, run ORDER BY ts, event_id)) / 1e6, 3) AS since_change FROM (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (SELECT *, (lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM event_type)::INT AS n FROM events))")
+def status_streaks(spark, d):
+    return E.streaks(_events(spark, d)).select("event_id", "streak", F.round("since_change", 3).alias("since_change"))
+
+
+@query("SELECT event_id, round((epoch_us(ts) - lag(epoch_us(ts), 1) OVER w) / 1e6, 3) AS lag_1, round((epoch_us(ts) - lag(epoch_us(ts), 2) OVER w) / 1e6, 3) AS lag_2, round((epoch_us(ts) - lag(epoch_us(ts), 3) OVER w) / 1e6, 3) AS lag_3 FROM events WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def alert_lags(spark, d):
+    return E.lags(_events(spark, d), "error").select("event_id", *[F.round(f"lag_{i}", 3).alias(f"lag_{i}") for i in (1, 2, 3)])
+
+
+@query("SELECT event_id, hour(ts) AS hour, dayofweek(ts) + 1 AS weekday, round(sin(hour(ts) * 2 * pi() / 24), 6) + 0.0 AS hour_sin, (event_type = 'click')::BIGINT AS is_click, (event_type = 'view')::BIGINT AS is_view FROM events")
+def event_features(spark, d):
+    e = E.one_hot(E.calendar(_events(spark, d)), "event_type", ["click", "view"])
+    return e.select("event_id", "hour", "weekday", (F.round("hour_sin", 6) + 0.0).alias("hour_sin"), "is_click", "is_view")
+
+
+@query("SELECT count_if(NOT late) AS in_time, count_if(late) AS dead_letters FROM (SELECT ts < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 120 MINUTE AS late FROM events)")
+def late_events(spark, d):
+    good, late = E.split_late(_events(spark, d), F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+    return good.agg(F.count("*").alias("in_time")).join(late.agg(F.count("*").alias("dead_letters")))

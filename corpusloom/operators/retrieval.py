@@ -84,7 +84,7 @@ def with_neighbours(hits: DataFrame, chunks: DataFrame, k: int, window: int = 1,
     consecutive per source, so this is an equi-join on (source, place)."""
     chunks = chunks.select("point_id", "source", F.row_number().over(Window.partitionBy("source").orderBy("place", "point_id")).alias("at"))
     steps = F.array(*[F.lit(i) for i in range(-window, window + 1) if i])
-    near = hits.join(chunks, "point_id").select("query_id", "source", (F.col("at") + F.explode(steps)).alias("at")).join(chunks, ["source", "at"]).select("query_id", "point_id").distinct()
+    near = hits.join(chunks, "point_id").select("query_id", "source", "at", F.explode(steps).alias("step")).select("query_id", "source", (F.col("at") + F.col("step")).alias("at")).join(chunks, ["source", "at"]).select("query_id", "point_id").distinct()
     near = near.join(hits.select("query_id", "point_id"), ["query_id", "point_id"], "left_anti")
     both = hits.select("query_id", "point_id", "score", "matched").unionByName(near.select("query_id", "point_id", F.lit(score).alias("score"), F.lit(0).cast("long").alias("matched")))
     return ranked(both, k, F.desc("score"), F.desc("matched"), F.asc("point_id"))

@@ -29,7 +29,8 @@ Loader = Callable[[bytes, str], tuple[list[Unit], list[str]]]
 
 
 def discover(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
-    """path (relative, POSIX), modified, size and content of all files below ``root``."""
+    """path (relative, POSIX), modified, size and content of all files below ``root``. Spark's readers
+    leave out names that begin with a dot or an underscore, which is what skips hidden paths here."""
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     relative = F.regexp_replace("path", "^.*?" + "\\Q" + base.split("://")[-1] + "\\E/", "")
