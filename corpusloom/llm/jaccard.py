@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
 from corpusloom.llm.store import bit_filter, materialize, may_hold
-from corpusloom.llm.words import mix, shingle_set
+from corpusloom.llm.words import mix, shingle_sets
 
 PERCENT = 80
 SHINGLE = 5
@@ -78,7 +78,7 @@ def _sets_and_sketch(batches):
     for batch in batches:
         for start in range(0, batch.num_rows, 512):
             part = batch.slice(start, 512)
-            sets = [shingle_set(t, SHINGLE) for t in part.column(1).to_pylist()]
+            sets = shingle_sets(part.column(1).to_pylist(), SHINGLE)
             chunk += sets
             if sum(map(len, chunk)) >= CHUNK:
                 count()
@@ -132,8 +132,7 @@ def _prefixes(shared, percent: int):
         for batch in batches:
             seen: dict[int, None] = {}
             rows = []
-            for t in batch.column(0).to_pylist():
-                own = shingle_set(t, SHINGLE)
+            for own in (s for at in range(0, batch.num_rows, 512) for s in shingle_sets(batch.column(0).slice(at, 512).to_pylist(), SHINGLE)):
                 name = _class_name(own)
                 if len(own) and name not in seen:
                     seen[name] = None
@@ -187,7 +186,7 @@ def _needed_sets(shared):
             part = batch.take(pa.array(at))
             for start in range(0, part.num_rows, 512):
                 own = part.slice(start, 512)
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([shingle_set(t, SHINGLE).tobytes() for t in own.column(1).to_pylist()], pa.binary())], names=["id", "own"])
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([s.tobytes() for s in shingle_sets(own.column(1).to_pylist(), SHINGLE)], pa.binary())], names=["id", "own"])
 
     return run
 

@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.store import bit_filter, materialize, may_hold
-from corpusloom.llm.words import STEP, mix, split_words, window_names, word_names
+from corpusloom.llm.words import STEP, mix, names_of, split_words, to_bytes, window_names
 
 WINDOW = 50
 ROUNDS = 6
 #: Symbols buffered before they are reduced to one row per name.
-BUFFER = 2_000_000
+BUFFER = 1_000_000
 
 _FAR = np.int64(1) << np.int64(40)  # what lies beyond a text's ends
 
@@ -123,10 +123,10 @@ def _symbols(window: int):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (name.view(np.int64), low, high)], names=["symbol", "low", "high"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                p = recompress([word_names(split_words(t)) for t in part.column(1).to_pylist()])
+                p = recompress(names_of([to_bytes(t) for t in part.column(1).to_pylist()]))
                 fits = p.high - p.low <= window
                 parts.append((p.name[fits], ids[p.doc[fits]], ids[p.doc[fits]]))
             if sum(len(p[0]) for p in parts) > BUFFER:
@@ -163,11 +163,11 @@ def _candidates(shared, window: int):
         words_filter = shared.value
         kind = pa.list_(pa.struct([("at", pa.int32()), ("name", pa.int64())]))
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
                 texts = part.column(2).to_pylist()
-                words = [split_words(t) for t in texts]
-                names = [word_names(w) for w in words]
+                datas = [to_bytes(t) for t in texts]
+                names = names_of(datas)
                 parse = recompress(names)
                 known = may_hold(words_filter, mix(parse.name))
                 begins = np.cumsum([0, *map(len, names)])
@@ -176,7 +176,7 @@ def _candidates(shared, window: int):
                 for i, name in enumerate(names):
                     at = _windows_to_check(name, parse, i, int(begins[i]), known, window)
                     n_words.append(len(name))
-                    kept.append(None if len(at) else hashlib.sha256(b" ".join(words[i])).hexdigest())
+                    kept.append(None if len(at) else hashlib.sha256(b" ".join(datas[i].split())).hexdigest())
                     whole.append(texts[i] if len(at) else None)
                     values.append((at.astype(np.int32), window_names(name, window)[at].view(np.int64) if len(at) else np.zeros(0, np.int64)))
                     offsets.append(offsets[-1] + len(at))
@@ -198,11 +198,11 @@ def covered(n_words: int, starts, window: int = WINDOW) -> np.ndarray:
 
 def _cut(window: int):
     def run(batches):
-        for batch in batches:
+        for part in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             out = []
-            for id_, doc_id, text, starts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for i, (id_, doc_id, text) in enumerate(zip(*(part.column(c).to_pylist() for c in range(3)), strict=True)):
                 words = split_words(text)
-                gone = covered(len(words), starts, window)
+                gone = covered(len(words), part.column(3)[i].values.to_numpy(zero_copy_only=False), window)
                 left = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
                 out.append((id_, doc_id, len(words), int(gone.sum()), left.decode("utf-8", "surrogatepass")))
             cols = list(zip(*out, strict=True)) or [()] * 5

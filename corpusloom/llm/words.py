@@ -1,47 +1,114 @@
 """Words and their 64-bit names, for the operators that compare texts by words.
 
-``bytes.lower`` changes A-Z alone and ``bytes.split`` cuts at exactly U+0020 and U+0009-000D,
-so UTF-8 bytes give the words ``[^\\x20\\x09-\\x0D]+`` without a regular expression."""
+``bytes.lower`` changes A-Z alone, and U+0020 and U+0009-000D are bytes of their own in UTF-8, so words
+``[^\\x20\\x09-\\x0D]+`` are found on bytes. A name is a polynomial hash modulo 2**64 of random values of
+the bytes, from prefix sums over a whole batch of texts, so no Python code runs per word."""
 
 from __future__ import annotations
 
 import numpy as np
-import xxhash
-
-#: Names kept per worker; beyond it the memo starts anew (only speed depends on it).
-MEMO = 300_000
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD1342543DE82EF95
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes that are named at once; a longer word is named alone.
+BLOCK = 1 << 20
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-class _Names(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        if len(word) > 64:
-            return xxhash.xxh3_64_intdigest(word)
-        self[word] = name = xxhash.xxh3_64_intdigest(word)
-        return name
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of uint64 that spreads all bits (splitmix64's finaliser)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-_names = _Names()
 
+_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * STEP)
 
-def split_words(text: str | None, lower: bool = False) -> list[bytes]:
-    data = (text or "").encode("utf-8", "surrogatepass")
-    return (data.lower() if lower else data).split()
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
-def word_names(words: list[bytes]) -> np.ndarray:
-    """A uint64 name for each word, the same in every process."""
-    return np.fromiter(map(_names.__getitem__, words), np.uint64, len(words))
 
+_cache: dict[str, np.ndarray] = {}
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of uint64 that spreads all bits (splitmix64's finaliser)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for blocks; longer ones are not kept."""
+    if n > BLOCK:
+        return _powers(_BASE, n), _powers(_INVERSE, n)
+    if not _cache:
+        _cache.update(up=_powers(_BASE, BLOCK), down=_powers(_INVERSE, BLOCK))
+    return _cache["up"], _cache["down"]
+
+
+def to_bytes(text: str | None, lower: bool = False) -> bytes:
+    data = (text or "").encode("utf-8", "surrogatepass")
+    return data.lower() if lower else data
+
+
+def split_words(text: str | None, lower: bool = False) -> list[bytes]:
+    return to_bytes(text, lower).split()
+
+
+def _names_of_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Names and starts of the words of a block that begins and ends with a space."""
+    b = np.frombuffer(data, np.uint8)
+    space = _SPACE[b]
+    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    up, down = _power_tables(len(b))
+    sums = np.cumsum(_VALUES[b] * up[: len(b)])
+    return mix((sums[ends - 1] - sums[starts - 1]) * down[starts]), starts
+
+
+def names_of(datas: list[bytes]) -> list[np.ndarray]:
+    """For each text (as bytes) a uint64 name of each of its words, the same in every process."""
+    out: list[np.ndarray] = []
+    group: list[bytes] = []
+    size = 0
+
+    def settle():
+        if not group:
+            return
+        names, starts = _names_of_block(b" " + b" ".join(group) + b" ")
+        at = np.cumsum([1, *(len(d) + 1 for d in group)])
+        out.extend(np.split(names, np.searchsorted(starts, at[1:-1])))
+        group.clear()
+
+    for data in datas:
+        if size + len(data) + 2 > BLOCK:
+            settle()
+            size = 0
+        if len(data) + 2 > BLOCK:
+            out.append(_long_text(data))
+            continue
+        group.append(data)
+        size += len(data) + 1
+    settle()
+    return out
+
+
+def _long_text(data: bytes) -> np.ndarray:
+    """Block by block, cut at spaces."""
+    parts, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + BLOCK - 2)
+        if end < len(data):
+            piece = data[at:end]
+            cut = max(piece.rfind(c) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))
+            if cut > 0:
+                end = at + cut
+            else:  # a word that fills the block
+                after = [p for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r") if (p := data.find(c, end)) >= 0]
+                end = min(after, default=len(data))
+        parts.append(_names_of_block(b" " + data[at:end] + b" ")[0])
+        at = end + 1 if end < len(data) else end
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
 def window_names(names: np.ndarray, size: int) -> np.ndarray:
@@ -55,12 +122,17 @@ def window_names(names: np.ndarray, size: int) -> np.ndarray:
     return mix(h)
 
 
-def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
-    """Sorted distinct shingle names of the lower-cased text; fewer words than ``size`` make one
-    shingle of the whole sequence, no words none."""
-    names = word_names(split_words(text, lower=True))
-    if not len(names):
-        return names
-    if len(names) < size:
-        return window_names(names, len(names)) ^ np.uint64(len(names))
-    return np.unique(window_names(names, size))
+def shingle_sets(texts: list[str | None], size: int = 5) -> list[np.ndarray]:
+    """Sorted distinct shingle names of each lower-cased text; fewer words than ``size`` make one shingle of
+    the whole sequence, no words none."""
+    out = []
+    for names in names_of([to_bytes(t, lower=True) for t in texts]):
+        if not len(names):
+            out.append(names)
+        elif len(names) < size:
+            out.append(window_names(names, len(names)) ^ np.uint64(len(names)))
+        else:
+            own = window_names(names, size)
+            own.sort()
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+    return out
