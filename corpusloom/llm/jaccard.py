@@ -36,7 +36,7 @@ SHINGLE = 5
 #: log2 of the sketch's counters (one byte each when broadcast), and of its ranges.
 SKETCH, SKETCH_RANGES = 22, 4
 #: Shingles of a task that are counted together for the sketch.
-CHUNK = 4_000_000
+CHUNK = 3_000_000
 #: Partners of a member that one task verifies at once.
 SPREAD = 64
 
@@ -197,7 +197,7 @@ def _verify(percent: int):
 
     def run(batches):
         centre, own = None, np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             out = []
             for star, part, member, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 x = np.frombuffer(data, np.uint64)
@@ -239,14 +239,20 @@ def _group_pairs(groups: DataFrame, listed: DataFrame, prefixes: DataFrame, perc
     ahead = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
     sizes = f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
     both = x.join(y, (x["token"] == y["token"]) & F.expr(f"grp_x < grp_y and least(least_x, least_y) < greatest(most_x, most_y) and {sizes}") & (ahead >= need))
-    pairs = materialize(both.select("grp_x", "grp_y", "n_x", "n_y").distinct(), "jaccard-candidates")
-    some = pairs.select(F.col("grp_x").alias("grp")).union(pairs.select("grp_y")).distinct()
+    return _possible(both.select(F.col("grp_x").alias("p"), F.col("grp_y").alias("q"), "n_x", "n_y").distinct(), prefixes, percent)
+
+
+def _possible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (p, q, with sizes n_x, n_y) those whose whole prefixes share enough for the threshold."""
+    pairs = materialize(pairs, "jaccard-candidates")
+    some = pairs.select(F.col("p").alias("grp")).union(pairs.select("q")).distinct()
     known = materialize(prefixes.select("grp", "prefix").join(some, "grp").dropDuplicates(["grp"]), "jaccard-compared")
-    x, y = (known.select(F.col("grp").alias(f"grp_{s}"), F.col("prefix").alias(f"prefix_{s}")) for s in "xy")
+    x, y = (known.select(F.col("grp").alias(g), F.col("prefix").alias(f"prefix_{g}")) for g in "pq")
     small, large = F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
+    need = F.ceil(percent * (F.col("n_x") + F.col("n_y")) / (100 + percent))
     behind = F.ceil(percent * large / 100) - 1  # shingles behind the prefix, of the larger set
-    shared = F.size(F.array_intersect("prefix_x", "prefix_y"))
-    return pairs.join(x, "grp_x").join(y, "grp_y").filter(F.least(shared + behind, small) >= need).select(F.col("grp_x").alias("p"), F.col("grp_y").alias("q"))
+    shared = F.size(F.array_intersect("prefix_p", "prefix_q"))
+    return pairs.join(x, "p").join(y, "q").filter(F.least(shared + behind, small) >= need).select("p", "q")
 
 
 def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -277,7 +283,8 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     centres = listed.join(share, "grp").groupBy("token").agg(F.max(F.struct("share", "grp")).alias("c")).select("token", F.col("c.grp").alias("p"))
     some = listed.join(centres, "token").filter("grp != p").groupBy("p", F.col("grp").alias("q")).agg(F.count("*").alias("shared"))
     best = some.groupBy("q").agg(F.max(F.struct("shared", "p")).alias("best")).select("best.p", "q")
-    promising = _heads_of(best, heads)
+    sized = best.join(heads.select(F.col("grp").alias("p"), F.col("n").alias("n_x")), "p").join(heads.select(F.col("grp").alias("q"), F.col("n").alias("n_y")), "q")
+    promising = _heads_of(_possible(sized, prefixes, percent), heads)
     inside = classes.join(heads, "grp").filter("class != head").select(F.col("head").alias("a"), F.col("class").alias("b"))
     links = _links(docs, members, promising.union(inside).distinct(), percent)
     label = components(links)
