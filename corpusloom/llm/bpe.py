@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries of the memos of a worker, and the longest piece that is kept in one.
-MEMO, MEMO_PIECE = 400_000, 48
+MEMO, MEMO_PIECE = 250_000, 48
 
 
 class _Pieces(dict):

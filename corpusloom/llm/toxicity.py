@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 MAX_LABELS = 65_536
 MAX_TERMS = 65_536
+#: Words kept by a worker, as a memo or to be counted together.
+MEMO = 150_000
 #: What the prior is worth, as a share of the counts; least likelihood ratio (G) of odds; drift per
 #: token; K of the extreme values; letters of a beginning.
 PRIOR, LEAST_G, DRIFT, K, STEM = 0.05, 22.0, 0.15, 0.1, 5
@@ -75,7 +77,7 @@ class _Scores(dict):
         self.odds, self.unseen = odds, unseen
 
     def __missing__(self, word: bytes) -> float | None:
-        if len(self) > 400_000:
+        if len(self) > MEMO:
             self.clear()
         term = token(word)
         x = self.odds.get(term, self.odds.get(stem(term)))
@@ -161,7 +163,7 @@ def _count(batches):
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts[int(toxic == 1)].update(terms_of(_words(text)))
-        if sum(map(len, counts.values())) > 400_000:
+        if sum(map(len, counts.values())) > MEMO:
             yield from rows()
     yield from rows()
 
