@@ -22,8 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm.store import tidy
+
 #: Entries of the memos of a worker, and the longest piece that is kept in one.
-MEMO, MEMO_PIECE = 250_000, 48
+MEMO, MEMO_PIECE = 150_000, 48
 
 
 class _Pieces(dict):
@@ -144,7 +146,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(decoded, pa.binary())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def digests(ids: Column, decoded: Column) -> list[Column]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
-from corpusloom.llm.store import bit_filter, materialize, may_hold
+from corpusloom.llm.store import bit_filter, materialize, may_hold, tidy
 from corpusloom.llm.words import mix, shingle_sets
 
 PERCENT = 80
@@ -108,7 +108,7 @@ def _add_sketches(batches):
 
 def _sketch(first: DataFrame) -> np.ndarray:
     """log2 of the counters, 2**SKETCH bytes."""
-    got = first.filter("kind = 1").select("id", "slots", "counts").repartition(1 << SKETCH_RANGES, "id").mapInArrow(_add_sketches, "range long, levels binary").toArrow()
+    got = first.filter("kind = 1").select("id", "slots", "counts").repartition(1 << SKETCH_RANGES, "id").mapInArrow(tidy(_add_sketches), "range long, levels binary").toArrow()
     size = 1 << (SKETCH - SKETCH_RANGES)
     out = np.zeros(1 << SKETCH, np.uint8)
     for r, levels in zip(got["range"].to_pylist(), got["levels"].to_pylist(), strict=True):
@@ -171,7 +171,7 @@ def _spread(batches):
 
 def _bits(df: DataFrame, column: str):
     """A broadcast filter of the column's values, spread by mix()."""
-    spread = materialize(df.select(column).mapInArrow(_spread, "key long"), "jaccard-keys")
+    spread = materialize(df.select(column).mapInArrow(tidy(_spread), "key long"), "jaccard-keys")
     return df.sparkSession.sparkContext.broadcast(bit_filter(spread, "key"))
 
 
@@ -221,9 +221,9 @@ def _links(docs: DataFrame, members: DataFrame, pairs: DataFrame, percent: int)
     stars = pairs.select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("class")).distinct().union(pairs.select("a", "part", "b", F.col("b").alias("class")))
     stars = materialize(stars.join(members, "class"), "jaccard-stars")
     ids = stars.select("id").distinct()
-    sets = docs.mapInArrow(_needed_sets(_bits(ids, "id")), "id long, own binary").dropDuplicates(["id"])
+    sets = docs.mapInArrow(tidy(_needed_sets(_bits(ids, "id"))), "id long, own binary").dropDuplicates(["id"])
     rows = stars.join(sets, "id").select("a", "part", "b", "own").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return materialize(rows.mapInArrow(_verify(percent), "a long, b long"), "jaccard-links")
+    return materialize(rows.mapInArrow(tidy(_verify(percent)), "a long, b long"), "jaccard-links")
 
 
 def _group_pairs(groups: DataFrame, listed: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
@@ -259,11 +259,11 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs``: doc_id, text. One row per row of ``docs``: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text"))
-    first = materialize(docs.mapInArrow(_sets_and_sketch, _FIRST), "jaccard-sets")
+    first = materialize(docs.mapInArrow(tidy(_sets_and_sketch), _FIRST), "jaccard-sets")
     sizes = first.filter("kind = 0").select("id", "n", "class")
     members = sizes.filter("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("id"))
     levels = spark.sparkContext.broadcast(_sketch(first))
-    prefixes = materialize(docs.filter("id is not null").select("text").mapInArrow(_prefixes(levels, percent), "class long, n long, grp long, prefix array<long>"), "jaccard-prefixes")
+    prefixes = materialize(docs.filter("id is not null").select("text").mapInArrow(tidy(_prefixes(levels, percent)), "class long, n long, grp long, prefix array<long>"), "jaccard-prefixes")
 
     # groups: classes of the same size and prefix; the smallest class stands for the group
     classes = prefixes.select("grp", "class").distinct()
@@ -271,7 +271,7 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     tokens = prefixes.select("grp", F.explode("prefix").alias("token"))
     span = tokens.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low < high")
     span = materialize(span, "jaccard-tokens")
-    listed = prefixes.select("grp", "n", "prefix").mapInArrow(_shared_tokens(_bits(span, "token")), "grp long, n long, token long, at long").distinct()
+    listed = prefixes.select("grp", "n", "prefix").mapInArrow(tidy(_shared_tokens(_bits(span, "token"))), "grp long, n long, token long, at long").distinct()
     listed = materialize(listed.join(span, "token").select("grp", "n", "token", "at"), "jaccard-lists")
 
     # first: each group's head against that of the likeliest centre it shares a list with, and the members of a

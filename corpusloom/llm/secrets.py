@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.automata import compile_rules, longest, parse, reversed_tree
+from corpusloom.llm.store import tidy
 
 
 @dataclass(frozen=True)
@@ -122,7 +123,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
             lists = pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x] for x in spans], kinds)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, *more], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 _scanners: dict[tuple[str, ...], Scanner] = {}

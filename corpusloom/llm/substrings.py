@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.store import bit_filter, materialize, may_hold
+from corpusloom.llm.store import bit_filter, materialize, may_hold, tidy
 from corpusloom.llm.words import STEP, mix, names_of, split_words, to_bytes, window_names
 
 WINDOW = 50
@@ -215,18 +215,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs``: doc_id, text. Per row: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined
     by a space) and kept_text, null where nothing was removed."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    symbols = source.filter("doc_id is not null").mapInArrow(_symbols(window), "symbol long, low long, high long")
+    symbols = source.filter("doc_id is not null").mapInArrow(tidy(_symbols(window)), "symbol long, low long, high long")
     shared = symbols.groupBy("symbol").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("symbol")
     # names are spread by mix() on both sides before the filter takes their leading bits
-    spread = materialize(shared.mapInArrow(_spread, "symbol long"), "repeats-symbols")
+    spread = materialize(shared.mapInArrow(tidy(_spread), "symbol long"), "repeats-symbols")
     filter_words = docs.sparkSession.sparkContext.broadcast(bit_filter(spread, "symbol"))  # 2**FILTER_BITS bits
-    checked = source.select(F.monotonically_increasing_id().alias("id"), "doc_id", "text").mapInArrow(_candidates(filter_words, window), _CHECK)
+    checked = source.select(F.monotonically_increasing_id().alias("id"), "doc_id", "text").mapInArrow(tidy(_candidates(filter_words, window)), _CHECK)
     checked = materialize(checked, "repeats-windows")
     windows = checked.filter("doc_id is not null").select("id", "doc_id", F.explode("windows").alias("w")).select("id", "doc_id", F.col("w.at").alias("at"), F.col("w.name").alias("name"))
     least = windows.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
     repeats = windows.join(least, "name").filter("doc_id > least").groupBy("id").agg(F.collect_list("at").alias("starts"))
     cut = checked.filter("text is not null").select("id", "doc_id", "text").join(repeats, "id", "left")
-    cut = cut.withColumn("starts", F.coalesce("starts", F.array().cast("array<int>"))).mapInArrow(_cut(window), "id long, doc_id long, n_words long, n_removed long, kept_text string")
+    cut = cut.withColumn("starts", F.coalesce("starts", F.array().cast("array<int>"))).mapInArrow(tidy(_cut(window)), "id long, doc_id long, n_words long, n_removed long, kept_text string")
     done = checked.filter("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("kept").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
     some = cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), F.when(F.col("n_removed") > 0, F.col("kept_text")).alias("kept_text"))
     return done.unionByName(some)

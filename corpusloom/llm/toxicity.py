@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.store import tidy
+
 MAX_LABELS = 65_536
 MAX_TERMS = 65_536
 #: Words kept by a worker, as a memo or to be counted together.
@@ -174,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
     empty = Model({}, -DRIFT, 1.0, (-20.0, 0.0))
     if known is None:
         return empty
-    counts = known.filter("half = 0").select("text", "toxic").mapInArrow(_count, "term binary, toxic int, n long")
+    counts = known.filter("half = 0").select("text", "toxic").mapInArrow(tidy(_count), "term binary, toxic int, n long")
     counts = counts.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("y1"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("y0")).filter("y1 + y0 > 1 ")
     n1, n0 = (float(x or 0) for x in counts.agg(F.sum("y1"), F.sum("y0")).first())
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
@@ -258,7 +260,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", keep: tup
             score = 1 / (1 + np.exp(-(a + b * np.log1p(total))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(total, pa.float64()), pa.array(score, pa.float64()), lists], names=[*batch.schema.names[:-1], "evidence", "score", "passages"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def trained_rows(doc_id: Column) -> Column:
