@@ -32,12 +32,12 @@ def write_index(points: DataFrame, path: str) -> str:
     changes nothing and the version before is its snapshot."""
     version = f"v-{uuid.uuid4().hex}"
     points.sortWithinPartitions("category", "source_path").write.parquet(f"{path}/{version}") if {"category", "source_path"} <= set(points.columns) else points.write.parquet(f"{path}/{version}")
-    put_text(points.sparkSession, f"{path}/_CURRENT", version)
+    put_text(points.sparkSession, f"{path}/CURRENT", version)
     return version
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{get_text(spark, f'{path}/_CURRENT')}")
+    return spark.read.parquet(f"{path}/{get_text(spark, f'{path}/CURRENT')}")
 
 
 def upsert_index(points: DataFrame, path: str) -> str:
