@@ -96,13 +96,18 @@ def revealing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     each = found.select("id", F.explode(F.arrays_zip("entities", "near")).alias("x")).select("id", "x.entities.kind", "x.entities.value", "x.near")
     of_entity = each.select("id", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_c")).filter(F.col("n_c") >= SUPPORT)
     together = each.select("id", "kind", "value", F.explode("near").alias("term")).distinct().groupBy("kind", "value", "term").agg(F.count("*").alias("n_ct")).filter(F.col("n_ct") >= SUPPORT)
-    together = materialize(together.join(of_entity, ["kind", "value"]), "pii-together")
+    # a term's documents near entities are some of all its documents, so they bound the share from above
+    around = each.select("id", F.explode("near").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("least_t"))
+    bits = F.log(F.lit(float(max(total, 1))) / F.col("n_c"))
+
+    def pmi(n_t):
+        return F.log(F.col("n_ct") * float(total) / (F.col("n_c").cast("double") * n_t))
+
+    together = together.join(of_entity, ["kind", "value"]).join(around, "term").filter((bits > 0) & (pmi(F.col("least_t")) >= DISCLOSES * bits - 1e-9))
+    together = materialize(together.drop("least_t"), "pii-together")
     terms = _small(together.select("term").distinct())
     of_term = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_TERM), F.lit(0)))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n_t"))
-    bits = F.log(F.lit(float(max(total, 1))) / F.col("n_c"))
-    pmi = F.log(F.col("n_ct") * float(total) / (F.col("n_c").cast("double") * F.col("n_t")))
-    share = F.when(bits > 0, pmi / bits).otherwise(0.0)
-    return together.join(of_term, "term").select("kind", "value", "term", share.alias("share")).filter(F.col("share") >= DISCLOSES)
+    return together.join(of_term, "term").select("kind", "value", "term", (pmi(F.col("n_t")) / bits).alias("share")).filter(F.col("share") >= DISCLOSES)
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
