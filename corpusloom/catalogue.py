@@ -36,8 +36,11 @@ def _docs(spark, d):
     return _read(spark, d, "documents")
 
 
-#: A path for each document, as the reference's files have: source, file name, extension by language.
-_PATH = F.concat("source", F.lit("/"), F.lit("doc_"), F.col("doc_id").cast("string"), F.when(F.col("lang") == "en", ".md").otherwise(".txt"))
+def _path():
+    """A path for each document: source, file name, extension by language."""
+    return F.concat("source", F.lit("/"), F.lit("doc_"), F.col("doc_id").cast("string"), F.when(F.col("lang") == "en", ".md").otherwise(".txt"))
+
+
 _PATH_SQL = "source || '/doc_' || doc_id || CASE WHEN lang = 'en' THEN '.md' ELSE '.txt' END"
 _SPACE = r"[ \t\x1F\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
 _STRIP_SQL = r"regexp_replace(regexp_replace({0}, '^(\s|[\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}])+', ''), '(\s|[\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}])+$', '')"
@@ -71,7 +74,7 @@ FROM (SELECT *, sha256('{{"selector": "", "source_path": "' || p || '", "source_
 
 @query(_IDS)
 def stable_ids(spark, d):
-    x = _docs(spark, d).select("doc_id", _PATH.alias("path"), T.content_sha256(F.col("text")).alias("s"))
+    x = _docs(spark, d).select("doc_id", _path().alias("path"), T.content_sha256(F.col("text")).alias("s"))
     u = T.unit_id(F.lit(""), F.col("path"), F.col("s"), F.lit(0), F.lit("file"))
     return x.select("doc_id", "path", T.document_id(F.col("path")).alias("document_id"), u.alias("unit_id"), T.chunk_id(F.lit(0), F.col("s"), u).alias("chunk_id"))
 
@@ -166,7 +169,7 @@ FROM (SELECT doc_id, {_PATH_SQL} AS p, text FROM documents))"""
 
 
 def _scanned(spark, d):
-    return governance.scan(_docs(spark, d).select("doc_id", _PATH.alias("path"), "text"), production=True)
+    return governance.scan(_docs(spark, d).select("doc_id", _path().alias("path"), "text"), production=True)
 
 
 @query(f"SELECT doc_id, status, array_to_string(secret, ',') AS secret_hits, array_to_string(synthetic, ',') AS synthetic_hits, array_to_string(book, ',') AS external_book_hits, stale FROM ({_SCANNED})")
@@ -183,7 +186,7 @@ def safety_summary(spark, d):
 
 
 def _chunks(spark, d):
-    return _docs(spark, d).select(F.col("doc_id").alias("ord"), F.col("doc_id").alias("chunk_id"), _PATH.alias("source_path"), T.content_sha256(F.col("text")).alias("content_sha256"))
+    return _docs(spark, d).select(F.col("doc_id").alias("ord"), F.col("doc_id").alias("chunk_id"), _path().alias("source_path"), T.content_sha256(F.col("text")).alias("content_sha256"))
 
 
 _CHUNKS = f"(SELECT doc_id AS ord, doc_id AS chunk_id, {_PATH_SQL} AS source_path, sha256(text) AS content_sha256 FROM documents)"
