@@ -175,32 +175,33 @@ def _bits(df: DataFrame, column: str):
     return df.sparkSession.sparkContext.broadcast(bit_filter(spread, "key"))
 
 
-def _needed_sets(shared):
-    """(id, set) of the documents that the filter lets through."""
+def _needed_texts(shared):
+    """(id, class, text) of the documents that the filter lets through. Texts move, not sets: they are
+    shorter, and compress."""
 
     def run(batches):
         words = shared.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             at = np.flatnonzero(may_hold(words, mix(ids.view(np.uint64))))
-            part = batch.take(pa.array(at))
-            for start in range(0, part.num_rows, 512):
-                own = part.slice(start, 512)
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([s.tobytes() for s in shingle_sets(own.column(1).to_pylist(), SHINGLE)], pa.binary())], names=["id", "own"])
+            for start in range(0, len(at), 512):
+                own = batch.take(pa.array(at[start : start + 512]))
+                names = [_class_name(s) for s in shingle_sets(own.column(1).to_pylist(), SHINGLE)]
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(names, pa.int64()), own.column(1)], names=["id", "class", "text"])
 
     return run
 
 
 def _verify(percent: int):
-    """Rows of a star (centre, part) come together, the centre's set first; the members that reach the
+    """Rows of a star (centre, part) come together, the centre's text first; the members that reach the
     threshold with it come out."""
 
     def run(batches):
         centre, own = None, np.zeros(0, np.uint64)
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             out = []
-            for star, part, member, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                x = np.frombuffer(data, np.uint64)
+            sets = shingle_sets(batch.column(3).to_pylist(), SHINGLE)
+            for star, part, member, x in zip(*(batch.column(i).to_pylist() for i in range(3)), sets, strict=True):
                 if member is None:
                     centre, own = (star, part), x
                 elif centre == (star, part):
@@ -214,15 +215,15 @@ def _verify(percent: int):
 
 def _links(docs: DataFrame, members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """``pairs``: a, b (classes). Those that reach the threshold, verified on the sets of their smallest
-    documents (``members``: class, id)."""
+    documents (``members``: class, id), made again from the texts."""
     pairs = materialize(pairs.select("a", "b"), "jaccard-pairs")
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
     pairs = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SPREAD)).alias("part"))
     stars = pairs.select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("class")).distinct().union(pairs.select("a", "part", "b", F.col("b").alias("class")))
     stars = materialize(stars.join(members, "class"), "jaccard-stars")
     ids = stars.select("id").distinct()
-    sets = docs.mapInArrow(tidy(_needed_sets(_bits(ids, "id"))), "id long, own binary").dropDuplicates(["id"])
-    rows = stars.join(sets, "id").select("a", "part", "b", "own").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    texts = docs.mapInArrow(tidy(_needed_texts(_bits(ids, "id"))), "id long, class long, text string").dropDuplicates(["id", "class"])
+    rows = stars.join(texts, ["id", "class"]).select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return materialize(rows.mapInArrow(tidy(_verify(percent)), "a long, b long"), "jaccard-links")
 
 
