@@ -177,6 +177,13 @@ def test_op5(spark, sf):
     for _ in range(3000):
         x = "".join(R.choice("aabcé ß\u0085  \x1c\t\n'’stre12３漢🙂-_!") for _ in range(R.randrange(30)))
         assert coder.encode(x) == own.encode_ordinary(x) and coder.decode(coder.encode(x)) == x.encode()
+    for letters, n in (("etaoinshr", 5000), ("a", 3000), ("bé字", 5000)):  # pieces far longer than one scan
+        x = "".join(R.choice(letters) for _ in range(n))
+        assert coder.encode(x) == own.encode_ordinary(x)
+    tokens = list(coder.tokens)
+    for _ in range(5000):
+        a, b = R.choice(tokens), R.choice(tokens)
+        assert coder.fits((a, b)) == (coder.merge(coder.tokens[a] + coder.tokens[b]) == [a, b])
 
 
 def test_op6(spark, sf):
