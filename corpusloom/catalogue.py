@@ -79,12 +79,10 @@ def stable_ids(spark, d):
     return x.select("doc_id", "path", T.document_id(F.col("path")).alias("document_id"), u.alias("unit_id"), T.chunk_id(F.lit(0), F.col("s"), u).alias("chunk_id"))
 
 
-_NS = "922127d7" + "a1b24c3d9e8f0a1b2c3d4e5f"
-
-
-@query()
+@query(f"""SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INT % 4) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id
+FROM (SELECT doc_id, sha1(unhex('{T.POINT_NAMESPACE.replace("-", "")}') || encode(chunk_id)) AS h FROM ({_IDS}))""")
 def point_ids(spark, d):
-    return stable_ids(spark, d).select("doc_id", T.uuid5(_NS, F.col("chunk_id")).alias("point_id"))
+    return stable_ids(spark, d).select("doc_id", T.uuid5(T.POINT_NAMESPACE, F.col("chunk_id")).alias("point_id"))
 
 
 @query(rf"""SELECT page_id, CASE WHEN instr(p, '/') > 0 THEN split_part(p, '/', 1) ELSE 'uncategorized' END AS category,
@@ -120,6 +118,13 @@ def lexical_tokens(spark, d):
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(T.contentful(F.col("t"))).cast("long").alias("n_terms"), F.array_join(F.slice("t", 1, 5), " ").alias("first_tokens"))
 
 
+@query(f"SELECT token, count(*) AS n FROM (SELECT unnest({_tokens_sql('text')}) AS token FROM documents) GROUP BY token ORDER BY n DESC, token LIMIT 50")
+def frequent_tokens(spark, d):
+    """A report of the 50 most frequent tokens."""
+    t = _docs(spark, d).select(F.explode(T.tokens(F.col("text"))).alias("token"))
+    return t.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(50)
+
+
 @query(f"SELECT conv_id, turn, CASE WHEN f = '' THEN 'New chat' WHEN length(f) <= 48 THEN f ELSE rtrim(substr(f, 1, 47)) || '…' END AS title, substr(text, 1, 500) AS preview FROM (SELECT *, {_strip(chr(39).join(['regexp_replace(text, ', chr(92) + 's+', ', ', ' ', ', ', 'g', ')']))} AS f FROM conversations)")
 def titles_and_previews(spark, d):
     return _read(spark, d, "conversations").select("conv_id", "turn", T.session_title(F.col("text")).alias("title"), F.substring("text", 1, 500).alias("preview"))
@@ -130,6 +135,12 @@ def stable_variation(spark, d):
     return _read(spark, d, "conversations").select("conv_id", "turn", T.stable_variation(F.col("conv_id").cast("string"), F.col("text"), 5).alias("variation"))
 
 
+@query(r"""SELECT page_id, CASE WHEN n = '' OR starts_with(split_part(url, '/', -1), '.') THEN NULL ELSE n END AS file_name FROM (
+  SELECT page_id, url, regexp_replace(regexp_replace(split_part(replace(url, '\', '/'), '/', -1), '[^A-Za-z0-9\x{0E01}-\x{0E59}._() -]+', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') AS n FROM pages)""")
+def safe_names(spark, d):
+    return _read(spark, d, "pages").select("page_id", T.safe_filename(F.col("url")).alias("file_name"))
+
+
 @query("SELECT event_id, s || '_' || substr(sha1(s), 1, 8) AS rebuild_id FROM (SELECT event_id, strftime(ts, '%Y%m%dT%H%M%SZ') AS s FROM events)")
 def rebuild_ids(spark, d):
     return _read(spark, d, "events").select("event_id", T.rebuild_id(F.col("ts")).alias("rebuild_id"))
@@ -182,6 +193,15 @@ def safety_summary(spark, d):
     return governance.summary(_scanned(spark, d))
 
 
+_WARNED = "CASE WHEN len(synthetic) > 0 THEN 'synthetic_fixture' END, CASE WHEN len(book) > 0 THEN 'external_book' END, CASE WHEN stale THEN 'stale' END"
+
+
+@query(f"SELECT doc_id, CASE WHEN len(secret) > 0 THEN 'rejected' ELSE 'accepted' END AS status, CASE WHEN len(secret) > 0 THEN 'secret_pattern' ELSE '' END AS reasons, concat_ws(',', {_WARNED}) AS warnings FROM ({_SCANNED})")
+def safety_scan_development(spark, d):
+    found = governance.scan(_docs(spark, d).select("doc_id", _path().alias("path"), "text"), production=False)
+    return found.select("doc_id", "status", F.array_join("reasons", ",").alias("reasons"), F.array_join("warnings", ",").alias("warnings"))
+
+
 # --- duplicates and counters ------------------------------------------------------------------
 
 
@@ -213,6 +233,11 @@ def ingestion_counters(spark, d):
     return _docs(spark, d).groupBy(F.col("source").alias("category")).agg(F.count("*").alias("files"), F.count_distinct("lang").alias("languages"), F.sum(n).alias("characters"), F.count_if(n > 1600).alias("oversized"), F.count_if(n < 80).alias("small"))
 
 
+@query(f"SELECT split_part(p, '/', 1) AS category, lower(regexp_extract(p, '[^/.](\\.[^./]+)$', 1)) AS extension, count(*) AS files FROM (SELECT {_PATH_SQL} AS p FROM documents) GROUP BY ALL")
+def file_histograms(spark, d):
+    return _docs(spark, d).select(_path().alias("p")).groupBy(T.category(F.col("p")).alias("category"), T.extension(F.col("p")).alias("extension")).agg(F.count("*").alias("files"))
+
+
 @query("SELECT lang, source, count(*) AS n FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2', (SELECT min(source) FROM documents)) GROUP BY ALL")
 def match_filter(spark, d):
     docs = _docs(spark, d)
@@ -226,6 +251,11 @@ def chunk_documents(spark, d):
     return chunking.chunk_units(docs.select(F.col("doc_id").cast("string").alias("unit_id"), "text")).drop("text")
 
 
+@query()
+def chunk_counters(spark, d):
+    return chunking.counters(chunk_documents(spark, d))
+
+
 @query()
 def embed_documents(spark, d):
     return embed(_docs(spark, d).select("doc_id", "text"), HashEmbedder()).select("doc_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
@@ -233,10 +263,11 @@ def embed_documents(spark, d):
 
 # --- vectors and retrieval --------------------------------------------------------------------
 
-#: The query set: every vector whose id is divisible by 20.
+#: The query set of dense searches alone: every vector whose id is divisible by 20, against all vectors.
+_TWENTIETH = "q.vec_id % 20 = 0"
 _UNIT = "list_transform(embedding, lambda x: x::DOUBLE / CASE WHEN n = 0 THEN 1 ELSE n END)"
 _POINTS = f"(SELECT vec_id, label, {_UNIT} AS u FROM (SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings))"
-_DENSE = f"SELECT query_id, point_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM (SELECT q.vec_id AS query_id, p.vec_id AS point_id, round(list_dot_product(q.u, p.u), 9) AS score FROM {_POINTS} q, {_POINTS} p WHERE q.vec_id % 20 = 0 {{0}})) WHERE rank <= {{1}}"
+_DENSE = f"SELECT query_id, point_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM (SELECT q.vec_id AS query_id, p.vec_id AS point_id, round(list_dot_product(q.u, p.u), 9) AS score FROM {_POINTS} q, {_POINTS} p WHERE {{0}})) WHERE rank <= {{1}}"
 
 
 def _points(spark, d):
@@ -247,20 +278,42 @@ def _vectors(spark, d):
     return _points(spark, d).filter("point_id % 20 = 0").select(F.col("point_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-@query(f"SELECT query_id, point_id, round(score, 6) AS score, rank FROM ({_DENSE.format('', 8)})")
+@query(f"SELECT query_id, point_id, round(score, 6) AS score, rank FROM ({_DENSE.format(_TWENTIETH, 8)})")
 def dense_top_k(spark, d):
     return retrieval.dense_search(_points(spark, d), _vectors(spark, d), 8).select("query_id", "point_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"SELECT query_id, point_id, round(score, 6) AS score, rank FROM ({_DENSE.format('AND p.label IN (1, 2)', 4)})")
+@query(f"SELECT query_id, point_id, round(score, 6) AS score, rank FROM ({_DENSE.format(_TWENTIETH + ' AND p.label IN (1, 2)', 4)})")
 def dense_top_k_filtered(spark, d):
     return retrieval.dense_search(_points(spark, d), _vectors(spark, d), 4, criteria={"label": [1, 2], "page": None}).select("query_id", "point_id", F.round("score", 6).alias("score"), "rank")
 
 
-_QUERY_TEXT = "array_to_string(string_split(text, ' ')[1:12], ' ')"
+@query(f"SELECT query_id, point_id, round(score, 6) AS score, rank FROM ({_DENSE.format(_TWENTIETH, 8)}) WHERE score >= 0.5")
+def dense_above_threshold(spark, d):
+    return retrieval.dense_search(_points(spark, d), _vectors(spark, d), 8, threshold=0.5).select("query_id", "point_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"SELECT vec_id, round(u[1], 6) AS first_component, round(sqrt(list_dot_product(u, u)), 6) AS norm FROM {_POINTS}")
+def unit_vectors(spark, d):
+    u = _points(spark, d).select("point_id", retrieval.unit(F.col("embedding")).alias("u"))
+    return u.select(F.col("point_id").alias("vec_id"), F.round(F.col("u")[0], 6).alias("first_component"), F.round(F.sqrt(retrieval.dot(F.col("u"), F.col("u"))), 6).alias("norm"))
+
+
+_MEANS = "(SELECT label, list(m ORDER BY place) AS u FROM (SELECT label, place, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS place FROM embeddings) GROUP BY ALL) GROUP BY label)"
+
+
+@query(f"SELECT a.label AS a, b.label AS b, round(list_dot_product(a.u, b.u) / sqrt(list_dot_product(a.u, a.u) * list_dot_product(b.u, b.u)), 6) AS score FROM {_MEANS} a, {_MEANS} b")
+def label_similarities(spark, d):
+    """The matrix of cosines between the mean vectors of labels."""
+    parts = _points(spark, d).select("label", F.posexplode("embedding").alias("place", "x")).groupBy("label", "place").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    means = parts.groupBy(F.col("label").alias("point_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "m"))), lambda x: x["m"]).alias("embedding"))
+    return retrieval.similarities(means).withColumn("score", F.round("score", 6))
+
+
+#: Lexical and hybrid searches ask the whole text of every benchmark item whose id is divisible by 20; the vector of the same id stands for its embedding.
 _NORM = _strip("translate(replace(lower(text), chr(8203), ''), '“”‘’', '\"\"''''')")
 _LEX_SIDE = f"SELECT doc_id, source, norm, toks, {_contentful_sql('toks')} AS terms, list_distinct(list_filter(toks, lambda t: regexp_matches(t, '[._/:]|^--'))) AS phrases FROM (SELECT *, {_tokens_sql('norm')} AS toks FROM (SELECT doc_id, source, {_NORM} AS norm FROM @TABLE))"
-_LEX_ALL = f"""WITH c AS ({_LEX_SIDE.replace('@TABLE', 'documents')}), q AS ({_LEX_SIDE.replace('@TABLE', f'(SELECT doc_id, source, {_QUERY_TEXT} AS text FROM documents WHERE doc_id % 20 = 0 AND doc_id < 100)')}),
+_LEX_ALL = f"""WITH c AS ({_LEX_SIDE.replace('@TABLE', 'documents')}), q AS ({_LEX_SIDE.replace('@TABLE', "(SELECT item_id AS doc_id, '' AS source, text FROM benchmark WHERE item_id % 20 = 0)")}),
 s AS (SELECT q.doc_id AS query_id, c.doc_id AS point_id, len(list_intersect(q.terms, c.terms)) AS matched,
  round(least(1.0, CASE WHEN len(q.terms) = 0 THEN 0 ELSE 0.45::DOUBLE * len(list_intersect(q.terms, c.terms))::DOUBLE / greatest(len(q.terms), 1) + 0.10::DOUBLE * len(list_intersect(q.terms, c.terms))::DOUBLE / sqrt((len(q.terms) * greatest(len(c.terms), 1))::DOUBLE) END
  + coalesce(list_sum(list_transform(list_filter(q.phrases, lambda p: contains(c.norm, p)), lambda p: CASE WHEN regexp_matches(p, '^--|[_/.()]|^[0-9]+$') THEN 0.65::DOUBLE ELSE 0.45::DOUBLE END)), 0)
@@ -268,10 +321,13 @@ s AS (SELECT q.doc_id AS query_id, c.doc_id AS point_id, len(list_intersect(q.te
 lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, matched DESC, point_id) AS rank FROM s WHERE score > 0) WHERE rank <= 32)"""
 
 
+def _asked_items(spark, d):
+    return _read(spark, d, "benchmark").filter("item_id % 20 = 0")
+
+
 def _lexical(spark, d):
-    docs = _docs(spark, d)
-    asked = docs.filter("doc_id % 20 = 0 and doc_id < 100").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("query"))
-    return retrieval.lexical_search(docs.select(F.col("doc_id").alias("point_id"), "text"), asked, 32)
+    asked = _asked_items(spark, d).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return retrieval.lexical_search(_docs(spark, d).select(F.col("doc_id").alias("point_id"), "text"), asked, 32)
 
 
 @query(f"{_LEX_ALL} SELECT query_id, point_id, round(score, 6) AS score, matched, rank FROM lex")
@@ -295,7 +351,7 @@ def lexical_with_neighbours(spark, d):
     return _expanded(spark, d).select("query_id", "point_id", F.round("score", 6).alias("score"), "matched", "rank")
 
 
-_FUSED = f"""{_NEIGHBOURS}, dense AS ({_DENSE.format('', 24)}), fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, score DESC, point_id) AS rank FROM (
+_FUSED = f"""{_NEIGHBOURS}, dense AS ({_DENSE.format('q.vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 20 = 0)', 24)}), fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, score DESC, point_id) AS rank FROM (
  SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.point_id, b.point_id) AS point_id, CASE WHEN b.ls IS NOT NULL AND (a.score IS NULL OR b.ls > a.score) THEN b.ls ELSE a.score END AS score,
  CASE WHEN a.score IS NULL THEN 'lexical' WHEN b.ls > a.score THEN 'hybrid' END AS match_type, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 12) AS rrf
  FROM dense a FULL JOIN (SELECT *, greatest(0.30::DOUBLE, least(0.99::DOUBLE, 0.35::DOUBLE + score)) AS ls FROM expanded) b ON a.query_id = b.query_id AND a.point_id = b.point_id)),
@@ -304,7 +360,8 @@ taken AS (SELECT *, score >= 0.28 AND sum((score >= 0.28)::INT) OVER (PARTITION
 
 
 def _hybrid(spark, d):
-    dense = retrieval.dense_search(_points(spark, d), _vectors(spark, d), 24)
+    vectors = _points(spark, d).join(_asked_items(spark, d).select(F.col("item_id").alias("point_id")), "point_id", "left_semi")
+    dense = retrieval.dense_search(_points(spark, d), vectors.select(F.col("point_id").alias("query_id"), F.col("embedding").alias("vector")), 24)
     return retrieval.accept(retrieval.fuse(dense, _expanded(spark, d), 24), 0.28, 8)
 
 
@@ -313,15 +370,30 @@ def retrieve_hybrid(spark, d):
     return _hybrid(spark, d).select("query_id", "point_id", F.round("score", 6).alias("score"), "match_type", F.round("rrf", 9).alias("rrf"), "rank", "accepted")
 
 
-@query(rf"""{_FUSED}, b AS (SELECT t.query_id, t.rank, t.point_id, d.text, 63 + length(d.text) AS size FROM taken t JOIN documents d ON d.doc_id = t.point_id WHERE accepted),
+_PACKED = rf"""{_FUSED}, b AS (SELECT t.query_id, t.rank, t.point_id, d.text, 63 + length(d.text) AS size FROM taken t JOIN documents d ON d.doc_id = t.point_id WHERE accepted),
 l AS (SELECT *, 12000 - coalesce(sum(size) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM b),
 st AS (SELECT *, rest < 250 OR size > rest AS stop FROM l), ss AS (SELECT *, sum(stop::INT) OVER (PARTITION BY query_id ORDER BY rank) AS stops, greatest(0, rest - 63 - 30) AS room FROM st),
-k AS (SELECT *, stop AND stops = 1 AND rest >= 250 AND room >= 150 AS cut FROM ss)
-SELECT query_id, 'S' || row_number() OVER (PARTITION BY query_id ORDER BY rank) AS source_id, point_id, cut AS truncated, CASE WHEN cut THEN length({_strip('substr(text, 1, room::BIGINT)')}) + 15 ELSE length(text) END AS n_chars FROM k WHERE stops = 0 OR cut""")
+k AS (SELECT *, stop AND stops = 1 AND rest >= 250 AND room >= 150 AS cut FROM ss),
+packed AS (SELECT query_id, 'S' || row_number() OVER (PARTITION BY query_id ORDER BY rank) AS source_id, point_id, cut AS truncated, CASE WHEN cut THEN length({_strip('substr(text, 1, room::BIGINT)')}) + 15 ELSE length(text) END AS n_chars FROM k WHERE stops = 0 OR cut)"""
+
+
+@query(f"{_PACKED} SELECT * FROM packed")
 def pack_context(spark, d):
-    hits = _hybrid(spark, d).filter("accepted").join(_docs(spark, d).select(F.col("doc_id").alias("point_id"), "text"), "point_id")
-    packed = retrieval.pack_context(hits, 12000, F.lit(63))
-    return packed.select("query_id", "source_id", "point_id", "truncated", F.length("block_text").cast("long").alias("n_chars"))
+    return _packed(spark, d, _hybrid(spark, d)).select("query_id", "source_id", "point_id", "truncated", F.length("block_text").cast("long").alias("n_chars"))
+
+
+def _packed(spark, d, hits):
+    texts = _docs(spark, d).select(F.col("doc_id").alias("point_id"), "text")
+    return retrieval.pack_context(hits.filter("accepted").join(texts, "point_id"), 12000, F.lit(63))
+
+
+@query(f"{_PACKED} SELECT t.query_id, t.rank AS source_rank, p.source_id, t.point_id, accepted, coalesce(p.source_id IN ('S1', 'S3', 'S9'), false) AS cited, round(score, 6) AS score FROM taken t LEFT JOIN packed p USING (query_id, point_id)")
+def retrieval_log(spark, d):
+    """The log rows of the hybrid search, for answers that cite S1, S3 and S9."""
+    hits = _hybrid(spark, d)
+    said = _asked_items(spark, d).select(F.col("item_id").alias("query_id"), F.concat("text", F.lit(" [S1] and [S3, S9].")).alias("a"))
+    cited = said.select("query_id", F.explode(answers.cited_ids(F.col("a"))).alias("source_id"))
+    return retrieval.log_sources(hits, _packed(spark, d, hits), cited).withColumn("score", F.round("score", 6))
 
 
 # --- conversations ----------------------------------------------------------------------------
@@ -344,6 +416,11 @@ def list_sessions(spark, d):
     return conversations.list_sessions(s, 10).select("session_id", "messages", "updated_at")
 
 
+@query("SELECT conv_id AS session_id, count(*) AS messages, count_if(role = 'user') AS user_messages, count_if(role = 'assistant') AS assistant_messages, count_if(role = 'system') AS system_messages FROM conversations GROUP BY 1")
+def message_counts(spark, d):
+    return conversations.count_messages(_messages(spark, d))
+
+
 @query("SELECT conv_id AS session_id, count(*) AS unsummarized FROM conversations WHERE turn > conv_id % 3 GROUP BY 1 HAVING count(*) >= 4")
 def summary_needed(spark, d):
     m = _messages(spark, d)
@@ -406,6 +483,16 @@ def classify_routes(spark, d):
     return _asked(spark, d).withColumn("r", answers.route(F.col("m"), F.col("h"), F.lit("none"))).select("conv_id", "turn", "r.route", "r.confidence")
 
 
+_CATEGORIES = "CASE " + " ".join(f"WHEN r = '{n}' THEN '{','.join(c)}'" for n, c in rules.ROUTE_CATEGORIES.items()) + " ELSE '' END"
+
+
+@query(f"SELECT r AS route, {_CATEGORIES} AS categories, count(*) AS n FROM (SELECT {_ROUTE} AS r FROM {_ASKED}) GROUP BY ALL")
+def route_filters(spark, d):
+    r = _asked(spark, d).select(answers.route(F.col("m"), F.col("h"), F.lit("none"))["route"].alias("route"))
+    categories = F.array_join(F.coalesce(answers.default_categories(F.col("route")), F.array().cast("array<string>")), ",")
+    return r.groupBy("route", categories.alias("categories")).agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT conv_id, turn, CASE WHEN NOT h THEN 'standalone' WHEN regexp_matches(m, {_quote('(?i)' + rules.BROAD)}) AND NOT regexp_matches(m, {_quote('(?i)' + rules.PRONOUN)}) THEN 'broad' WHEN length(m) > 100 AND NOT regexp_matches(m, {_quote('(?i)' + rules.CONTEXT_HINT)}) THEN 'independent' END AS kind, coalesce({_ROUTE} IN ('technical_troubleshooting', 'kafka_iot_support'), false) AND (length(m) >= 180 OR regexp_matches(m, {_quote('(?i)' + rules.COMPLEX)})) AS thinking FROM {_ASKED}")
 def followups_and_thinking(spark, d):
     r = _asked(spark, d).withColumn("r", answers.route(F.col("m"), F.col("h"), F.lit("none")))

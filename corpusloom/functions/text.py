@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
 
-POINT_NAMESPACE = "922127d7"
+#: Fixed value: the namespace of point ids.
+POINT_NAMESPACE = "922127d7-5c34-47bb-a627-8a2c1df2b56e"
 
 
 def strip(x: Column) -> Column:
@@ -43,9 +44,9 @@ def chunk_id(index: Column, sha: Column, unit: Column) -> Column:
     return content_sha256(F.concat(F.lit('{"chunk_index_within_unit": '), index.cast("string"), F.lit(', "content_sha256": '), _json(sha), F.lit(', "source_unit_id": '), _json(unit), F.lit("}")))
 
 
-def uuid5(namespace_hex: str, name: Column) -> Column:
+def uuid5(namespace: str, name: Column) -> Column:
     """The RFC 4122 name-based UUID, natively."""
-    h = F.sha1(F.concat(F.unhex(F.lit(namespace_hex)), name.cast("binary")))
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), name.cast("binary")))
     variant = F.lower(F.lpad(F.hex(F.conv(F.substring(h, 17, 2), 16, 10).cast("int").bitwiseAND(63).bitwiseOR(128).cast("long")), 2, "0"))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 19, 2)), F.substring(h, 21, 12))
 

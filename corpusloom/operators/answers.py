@@ -80,6 +80,14 @@ def route(message: Column, has_history: Column, scope: Column) -> Column:
     return out.otherwise(F.struct(F.lit(None).cast("string").alias("route"), F.lit(None).cast("double").alias("confidence")))
 
 
+def default_categories(route_: Column) -> Column:
+    """The categories that a route searches; null: all."""
+    out = F.lit(None).cast("array<string>")
+    for name, categories in rules.ROUTE_CATEGORIES.items():
+        out = F.when(route_ == name, F.array(*map(F.lit, categories))).otherwise(out)
+    return out
+
+
 def thinking(message: Column, route_: Column) -> Column:
     return F.coalesce(route_.isin(*rules.THINKING_ROUTES), F.lit(False)) & ((F.length(message) >= 180) | message.rlike(f"(?i){rules.COMPLEX}"))
 

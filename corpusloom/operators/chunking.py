@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Separators of the text splitter, coarse to fine.
 SEPARATORS = ["\n\n", "\n", " ", ".", ",", "\u200b", "\uff0c", "\u3001", "\uff0e", "\u3002", ""]
@@ -187,3 +188,8 @@ def chunk_units(units: DataFrame, config: Config = Config()) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([c for u, t, r in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), rows, strict=True) for c in chunk_unit(u, t, config, r)], schema=_ARROW)
 
     return source.mapInArrow(run, SCHEMA)
+
+
+def counters(chunks: DataFrame) -> DataFrame:
+    """One row: units, chunks, their characters, and how many are oversized or small."""
+    return chunks.agg(F.count_distinct("unit_id").alias("source_units"), F.count("*").alias("chunks"), F.sum("character_count").alias("chunk_characters_total"), F.count_if("oversized").alias("oversized_chunks"), F.count_if("small").alias("small_chunks"))

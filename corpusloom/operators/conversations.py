@@ -25,6 +25,11 @@ def sessions_of(messages: DataFrame, at: str = "created_at") -> DataFrame:
     return messages.groupBy("session_id").agg(F.count("*").alias("messages"), F.min(at).alias("created_at"), F.max(at).alias("updated_at"))
 
 
+def count_messages(messages: DataFrame) -> DataFrame:
+    """Messages of each session, and by role."""
+    return messages.groupBy("session_id").agg(F.count("*").alias("messages"), *[F.count_if(F.col("role") == r).alias(f"{r}_messages") for r in ROLES])
+
+
 def summary_needed(messages: DataFrame, marks: DataFrame, trigger: int = 20) -> DataFrame:
     """Sessions with ``trigger`` or more messages after the one up to which they are summarised."""
     after = messages.join(marks, "session_id", "left").filter(F.col("message_id") > F.coalesce("summarized_until", F.lit(-1)))

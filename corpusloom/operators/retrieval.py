@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 
+#: Queries that are broadcast at once.
 QUERIES = 10_000
 
 
-def queries_side(queries: DataFrame) -> DataFrame:
-    """Broadcast a batch of at most ``QUERIES`` queries; a larger one must come in blocks."""
-    if queries.limit(QUERIES + 1).count() > QUERIES:
-        raise ValueError(f"give at most {QUERIES} queries at a time")
-    return F.broadcast(queries)
+def query_blocks(queries: DataFrame, most: int = QUERIES) -> list[DataFrame]:
+    """The queries in blocks, each small enough to broadcast; the points are read once for each block.
+    Blocks are dealt by a hash of query_id, half of ``most`` on average, so that none exceeds it."""
+    n = queries.count()
+    if n <= most:
+        return [F.broadcast(queries)]
+    blocks = -(-2 * n // most)
+    of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return [F.broadcast(queries.filter(of == i)) for i in range(blocks)]
 
 
 def match_filter(**criteria) -> Column | None:
@@ -47,9 +52,22 @@ def dense_search(points: DataFrame, queries: DataFrame, k: int, threshold: float
     where = match_filter(**(criteria or {}))
     points = points if where is None else points.filter(where)
     points = points.select("point_id", unit(F.col("embedding")).alias("u"))
-    hits = points.join(queries_side(queries.select("query_id", unit(F.col("vector")).alias("q"))), F.lit(True)).select("query_id", "point_id", F.round(dot(F.col("u"), F.col("q")), 9).alias("score"))
-    hits = hits if threshold is None else hits.filter(F.col("score") >= threshold)
-    return ranked(hits, k, F.desc("score"), F.asc("point_id"))
+
+    def found(block: DataFrame) -> DataFrame:
+        hits = points.join(block, F.lit(True)).select("query_id", "point_id", F.round(dot(F.col("u"), F.col("q")), 9).alias("score"))
+        hits = hits if threshold is None else hits.filter(F.col("score") >= threshold)
+        return ranked(hits, k, F.desc("score"), F.asc("point_id"))
+
+    blocks = query_blocks(queries.select("query_id", unit(F.col("vector")).alias("q")))
+    return reduce(DataFrame.unionByName, map(found, blocks))
+
+
+def similarities(points: DataFrame) -> DataFrame:
+    """(a, b, score) of every pair of a small set of points, each with itself, at most ``QUERIES`` of them."""
+    if points.limit(QUERIES + 1).count() > QUERIES:
+        raise ValueError(f"a matrix is made of at most {QUERIES} points")
+    a, b = (points.select(F.col("point_id").alias(n), unit(F.col("embedding")).alias(f"u_{n}")) for n in "ab")
+    return a.join(F.broadcast(b), F.lit(True)).select("a", "b", dot(F.col("u_a"), F.col("u_b")).alias("score"))
 
 
 def lexical_parts(x: Column) -> tuple[Column, Column]:
@@ -57,26 +75,48 @@ def lexical_parts(x: Column) -> tuple[Column, Column]:
     return T.contentful(own), own
 
 
-def lexical_score(q_terms: Column, q_tokens: Column, q_phrases: Column, terms: Column, norm: Column) -> Column:
-    """Overlap of terms, exact phrases, and technical tokens found in the text, 1 at most."""
-    shared = F.size(F.array_intersect(q_terms, terms)).cast("double")
-    overlap = F.when(F.size(q_terms) == 0, 0.0).otherwise(0.45 * shared / F.greatest(F.size(q_terms), F.lit(1)) + 0.10 * shared / F.sqrt((F.size(q_terms) * F.greatest(F.size(terms), F.lit(1))).cast("double")))
-    found = F.filter(q_phrases, lambda p: F.contains(norm, p))
-    exact = F.aggregate(found, F.lit(0.0), lambda s, p: s + F.when(p.rlike(r"^--|[_/.()]|^[0-9]+$"), 0.65).otherwise(0.45))
-    technical = 0.10 * F.size(F.filter(q_tokens, lambda t: t.rlike(r"[./]|^--") & F.contains(norm, t)))
-    return F.least(F.lit(1.0), overlap + exact + technical)
+def phrase_weights(own: Column) -> Column:
+    """Phrases of a query with what each adds where a text holds it: 0.65 or 0.45, and 0.10 for every time it is given as a technical token."""
+    exact = lambda p: F.when(p.rlike(r"^--|[_/.()]|^[0-9]+$"), 0.65).otherwise(0.45)
+    times = lambda p: F.when(p.rlike(r"[./]|^--"), F.size(F.filter(own, lambda t: t == p))).otherwise(0)
+    return F.transform(T.phrases(own), lambda p: F.struct(p.alias("phrase"), (exact(p) + 0.10 * times(p)).alias("weight")))
+
+
+def lexical_score(shared: Column, q_size: Column, size: Column, q_phrases: Column, marked: Column) -> Column:
+    """Overlap of terms (``shared`` of the query's and the text's), and the weights of phrases found in its marked tokens; 1 at most."""
+    shared = shared.cast("double")
+    overlap = F.when(q_size == 0, 0.0).otherwise(0.45 * shared / F.greatest(q_size, F.lit(1)) + 0.10 * shared / F.sqrt((q_size * F.greatest(size, F.lit(1))).cast("double")))
+    return F.least(F.lit(1.0), F.aggregate(q_phrases, overlap, lambda s, x: s + F.when(F.contains(marked, x["phrase"]), x["weight"]).otherwise(0.0)))
+
+
+#: Queries of a block of a lexical search: its terms are looked up in each text once.
+LEXICAL_QUERIES = 500
 
 
 def lexical_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``chunks``: point_id, text; ``queries``: query_id, query. (query_id, point_id, score, matched, rank); rows that score 0 are dropped."""
-    terms, _ = lexical_parts(F.col("text"))
-    chunks = chunks.select("point_id", T.lexical_norm(F.col("text")).alias("norm"), terms.alias("terms"))
-    q_terms, q_tokens = lexical_parts(F.col("query"))
-    queries = queries.select("query_id", q_terms.alias("q_terms"), q_tokens.alias("q_tokens"), T.phrases(q_tokens).alias("q_phrases"))
-    pairs = chunks.join(queries_side(queries), F.lit(True))
-    score = lexical_score(F.col("q_terms"), F.col("q_tokens"), F.col("q_phrases"), F.col("terms"), F.col("norm"))
-    hits = pairs.select("query_id", "point_id", F.round(score, 9).alias("score"), F.size(F.array_intersect("q_terms", "terms")).cast("long").alias("matched")).filter("score > 0")
-    return ranked(hits, k, F.desc("score"), F.desc("matched"), F.asc("point_id"))
+    """``chunks``: point_id, text; ``queries``: query_id, query. (query_id, point_id, score, matched, rank); rows that score 0 are dropped.
+
+    Each text is cut once to the terms that some query of the block has, so that a pair costs the shared terms and the query's
+    phrases, not the text's terms. A token is a maximal run of its characters, and a phrase has a mark (. _ / : or --) in it, so
+    the text holds the phrase exactly if one of its tokens with a mark does. The two ``inline`` are barriers: code generated for the join would cut the text again for
+    every pair, and a filter on the score would work it out a second time."""
+    chunks = chunks.select("point_id", T.tokens(T.lexical_norm(F.col("text"))).alias("own"))
+    marked = F.array_join(F.array_distinct(F.filter("own", lambda t: t.rlike("[._/:]|--"))), " ")
+    chunks = chunks.select("point_id", T.contentful(F.col("own")).alias("terms"), marked.alias("marked"))
+    q_terms, own = lexical_parts(F.col("query"))
+    queries = queries.select("query_id", q_terms.alias("q_terms"), phrase_weights(own).alias("q_phrases"))
+
+    def found(block: DataFrame) -> DataFrame:
+        asked = F.broadcast(block.agg(F.array_distinct(F.flatten(F.collect_list("q_terms"))).alias("asked")))
+        cut = F.struct(F.size("terms").alias("size"), F.array_intersect("terms", "asked").alias("terms"))
+        own = chunks.join(asked, F.lit(True)).select("point_id", "marked", F.inline(F.array(cut)))
+        shared = F.size(F.array_intersect("q_terms", "terms"))
+        score = lambda n: F.round(lexical_score(n, F.size("q_terms"), F.col("size"), F.col("q_phrases"), F.col("marked")), 9)
+        scored = F.transform(F.array(shared), lambda n: F.struct(score(n).alias("score"), n.cast("long").alias("matched")))
+        hits = own.join(block, F.lit(True)).select("query_id", "point_id", F.inline(F.filter(scored, lambda x: x["score"] > 0)))
+        return ranked(hits, k, F.desc("score"), F.desc("matched"), F.asc("point_id"))
+
+    return reduce(DataFrame.unionByName, map(found, query_blocks(queries, LEXICAL_QUERIES)))
 
 
 def with_neighbours(hits: DataFrame, chunks: DataFrame, k: int, window: int = 1, score: float = 0.30) -> DataFrame:
@@ -122,3 +162,12 @@ def pack_context(hits: DataFrame, budget: int, overhead: Column, block: int = 25
     kept = sized.filter((F.col("stops") == 0) | cut)
     shown = F.when(cut, F.concat(F.regexp_replace(F.substring("text", F.lit(1), room.cast("int")), r"(?U)\s+\z", ""), F.lit("\n...[truncated]"))).otherwise(F.col("text"))
     return kept.select("query_id", "rank", F.concat(F.lit("S"), F.row_number().over(w)).alias("source_id"), "point_id", shown.alias("block_text"), cut.alias("truncated"))
+
+
+def log_sources(hits: DataFrame, packed: DataFrame, cited: DataFrame) -> DataFrame:
+    """Log rows of a batch. ``hits``: query_id, rank, point_id, score, accepted; ``packed``: query_id, point_id, source_id of
+    the context; ``cited``: query_id, source_id. Each hit with its source_rank, source_id (null: not shown) and ``cited``."""
+    shown = packed.select("query_id", "point_id", "source_id")
+    used = cited.select("query_id", "source_id").distinct().withColumn("cited", F.lit(True))
+    logged = hits.join(shown, ["query_id", "point_id"], "left").join(used, ["query_id", "source_id"], "left")
+    return logged.select("query_id", F.col("rank").alias("source_rank"), "source_id", "point_id", "accepted", F.coalesce("cited", F.lit(False)).alias("cited"), "score")

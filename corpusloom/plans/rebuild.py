@@ -60,7 +60,7 @@ def plan(spark: SparkSession, root: str, production: bool = True, embedder: Embe
     chunks = chunks.join(lineage, "unit_id").withColumn("category", T.category(F.col("source_path"))).withColumn("ord", F.struct("source_path", "unit_index", "chunk_index"))
     chunks = chunks.join(safety.select(F.col("path").alias("source_path"), F.col("status").alias("index_file_status"), F.col("sha256").alias("index_file_sha256"), F.col("warnings").alias("index_file_warnings")), "source_path", "left")
     points = embed(dedup.unique_chunks(chunks).filter("first").drop("first", "ord"), embedder or HashEmbedder())
-    return {"safety": safety, "units": units, "reports": files.reports(units), "chunks": chunks, "points": points.withColumn("point_id", F.col("chunk_id"))}
+    return {"safety": safety, "units": units, "reports": files.reports(units), "chunks": chunks, "points": points.withColumn("point_id", T.uuid5(T.POINT_NAMESPACE, F.col("chunk_id")))}
 
 
 def rebuild(spark: SparkSession, root: str, index: str, production: bool = True, embedder: Embedder | None = None) -> str:

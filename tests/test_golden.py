@@ -26,6 +26,7 @@ def test_ids(spark):
     assert r.b == "d0d44fb8c5c057c8153c1e194336a59e528a1b2946a0eb8813e993e7327e7bae"
     assert r.c == "fe33ffe587c2c04daf9ad37ecbd208d429b02aa99b05ebd137c666710e5adbb1"
     assert one(spark, T.uuid5(uuid.NAMESPACE_URL.hex, F.lit("näme")))[0] == str(uuid.uuid5(uuid.NAMESPACE_URL, "näme"))
+    assert one(spark, T.uuid5(T.POINT_NAMESPACE, F.lit(r.c)))[0] == str(uuid.uuid5(uuid.UUID("922127d7-5c34-47bb-a627-8a2c1df2b56e"), r.c))
     assert one(spark, T.rebuild_id(F.lit("2026-06-22 09:18:26").cast("timestamp")))[0] == "20260622T091826Z_1d68fd9b"
 
 
@@ -104,3 +105,21 @@ def test_rebuild(spark, tmp_path):
     assert n == points.count() and points.filter("source_path = 'a/guide.md'").count() == 0  # copy.md comes first
     sinks.upsert_index(points.limit(1), index)
     assert sinks.read_index(spark, index).count() == n
+
+
+def test_queries_come_in_blocks(spark):
+    points = spark.createDataFrame([(i, [float(i % 7), float(i % 5) + 1]) for i in range(40)], "point_id long, embedding array<float>")
+    asked = points.select(F.col("point_id").alias("query_id"), F.col("embedding").alias("vector"))
+    blocks = retrieval.query_blocks(asked, 10)
+    assert len(blocks) == 8 and sorted(r.query_id for b in blocks for r in b.collect()) == list(range(40))
+    assert len(retrieval.query_blocks(asked, 40)) == 1
+
+
+def test_phrases_in_marked_tokens(spark):
+    """The score of phrases is that of looking for them in the whole text."""
+    texts = ["run app/main.py --fast now", "xapp/main.pyx", "a--fast", "app / main.py", "nothing", ""]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "point_id long, text string")
+    asked = spark.createDataFrame([(0, "app/main.py --fast --fast")], "query_id long, query string")
+    got = {r.point_id: r.score for r in retrieval.lexical_search(chunks, asked, 10).collect()}
+    alone = {0: 1.0, 1: 0.75, 2: 0.85}  # a path: 0.65 + 0.10; a flag given twice: 0.65 + 0.20
+    assert got == alone
