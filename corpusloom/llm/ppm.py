@@ -6,16 +6,18 @@ the symbols of the longer context are excluded from the shorter one. Below order
 are equally likely. Byte 0xFF, which UTF-8 never holds, ends a text and fills the context at its
 start, so that the probabilities of all texts sum to 1.
 
-The trie must fit every worker. So an edge stays only if it holds at least one in ``SHARE`` of the
-training bytes, which at any corpus size bounds each order to ``SHARE`` edges; what the other edges
-count is not dropped but goes, twice over, to the escape weight of their context.
+The trie is whole at every size: no edge is left out. It is dealt out by the last ``LOW`` + 1 bytes of
+the context, so that a context and its suffixes down to that length lie together; the edges of shorter
+contexts, 256 ** (LOW + 1) at most whatever the input, go to every worker. A text's score is a sum over
+its edges. So the edges of the texts, each with the texts it occurs in, are sent to the range of the
+trie that holds them, and each range returns its part of the sum of every text.
 
 Because a symbol that follows a context also follows its suffixes, the excluded symbols depend on
 the context alone. All escapes and exclusions are thus worked out per trie node, once, and scoring
-is a few hash look-ups per byte, vectorised over a batch of texts.
+is a few hash look-ups per distinct edge of a batch of texts.
 
 The base score is a unigram model of words. Words that hold at least one in ``SHARE`` of the tokens
-go to the workers with the trie; the others are counted by a join.
+go to the workers; the others are counted by a join.
 
 Defined results: a null text is empty; a repeated row is scored by itself and, if it is a training
 row, learned as often as it is given; without training rows each byte has probability 1/256."""
@@ -27,6 +29,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +38,18 @@ from corpusloom.llm.store import materialize, tidy
 ORDER = 5
 SHARE = 1 << 20
 END = 0xFF
-#: Buffered edges before they are summed, and the ranges of keys that are counted apart.
-BUFFER, RANGES = 3_000_000, 48
+#: Contexts up to this length are on every worker.
+LOW = 2
+#: Buffered edges before they are summed.
+BUFFER = 3_000_000
+#: Buckets that contexts are hashed to; ranges of the trie are of so many edges, and so many ranges at least.
+BUCKETS, RANGE_EDGES, RANGES = 4096, 1_500_000, 24
+#: Groups of buckets in which edges are counted.
+COUNTED = 64
+#: Bytes and texts whose edges are sent together; a text's number has 16 bits beside the 48 of an edge.
+BATCH_BYTES, BATCH_TEXTS = 6_000_000, 1 << 16
+#: Training bytes to a range from which its texts are dealt out to several tasks, each with the range's edges.
+TASK_BYTES = 64_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -91,15 +104,33 @@ def lowered(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
+def _bucket(keys: np.ndarray) -> np.ndarray:
+    """The bucket of an edge of more than ``LOW`` bytes of context, by the last LOW + 1 of them."""
+    return ((((keys >> np.uint64(8)) & np.uint64((1 << (8 * (LOW + 1))) - 1)) * _MIX) >> np.uint64(40)) % np.uint64(BUCKETS)
+
+
+def _dealt(place: np.ndarray):
+    """(place, the indices that belong there, in order), for each place that has some."""
+    by = np.argsort(place.astype(np.uint16), kind="stable")
+    own = place[by]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, int)
+    return [(int(own[i]), part) for i, part in zip(first, np.split(by, first[1:]), strict=False)]
+
+
+def _masked(keys: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of a lower order: every place in a text has an edge of each."""
+    return _summed(keys & np.uint64((1 << (8 * (order + 1))) - 1), counts)
+
+
 _COUNTS = "kind int, place int, word binary, n long, keys binary, counts binary"
 _COUNTS_ARROW = pa.schema([("kind", pa.int32()), ("place", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
 def _count_texts(batches):
     """Per task: the count of each word (kind 0; the end of a text is the empty word), and sorted
-    edges of each order in ranges of their contexts (kind order + 1)."""
+    edges of order LOW (kind LOW + 1) and, by groups of buckets, of ORDER (kind ORDER + 1)."""
     words: Counter = Counter()
-    edges, total = _Sum(), 0
+    edges = _Sum()
 
     def word_rows():
         items = list(words.items())
@@ -118,20 +149,15 @@ def _count_texts(batches):
             if len(words) > 400_000:
                 yield from word_rows()
             keys, _ = contexts(texts)
-            total += len(keys)
             keys.sort()  # far faster than sorting keys with their counts
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             edges.add(keys[first], np.diff(np.append(first, len(keys))))
     yield from word_rows()
     keys, counts = edges.settle()
-    for order in range(ORDER, -1, -1):
-        if order < ORDER:
-            keys, counts = _summed(keys & np.uint64((1 << (8 * (order + 1))) - 1), counts)
-        place = (((keys >> np.uint64(8)) * _MIX) >> np.uint64(40)) % np.uint64(RANGES if order > 2 else 1)
-        by = np.argsort(place, kind="stable")
-        for p, own in enumerate(np.split(by, np.searchsorted(place[by], np.arange(1, RANGES if order > 2 else 1)))):
-            if len(own):
-                yield pa.RecordBatch.from_pylist([{"kind": order + 1, "place": p, "word": None, "n": int(counts[own].sum()), "keys": _packed(keys[own]), "counts": _packed(counts[own].astype(np.uint64))}], schema=_COUNTS_ARROW)
+    low = _masked(keys, counts, LOW)
+    for kind, (keys, counts), place in ((LOW + 1, low, np.zeros(len(low[0]), int)), (ORDER + 1, (keys, counts), _bucket(keys) % np.uint64(COUNTED))):
+        for p, own in _dealt(place):
+            yield pa.RecordBatch.from_pylist([{"kind": kind, "place": p, "word": None, "n": int(counts[own].sum()), "keys": _packed(keys[own]), "counts": _packed(counts[own].astype(np.uint64))}], schema=_COUNTS_ARROW)
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -148,36 +174,27 @@ def _unpacked(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-_EDGES = "kind int, key long, n long, of long"
-
+_EDGES = "kind int, place int, n long, keys binary, counts binary"
 
-def _sum_edges(least: int):
-    """Edges of each (order, range) summed; those of at least ``least`` with their context's count."""
 
-    def run(batches):
-        here, own = None, _Sum()
+def _sum_edges(batches):
+    """Edges of each (order, group) summed, by buckets; n is their number."""
+    here, own = None, _Sum()
 
-        def rows():
-            keys, counts = own.settle()
-            if not len(keys):
-                return
-            context = keys >> np.uint64(8)
-            first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-            of = np.repeat(np.add.reduceat(counts, first), np.diff(np.append(first, len(keys))))
-            stay = counts >= least
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(stay.sum(), here[0]), pa.int32()), pa.array(keys[stay].view(np.int64)), pa.array(counts[stay]), pa.array(of[stay])], names=["kind", "key", "n", "of"])
+    def rows():
+        keys, counts = own.settle()
+        for p, part in _dealt(_bucket(keys) if here[0] > LOW + 1 else np.zeros(len(keys), int)):
+            yield pa.RecordBatch.from_pylist([{"kind": here[0], "place": p, "n": len(part), "keys": _packed(keys[part]), "counts": _packed(counts[part].astype(np.uint64))}], schema=pa.schema([("kind", pa.int32()), ("place", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
-        for batch in batches:
-            for kind, place, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if (kind, place) != here:
-                    if here:
-                        yield from rows()
-                    here, own = (kind, place), _Sum()
-                own.add(_unpacked(keys), _unpacked(counts).astype(np.int64))
-        if here:
-            yield from rows()
-
-    return run
+    for batch in batches:
+        for kind, place, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if (kind, place) != here:
+                if here:
+                    yield from rows()
+                here, own = (kind, place), _Sum()
+            own.add(_unpacked(keys), _unpacked(counts).astype(np.int64))
+    if here:
+        yield from rows()
 
 
 class _Hash:
@@ -291,59 +308,200 @@ class Model:
         return lp
 
 
-def train(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, int]:
-    """(word counts, edges of the trie, least count of an edge) of all rows of ``docs``."""
+def train(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(word counts, edges of orders LOW and ORDER in packed buckets) of all rows of ``docs``."""
     counted = materialize(docs.select(F.col(text)).mapInArrow(tidy(_count_texts), _COUNTS), "ppm-counts")
     words = counted.filter("kind = 0").groupBy("word").agg(F.sum("n").alias("c"))
-    symbols = counted.filter("kind = 1").agg(F.sum("n")).first()[0] or 0
-    least = max(1, math.ceil(symbols / SHARE))
     blobs = counted.filter("kind > 0").select("kind", "place", "keys", "counts")
-    edges = blobs.repartition(RANGES * 2, "kind", "place").sortWithinPartitions("kind", "place").mapInArrow(tidy(_sum_edges(least)), _EDGES)
-    return materialize(words, "ppm-words"), edges, least
+    edges = blobs.repartition(COUNTED, "kind", "place").sortWithinPartitions("kind", "place").mapInArrow(tidy(_sum_edges), _EDGES)
+    return materialize(words, "ppm-words"), materialize(edges, "ppm-edges")
+
+
+def _model(low: tuple[np.ndarray, np.ndarray], high: tuple[np.ndarray, np.ndarray]) -> Model:
+    """The model of a range: the edges of order LOW of the whole trie, and those of ORDER of the range."""
+    parts = [(k, *_masked(*(low if k <= LOW else high), k)) for k in range(ORDER + 1)]
+    ofs = []
+    for _, keys, counts in parts:
+        context = keys >> np.uint64(8)
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.zeros(0, int)
+        ofs.append(np.repeat(np.add.reduceat(counts, first), np.diff(np.append(first, len(keys)))) if len(keys) else counts)
+    return Model(np.concatenate([np.full(len(keys), k + 1, np.int32) for k, keys, _ in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]), np.concatenate(ofs))
+
+
+def _cut(texts: list[bytes]):
+    """(from, to) of the texts that are sent together."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if i > start and (size + len(t) > BATCH_BYTES or i - start == BATCH_TEXTS):
+            yield start, i
+            start, size = i, 0
+        size += len(t) + 1
+    if texts:
+        yield start, len(texts)
+
+
+_ROW = "row struct<doc_id:long,held_out:boolean>, n_tokens long, n_known long, sum double, tail array<struct<w:binary,n:long>>"
+#: part 0: the trie's edges of a range; 1: edges of a batch of texts, how often each occurs, and in which texts
+#: (later ``texts`` is the range's part of each text's score); 2: the batch's rows, in ``texts``.
+_SENT = "place int, part int, batch long, keys binary, counts binary, texts binary"
+_TAIL_ARROW = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))
+_ROW_ARROW = pa.struct([("row", pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_())])), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("sum", pa.float64()), ("tail", _TAIL_ARROW)])
+_SENT_ARROW = pa.schema([("place", pa.int32()), ("part", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("texts", pa.binary())])
+_SCORED = f"{_ROW}, score double"
+
+
+def _sent(**values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{f.name: values.get(f.name) for f in _SENT_ARROW}], schema=_SENT_ARROW)
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
+
+def _released(b: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _packed_texts(number: np.ndarray, n: np.ndarray) -> bytes:
+    """The numbers of the texts of each edge, ascending: the first, then steps, those over 254 apart."""
+    starts = np.cumsum(n) - n
+    steps = np.diff(number, prepend=np.uint16(0))
+    later = np.ones(len(steps), bool)
+    later[starts] = False
+    more = steps[later]
+    parts = [_squeezed(number[starts]), _squeezed(np.minimum(more, 255).astype(np.uint8)), _squeezed(more[more >= 255])]
+    return np.array([len(x) for x in parts], np.int64).tobytes() + b"".join(parts)
+
+
+def _unpacked_texts(b: bytes, n: np.ndarray) -> np.ndarray:
+    ends = 24 + np.cumsum(np.frombuffer(b[:24], np.int64))
+    more = _released(b[ends[0] : ends[1]], np.uint8).astype(np.int64)
+    more[more == 255] = _released(b[ends[1] :], np.uint16)
+    starts = np.cumsum(n) - n
+    steps = np.empty(n.sum(), np.int64)
+    later = np.ones(len(steps), bool)
+    later[starts] = False
+    steps[starts], steps[later] = _released(b[24 : ends[0]], np.uint16), more
+    whole = np.cumsum(steps)
+    return whole - np.repeat(whole[starts] - steps[starts], n)
 
 
-_SCORED = "row struct<doc_id:long,held_out:boolean>, n_tokens long, n_known long, sum double, tail array<struct<w:binary,n:long>>, score double"
+def _packed_rows(rows: list[dict]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema(list(_ROW_ARROW)), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(_ROW_ARROW))))
+    return sink.getvalue().to_pybytes()
+
+
+def _mixed(batch: int) -> int:
+    return (batch >> 33) + batch % (1 << 33)
+
+
+def _send(texts: list[bytes], batch: int, ranges: int, shares: int):
+    """The edges of a batch of texts, by ranges."""
+    keys, lengths = contexts(texts)
+    both = (keys << np.uint64(16)) | np.repeat(np.arange(len(texts), dtype=np.uint64), lengths)
+    both.sort()
+    keys, number = both >> np.uint64(16), both.astype(np.uint16)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    keys, times = keys[first], np.diff(np.append(first, len(keys)))
+    for p, own in _dealt(_bucket(keys) % np.uint64(ranges)):
+        n = times[own]
+        at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield _sent(place=p * shares + _mixed(batch) % shares, part=1, batch=batch, keys=_packed(keys[own]), counts=_squeezed(n.astype(np.uint32)), texts=_packed_texts(number[at], n))
+
+
+def _score_edges(low):
+    """Of each range, the trie's edges come first, then those of the batches."""
+
+    def run(batches):
+        here, own, model = None, _Sum(), None
+        for batch in batches:
+            place, part = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i in range(batch.num_rows):
+                if part[i] == 2:
+                    yield batch.slice(i, 1)
+                    continue
+                if place[i] != here:
+                    here, own, model = place[i], _Sum(), None
+                keys, counts = _unpacked(batch.column(3)[i].as_py()), batch.column(4)[i].as_py()
+                if part[i] == 0:
+                    own.add(keys, _unpacked(counts).astype(np.int64))
+                    continue
+                if model is None:
+                    model = _model(low.value, own.settle())
+                counts = _released(counts, np.uint32).astype(np.int64)
+                number = _unpacked_texts(batch.column(5)[i].as_py(), counts)
+                sums = np.bincount(number, np.repeat(model.score(keys), counts))
+                yield _sent(place=here, part=1, batch=batch.column(2)[i].as_py(), texts=sums.tobytes())
+
+    return run
+
+
+def _add_up(batches):
+    """Of each batch of texts, the ranges' parts come first, then its rows."""
+    here, sums = None, np.zeros(0)
+    for batch in batches:
+        ids, part = batch.column(2).to_pylist(), batch.column(1).to_pylist()
+        for i in range(batch.num_rows):
+            if ids[i] != here:
+                here, sums = ids[i], np.zeros(0)
+            if part[i] == 1:
+                more = np.frombuffer(batch.column(5)[i].as_py())
+                if len(more) > len(sums):
+                    sums = np.append(sums, np.zeros(len(more) - len(sums)))
+                sums[: len(more)] += more
+                continue
+            rows = pa.ipc.open_stream(batch.column(5)[i].as_py()).read_next_batch()
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(sums)], names=["row", "n_tokens", "n_known", "sum", "tail", "score"])
 
 
 def score_documents(docs: DataFrame, learn) -> DataFrame:
     """``docs``: doc_id, text. ``learn``: a boolean Column, the rows to learn from. One row per row of
     ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    words, edges, _ = train(docs.filter(learn))
+    words, edges = train(docs.filter(learn))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    got = edges.toArrow()
-    arrays = [got["kind"].to_numpy(), got["key"].to_numpy().view(np.uint64), got["n"].to_numpy(), got["of"].to_numpy()]
+    ranges = min(BUCKETS, max(RANGES, math.ceil((edges.filter(F.col("kind") > LOW + 1).agg(F.sum("n")).first()[0] or 0) / RANGE_EDGES)))
+    got = edges.filter(F.col("kind") == LOW + 1).select("keys", "counts").toArrow().to_pylist()  # one row at most
+    low = spark.sparkContext.broadcast(_summed(np.concatenate([np.zeros(0, np.uint64), *[_unpacked(r["keys"]) for r in got]]), np.concatenate([np.zeros(0, np.int64), *[_unpacked(r["counts"]).astype(np.int64) for r in got]])))
+    shares = max(1, math.ceil(int(low.value[1].sum()) / (ranges * TASK_BYTES)))
     heavy_least = max(1, math.ceil(total / SHARE))
     heavy = words.filter(F.col("c") >= heavy_least).toArrow()  # SHARE rows at most
     counts = dict(zip(heavy["word"].to_pylist(), heavy["c"].to_pylist(), strict=True))
-    shared = spark.sparkContext.broadcast((arrays, counts))
+    shared = spark.sparkContext.broadcast(counts)
     per = math.log10(total + 0.5 * (distinct + 1))
 
-    def run(batches):
-        arrays, counts = shared.value
-        model = _model(arrays)
-        tails = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))
-        rows = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_())])
-        logs = {w: math.log10(c + 0.5) - per for w, c in counts.items()}
+    def send(batches):
+        logs = {w: math.log10(c + 0.5) - per for w, c in shared.value.items()}
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = [lowered(t) for t in part.column(2).to_pylist()]
-                keys, lengths = contexts(texts)
-                scores = np.add.reduceat(model.score(keys), np.cumsum(lengths) - lengths)
-                out = []
-                for t in texts:
+            all_texts = [lowered(t) for t in batch.column(2).to_pylist()]
+            ids, held = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for start, end in _cut(all_texts):
+                texts, rows = all_texts[start:end], []
+                for t, doc_id, held_out in zip(texts, ids[start:end], held[start:end], strict=True):
                     own = t.split()
                     own.append(b"")
-                    got = list(map(logs.get, own))
-                    tail = Counter(w for w, x in zip(own, got, strict=True) if x is None)
-                    out.append((len(own), len(own) - sum(tail.values()), math.fsum(x for x in got if x is not None), [{"w": w, "n": n} for w, n in tail.items()]))
-                cols = list(zip(*out, strict=True))
-                ids = pa.array([{"doc_id": a, "held_out": b} for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)], rows)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], tails), pa.array(scores)], names=["row", "n_tokens", "n_known", "sum", "tail", "score"])
+                    known = list(map(logs.get, own))
+                    tail = Counter(w for w, x in zip(own, known, strict=True) if x is None)
+                    rows.append({"row": {"doc_id": doc_id, "held_out": held_out}, "n_tokens": len(own), "n_known": len(own) - sum(tail.values()), "sum": math.fsum(x for x in known if x is not None), "tail": [{"w": w, "n": n} for w, n in tail.items()]})
+                yield from _send(texts, number, ranges, shares)
+                yield _sent(place=-1 - _mixed(number) % ranges, part=2, batch=number, texts=_packed_rows(rows))
+                number += 1
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(~learn, F.lit(True)).alias("held_out"), F.col("text"))
-    scored = materialize(source.mapInArrow(tidy(run), _SCORED).withColumn("id", F.monotonically_increasing_id()), "ppm-scores")
+    nil = F.lit(None)
+    share = F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")
+    trie = edges.filter(F.col("kind") > LOW + 1).select("*", share).select((F.col("place") % ranges * shares + F.col("share")).alias("place"), F.lit(0).alias("part"), nil.cast("long").alias("batch"), "keys", "counts", nil.cast("binary").alias("texts"))
+    sent = trie.unionByName(source.mapInArrow(tidy(send), _SENT)).repartition(ranges * shares * 2, "place").sortWithinPartitions("place", "part")
+    parts = sent.mapInArrow(tidy(_score_edges(low)), _SENT).repartition(ranges * shares * 2, "batch").sortWithinPartitions("batch", "part")
+    scored = materialize(parts.mapInArrow(tidy(_add_up), _SCORED).withColumn("id", F.monotonically_increasing_id()), "ppm-scores")
     rare = words.filter(F.col("c") < heavy_least)
     tail = (
         scored.select("id", F.explode("tail").alias("t")).select("id", F.col("t.w").alias("word"), F.col("t.n").alias("n"))
@@ -355,14 +513,3 @@ def score_documents(docs: DataFrame, learn) -> DataFrame:
         "row.doc_id", "row.held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
     )
-
-
-_models: dict[int, tuple] = {}
-
-
-def _model(arrays: list) -> Model:
-    """Built once per worker and broadcast value (which is kept, so that its id stays its own)."""
-    if id(arrays) not in _models:
-        _models.clear()
-        _models[id(arrays)] = (arrays, Model(*arrays))
-    return _models[id(arrays)][1]

@@ -362,6 +362,28 @@ def test_op10(spark, sf):
     assert math.isclose((10 ** model.score(keys)).sum(), 1, rel_tol=1e-4)
 
 
+def test_ppm_keeps_every_edge(spark, monkeypatch):
+    """Over more than 2 ** 20 training bytes too, and over several ranges of the trie."""
+    monkeypatch.setattr(ppm, "RANGE_EDGES", 40_000, raising=False)
+    monkeypatch.setattr(ppm, "TASK_BYTES", 40_000, raising=False)
+    own = random.Random(3)
+    texts = [" ".join("".join(own.choice("abcdefghij") for _ in range(5)) for _ in range(1500)) for _ in range(260)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    train = texts[:250]
+    assert sum(len(t) for t in train) > 2 * ppm.SHARE
+    keys, _ = ppm.contexts([t.encode() for t in train])
+    edges = []
+    for k in range(ppm.ORDER + 1):
+        edge, n = np.unique(keys & np.uint64((1 << (8 * (k + 1))) - 1), return_counts=True)
+        _, inverse = np.unique(edge >> np.uint64(8), return_inverse=True)
+        edges.append((np.full(len(edge), k + 1, np.int32), edge, n, np.bincount(inverse, n)[inverse].astype(np.int64)))
+    model = ppm.Model(*(np.concatenate(x) for x in zip(*edges, strict=True)))
+    got = {r.doc_id: r.score for r in ppm.score_documents(docs, F.col("doc_id") < 250).filter("doc_id >= 240").collect()}
+    assert set(got) == set(range(240, 260))
+    for i, x in got.items():
+        assert math.isclose(x, model.score(ppm.contexts([texts[i].encode()])[0]).sum(), rel_tol=1e-6), i
+
+
 def test_hit_words(spark):
     hits = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(n).alias("size")) for a, n in ((0, 10), (2, 3), (5, 10), (30, 2))])
     assert spark.range(1).select(decontamination.hit_words(hits)).first()[0] == 17
