@@ -1,7 +1,7 @@
 """Personal data, and what gives it away. DataFrame functions only.
 
 Entities are e-mail and IP addresses, card and phone numbers, by patterns with tests. The corpus then
-tells which terms reveal an entity: for an entity c and a term t that stands near it, the share of
+tells which terms reveal an entity: for an entity c and a term t of the same document, the share of
 c's information that t discloses is PMI(c; t) / IC(c), with probabilities estimated as shares of
 documents: IC(c) = log(N / n(c)), PMI = log(N n(c,t) / (n(c) n(t))). Terms whose share reaches
 ``DISCLOSES``, seen together in ``SUPPORT`` documents at least, are personal data too, wherever they
@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from corpusloom.llm.store import materialize
 
 DISCLOSES, SUPPORT = 0.9, 3
-#: Code points on either side of an entity in which terms are candidates.
-NEAR = 64
 BROADCAST_ROWS = 500_000
 
 #: Possessive, and bound to begin where a run begins, so that no input takes quadratic time; they match
@@ -90,20 +88,28 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def revealing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(kind, value, term, share) of the terms that disclose an entity. ``found``: id, entities, near (an array
-    of terms for each entity)."""
+    """(kind, value, term, share) of the terms that disclose an entity. ``found``: id, entities, words (the
+    distinct terms outside its mail addresses, where it has entities)."""
     total = found.count()
-    each = found.select("id", F.explode(F.arrays_zip("entities", "near")).alias("x")).select("id", "x.entities.kind", "x.entities.value", "x.near")
-    of_entity = each.select("id", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_c")).filter(F.col("n_c") >= SUPPORT)
-    together = each.select("id", "kind", "value", F.explode("near").alias("term")).distinct().groupBy("kind", "value", "term").agg(F.count("*").alias("n_ct")).filter(F.col("n_ct") >= SUPPORT)
-    # a term's documents near entities are some of all its documents, so they bound the share from above
-    around = each.select("id", F.explode("near").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("least_t"))
+
+    def words(keep) -> Column:
+        """The terms outside mail addresses (other entities hold no letters), and those in the ones to keep."""
+        mail = F.filter("entities", lambda s: (s["kind"] == KINDS.index("email")) & keep(s["value"]))
+        return F.array_union("words", F.flatten(F.transform(mail, lambda s: F.regexp_extract_all(s["value"], F.lit(_TERM), F.lit(0)))))
+
+    each = found.select("id", "words", "entities", F.explode(F.array_distinct(F.transform("entities", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))).alias("x")).select("id", "x.kind", "x.value", "words", "entities")
+    of_entity = each.groupBy("kind", "value").agg(F.count("*").alias("n_c")).filter(F.col("n_c") >= SUPPORT)
+    of_entity = materialize(of_entity, "pii-counted")
+    each = each.join(_small(of_entity), ["kind", "value"])
+    together = each.select("kind", "value", "n_c", F.explode(words(lambda v: v != F.col("value"))).alias("term")).groupBy("kind", "value", "term").agg(F.first("n_c").alias("n_c"), F.count("*").alias("n_ct")).filter(F.col("n_ct") >= SUPPORT)
+    # a term's documents with such entities are some of all its documents, so they bound the share from above
+    around = each.dropDuplicates(["id"]).select(F.explode(words(lambda v: F.lit(True))).alias("term")).groupBy("term").agg(F.count("*").alias("least_t"))
     bits = F.log(F.lit(float(max(total, 1))) / F.col("n_c"))
 
     def pmi(n_t):
         return F.log(F.col("n_ct") * float(total) / (F.col("n_c").cast("double") * n_t))
 
-    together = together.join(of_entity, ["kind", "value"]).join(around, "term").filter((bits > 0) & (pmi(F.col("least_t")) >= DISCLOSES * bits - 1e-9))
+    together = together.join(around, "term").filter((bits > 0) & (pmi(F.col("least_t")) >= DISCLOSES * bits - 1e-9))
     together = materialize(together.drop("least_t"), "pii-together")
     terms = _small(together.select("term").distinct())
     of_term = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_TERM), F.lit(0)))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n_t"))
@@ -116,12 +122,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id"), F.col("text"))
     text = F.coalesce("text", F.lit(""))
 
-    def near(s):
-        before = F.greatest(s["start"] - NEAR, F.lit(0))
-        around = F.concat(F.substring(text, before + 1, s["start"] - before), F.lit(" "), F.substring(text, s["end"] + 1, F.lit(NEAR)))
-        return F.array_distinct(F.regexp_extract_all(around, F.lit(_TERM), F.lit(0)))
-
-    found = find_entities(docs).select("doc_id", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("id"), "entities", F.transform("entities", near).alias("near"))
+    own = F.array_distinct(F.regexp_extract_all(F.regexp_replace(text, PATTERNS["email"], " "), F.lit(_TERM), F.lit(0)))
+    found = find_entities(docs).select("doc_id", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("id"), "entities", F.when(F.size("entities") > 0, own).alias("words"))
     found = materialize(found, "pii-entities")
     named = materialize(revealing_terms(docs, found.filter(F.size("entities") > 0).unionByName(found.filter(F.size("entities") == 0))), "pii-terms")
     told = found.select("id", "doc_id", "th", F.explode("entities").alias("e")).join(named, (F.col("e.kind") == F.col("kind")) & (F.col("e.value") == F.col("value")))

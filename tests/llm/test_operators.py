@@ -314,6 +314,13 @@ def test_terms_that_reveal(spark):
     assert not any("Wintermute" in r.c or "w.m@x.org" in r.c for r in clean)
 
 
+def test_terms_far_from_the_entity_reveal_it(spark):
+    rows = [(i, f"Wintermute {text(60)} w.m@x.org") for i in range(6)] + [(10 + i, text(80)) for i in range(60)]
+    found = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: [s.value for s in r.terms] for r in found.filter(F.size("terms") > 0).collect()}
+    assert got == {i: ["Wintermute"] for i in range(6)}
+
+
 def test_op10(spark, sf):
     import zlib
 
