@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
 
-WINDOW = 200_000
-
 
 def hits(x: Column, table: dict[str, str]) -> Column:
     """Sorted names of the patterns found."""
     return F.array_sort(F.array_compact(F.array(*[F.when(x.rlike(p), F.lit(n)) for n, p in table.items()])))
 
 
-def scan(files: DataFrame, production: bool, allow_secrets: bool = False, stale_days: int | None = None, now: Column | None = None) -> DataFrame:
+def scan(files: DataFrame, production: bool, allow_secrets: bool = False, stale_days: int | None = None, now: Column | None = None, window: int | None = None) -> DataFrame:
     """``files``: path, text (null where content is not scanned), and modified (timestamp) if ages count.
+    ``window``: how many characters of a text are searched; all if not given.
     Adds secret_hits, synthetic_hits, external_book_hits, stale_hits, status, reasons, warnings."""
     name = F.translate("path", "_-", "  ")
-    seen = F.concat(name, F.lit("\n"), F.substring(F.coalesce("text", F.lit("")), 1, WINDOW))
+    text = F.coalesce("text", F.lit(""))
+    seen = F.concat(name, F.lit("\n"), text if window is None else F.substring(text, 1, window))
     stale = [F.when(F.col("path").rlike(rules.STALE_PATH), F.lit("stale_path_keyword")), F.when(F.coalesce("text", F.lit("")).rlike(rules.STALE_CONTENT), F.lit("stale_content_keyword"))]
     if stale_days is not None:
         stale.insert(0, F.when(F.unix_timestamp(now if now is not None else F.current_timestamp()) - F.unix_timestamp("modified") > stale_days * 86400, F.lit(f"older_than_{stale_days}_days")))

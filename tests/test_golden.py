@@ -123,3 +123,9 @@ def test_phrases_in_marked_tokens(spark):
     got = {r.point_id: r.score for r in retrieval.lexical_search(chunks, asked, 10).collect()}
     alone = {0: 1.0, 1: 0.75, 2: 0.85}  # a path: 0.65 + 0.10; a flag given twice: 0.65 + 0.20
     assert got == alone
+
+
+def test_safety_scan_reads_whole_texts(spark):
+    files = spark.createDataFrame([("a/long.txt", "x " * 150_000 + "sk-abcdefghijklmnop1234")], "path string, text string")
+    assert governance.scan(files, True).first().status == "rejected"
+    assert governance.scan(files, True, window=200_000).first().status == "accepted"
