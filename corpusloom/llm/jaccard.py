@@ -13,23 +13,30 @@ prefix join, and the components that the links make.
    groups that are not of one component are filtered by size and by the number of prefix shingles
    that they share, expanded to members, and the members of different components verified. So every
    link either is verified or lies inside one component already.
-5. Verification is exact, on the sets themselves; a member with many partners is spread over tasks.
+5. Verification compares words: shingles that two texts share by name are compared word by word, by
+   numbers that one task gives to equal words only. A member with many partners is spread over tasks.
 
-Set names are 64-bit hashes. Defined results: a null or empty text has the empty set and no link; fewer words
-than a shingle make one shingle; repeated rows are copies of each other; the component is named by its smallest
-doc_id; rows with a null doc_id are linked with nothing."""
+A class is named by a 128-bit BLAKE2b digest of its set's 128-bit shingle names; prefixes hold the first 64 bits of
+those. Should two shingles of one text agree in these, the text's set is told apart by 128 bits, but its prefix
+counts them as one where pairs are filtered.
+
+Defined results: a null or empty text has the empty set and no link; fewer words than a shingle make one shingle;
+repeated rows are copies of each other; the component is named by its smallest doc_id; rows with a null doc_id are
+linked with nothing; a doc_id that stands on rows of different texts is judged row by row, so that a text is
+linked by its own words alone."""
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
-from corpusloom.llm.store import bit_filter, materialize, may_hold, tidy
-from corpusloom.llm.words import mix, shingle_sets
+from corpusloom.llm.store import bit_filter, join_hot, materialize, may_hold, tidy
+from corpusloom.llm.words import Lexicon, Shingles, mix, overlap, shingles, split_words
 
 PERCENT = 80
 SHINGLE = 5
@@ -53,12 +60,17 @@ def prefix_length(n, percent: int = PERCENT):
 _SKETCH_AT = np.uint64(64 - SKETCH)
 
 
-def _class_name(own: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) if len(own) else 0
+def _sets(texts, rows: int = 512):
+    """The shingle set of each text of an Arrow column, in order; words are numbered anew where they have become many."""
+    lexicon = Lexicon()
+    for at in range(0, len(texts), rows):
+        yield from shingles([split_words(t, lower=True) for t in texts.slice(at, rows).to_pylist()], lexicon, SHINGLE)
+        if lexicon.full():
+            lexicon = Lexicon()
 
 
-_FIRST = "kind int, id long, n long, class long, slots binary, counts binary"
-_FIRST_ARROW = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("slots", pa.binary()), ("counts", pa.binary())])
+_FIRST = "kind int, id long, n long, class binary, slots binary, counts binary"
+_FIRST_ARROW = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("class", pa.binary()), ("slots", pa.binary()), ("counts", pa.binary())])
 
 
 def _sets_and_sketch(batches):
@@ -67,6 +79,7 @@ def _sets_and_sketch(batches):
     that occur once would drown the counters, and need none."""
     sketch = np.zeros(1 << SKETCH, np.uint32)
     chunk: list[np.ndarray] = []
+    held = 0
 
     def count():
         names = np.sort(np.concatenate(chunk))
@@ -76,15 +89,18 @@ def _sets_and_sketch(batches):
         chunk.clear()
 
     for batch in batches:
-        for start in range(0, batch.num_rows, 512):
-            part = batch.slice(start, 512)
-            sets = shingle_sets(part.column(1).to_pylist(), SHINGLE)
-            chunk += sets
-            if sum(map(len, chunk)) >= CHUNK:
+        sizes, names = [], []
+        for own in _sets(batch.column(1)):
+            sizes.append(len(own))
+            names.append(own.name())
+            chunk.append(own.first)
+            held += len(own)
+            if held >= CHUNK:
                 count()
-            m = len(sets)
-            nil = pa.nulls(m, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_name(s) for s in sets], pa.int64()), nil, nil], schema=_FIRST_ARROW)
+                held = 0
+        m = batch.num_rows
+        nil = pa.nulls(m, pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), nil, nil], schema=_FIRST_ARROW)
     if chunk:
         count()
     size = 1 << (SKETCH - SKETCH_RANGES)
@@ -92,7 +108,7 @@ def _sets_and_sketch(batches):
         own = sketch[r * size : (r + 1) * size]
         at = np.flatnonzero(own)
         if len(at):
-            yield pa.RecordBatch.from_pylist([{"kind": 1, "id": r, "n": 0, "class": 0, "slots": at.astype(np.uint32).tobytes(), "counts": own[at].astype(np.uint32).tobytes()}], schema=_FIRST_ARROW)
+            yield pa.RecordBatch.from_pylist([{"kind": 1, "id": r, "n": 0, "class": None, "slots": at.astype(np.uint32).tobytes(), "counts": own[at].astype(np.uint32).tobytes()}], schema=_FIRST_ARROW)
 
 
 def _add_sketches(batches):
@@ -116,32 +132,37 @@ def _sketch(first: DataFrame) -> np.ndarray:
     return out
 
 
-def ordered_prefix(own: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+def ordered_prefix(own: Shingles, levels: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The first shingles of a set in the common order."""
-    if not len(own):
-        return own
-    rank = levels[(own >> _SKETCH_AT).astype(np.int64)]
-    return own[np.argsort(rank, kind="stable")[: prefix_length(len(own), percent)]]  # own ascends
+    rank = levels[(own.first >> _SKETCH_AT).astype(np.int64)]
+    return own.first[np.argsort(rank, kind="stable")[: prefix_length(len(own), percent)]]  # first ascends
+
+
+_PREFIXES = "class binary, n long, grp binary, g0 long, g1 long, prefix array<long>"
 
 
 def _prefixes(shared, percent: int):
-    """A row per class of a batch: its name, size, group (of the same size and prefix) and prefix."""
+    """A row per class of a batch: its name, size, group (of the same size and prefix; also as two numbers) and prefix."""
 
     def run(batches):
         levels = shared.value
         for batch in batches:
-            seen: dict[int, None] = {}
+            seen: set[bytes] = set()
             rows = []
-            for own in (s for at in range(0, batch.num_rows, 512) for s in shingle_sets(batch.column(0).slice(at, 512).to_pylist(), SHINGLE)):
-                name = _class_name(own)
-                if len(own) and name not in seen:
-                    seen[name] = None
-                    rows.append((name, len(own), ordered_prefix(own, levels, percent).view(np.int64)))
+            for own in _sets(batch.column(0)):
+                name = own.name()
+                if name and name not in seen:
+                    seen.add(name)
+                    prefix = ordered_prefix(own, levels, percent).view(np.int64)
+                    rows.append((name, len(own), blake2b(prefix.tobytes() + len(own).to_bytes(8, "little"), digest_size=16).digest(), prefix))
             if rows:
-                offsets = np.cumsum([0, *(len(r[2]) for r in rows)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([r[2] for r in rows])))
-                group = [xxhash.xxh3_64_intdigest(r[2].tobytes() + r[1].to_bytes(8, "little")) - (1 << 63) for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(group, pa.int64()), lists], names=["class", "n", "grp", "prefix"])
+                offsets = np.cumsum([0, *(len(r[3]) for r in rows)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([r[3] for r in rows])))
+                halves = np.frombuffer(b"".join(r[2] for r in rows), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), lists],
+                    names=["class", "n", "grp", "g0", "g1", "prefix"],
+                )
 
     return run
 
@@ -182,33 +203,33 @@ def _needed_texts(shared):
     def run(batches):
         words = shared.value
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = np.flatnonzero(may_hold(words, mix(ids.view(np.uint64))))
-            for start in range(0, len(at), 512):
-                own = batch.take(pa.array(at[start : start + 512]))
-                names = [_class_name(s) for s in shingle_sets(own.column(1).to_pylist(), SHINGLE)]
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(names, pa.int64()), own.column(1)], names=["id", "class", "text"])
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)  # never null
+            own = batch.take(pa.array(np.flatnonzero(may_hold(words, mix(ids.view(np.uint64))))))
+            names = [x.name() for x in _sets(own.column(1))]
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(names, pa.binary()), own.column(1)], names=["id", "class", "text"])
 
     return run
 
 
 def _verify(percent: int):
     """Rows of a star (centre, part) come together, the centre's text first; the members that reach the
-    threshold with it come out."""
+    threshold with it come out. One lexicon numbers the words of a star."""
 
     def run(batches):
-        centre, own = None, np.zeros(0, np.uint64)
+        centre, own, lexicon = None, None, Lexicon()
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             out = []
-            sets = shingle_sets(batch.column(3).to_pylist(), SHINGLE)
-            for star, part, member, x in zip(*(batch.column(i).to_pylist() for i in range(3)), sets, strict=True):
+            for star, part, member, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if member is None:
-                    centre, own = (star, part), x
+                    if lexicon.full():
+                        lexicon = Lexicon()
+                    centre, own = (star, part), shingles([split_words(text, lower=True)], lexicon, SHINGLE)[0]
                 elif centre == (star, part):
-                    both = len(np.intersect1d(own, x, assume_unique=True))
+                    x = shingles([split_words(text, lower=True)], lexicon, SHINGLE)[0]
+                    both = overlap(own, x)
                     if 100 * both >= percent * (len(own) + len(x) - both):
                         out.append((star, member))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.binary())], names=["a", "b"])
 
     return run
 
@@ -219,12 +240,12 @@ def _links(docs: DataFrame, members: DataFrame, pairs: DataFrame, percent: int)
     pairs = materialize(pairs.select("a", "b"), "jaccard-pairs")
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
     pairs = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SPREAD)).alias("part"))
-    stars = pairs.select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("class")).distinct().union(pairs.select("a", "part", "b", F.col("b").alias("class")))
+    stars = pairs.select("a", "part", F.lit(None).cast("binary").alias("b"), F.col("a").alias("class")).distinct().union(pairs.select("a", "part", "b", F.col("b").alias("class")))
     stars = materialize(stars.join(members, "class"), "jaccard-stars")
     ids = stars.select("id").distinct()
-    texts = docs.mapInArrow(tidy(_needed_texts(_bits(ids, "id"))), "id long, class long, text string").dropDuplicates(["id", "class"])
+    texts = docs.filter("id is not null").mapInArrow(tidy(_needed_texts(_bits(ids, "id"))), "id long, class binary, text string").dropDuplicates(["id", "class"])
     rows = stars.join(texts, ["id", "class"]).select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return materialize(rows.mapInArrow(tidy(_verify(percent)), "a long, b long"), "jaccard-links")
+    return materialize(rows.mapInArrow(tidy(_verify(percent)), "a binary, b binary"), "jaccard-links")
 
 
 def _group_pairs(groups: DataFrame, listed: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
@@ -264,15 +285,15 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sizes = first.filter("kind = 0").select("id", "n", "class")
     members = sizes.filter("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("id"))
     levels = spark.sparkContext.broadcast(_sketch(first))
-    prefixes = materialize(docs.filter("id is not null").select("text").mapInArrow(tidy(_prefixes(levels, percent)), "class long, n long, grp long, prefix array<long>"), "jaccard-prefixes")
+    prefixes = materialize(docs.filter("id is not null").select("text").mapInArrow(tidy(_prefixes(levels, percent)), _PREFIXES), "jaccard-prefixes")
 
     # groups: classes of the same size and prefix; the smallest class stands for the group
     classes = prefixes.select("grp", "class").distinct()
     heads = prefixes.groupBy("grp").agg(F.min("class").alias("head"), F.first("n").alias("n"))
-    tokens = prefixes.select("grp", F.explode("prefix").alias("token"))
-    span = tokens.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low < high")
+    tokens = prefixes.select("g0", "g1", F.explode("prefix").alias("token"))
+    span = tokens.groupBy("token").agg(*[f(g).alias(f"{n}_{g}") for g in ("g0", "g1") for n, f in (("low", F.min), ("high", F.max))]).filter("low_g0 < high_g0 or low_g1 < high_g1")
     span = materialize(span, "jaccard-tokens")
-    listed = prefixes.select("grp", "n", "prefix").mapInArrow(tidy(_shared_tokens(_bits(span, "token"))), "grp long, n long, token long, at long").distinct()
+    listed = prefixes.select("grp", "n", "prefix").mapInArrow(tidy(_shared_tokens(_bits(span, "token"))), "grp binary, n long, token long, at long").distinct()
     listed = materialize(listed.join(span, "token").select("grp", "n", "token", "at"), "jaccard-lists")
 
     # first: each group's head against that of the likeliest centre it shares a list with, and the members of a
@@ -303,9 +324,10 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     # every class's smallest document, then every document's component
     named = members.join(label, F.col("class") == F.col("node"), "left").select("class", "id", F.coalesce("label", "class").alias("label"))
+    named = materialize(named, "jaccard-named")
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    found = named.join(smallest, "label").select("class", "component_id")
-    out = sizes.join(found, "class", "left")
+    found = materialize(join_hot(named, smallest, "label").select("class", "component_id"), "jaccard-found")
+    out = join_hot(sizes, found, "class", "left")
     alone = F.col("component_id").isNull() | (F.col("n") == 0) | F.col("id").isNull()
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 

@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; one of our own only where none is set."""
+    """The folder that the driver and all executors see. One of our own only where none is set and the
+    session is local, so that one machine is all there is."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -31,6 +34,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it holds more than one in HOT rows; so there are fewer than HOT of them.
+HOT = 1000
+#: Bytes up to which a table is broadcast.
+BROADCAST_BYTES = 64_000_000
+
+
+def table_bytes(df: DataFrame) -> int:
+    """What the rows hold, about: characters of strings, bytes and elements, eight for other values."""
+    sizes = []
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        size = F.octet_length(f.name) if kind in ("string", "binary") else F.octet_length(F.to_json(f.name)) if kind in ("array", "struct", "map") else F.lit(0)
+        sizes.append(F.coalesce(size.cast("long"), F.lit(0)) + 16)
+    return df.agg(F.sum(sum(sizes[1:], sizes[0]))).first()[0] or 0
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The table (already written) with a broadcast hint if it holds few enough bytes."""
+    return F.broadcast(df) if table_bytes(df) <= BROADCAST_BYTES else df
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` (already written) joined with ``right``, which has a row per key at most and small rows. Rows of
+    hot keys are joined by a broadcast of their fewer than ``HOT`` rows, and are not shuffled; the others by a shuffle."""
+    total = left.count()
+    hot = [r[0] for r in left.groupBy(key).count().filter(F.col(key).isNotNull() & (F.col("count") > max(total // HOT, HOT))).select(key).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return left.filter(~is_hot).join(right.filter(~is_hot), key, how).unionByName(left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, how))
+
+
 #: Rows of an Arrow batch: texts are long, and a batch is held on both sides of the pipe.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"

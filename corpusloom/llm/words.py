@@ -1,21 +1,19 @@
-"""Words and their 64-bit names, for the operators that compare texts by words.
+"""Words, their numbers within a task and their 128-bit names, for the operators that compare texts by words.
 
 ``bytes.lower`` changes A-Z alone, and U+0020 and U+0009-000D are bytes of their own in UTF-8, so words
-``[^\\x20\\x09-\\x0D]+`` are found on bytes. A name is a polynomial hash modulo 2**64 of random values of
-the bytes, from prefix sums over a whole batch of texts, so no Python code runs per word."""
+``[^\\x20\\x09-\\x0D]+`` are found on bytes. A name is two 64-bit lanes of the word's BLAKE2b digest; names
+of sequences come from a chain of bijections of the 128-bit state, so that neither words nor
+sequences of a special form share names. Names find what may be equal; numbers, which are equal for equal words only,
+tell whether it is."""
 
 from __future__ import annotations
 
-import numpy as np
+from dataclasses import dataclass
+from hashlib import blake2b
 
-STEP = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
-#: Bytes that are named at once; a longer word is named alone.
-BLOCK = 1 << 20
+import numpy as np
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_STEP, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,114 +23,149 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * STEP)
+def chain(state: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """The states (2 lanes by n) after one more name each; for a fixed name a bijection of states, and the other way round."""
+    a = mix(state[0] * _STEP + state[1] + name[0])
+    return np.stack([a, mix((state[1] ^ name[1]) * _OTHER + a)])
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def to_bytes(text: str | None, lower: bool = False) -> bytes:
+    data = (text or "").encode("utf-8", "surrogatepass")
+    return data.lower() if lower else data
 
 
-_cache: dict[str, np.ndarray] = {}
+def split_words(text: str | None, lower: bool = False) -> list[bytes]:
+    return to_bytes(text, lower).split()
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, for blocks; longer ones are not kept."""
-    if n > BLOCK:
-        return _powers(_BASE, n), _powers(_INVERSE, n)
-    if not _cache:
-        _cache.update(up=_powers(_BASE, BLOCK), down=_powers(_INVERSE, BLOCK))
-    return _cache["up"], _cache["down"]
+class Lexicon(dict):
+    """Word to number, from 0, as words come; and the names of the numbers."""
 
+    #: Words, and bytes of words, after which :meth:`full` says so.
+    WORDS, BYTES = 200_000, 32_000_000
 
-def to_bytes(text: str | None, lower: bool = False) -> bytes:
-    data = (text or "").encode("utf-8", "surrogatepass")
-    return data.lower() if lower else data
+    def __init__(self):
+        super().__init__()
+        self._digests: list[bytes] = []
+        self._names = np.zeros((2, 0), np.uint64)
+        self._bytes = 0
 
+    def __missing__(self, word: bytes) -> int:
+        n = len(self)
+        self[word] = n
+        self._digests.append(blake2b(word, digest_size=16).digest())
+        self._bytes += len(word)
+        return n
 
-def split_words(text: str | None, lower: bool = False) -> list[bytes]:
-    return to_bytes(text, lower).split()
+    def full(self) -> bool:
+        return len(self) > self.WORDS or self._bytes > self.BYTES
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def names(self, numbers: np.ndarray) -> np.ndarray:
+        """Two lanes by the given numbers."""
+        if self._digests:
+            fresh = np.frombuffer(b"".join(self._digests), np.uint64).reshape(-1, 2).T
+            self._names = np.concatenate([self._names, fresh], 1)
+            self._digests.clear()
+        return self._names[:, numbers]
+
+
+#: Windows that are named at once, to stay in a core's cache; words of texts that are put together.
+BLOCK = 1 << 16
 
 
-def _names_of_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Names and starts of the words of a block that begins and ends with a space."""
-    b = np.frombuffer(data, np.uint8)
-    space = _SPACE[b]
-    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    up, down = _power_tables(len(b))
-    sums = np.cumsum(_VALUES[b] * up[: len(b)])
-    return mix((sums[ends - 1] - sums[starts - 1]) * down[starts]), starts
+def window_names(names: np.ndarray, size: int) -> np.ndarray:
+    """A name (2 lanes) for each run of ``size`` consecutive words (none if there are fewer)."""
+    n = max(0, names.shape[1] - size + 1)
+    out = np.empty((2, n), np.uint64)
+    for at in range(0, n, BLOCK):
+        end = min(n, at + BLOCK)
+        state = np.full((2, end - at), size, np.uint64)
+        for j in range(size):
+            state = chain(state, names[:, at + j : end + j])
+        out[:, at:end] = state
+    return out
+
+
+def numbered(texts: list[list[bytes]], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts' words, one text after another: numbers, names (2 lanes), and where each text begins and the last ends."""
+    numbers = np.concatenate([np.zeros(0, np.int64), *map(lexicon.numbers, texts)])
+    return numbers, lexicon.names(numbers), np.cumsum([0, *map(len, texts)])
+
+
+@dataclass
+class Shingles:
+    """The distinct shingles of a text, by name: the lanes of the names, ascending, a place of each, and the
+    text's word numbers; ``exact`` if equal first lanes are of equal words."""
+
+    numbers: np.ndarray
+    size: int
+    first: np.ndarray
+    second: np.ndarray
+    at: np.ndarray
+    exact: bool
+
+    def __len__(self) -> int:
+        return len(self.first)
 
+    def name(self) -> bytes:
+        """16 bytes that name the set; empty for the empty set."""
+        return blake2b(self.first.tobytes() + self.second.tobytes(), digest_size=16).digest() if len(self) else b""
 
-def names_of(datas: list[bytes]) -> list[np.ndarray]:
-    """For each text (as bytes) a uint64 name of each of its words, the same in every process."""
-    out: list[np.ndarray] = []
-    group: list[bytes] = []
-    size = 0
+    def sequences(self) -> set[tuple[int, ...]]:
+        own = self.numbers.tolist()
+        return {tuple(own[p : p + self.size]) for p in self.at.tolist()}
+
+
+def _same_words(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size: int) -> bool:
+    return all(np.array_equal(a[at_a + j], b[at_b + j]) for j in range(size))
+
+
+def shingles(texts: list[list[bytes]], lexicon: Lexicon, size: int = 5) -> list[Shingles]:
+    """Of each text. Fewer words than ``size`` make one shingle of the whole sequence, no words none."""
+    out: list[Shingles] = []
+    group: list[list[bytes]] = []
 
     def settle():
-        if not group:
-            return
-        names, starts = _names_of_block(b" " + b" ".join(group) + b" ")
-        at = np.cumsum([1, *(len(d) + 1 for d in group)])
-        out.extend(np.split(names, np.searchsorted(starts, at[1:-1])))
+        numbers, names, begins = numbered(group, lexicon)
+        whole = window_names(names, size)
+        for i, j in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+            n = min(size, j - i)
+            out.append(_distinct(numbers[i:j], whole[:, i : j - size + 1] if n == size else window_names(names[:, i:j], n), n))
         group.clear()
 
-    for data in datas:
-        if size + len(data) + 2 > BLOCK:
+    for words in texts:
+        group.append(words)
+        if sum(map(len, group)) >= BLOCK:
             settle()
-            size = 0
-        if len(data) + 2 > BLOCK:
-            out.append(_long_text(data))
-            continue
-        group.append(data)
-        size += len(data) + 1
     settle()
     return out
 
 
-def _long_text(data: bytes) -> np.ndarray:
-    """Block by block, cut at spaces."""
-    parts, at = [], 0
-    while at < len(data):
-        end = min(len(data), at + BLOCK - 2)
-        if end < len(data):
-            piece = data[at:end]
-            cut = max(piece.rfind(c) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))
-            if cut > 0:
-                end = at + cut
-            else:  # a word that fills the block
-                after = [p for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r") if (p := data.find(c, end)) >= 0]
-                end = min(after, default=len(data))
-        parts.append(_names_of_block(b" " + data[at:end] + b" ")[0])
-        at = end + 1 if end < len(data) else end
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-
-
-def window_names(names: np.ndarray, size: int) -> np.ndarray:
-    """A name for each run of ``size`` consecutive words (none if there are fewer)."""
-    n = len(names) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for j in range(size):
-        h = h * STEP + names[j : n + j]
-    return mix(h)
-
-
-def shingle_sets(texts: list[str | None], size: int = 5) -> list[np.ndarray]:
-    """Sorted distinct shingle names of each lower-cased text; fewer words than ``size`` make one shingle of
-    the whole sequence, no words none."""
-    out = []
-    for names in names_of([to_bytes(t, lower=True) for t in texts]):
-        if not len(names):
-            out.append(names)
-        elif len(names) < size:
-            out.append(window_names(names, len(names)) ^ np.uint64(len(names)))
-        else:
-            own = window_names(names, size)
-            own.sort()
-            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
-    return out
+def _distinct(numbers: np.ndarray, names: np.ndarray, size: int) -> Shingles:
+    if not size:
+        none = np.zeros(0, np.uint64)
+        return Shingles(numbers, 0, none, none, np.zeros(0, np.int64), True)
+    at = np.argsort(names[0], kind="stable")
+    first = names[0][at]
+    new = np.ones(len(at), bool)
+    np.not_equal(first[1:], first[:-1], out=new[1:])
+    again = np.flatnonzero(~new)
+    exact = not len(again) or _same_words(numbers, at[again], numbers, at[again - 1], size)
+    if not exact:
+        at = np.lexsort((names[1], names[0]))
+        first, second = names[0][at], names[1][at]
+        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    at = at[new]
+    return Shingles(numbers, size, first[new], names[1][at], at, exact)
+
+
+def overlap(a: Shingles, b: Shingles) -> int:
+    """Shingles that two texts, numbered by one lexicon, share: found by name, compared as words."""
+    if a.exact and b.exact and a.size == b.size:
+        common, i, j = np.intersect1d(a.first, b.first, assume_unique=True, return_indices=True)
+        if _same_words(a.numbers, a.at[i], b.numbers, b.at[j], a.size):
+            return len(common)
+    return len(a.sequences() & b.sequences())

@@ -230,18 +230,20 @@ def test_op7(spark, sf):
 
 
 def test_recompression_is_consistent():
-    passage = words.names_of([PASSAGE.encode()])[0]
+    lexicon = words.Lexicon()
+    passage = PASSAGE.encode().split()
     for _ in range(30):
-        left, right = (words.names_of([text(R.randrange(1, 40)).encode()])[0] for _ in range(2))
-        whole = substrings.recompress([np.concatenate([left, passage, right])])
-        other = substrings.recompress([np.concatenate([right, passage, left])])
-        at = lambda p, o: {(n, s - o) for n, s, a, b in zip(p.name, p.start, p.low - o, p.high - o, strict=True) if a >= 0 and b <= len(passage)}
-        assert at(whole, len(left)) == at(other, len(right))
-
-
-def test_long_words_have_the_same_names():
-    w = b"y" * (words.BLOCK + 5)
-    assert words.names_of([b"abc " + w + b" z"])[0].tolist() == [*words.names_of([b"abc"])[0], *words.names_of([w])[0], *words.names_of([b"z"])[0]]
+        left, right = (text(R.randrange(1, 40)).encode().split() for _ in range(2))
+        found = []
+        for before, after in ((left, right), (right, left)):
+            _, names, begins = words.numbered([before + passage + after], lexicon)
+            p = substrings.recompress(names, begins)
+            o = len(before)
+            inside = {(*n, s - o) for n, s, a, b in zip(p.name.T.tolist(), p.start, p.low - o, p.high - o, strict=True) if a >= 0 and b <= len(passage)}
+            starts = np.arange(o, o + len(passage) - 49)
+            i, j = substrings.interior(p, 0, len(p.doc), starts, 50)
+            found.append((inside, substrings.named_by_symbols(starts, i, j, names, p, 50).tolist()))
+        assert found[0] == found[1] and (j > i).all()
 
 
 SECRET_WORDS = ["token", "TOKEN", "api_key", "=", ":", " ", '"', "AKIA", "A", "0f3a" * 5, "deadbeef" * 3, "secret", "passwd", "xyz", "é", "Z9", "."]
