@@ -17,11 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.store import materialize
+from corpusloom.llm.arrays import let, members
+from corpusloom.llm.store import materialize, small
 
 WINDOW, GRAM = 10, 5
-#: Rows up to which the fingerprints or windows of a benchmark, or hit documents' ids, are broadcast.
-BROADCAST_ROWS = 500_000
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,11 +45,6 @@ def _winnowed(grams: Column) -> Column:
     return F.array_distinct(F.transform(_places(F.size(grams) - (span - 1)), lambda i: F.array_min(F.slice(grams, i, span))))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """The table (already written) with a broadcast hint if it has few enough rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _named(df: DataFrame) -> DataFrame:
     """words, then a 64-bit name for each, then grams: one projection each, so that none is computed
     again inside another's lambda."""
@@ -73,7 +67,7 @@ def find_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
     windows = materialize(windows, "passages-windows")
     short = sorted(r[0] for r in own.filter(F.size("words") < WINDOW).select(F.size("words")).distinct().collect())  # WINDOW - 1 at most
     marks = own.select(F.explode(F.when(F.size("words") < WINDOW, F.array(_short_name(F.col("names")))).otherwise(_winnowed(F.col("grams")))).alias("mark")).distinct()
-    marks = _small(materialize(marks, "passages-marks"))
+    marks = small(materialize(marks, "passages-marks"))
 
     # every document's fingerprints against the benchmark's; one row of a null mark keeps the document
     named = _named(docs.withColumn("th", F.xxhash64("text")))
@@ -84,19 +78,23 @@ def find_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
     hit = materialize(hit, "passages-hits")
 
     # the windows around the grams that hit, compared as strings
-    todo = _small(hit.filter(F.size("marks") > 0).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "marks"))
+    todo = small(hit.filter(F.size("marks") > 0).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "marks"))
     near = docs.withColumn("th", F.xxhash64("text")).join(todo, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).drop("d", "t").dropDuplicates(["doc_id", "th"])
     near = _named(near)
     last = F.size("words") - WINDOW
-    at = F.filter(_places(F.size("grams")), lambda i: F.array_contains("marks", F.element_at("grams", i)))
-    starts = F.when(last < 0, F.array().cast("array<int>")).otherwise(F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(F.least(F.greatest(p - 1 - (WINDOW - GRAM), F.lit(0)), last), F.least(p - 1, last))))))
-    near = near.withColumn("starts", starts)
-    spans = [F.transform("starts", lambda s: F.struct(s.alias("start"), F.lit(WINDOW).alias("size")))]
-    for m in short:
-        spans.append(_short_spans(m))
-    near = near.select("doc_id", "th", "words", F.explode(F.concat(*spans)).alias("w"))
-    near = near.select("doc_id", "th", F.col("w").alias("hit"), F.array_join(F.expr("slice(words, w.start + 1, w.size)"), " ").alias("window"))
-    matched = near.join(_small(windows), "window").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("hit")).alias("hits"), F.array_sort(F.collect_set("item_id")).alias("items"))
+
+    def around(known):
+        at = F.filter(_places(F.size("grams")), lambda i: known(F.element_at("grams", i)))
+        return F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(F.least(F.greatest(p - 1 - (WINDOW - GRAM), F.lit(0)), last), F.least(p - 1, last)))))
+
+    starts = F.when(last < 0, F.array().cast("array<int>")).otherwise(members(F.col("marks"), around))
+    spans = [F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(WINDOW).alias("size")))] + [members(F.col("marks"), lambda known, m=m: _short_spans(m, known)) for m in short]
+
+    def said(own):  # windows leave with their own words only
+        return F.transform(F.concat(*spans), lambda w: F.struct(w.alias("hit"), F.array_join(F.slice(own, w["start"] + 1, w["size"]), " ").alias("window")))
+
+    near = near.select("doc_id", "th", F.explode(let(F.col("words"), said)).alias("w")).select("doc_id", "th", "w.hit", "w.window")
+    matched = near.join(small(windows), "window").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("hit")).alias("hits"), F.array_sort(F.collect_set("item_id")).alias("items"))
     matched = matched.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "hits", "items")
     out = hit.join(matched, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
     return out.select("doc_id", "th", "n_words", "hits", "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
@@ -110,8 +108,8 @@ def _short_names(names: Column, size: int) -> Column:
     return F.array_distinct(F.transform(_places(F.size(names) - (size - 1)), lambda i: F.xxhash64(F.slice(names, i, size), F.lit(size))))
 
 
-def _short_spans(size: int) -> Column:
-    at = F.filter(_places(F.size("names") - (size - 1)), lambda i: F.array_contains("marks", F.xxhash64(F.slice("names", i, size), F.lit(size))))
+def _short_spans(size: int, known) -> Column:
+    at = F.filter(_places(F.size("names") - (size - 1)), lambda i: known(F.xxhash64(F.slice("names", i, size), F.lit(size))))
     return F.transform(at, lambda i: F.struct((i - 1).alias("start"), F.lit(size).alias("size")))
 
 

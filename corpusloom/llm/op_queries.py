@@ -37,7 +37,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link_documents(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return jaccard.link_documents(only(table(spark, sf_dir, "documents"), "doc_id", "text")).drop("component")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.store import materialize
+from corpusloom.llm.arrays import cutter, let, numbers, running
+from corpusloom.llm.store import materialize, small
 
 DISCLOSES, SUPPORT = 0.9, 3
-BROADCAST_ROWS = 500_000
 
 #: Possessive, and bound to begin where a run begins, so that no input takes quadratic time; they match
 #: what the plain patterns match.
@@ -59,15 +59,23 @@ def _valid(kind: str, x: Column) -> Column:
 
 
 def _located(matches: Column, gaps: Column, keep) -> Column:
-    """(start, end, value) of the matches that ``keep`` accepts."""
-    numbers = F.when(F.size(matches) > 0, F.sequence(F.lit(1), F.size(matches))).otherwise(F.array().cast("array<int>"))
-    kept = F.filter(numbers, lambda i: keep(F.element_at(matches, i)))
+    """(start, end, value) of the matches that ``keep`` accepts. A match starts behind the gaps and matches before it, whose
+    lengths are summed up once."""
 
-    def span(i):
-        start = F.length(F.array_join(F.slice(gaps, F.lit(1), i), "")) + F.length(F.array_join(F.slice(matches, F.lit(1), i - 1), ""))
-        return F.struct(start.alias("start"), (start + F.length(F.element_at(matches, i))).alias("end"), F.element_at(matches, i).alias("value"))
+    def with_matches(own: Column) -> Column:
+        kept = F.filter(numbers(F.size(own)), lambda i: keep(F.element_at(own, i)))
 
-    return F.transform(kept, span)
+        def with_totals(first) -> Column:
+            def span(i):
+                start = first(2 * i - 1).cast("int")
+                return F.struct(start.alias("start"), (start + F.length(F.element_at(own, i))).alias("end"), F.element_at(own, i).alias("value"))
+
+            return F.transform(kept, span)
+
+        lengths = F.flatten(F.zip_with(gaps, own, lambda g, m: F.array(F.length(g), F.coalesce(F.length(m), F.lit(0)))))
+        return running(lengths, F.lit(0), lambda a, x: a + x, with_totals)
+
+    return let(matches, with_matches)
 
 
 def find_entities(docs: DataFrame) -> DataFrame:
@@ -83,27 +91,28 @@ def find_entities(docs: DataFrame) -> DataFrame:
     return cut.select(*[docs[c] for c in docs.columns], F.concat(*[spans(i, k) for i, k in enumerate(KINDS)]).cast(_SPAN).alias("entities"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def revealing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(kind, value, term, share) of the terms that disclose an entity. ``found``: id, entities, words (the
     distinct terms outside its mail addresses, where it has entities)."""
     total = found.count()
-
-    def words(keep) -> Column:
-        """The terms outside mail addresses (other entities hold no letters), and those in the ones to keep."""
-        mail = F.filter("entities", lambda s: (s["kind"] == KINDS.index("email")) & keep(s["value"]))
-        return F.array_union("words", F.flatten(F.transform(mail, lambda s: F.regexp_extract_all(s["value"], F.lit(_TERM), F.lit(0)))))
-
-    each = found.select("id", "words", "entities", F.explode(F.array_distinct(F.transform("entities", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))).alias("x")).select("id", "x.kind", "x.value", "words", "entities")
+    # as strings, of which an array's distinct ones are found by hashing
+    each = found.select("id", F.explode(F.array_distinct(F.transform("entities", lambda s: F.concat(s["kind"].cast("string"), s["value"])))).alias("x"))
+    each = each.select("id", F.substring("x", 1, 1).cast("int").alias("kind"), F.expr("substring(x, 2)").alias("value"))
     of_entity = each.groupBy("kind", "value").agg(F.count("*").alias("n_c")).filter(F.col("n_c") >= SUPPORT)
-    of_entity = materialize(of_entity, "pii-counted")
-    each = each.join(_small(of_entity), ["kind", "value"])
-    together = each.select("kind", "value", "n_c", F.explode(words(lambda v: v != F.col("value"))).alias("term")).groupBy("kind", "value", "term").agg(F.first("n_c").alias("n_c"), F.count("*").alias("n_ct")).filter(F.col("n_ct") >= SUPPORT)
+    held = materialize(each.join(small(materialize(of_entity, "pii-counted")), ["kind", "value"]), "pii-held")
+
+    # the terms of the documents that hold such entities: outside mail addresses (other entities hold no letters), or inside
+    some = found.join(small(materialize(held.select("id").distinct(), "pii-holders")), "id", "left_semi")
+    mails = some.select("id", F.explode("entities").alias("e")).filter(F.col("e.kind") == KINDS.index("email")).select("id", F.col("e.value").alias("mail")).distinct()
+    inside = mails.select("id", "mail", F.explode(F.regexp_extract_all("mail", F.lit(_TERM), F.lit(0))).alias("term"))
+    outside = some.select("id", F.lit(None).cast("string").alias("mail"), F.explode("words").alias("term"))
+    named = outside.unionByName(inside).groupBy("id", "term").agg(F.max(F.col("mail").isNull()).alias("outside"), F.min("mail").alias("low"), F.max("mail").alias("high"))
+    named = materialize(named, "pii-named")
+    # a term that stands in the entity alone does not reveal it
+    apart = F.col("outside") | (F.col("low") != F.col("value")) | (F.col("high") != F.col("value"))
+    together = held.join(named, "id").filter(apart).groupBy("kind", "value", "term").agg(F.first("n_c").alias("n_c"), F.count("*").alias("n_ct")).filter(F.col("n_ct") >= SUPPORT)
     # a term's documents with such entities are some of all its documents, so they bound the share from above
-    around = each.dropDuplicates(["id"]).select(F.explode(words(lambda v: F.lit(True))).alias("term")).groupBy("term").agg(F.count("*").alias("least_t"))
+    around = named.groupBy("term").agg(F.count("*").alias("least_t"))
     bits = F.log(F.lit(float(max(total, 1))) / F.col("n_c"))
 
     def pmi(n_t):
@@ -111,7 +120,7 @@ def revealing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     together = together.join(around, "term").filter((bits > 0) & (pmi(F.col("least_t")) >= DISCLOSES * bits - 1e-9))
     together = materialize(together.drop("least_t"), "pii-together")
-    terms = _small(together.select("term").distinct())
+    terms = small(together.select("term").distinct())
     of_term = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_TERM), F.lit(0)))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n_t"))
     return together.join(of_term, "term").select("kind", "value", "term", (pmi(F.col("n_t")) / bits).alias("share")).filter(F.col("share") >= DISCLOSES)
 
@@ -128,7 +137,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     named = materialize(revealing_terms(docs, found.filter(F.size("entities") > 0).unionByName(found.filter(F.size("entities") == 0))), "pii-terms")
     told = found.select("id", "doc_id", "th", F.explode("entities").alias("e")).join(named, (F.col("e.kind") == F.col("kind")) & (F.col("e.value") == F.col("value")))
     told = materialize(told.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("term")).alias("names")), "pii-told")
-    todo = _small(told.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "names"))
+    todo = small(told.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "names"))
     rows = docs.withColumn("th", F.xxhash64("text")).join(todo, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).dropDuplicates(["doc_id", "th"])
     pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("names", "|"), F.lit(r")(?!\p{L})"))
     cut = rows.select("d", "t", F.regexp_extract_all("text", pattern, F.lit(0)).alias("m"), F.split("text", pattern, -1).alias("g"))
@@ -140,16 +149,22 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 def sanitise(text: Column, entities: Column, terms: Column) -> Column:
     """The text with every span generalised to its kind; a span that overlaps one before it adds nothing."""
     names = F.array(*[F.lit(k.upper()) for k in KINDS])
-    spans = F.concat(F.transform(entities, lambda s: F.struct(s["start"], s["end"], F.element_at(names, s["kind"] + 1).alias("tag"))), F.transform(terms, lambda s: F.struct(s["start"], s["end"], F.lit("TERM").alias("tag"))))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    spans = F.array_sort(F.concat(F.transform(entities, lambda s: F.struct(s["start"], s["end"], F.element_at(names, s["kind"] + 1).alias("tag"))), F.transform(terms, lambda s: F.struct(s["start"], s["end"], F.lit("TERM").alias("tag")))))
+
+    def with_spans(own: Column) -> Column:
+        def with_ends(reach) -> Column:
+            def with_cut(cut) -> Column:
+                def piece(s, i):
+                    at = reach(i)  # the farthest end of the spans before
+                    return F.when(s["start"] >= at, F.concat(cut(at, s["start"]), F.lit("["), s["tag"], F.lit("]"))).otherwise("")
+
+                return F.concat(F.array_join(F.transform(own, piece), ""), cut(reach(F.size(own)), F.length(text)))
+
+            return cutter(text, with_cut)
 
-    def step(acc, s):
-        new = s["start"] >= acc["at"]
-        out = F.when(new, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["tag"], F.lit("]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        return running(F.transform(own, lambda s: s["end"]), F.lit(0), lambda a, x: F.greatest(a, x), with_ends)
 
-    done = F.aggregate(F.array_sort(spans), zero, step)
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+    return let(spans, with_spans)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -7,17 +7,19 @@
 2. A text is a sequence of token scores, each less a drift so that clean text sinks. All maximal
    scoring segments are found in one linear scan.
 3. By extreme-value theory the best segment of a clean text of m tokens exceeds s with probability
-   1 - exp(-K m exp(-lambda s)), where lambda solves E[exp(lambda * score)] = 1 over clean tokens. What
+   1 - exp(-K m exp(-lambda s)), where lambda solves E[exp(lambda * score)] = 1 over clean tokens and K is the
+   likeliest for the best segments of clean labelled texts that gave no odds. What
    segments say is summed up as -log of these probabilities, and a logistic curve, fitted on
    labelled texts that gave no odds, makes that the probability of label 1.
 
 The classifier is fitted on a bounded sample: at most ``MAX_LABELS`` labelled rows, in the order of a
-hash of their ids; half of them (by another hash) give the odds and half the curve. At most
-``MAX_TERMS`` terms get odds. All texts are scored, as a whole.
+hash of their ids; half of them (by another hash) give the odds and half the curve. Every term of that sample
+whose ratio is large enough gets odds. All texts are scored, as a whole.
 
 Defined results: a null or empty text has no segment and gets the score of a text without evidence;
 labels that are null, or of unknown documents, are ignored; a document labelled twice is toxic if
-one label says so; without labels of both classes, the score is the share of toxic labels (or 0)."""
+one label says so; without labels of both classes, the score is the share of toxic labels (or 0). Repeated rows get
+equal scores, each its own row; a null doc_id is scored by its text, and is no training row."""
 
 from __future__ import annotations
 
@@ -33,11 +35,10 @@ from pyspark.sql import functions as F
 from corpusloom.llm.store import tidy
 
 MAX_LABELS = 65_536
-MAX_TERMS = 65_536
 #: Words kept by a worker, as a memo or to be counted together.
 MEMO = 150_000
 #: What the prior is worth, as a share of the counts; least likelihood ratio (G) of odds; drift per
-#: token; K of the extreme values; letters of a beginning.
+#: token; K of the extreme values where no clean text tells it; letters of a beginning.
 PRIOR, LEAST_G, DRIFT, K, STEM = 0.05, 22.0, 0.15, 0.1, 5
 THRESHOLD = 0.3
 
@@ -69,6 +70,7 @@ class Model:
     unseen: float
     scale: float  # lambda
     curve: tuple[float, float]
+    k: float = K
 
 
 class _Scores(dict):
@@ -88,46 +90,45 @@ class _Scores(dict):
 
 
 def segments(scores: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments of consecutive items (start, end, score), in linear time: a stack
-    of candidates, each with the sums before and after it; a new one merges with those that it
-    completes."""
-    stack: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
+    """All maximal scoring segments of consecutive items (start, end, score), in linear time. Candidates
+    stand in order, each with the sums before and after it and the number of the last candidate with a smaller sum
+    before, so that none of those between is looked at again; a new one takes in what it completes."""
+    stack: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, number of the last lower one
     total = 0.0
     for start, end, x in scores:
         before, total = total, total + x
         if x <= 0:
             continue
-        left, low, right, high = start, before, end, total
-        while True:
-            at = len(stack) - 1
-            skipped = []
-            while at >= 0 and stack[at][2] >= low:
-                skipped.append(at)
-                at -= 1
-            if at < 0 or stack[at][3] >= high:
-                break
-            left, low = stack[at][0], stack[at][2]
+        left, low = start, before
+        at = len(stack) - 1
+        while at >= 0 and stack[at][2] >= low:
+            at = stack[at][4]
+        while at >= 0 and stack[at][3] < total:
+            left, _, low, _, lower = stack[at]
             del stack[at:]
-        stack.append((left, right, low, high))
-    return [(a, b, high - low) for a, b, low, high in stack]
+            at = lower
+        stack.append((left, end, low, total, at))
+    return [(a, b, high - low) for a, b, low, high, _ in stack]
 
 
-def evidence(words: list[bytes], scores: _Scores, scale: float) -> tuple[float, list[tuple[int, int, float]]]:
-    """Sum of -log probabilities of the segments under clean text, and the significant segments (word
-    start, end, -log probability)."""
+def _segments_of(words: list[bytes], scores: _Scores) -> list[tuple[int, int, float]]:
+    """Maximal segments of a text; words without a score of their own count together, between those with one."""
     items, last = [], 0
-    got = list(map(scores.__getitem__, words))
-    for i, x in enumerate(got):
+    for i, x in enumerate(map(scores.__getitem__, words)):
         if x is not None:
             if i > last:
                 items.append((last, i, (i - last) * scores.unseen))
             items.append((i, i + 1, x))
             last = i + 1
-    if not items:
-        return 0.0, []
+    return segments(items)
+
+
+def evidence(words: list[bytes], scores: _Scores, scale: float, k: float = K) -> tuple[float, list[tuple[int, int, float]]]:
+    """Sum of -log probabilities of the segments under clean text, and the significant segments (word
+    start, end, -log probability)."""
     total, out = 0.0, []
-    for a, b, s in segments(items):
-        log_e = math.log(K * len(words)) - scale * s  # log of the expected number of such segments
+    for a, b, s in _segments_of(words, scores):
+        log_e = math.log(k * len(words)) - scale * s  # log of the expected number of such segments
         rare = -math.log(-math.expm1(-math.exp(log_e))) if log_e > -30 else -log_e
         if rare > 1:
             total += rare
@@ -192,15 +193,33 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
     terms = (
         counts.select("term", odds.alias("odds"), (2 * (part(F.col("y1"), n1) + part(F.col("y0"), n0))).alias("g"), (F.col("y0") / n0).alias("clean"))
         .filter(F.col("g") >= LEAST_G)
-        .orderBy(F.desc("g"), "term")
-        .limit(MAX_TERMS)
-        .toArrow()
+        .toArrow()  # terms of the bounded sample
     )
     weights = terms["odds"].to_numpy()
     scale = _lambda(weights - DRIFT, np.maximum(terms["clean"].to_numpy(), 0.5 / n0), -DRIFT)
-    model = Model(dict(zip(terms["term"].to_pylist(), weights.tolist(), strict=True)), -DRIFT, scale, (0.0, 0.0))
+    own = dict(zip(terms["term"].to_pylist(), weights.tolist(), strict=True))
+    k = fitted_k(known.filter("half = 1 and toxic = 0"), own, scale)
+    model = Model(own, -DRIFT, scale, (0.0, 0.0), k)
     seen = score_documents(known.filter("half = 1"), model, keep=("toxic",)).select("toxic", "evidence").toArrow()
-    return Model(model.odds, model.unseen, scale, _logistic(seen["evidence"].to_numpy(), (seen["toxic"].to_numpy() == 1).astype(float)))
+    return Model(model.odds, model.unseen, scale, _logistic(seen["evidence"].to_numpy(), (seen["toxic"].to_numpy() == 1).astype(float)), k)
+
+
+def fitted_k(clean: DataFrame, odds: dict[bytes, float], scale: float) -> float:
+    """K of the extreme values by maximum likelihood over clean texts: their number over the sum of m exp(-lambda s), s
+    being the best segment of m tokens."""
+    shared = clean.sparkSession.sparkContext.broadcast(odds)
+
+    def run(batches):
+        scores = _Scores(shared.value, -DRIFT)
+        for batch in batches:
+            n, total = 0, 0.0
+            for words in filter(None, map(_words, batch.column(0).to_pylist())):
+                n += 1
+                total += len(words) * math.exp(-scale * max((s for _, _, s in _segments_of(words, scores)), default=0.0))
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total])], names=["n", "total"])
+
+    n, total = clean.select("text").mapInArrow(tidy(run), "n long, total double").agg(F.sum("n"), F.sum("total")).first()
+    return n / total if total else K
 
 
 def _logit(p: float) -> float:
@@ -247,14 +266,14 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", keep: tup
     passages = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("rarity", pa.float64())]))
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.drop("__text").schema)
     schema = f"{columns}, evidence double, score double, passages array<struct<start:long,end:long,rarity:double>>"
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_TERMS terms at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # terms of the bounded sample
 
     def run(batches):
         own = shared.value
         scores = _Scores(own.odds, own.unseen)
         a, b = own.curve
         for batch in batches:
-            got = [evidence(_words(t), scores, own.scale) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            got = [evidence(_words(t), scores, own.scale, own.k) for t in batch.column(batch.num_columns - 1).to_pylist()]
             total = np.array([x for x, _ in got])
             lists = pa.array([[{"start": i, "end": j, "rarity": r} for i, j, r in s] for _, s in got], passages)
             score = 1 / (1 + np.exp(-(a + b * np.log1p(total))))

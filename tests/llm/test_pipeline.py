@@ -90,3 +90,31 @@ def test_stages_keep_the_columns(spark, tmp_path, stage):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = stage(spark, docs, folder)
     assert kept.columns == list(corpus_pipeline.COLUMNS) and kept.count() == 0
+
+
+MIXED = [(1, CLEAN[0]), (7, CLEAN[0]), (7, CLEAN[1]), (7, CLEAN[1]), (None, CLEAN[0]), (None, f"{text(20)} {PASSAGE} {text(20)}"), (8, f"{text(9)} {PASSAGE}"), (8, CLEAN[2]), (9, None), (9, None), (None, ""), (2**62, CLEAN[3]), (-(2**62), CLEAN[3] + " more")]
+
+
+def kept(spark, tmp_path, stage):
+    folder = write(spark, str(tmp_path), MIXED, [(1, PASSAGE)], [])
+    return sorted(((r.doc_id, r.text) for r in stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).collect()), key=str)
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark, tmp_path):
+    gone = [(7, CLEAN[0]), (7, CLEAN[1]), (2**62, CLEAN[3])]  # a copy, one of two equal rows, a near copy of a smaller id
+    want = list(MIXED)
+    for x in gone:
+        want.remove(x)
+    assert kept(spark, tmp_path, corpus_pipeline.drop_near_duplicates) == sorted(want, key=str)
+
+
+def test_contamination_of_repeated_and_null_ids(spark, tmp_path):
+    assert kept(spark, tmp_path, corpus_pipeline.drop_contaminated) == sorted((x for x in MIXED if PASSAGE not in (x[1] or "")), key=str)
+
+
+def test_other_stages_keep_every_row(spark, tmp_path):
+    folder = write(spark, str(tmp_path), MIXED, [], [])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    ids = sorted((x[0] for x in MIXED), key=str)
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.redact_secrets, corpus_pipeline.tokenize):
+        assert sorted((r.doc_id for r in stage(spark, docs, folder).collect()), key=str) == ids
