@@ -62,6 +62,31 @@ def dense_search(points: DataFrame, queries: DataFrame, k: int, threshold: float
     return reduce(DataFrame.unionByName, map(found, blocks))
 
 
+def scroll(points: DataFrame, criteria: dict, limit: int) -> DataFrame:
+    """Points that match, in the order of their ids, up to the limit that a scroll has."""
+    where = match_filter(**criteria)
+    return (points if where is None else points.filter(where)).orderBy("point_id").limit(limit)
+
+
+def retrieve(points: DataFrame, queries: DataFrame, initial: int, final: int, threshold: float, criteria: dict | None = None, lexical: int = 32) -> DataFrame:
+    """``points``: point_id, embedding, text, source, place and payload; ``queries``: query_id, query, vector. The first ``initial`` of each query by
+    cosine, and, only where criteria select a document (source_path), fused with its lexical hits and their neighbours; ``accepted`` marks the
+    ``final`` that reach the threshold."""
+    if initial <= 0 or final <= 0 or final > initial:
+        raise ValueError("1 <= final <= initial must hold")
+    if not -1 <= threshold <= 1:
+        raise ValueError("a threshold is a cosine")
+    if not queries.filter(F.coalesce(T.strip(F.col("query")), F.lit("")) == "").isEmpty():
+        raise ValueError("a query must not be empty")
+    dense = dense_search(points, queries, initial, criteria=criteria)
+    if not (criteria or {}).get("source_path"):
+        return accept(dense.withColumns({"match_type": F.lit(None).cast("string"), "rrf": F.lit(None).cast("double")}), threshold, final)
+    where = match_filter(**criteria)
+    chunks = points.filter(where)
+    found = with_neighbours(lexical_search(chunks, queries.select("query_id", "query"), lexical), chunks.select("point_id", "source", "place"), lexical)
+    return accept(fuse(dense, found, initial), threshold, final)
+
+
 def similarities(points: DataFrame) -> DataFrame:
     """(a, b, score) of every pair of a small set of points, each with itself, at most ``QUERIES`` of them."""
     if points.limit(QUERIES + 1).count() > QUERIES:

@@ -41,9 +41,53 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def upsert_index(points: DataFrame, path: str) -> str:
-    """Rows replace those of the same point_id; the rest stays."""
+    """Rows replace those of the same point_id; the rest stays. Of rows of ``points`` with one id one is written, that of
+    the largest content."""
     old = read_index(points.sparkSession, path)
-    return write_index(old.join(points.select("point_id"), "point_id", "left_anti").unionByName(points, allowMissingColumns=True), path)
+    rest = [c for c in points.columns if c != "point_id"]
+    one = points.groupBy("point_id").agg(F.max(F.struct(*rest)).alias("row")).select("point_id", "row.*") if rest else points.distinct()
+    return write_index(old.join(points.select("point_id").distinct(), "point_id", "left_anti").unionByName(one, allowMissingColumns=True), path)
+
+
+def restore_index(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """Points readers to an older version again; one row tells what was and what is."""
+    before = get_text(spark, f"{path}/CURRENT")
+    fs, p = _fs(spark, f"{path}/{version}")
+    if not fs.exists(p):
+        raise ValueError(f"there is no version {version}")
+    put_text(spark, f"{path}/CURRENT", version)
+    return spark.createDataFrame([(before, version)], "snapshot_before string, snapshot_name string")
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Versions of an index, oldest first; the old ones are its snapshots."""
+    fs, p = _fs(spark, path)
+    found = [(s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
+    return [name for _, name in sorted(found)]
+
+
+def stage(files: DataFrame, path: str) -> None:
+    """``files``: path, content. Adds them to the staged ones."""
+    files.select("path", "content").write.mode("append").parquet(path)
+
+
+def staged(spark: SparkSession, path: str) -> DataFrame:
+    fs, p = _fs(spark, path)
+    return spark.read.parquet(path) if fs.exists(p) else spark.createDataFrame([], "path string, content binary")
+
+
+def clear_staged(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def promote(spark: SparkSession, staging: str, documents: str) -> None:
+    """Moves what is staged into the documents and clears the stage: of files of one path the largest content stays, and it takes the
+    place of an older one as new versions of a table do."""
+    files = staged(spark, staging).groupBy("path").agg(F.max("content").alias("content"))
+    old = staged(spark, f"{documents}/{current}") if (current := get_text(spark, f"{documents}/CURRENT")) else staged(spark, f"{documents}/none")
+    write_index(old.join(files.select("path"), "path", "left_anti").unionByName(files), documents)
+    clear_staged(spark, staging)
 
 
 def write_quarantine(scanned: DataFrame, path: str, rebuild_id: str) -> None:
@@ -55,7 +99,20 @@ def write_manifest(row: DataFrame, path: str) -> None:
     put_text(row.sparkSession, path, row.select(F.to_json(F.struct("*"))).first()[0])
 
 
+def json_report(results: DataFrame, path: str) -> None:
+    """A case per line, all of them, in files of JSON."""
+    results.write.mode("overwrite").json(path)
+
+
 def markdown_report(results: DataFrame, limit: int = 1000) -> str:
-    """A table of evaluation results (a report, so limited)."""
+    """A table of evaluation results (a report for people, so limited: a last line tells how many cases it leaves out)."""
+    total = results.count()
     rows = results.select("case_id", (F.size("failures") == 0).alias("passed"), F.array_join("failures", "; ").alias("failures")).orderBy("case_id").limit(limit).collect()
-    return "\n".join(["| case | passed | failures |", "| --- | --- | --- |", *(f"| {r[0]} | {'yes' if r[1] else 'no'} | {r[2]} |" for r in rows)])
+    more = [f"| … {total - len(rows)} more | | |"] if total > len(rows) else []
+    return "\n".join(["| case | passed | failures |", "| --- | --- | --- |", *(f"| {r[0]} | {'yes' if r[1] else 'no'} | {r[2]} |" for r in rows), *more])
+
+
+def release_manifest(spark: SparkSession, path: str, parts: dict[str, DataFrame]) -> None:
+    """One JSON object of named one-row tables, as one file."""
+    rows = {name: row.select(F.to_json(F.struct("*"))).first() for name, row in parts.items()}
+    put_text(spark, path, "{" + ", ".join(f'"{name}": {row[0] if row else "null"}' for name, row in rows.items()) + "}")

@@ -53,6 +53,33 @@ def one_hot(events: DataFrame, column: str, values: list[str]) -> DataFrame:
     return events.withColumns({f"is_{v}": (F.col(column) == v).cast("long") for v in values})
 
 
+def suppressed(x, confidence, least: float = 0.6):
+    """The value where the confidence reaches the least; null elsewhere."""
+    return F.when(confidence >= least, x)
+
+
+STATE = "user_id long, event_id long, event_type string, streak long, since_change double"
+
+
+def keyed_streaks(events: DataFrame) -> DataFrame:
+    """The streaks of :func:`streaks` on a stream, with state per user: the last type, the length of its run and when it began."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def update(key, batches, state):
+        last, streak, began = state.get if state.exists else (None, 0, 0.0)
+        for batch in batches:
+            rows = []
+            for event_id, kind, at in batch.sort_values(["at", "event_id"])[["event_id", "event_type", "at"]].itertuples(index=False):
+                last, streak, began = (kind, streak + 1, began) if kind == last else (kind, 1, at)
+                rows.append((key[0], event_id, kind, streak, at - began))
+            yield pd.DataFrame(rows, columns=["user_id", "event_id", "event_type", "streak", "since_change"])
+        state.update((last, streak, began))
+
+    own = events.select("user_id", "event_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return own.groupBy("user_id").applyInPandasWithState(update, STATE, "last string, streak long, began double", "append", GroupStateTimeout.NoTimeout)
+
+
 def write_daily(events: DataFrame, path: str, checkpoint: str):
     """A stream to Parquet by day, a batch a minute."""
     return events.withColumn("date", F.to_date("ts")).writeStream.trigger(processingTime="60 seconds").partitionBy("date").option("checkpointLocation", checkpoint).format("parquet").start(path)
