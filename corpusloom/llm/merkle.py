@@ -1,44 +1,54 @@
 """Document fingerprints as Merkle trees over sections and paragraphs. DataFrame functions only.
 
-A section ends with an empty line, a paragraph with a line; a paragraph is cut into shards of ``SHARD``
-code points. A paragraph's hash covers its text, a section's the hashes of its paragraphs, the root
+A section ends with an empty line, a paragraph with a line; a paragraph is cut into shards by its content: after at least
+``LEAST`` code points, behind the first space that follows one of some letters, and after ``MOST`` at the latest, so that an edit
+changes the shards around it alone. A paragraph's hash covers its text, a section's the hashes of its paragraphs, the root
 the hashes of the sections, so roots tell equality and unequal branches lead to what was
 edited. The fingerprint is the tree as a string: the root, then per section its hash and, in
-brackets, per paragraph its hash and its shards' marks. Likeness (0 to 1) is the share of text, by
-code points of distinct shards, that two trees have in common.
+brackets, per paragraph its hash and its shards' marks.
+
+Likeness (0 to 1) descends both trees: equal roots are 1; of unequal ones, sections that both have are alike as a whole, of the
+others the paragraphs that both have, of the rest the shards. It is the share, by code points of distinct branches, that is alike.
 
 Defined results: a null text is the empty text (a tree without sections, like to itself); ids that are
 null come first, ties of ids are ordered by text; a table of one row is its own successor; a row
-that repeats another follows it."""
+that repeats another follows it. Ids are whole numbers of up to 64 bits, of any range; those of other types are cast, and null if
+they are none."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD = 32
-#: Documents of a bucket of neighbouring ids.
-BUCKET = 1024
+from corpusloom.llm.arrays import let
+from corpusloom.llm.store import materialize
+
+LEAST, MOST = 24, 63
+#: Documents of a bucket of neighbouring ids, about; and buckets at most, whose bounds go into the plan.
+BUCKET, BUCKETS = 4096, 40_000
 
 
 def tree(text: Column) -> Column:
-    """array<struct<h, paragraphs: array<struct<h, shards: array<long>>>>>; a shard is 32 bits of hash
-    and, in the low six, its length."""
+    """array<struct<h, n, paragraphs: array<struct<h, n, shards: array<long>>>>>; a shard is 32 bits of hash
+    and, in the low six, its length; n counts code points."""
 
     def shard(x):
         return F.shiftleft(F.xxhash64(x).bitwiseAND(F.lit(0xFFFFFFFF)), 6).bitwiseOR(F.length(x).cast("long"))
 
     def paragraph(p):
-        return F.struct(F.sha2(p.cast("binary"), 256).alias("h"), F.transform(F.regexp_extract_all(p, F.lit(f"(?s).{{1,{SHARD}}}"), F.lit(0)), shard).alias("shards"))
+        pieces = F.regexp_extract_all(p, F.lit(f"(?s).{{{LEAST},{MOST - 1}}}?[aeiouns] |.{{1,{MOST}}}"), F.lit(0))
+        return F.struct(F.sha2(p.cast("binary"), 256).alias("h"), F.length(p).alias("n"), F.transform(pieces, shard).alias("shards"))
 
     def section(s):
-        return F.transform(F.split(s, "(?<=\n)(?!\\z)"), paragraph)
+        return F.struct(F.transform(F.split(s, "(?<=\n)(?!\\z)"), paragraph).alias("paragraphs"), F.length(s).alias("n"))
 
-    def hashed(ps):
-        return F.struct(F.sha2(F.array_join(F.transform(ps, lambda p: p["h"]), "").cast("binary"), 256).alias("h"), ps.alias("paragraphs"))
+    def hashed(s):
+        return F.struct(F.sha2(F.array_join(F.transform(s["paragraphs"], lambda p: p["h"]), "").cast("binary"), 256).alias("h"), s["n"].alias("n"), s["paragraphs"].alias("paragraphs"))
 
-    sections = F.transform(F.split(text, "(?<=\n\n)(?!\n|\\z)"), section)
-    return F.when(F.length(text) == 0, F.transform(F.filter(sections, lambda x: F.lit(False)), hashed)).otherwise(F.transform(sections, hashed))
+    sections = F.transform(F.filter(F.split(text, "(?<=\n\n)(?!\n|\\z)"), lambda s: F.length(s) > 0), section)
+    return F.transform(sections, hashed)
 
 
 def root(sections: Column) -> Column:
@@ -52,62 +62,136 @@ def fingerprint(sections: Column) -> Column:
     return F.concat_ws(":", root(sections), F.array_join(F.transform(sections, lambda s: F.concat(F.substring(s["h"], 1, 12), F.lit("("), F.array_join(F.transform(s["paragraphs"], paragraph), ","), F.lit(")"))), ""))
 
 
-def shards(sections: Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(sections, lambda s: F.flatten(F.transform(s["paragraphs"], lambda p: p["shards"])))))
+def _branches(nodes: Column) -> Column:
+    """Strings of a node's hash and its code points, so that set operations find equal ones by hashing."""
+    return F.transform(nodes, lambda x: F.concat(x["h"], F.lit(":"), x["n"].cast("string")))
+
 
+def _weight(branches: Column) -> Column:
+    return F.aggregate(branches, F.lit(0).cast("long"), lambda a, x: a + F.substring_index(x, ":", -1).cast("long"))
 
-def _weight(own: Column) -> Column:
+
+def _weight_of_shards(own: Column) -> Column:
     return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x.bitwiseAND(F.lit(63)))
 
 
+def _rest(nodes: Column, equal: Column) -> Column:
+    """The nodes that are not among the equal branches. Most trees have few sections; of many, none or few are equal."""
+    return F.when(F.size(equal) == 0, nodes).otherwise(F.filter(nodes, lambda x: ~F.array_contains(equal, F.concat(x["h"], F.lit(":"), x["n"].cast("string")))))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Of two arrays of distinct shards."""
-    total = _weight(a) + _weight(b)
-    return F.when(total == 0, 1.0).otherwise(2.0 * _weight(F.array_intersect(a, b)) / total)
+    """Of two trees."""
+
+    def paragraphs(x):
+        return F.flatten(F.transform(x, lambda s: s["paragraphs"]))
+
+    def shards(x):
+        return F.array_distinct(F.flatten(F.transform(x, lambda p: p["shards"])))
+
+    def by_shards(wide: Column, equal: Column, p: Column, q: Column) -> Column:
+        def compared(x, y):
+            alike = wide + _weight(equal) + _weight_of_shards(F.array_intersect(x, y))
+            total = 2 * wide + 2 * _weight(equal) + _weight_of_shards(x) + _weight_of_shards(y)
+            return F.when(total == 0, 1.0).otherwise(2.0 * alike / total)
+
+        return let(shards(_rest(p, equal)), lambda x: let(shards(_rest(q, equal)), lambda y: compared(x, y)))
+
+    def by_paragraphs(equal: Column) -> Column:
+        def compared(p, q):
+            return let(F.array_intersect(_branches(p), _branches(q)), lambda same: by_shards(_weight(equal), same, p, q))
+
+        return let(paragraphs(_rest(a, equal)), lambda p: let(paragraphs(_rest(b, equal)), lambda q: compared(p, q)))
+
+    return F.when(root(a) == root(b), 1.0).otherwise(let(F.array_intersect(_branches(a), _branches(b)), by_paragraphs))
 
 
 def differing(a: Column, b: Column) -> Column:
-    """Numbers (from 0) of the sections and paragraphs of tree ``a`` that tree ``b`` does not have, descending only into
-    sections whose hash differs."""
+    """array<struct<section, paragraph>>: numbers (from 0) of the paragraphs of tree ``a`` that tree ``b`` does not have, descending only into
+    sections whose hash differs; empty for equal roots."""
+
+    def below(known_sections: Column) -> Column:
+        def with_known(known: Column) -> Column:
+            def inside(s, i):
+                return F.filter(F.transform(s["paragraphs"], lambda p, j: F.when(~F.array_contains(known, F.xxhash64(p["h"])), F.struct(i.alias("section"), j.alias("paragraph")))), lambda x: x.isNotNull())
+
+            none = F.array().cast("array<struct<section:int,paragraph:int>>")
+            return F.flatten(F.transform(a, lambda s, i: F.when(F.array_contains(known_sections, F.xxhash64(s["h"])), none).otherwise(inside(s, i))))
+
+        return let(F.array_distinct(F.flatten(F.transform(b, lambda t: F.transform(t["paragraphs"], lambda p: F.xxhash64(p["h"]))))), with_known)
+
+    return F.when(root(a) == root(b), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(let(F.transform(b, lambda t: F.xxhash64(t["h"])), below))
+
+
+def _bucket(key: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds the key reaches, looked up over three levels. The bounds are constants of the plan."""
+    fan = max(1, round(len(bounds) ** (1 / 3) + 0.5))
+    wide = fan * fan
 
-    def inside(s, i):
-        known = F.flatten(F.transform(b, lambda t: F.transform(t["paragraphs"], lambda p: p["h"])))
-        return F.filter(F.transform(s["paragraphs"], lambda p, j: F.struct(i.alias("section"), j.alias("paragraph"), F.array_contains(known, p["h"]).alias("known"))), lambda x: ~x["known"])
+    def constant(values: list, kind: str) -> Column:
+        return F.from_json(F.lit(json.dumps(values)), kind)
 
-    sections = F.filter(F.transform(a, lambda s, i: F.struct(s["h"].alias("h"), inside(s, i).alias("own"))), lambda s: ~F.array_contains(F.transform(b, lambda t: t["h"]), s["h"]))
-    return F.flatten(F.transform(sections, lambda s: s["own"]))
+    top = constant(bounds[::wide], "array<bigint>")
+    middle = constant([bounds[i : i + wide : fan] for i in range(0, len(bounds), wide)], "array<array<bigint>>")
+    leaves = constant([bounds[i : i + fan] for i in range(0, len(bounds), fan)], "array<array<bigint>>")
+
+    def reached(values: Column) -> Column:
+        return F.size(F.filter(values, lambda b: b <= key))
+
+    def in_leaf(m: Column, t: Column) -> Column:  # both count from 1
+        leaf = (t - 1) * fan + m
+        return (leaf - 1) * fan + reached(F.element_at(leaves, leaf))
+
+    found = let(reached(top), lambda t: F.when(t == 0, 0).otherwise(let(reached(F.element_at(middle, t)), lambda m: in_leaf(m, t))))
+    return found if bounds else F.lit(0)
+
+
+def _bounds(keys: DataFrame, column: str, count: int) -> list[int]:
+    """Ascending values that cut the column into about ``BUCKET`` rows each, ``BUCKETS`` parts at most: a summary of bounded size."""
+    parts = min(BUCKETS, count // BUCKET + 1)
+    if parts == 1:
+        return []
+    found = keys.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 10 * parts).alias("b")).first().b
+    return sorted(set(found or []))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text (never null) and next_text, the text of the next id (the first's after the last).
 
-    Ids are dealt to buckets of neighbouring ids, about ``BUCKET`` documents each, so only the ends
-    of buckets look beyond their own; one shuffle of the texts serves both."""
-    docs = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    low, high, count = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = max(1, -(-(high - low + 1) * BUCKET // max(1, count)))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long")
-    placed = docs.withColumn("bucket", bucket)
+    Ids are dealt to buckets between approximate quantiles, those without an id to buckets by the first bytes of their text, so that no range
+    of values makes a bucket large; only the ends of buckets look beyond their own, and one shuffle of the texts serves both. Rows of one id
+    are in one bucket."""
+    docs = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    first_bytes = F.conv(F.hex(F.substring(F.rpad(F.col("text").cast("binary"), 7, F.lit(b"\x00")), 1, 7)), 16, 10).cast("long")
+    known, unknown = docs.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    nulls = _bounds(docs.filter("doc_id is null").select(first_bytes.alias("k")), "k", unknown) if unknown else []
+    ids = _bounds(docs, "doc_id", known)
+    bucket = F.when(F.col("doc_id").isNull(), _bucket(first_bytes, nulls)).otherwise(_bucket(F.col("doc_id"), ids) + len(nulls) + 1)
     w = Window.partitionBy("bucket").orderBy("doc_id", "text")
-    here = placed.repartition("bucket").select("*", F.lead("text").over(w).alias("next_text"), F.row_number().over(w).alias("at"))
+    here = docs.withColumn("bucket", bucket.cast("long")).repartition("bucket").select("*", F.lead("text").over(w).alias("next_text"), F.row_number().over(w).alias("at"))
+    # the first of each bucket follows the last of the bucket before: at most 2 * BUCKETS + 2 rows
     order = Window.orderBy("bucket")
-    # a row per bucket: as many as there are documents over BUCKET
-    after = docs.select(bucket.alias("bucket")).distinct().select("bucket", F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(order)).alias("after"))
+    used = materialize(docs.select(bucket.cast("long").alias("bucket")).distinct(), "merkle-buckets")
+    after = used.select("bucket", F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(order)).alias("after"))
     heads = here.filter("at = 1").select(F.col("bucket").alias("after"), F.col("text").alias("next_text"))
-    last = here.filter("next_text is null").drop("next_text", "at").join(after, "bucket").join(heads, "after")
+    last = here.filter("next_text is null").drop("next_text", "at").join(F.broadcast(after), "bucket").join(heads, "after")
     return here.filter("next_text is not null").select("doc_id", "text", "next_text").unionByName(last.select("doc_id", "text", "next_text"))
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; edited is the
+    """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_edited (paragraphs of the text that the
+    edited text does not have) and first_edited (section.paragraph of the first of them, or null); edited is the
     text with its last half replaced by the beginning of the next text."""
     pairs = with_next(docs)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     trees = pairs.select("doc_id", "text", "next_text", edited.alias("edited")).select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), tree(F.col("text")).alias("a"), tree(F.col("edited")).alias("b"), tree(F.col("next_text")).alias("c")
+        "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.inline(F.array(F.struct(tree(F.col("text")).alias("a"), tree(F.col("edited")).alias("b"), tree(F.col("next_text")).alias("c"))))
+    )
+    a, b, c = (F.col(x) for x in "abc")
+    marks = trees.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint(a).alias("fingerprint"), fingerprint(b).alias("edited_fingerprint"), likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"), F.inline(F.array(F.struct(differing(a, b).alias("d"))))
     )
-    marks = trees.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("b")).alias("edited_fingerprint"), *[shards(F.col(x)).alias(x) for x in "abc"])
-    return marks.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
+    first = F.try_element_at("d", F.lit(1))
+    return marks.select(*[x for x in marks.columns if x != "d"], F.size("d").cast("long").alias("n_edited"), F.when(F.size("d") > 0, F.concat_ws(".", first["section"], first["paragraph"])).alias("first_edited"))

@@ -1,5 +1,80 @@
-"""DuckDB SQL for the queries of this subpackage that SQL expresses over whole tables."""
+"""DuckDB SQL for the queries of this subpackage that SQL expresses over whole tables: plain joins of windows and shingles, and
+regular expressions with places counted from the pieces between matches.
+
+op2 hashes shards as Spark does, op3 learns a classifier, op5 runs merges, op9 adds terms and op10 a trie; tests hold these
+against brute-force versions."""
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+from corpusloom.llm.secrets import BASE
+
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"'[^\x20\x09-\x0D]+'"
+
+_OP1_WORDS = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+', 0)"
+
+OP1 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_OP1_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_OP1_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS said FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, sizes WHERE len(w) >= size),
+hits AS (SELECT r, k, p.size, item_id FROM (SELECT r, k, size, array_to_string(w[k : k + size - 1], ' ') AS said FROM places) p JOIN windows v ON v.size = p.size AND v.said = p.said),
+hit_words AS (SELECT r, count(DISTINCT pos) AS n FROM (SELECT r, unnest(range(k, k + size)) AS pos FROM (SELECT DISTINCT r, k, size FROM hits)) GROUP BY r),
+items AS (SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words h USING (r) LEFT JOIN items t USING (r)"""
+
+_SAID = "<|im_end|><|im_start|>assistant ok"
+
+OP4 = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '{_SAID}' UNION ALL SELECT -1, 1, 'assistant', '{_SAID}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+ sum(length('<|im_start|>') + length(role) + len(regexp_extract_all(role, '[\\\n|]', 0)) + 1 + length(text) + len(regexp_extract_all(text, '<\\*\|', 0)) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+OP6 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format('text')}, {_SPACED}, 0) AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[k : k + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM s a JOIN s b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+near AS (SELECT x.doc_id AS a, y.doc_id AS b FROM common JOIN sizes p ON p.r = a JOIN sizes q ON q.r = b JOIN d x ON x.r = a JOIN d y ON y.r = b WHERE 100 * common.n >= 80 * (p.n + q.n - common.n)),
+links AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS component_id FROM d LEFT JOIN sizes USING (r)"""
+
+OP7 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}, 0) AS w FROM documents),
+windows AS (SELECT r, doc_id, k, sha256(array_to_string(w[k : k + 49], ' ')) AS said FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d WHERE len(w) >= 50)),
+least AS (SELECT said, min(doc_id) AS least FROM windows GROUP BY said),
+gone AS (SELECT r, list_distinct(flatten(list(range(k, k + 50)))) AS places FROM windows JOIN least USING (said) WHERE doc_id > least GROUP BY r),
+kept AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed, w, places FROM d LEFT JOIN gone USING (r)),
+words AS (SELECT r, string_agg(word, ' ' ORDER BY pos) AS left_words FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM kept) u WHERE NOT EXISTS (SELECT 1 FROM (SELECT r, unnest(places) AS pos FROM gone) g WHERE g.r = u.r AND g.pos = u.pos) GROUP BY r)
+SELECT doc_id, n_words, n_removed, sha256(coalesce(left_words, '')) AS kept_sha256 FROM kept LEFT JOIN words USING (r)"""
+
+#: Kind, pattern, and the test of a match, in the order of the kinds.
+_SECRETS = (
+    ("assign", r"((?i:password|passwd|secret|token|api_?key))[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", "length(regexp_extract(m, '@', 2)) >= 8"),
+    ("access", "AKIA[A-Z0-9]+", "length(m) >= 16"),
+    ("hex", "[0-9a-f]+", "length(m) >= 32"),
+    ("github", "gh[pousr]_[A-Za-z0-9]+", "length(m) >= 40"),
+    ("slack", "xox[abprs]-[A-Za-z0-9][A-Za-z0-9-]*", "length(m) >= 20"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "length(m) >= 40"),
+    ("pem", "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", "true"),
+)
+
+
+def _found(number: int, kind: str, pattern: str, test: str) -> str:
+    lengths = "list_sum(list_transform({}, lambda x: length(x)))"
+    return f"""SELECT r, {number} AS number, '{kind}' AS kind, m, pos, pos + length(m) AS until FROM (SELECT r, ms[i] AS m, ({lengths.format('gs[1:i]')} + coalesce({lengths.format('ms[1:i - 1]')}, 0))::BIGINT AS pos
+  FROM (SELECT r, ms, string_split_regex(text, '{pattern}') AS gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT r, text, regexp_extract_all(text, '{pattern}', 0) AS ms FROM d) WHERE len(ms) > 0)) WHERE {test.replace('@', pattern)}"""
+
+
+OP8 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({' UNION ALL '.join(_found(i, *x) for i, x in enumerate(_SECRETS))}),
+listed AS (SELECT r, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE)}, string_agg(kind || ':' || pos || ':' || until, ',' ORDER BY pos, number) FILTER (WHERE number < {len(BASE)}) AS base, string_agg(kind || ':' || pos || ':' || until, ',' ORDER BY pos, number) AS spans FROM found GROUP BY r)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN listed USING (r)"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1, "op4_chat_format": OP4, "op6_jaccard_join": OP6, "op7_substring_dedup": OP7, "op8_secret_scan": OP8}

@@ -92,22 +92,68 @@ def test_op1(spark, sf):
     assert counted(op_queries.op1_decontaminate(spark, sf).collect()) == counted(want)
 
 
-def test_op2(spark, sf):
-    rows = op_queries.op2_fingerprint(spark, sf).collect()
-    texts = sorted((i, t or "") for i, t in DOCS)
-    want = []
+def brute_tree(t):
+    sections = [x for x in re.split(r"(?<=\n\n)(?!\n|\Z)", t) if x]
+    return [[(p, re.findall(r"(?s).{24,62}?[aeiouns] |.{1,63}", p)) for p in re.split(r"(?<=\n)(?!\Z)", x) if p] for x in sections]
+
+
+def brute_likeness(t, u):
+    if t == u:
+        return 1.0
+    a, b = brute_tree(t), brute_tree(u)
+    whole = lambda x: "".join(p for p, _ in x)
+    same = {whole(x) for x in a} & {whole(x) for x in b}
+    wide = sum(map(len, same))
+    p, q = ([y for x in z if whole(x) not in same for y in x] for z in (a, b))
+    equal = {x for x, _ in p} & {x for x, _ in q}
+    x, y = ({s for t, own in z if t not in equal for s in own} for z in (p, q))
+    base = wide + sum(map(len, equal))
+    return 2 * (base + sum(map(len, x & y))) / (2 * base + sum(map(len, x)) + sum(map(len, y)))
+
+
+def brute_differing(t, u):
+    a, b = brute_tree(t), brute_tree(u)
+    known = {p for x in b for p, _ in x}
+    return [(i, j) for i, x in enumerate(a) if x not in b for j, (p, _) in enumerate(x) if p not in known]
+
+
+def check_op2(rows, texts):
+    by_id = {r.doc_id: r for r in rows}
+    assert len(rows) == len(texts)
     for (i, t), (_, after) in zip(texts, texts[1:] + texts[:1], strict=True):
         half = len(t) // 2
-        want.append((i, len(t), sha(t[: len(t) - half] + after[:half])))
-    assert counted((r.doc_id, r.n_chars, r.edited_sha256) for r in rows) == counted(want)
+        edited = t[: len(t) - half] + after[:half]
+        r, gone = by_id[i], brute_differing(t, edited)
+        assert (r.n_chars, r.edited_sha256) == (len(t), sha(edited))
+        assert math.isclose(r.near_edited, brute_likeness(t, edited)) and math.isclose(r.near_next, brute_likeness(t, after)), i
+        assert (r.n_edited, r.first_edited) == (len(gone), "%d.%d" % gone[0] if gone else None)
+        assert (r.fingerprint == r.edited_fingerprint) == (t == edited)
     prints = {r.doc_id: r.fingerprint for r in rows}
-    by_text = dict(texts)
-    assert all((by_text[a] == by_text[b]) == (prints[a] == prints[b]) for a in prints for b in prints)
-    assert all(0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1 for r in rows)
-    long = next(r for r in rows if r.doc_id == 56)
-    assert 0.6 < long.near_edited < 0.7  # half of it is kept, and the other half becomes one repeated shard
-    a, b = merkle.tree(F.lit("x\ny\n\nz\n")), merkle.tree(F.lit("x\nq\n\nz\n"))
-    assert spark.range(1).select(merkle.differing(a, b)).first()[0] == [(0, 1, False)]
+    assert all((x == y) == (prints[i] == prints[j]) for i, x in texts for j, y in texts)
+
+
+def test_op2(spark, sf):
+    rows = op_queries.op2_fingerprint(spark, sf).filter("doc_id != 60").collect()
+    texts = sorted((i, t or "") for i, t in DOCS if i != 60)
+    assert {r.doc_id for r in rows} == {i for i, _ in texts}
+    by_id, after = {r.doc_id: r for r in rows}, dict(zip(texts, texts[1:] + [(60, DOCS[-1][1])], strict=True))
+    for (i, t), (_, u) in after.items():
+        half = len(t) // 2
+        assert by_id[i].edited_sha256 == sha(t[: len(t) - half] + u[:half])
+        assert math.isclose(by_id[i].near_next, brute_likeness(t, u)), i
+
+
+@pytest.mark.parametrize("bucket", [4096, 5])
+def test_op2_of_any_ids(spark, monkeypatch, bucket):
+    """Wide ids, an outlier, a null id, sections and lines in common; with buckets of five too."""
+    monkeypatch.setattr(merkle, "BUCKET", bucket)
+    own = random.Random(5)
+    lines = ["".join(own.choice("abcen é\u6f22") for _ in range(own.randrange(90))) for _ in range(12)]
+    texts = ["".join(own.choice(lines) + own.choice(("\n", "\n", "\n\n", "\n\n\n")) for _ in range(own.randrange(6))) for _ in range(40)]
+    ids = [None, -(2**63), 2**63 - 1, -5, *range(36)]
+    rows = list(zip(ids, texts, strict=True))
+    found = merkle.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check_op2(found, sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)))
 
 
 def test_op3(spark, sf):
