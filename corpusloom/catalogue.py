@@ -312,12 +312,14 @@ def label_similarities(spark, d):
 
 #: Lexical and hybrid searches ask the whole text of every benchmark item whose id is divisible by 20; the vector of the same id stands for its embedding.
 _NORM = _strip("translate(replace(lower(text), chr(8203), ''), '“”‘’', '\"\"''''')")
-_LEX_SIDE = f"SELECT doc_id, source, norm, toks, {_contentful_sql('toks')} AS terms, list_distinct(list_filter(toks, lambda t: regexp_matches(t, '[._/:]|^--'))) AS phrases FROM (SELECT *, {_tokens_sql('norm')} AS toks FROM (SELECT doc_id, source, {_NORM} AS norm FROM @TABLE))"
+_QUOTED_SQL = f"list_filter(list_transform(regexp_extract_all(text, {_quote(rules.QUOTED)}, 0), lambda q: lower({_strip('substr(q, 2, length(q) - 2)')})), lambda q: q <> '')"
+_MORE_SQL = ", ".join(f"CASE WHEN contains(norm, {_quote(a)}) AND ({' OR '.join(f'contains(norm, {_quote(o)})' for o in b) or 'true'}) THEN [{', '.join(map(_quote, p))}] ELSE [] END" for a, b, p in rules.EXPANSIONS)
+_LEX_SIDE = f"SELECT doc_id, source, norm, toks, {_contentful_sql('toks')} AS terms, list_distinct(flatten([{_QUOTED_SQL}, list_filter(toks, lambda t: regexp_matches(t, '[._/:]|^--')), {_MORE_SQL}])) AS phrases FROM (SELECT *, {_tokens_sql('norm')} AS toks FROM (SELECT doc_id, source, text, {_NORM} AS norm FROM @TABLE))"
 _LEX_ALL = f"""WITH c AS ({_LEX_SIDE.replace('@TABLE', 'documents')}), q AS ({_LEX_SIDE.replace('@TABLE', "(SELECT item_id AS doc_id, '' AS source, text FROM benchmark WHERE item_id % 20 = 0)")}),
 s AS (SELECT q.doc_id AS query_id, c.doc_id AS point_id, len(list_intersect(q.terms, c.terms)) AS matched,
  round(least(1.0, CASE WHEN len(q.terms) = 0 THEN 0 ELSE 0.45::DOUBLE * len(list_intersect(q.terms, c.terms))::DOUBLE / greatest(len(q.terms), 1) + 0.10::DOUBLE * len(list_intersect(q.terms, c.terms))::DOUBLE / sqrt((len(q.terms) * greatest(len(c.terms), 1))::DOUBLE) END
  + coalesce(list_sum(list_transform(list_filter(q.phrases, lambda p: contains(c.norm, p)), lambda p: CASE WHEN regexp_matches(p, '^--|[_/.()]|^[0-9]+$') THEN 0.65::DOUBLE ELSE 0.45::DOUBLE END)), 0)
- + 0.10::DOUBLE * len(list_filter(q.toks, lambda t: regexp_matches(t, '[./]|^--') AND contains(c.norm, t)))), 9) AS score FROM q, c),
+ + 0.10::DOUBLE * len(list_filter(q.toks, lambda t: length(t) >= 2 AND regexp_matches(t, '[./]|^--') AND contains(c.norm, t)))), 9) AS score FROM q, c),
 lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, matched DESC, point_id) AS rank FROM s WHERE score > 0) WHERE rank <= 32)"""
 
 

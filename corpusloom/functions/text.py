@@ -86,9 +86,25 @@ def lexical_norm(x: Column) -> Column:
     return strip(F.translate(x, "“”‘’", "\"\"''"))
 
 
-def phrases(own: Column) -> Column:
-    """Tokens that count as exact phrases: with . _ / : in them or beginning with --."""
-    return F.array_distinct(F.filter(own, lambda t: t.rlike("[._/:]|^--")))
+def quoted(x: Column) -> Column:
+    """Spans between backticks or quotes, in lower case; blank ones go."""
+    whole = F.regexp_extract_all(x, F.lit(rules.QUOTED), F.lit(0))
+    return F.filter(F.transform(whole, lambda q: F.lower(strip(F.substring(q, F.lit(2), F.length(q) - 2)))), lambda q: q != "")
+
+
+def phrases(x: Column) -> Column:
+    """Exact phrases of a query, each once: quoted spans, tokens with . _ / : in them or beginning with --, and what the table of
+    expansions adds."""
+    norm = lexical_norm(x)
+    marked = F.filter(tokens(x), lambda t: t.rlike("[._/:]|^--"))
+    more = []
+    for first, others, added in rules.EXPANSIONS:
+        asked = F.contains(norm, F.lit(first))
+        for i, o in enumerate(others):
+            other = F.contains(norm, F.lit(o)) if i == 0 else other | F.contains(norm, F.lit(o))
+        more.append(F.when(asked & other if others else asked, F.array(*map(F.lit, added))).otherwise(F.array().cast("array<string>")))
+    found = F.transform(F.array_distinct(F.concat(quoted(x), marked, *more)), lexical_norm)
+    return F.filter(found, lambda p: p != "")
 
 
 def markdown_cell(x: Column) -> Column:

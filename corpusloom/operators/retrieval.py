@@ -3,21 +3,27 @@ queries is a small table; it is broadcast only behind a check of its size."""
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 
-#: Queries that are broadcast at once.
-QUERIES = 10_000
+#: Queries that are broadcast at once, and the bytes that they may hold.
+QUERIES, QUERY_BYTES = 10_000, 64_000_000
 
 
-def query_blocks(queries: DataFrame, most: int = QUERIES) -> list[DataFrame]:
-    """The queries in blocks, each small enough to broadcast; the points are read once for each block.
-    Blocks are dealt by a hash of query_id, half of ``most`` on average, so that none exceeds it."""
+def query_blocks(queries: DataFrame, most: int = QUERIES, row_bytes: int = 0) -> list[DataFrame]:
+    """The queries in blocks, each small enough to broadcast (``most`` rows, and ``QUERY_BYTES`` of rows of ``row_bytes``); the points are read
+    once for each block. Blocks are dealt by a hash of query_id, half of ``most`` on average, so that none exceeds it."""
     n = queries.count()
+    most = min(most, max(1, QUERY_BYTES // row_bytes)) if row_bytes else most
     if n <= most:
         return [F.broadcast(queries)]
     blocks = -(-2 * n // most)
@@ -47,19 +53,57 @@ def ranked(hits: DataFrame, k: int, *order: Column) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Rows over their L2 norms, as doubles; zero vectors stay."""
+    if not len(vectors):
+        return np.zeros((0, 0))
+    rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    norms = np.sqrt((rows * rows).sum(1, keepdims=True))
+    return rows / np.where(norms == 0, 1.0, norms)
+
+
+#: Scores that a worker holds at once.
+SCORES = 4_000_000
+
+
+def _scores(points: DataFrame, block: DataFrame, k: int | None, threshold: float | None) -> DataFrame:
+    """(query_id, point_id, score): a matrix product per Arrow batch of points with the block's queries. Of each batch and query the ``k``
+    best come out (None: all), with what ties with the last of them."""
+    asked = block.select("query_id", "vector").toArrow()  # a block is bounded in rows and bytes
+    kinds = {f.name: f.dataType.simpleString() for f in [block.schema["query_id"], points.schema["point_id"]]}
+    shared = points.sparkSession.sparkContext.broadcast((asked["query_id"].combine_chunks(), _matrix(asked["vector"].combine_chunks())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = shared.value
+        step = max(1, SCORES // max(1, len(ids)))
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
+            if not len(ids):
+                continue
+            score = np.round(_matrix(batch.column(1)) @ queries.T, 9) + 0.0
+            keep = np.ones(score.shape, bool)
+            if k is not None and len(score) > k:
+                keep = score >= np.partition(score, len(score) - k, axis=0)[len(score) - k]
+            if threshold is not None:
+                keep &= score >= threshold
+            point, query = np.nonzero(keep)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), batch.column(0).take(pa.array(point)), pa.array(score[point, query])], names=["query_id", "point_id", "score"])
+
+    own = points.filter(F.size("embedding") > 0).select("point_id", "embedding")
+    return own.mapInArrow(run, f"query_id {kinds['query_id']}, point_id {kinds['point_id']}, score double")
+
+
+def _row_bytes(queries: DataFrame) -> int:
+    return 8 * (queries.agg(F.max(F.size("vector"))).first()[0] or 1)
+
+
 def dense_search(points: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, criteria: dict | None = None) -> DataFrame:
-    """``points``: point_id, embedding, payload; ``queries``: query_id, vector. Cosine, best first, ties by point_id."""
+    """``points``: point_id, embedding, payload; ``queries``: query_id, vector. Cosine, best first, ties by point_id. Points or queries without a
+    vector are in no result; all vectors have one length."""
     where = match_filter(**(criteria or {}))
     points = points if where is None else points.filter(where)
-    points = points.select("point_id", unit(F.col("embedding")).alias("u"))
-
-    def found(block: DataFrame) -> DataFrame:
-        hits = points.join(block, F.lit(True)).select("query_id", "point_id", F.round(dot(F.col("u"), F.col("q")), 9).alias("score"))
-        hits = hits if threshold is None else hits.filter(F.col("score") >= threshold)
-        return ranked(hits, k, F.desc("score"), F.asc("point_id"))
-
-    blocks = query_blocks(queries.select("query_id", unit(F.col("vector")).alias("q")))
-    return reduce(DataFrame.unionByName, map(found, blocks))
+    queries = queries.select("query_id", "vector").filter(F.size("vector") > 0)
+    found = [ranked(_scores(points, block, k, threshold), k, F.desc("score"), F.asc("point_id")) for block in query_blocks(queries, row_bytes=_row_bytes(queries))]
+    return reduce(DataFrame.unionByName, found)
 
 
 def scroll(points: DataFrame, criteria: dict, limit: int) -> DataFrame:
@@ -88,62 +132,63 @@ def retrieve(points: DataFrame, queries: DataFrame, initial: int, final: int, th
 
 
 def similarities(points: DataFrame) -> DataFrame:
-    """(a, b, score) of every pair of a small set of points, each with itself, at most ``QUERIES`` of them."""
-    if points.limit(QUERIES + 1).count() > QUERIES:
-        raise ValueError(f"a matrix is made of at most {QUERIES} points")
-    a, b = (points.select(F.col("point_id").alias(n), unit(F.col("embedding")).alias(f"u_{n}")) for n in "ab")
-    return a.join(F.broadcast(b), F.lit(True)).select("a", "b", dot(F.col("u_a"), F.col("u_b")).alias("score"))
-
-
-def lexical_parts(x: Column) -> tuple[Column, Column]:
-    own = T.tokens(T.lexical_norm(x))
-    return T.contentful(own), own
+    """(a, b, score) of every pair of points, each with itself: a matrix, so as many rows as the square of the points, worked out in blocks
+    of bounded size."""
+    own = points.select(F.col("point_id").alias("query_id"), F.col("embedding").alias("vector")).filter(F.size("vector") > 0)
+    blocks = query_blocks(own, row_bytes=_row_bytes(own))
+    return reduce(DataFrame.unionByName, [_scores(points, block, None, None) for block in blocks]).select(F.col("query_id").alias("a"), F.col("point_id").alias("b"), "score")
 
 
-def phrase_weights(own: Column) -> Column:
-    """Phrases of a query with what each adds where a text holds it: 0.65 or 0.45, and 0.10 for every time it is given as a technical token."""
-    exact = lambda p: F.when(p.rlike(r"^--|[_/.()]|^[0-9]+$"), 0.65).otherwise(0.45)
-    times = lambda p: F.when(p.rlike(r"[./]|^--"), F.size(F.filter(own, lambda t: t == p))).otherwise(0)
-    return F.transform(T.phrases(own), lambda p: F.struct(p.alias("phrase"), (exact(p) + 0.10 * times(p)).alias("weight")))
+def phrase_weights(x: Column) -> Column:
+    """Phrases of a query with what each adds where a text holds it: 0.65 or 0.45 for an exact phrase, and 0.10 for every time that a technical token is
+    given."""
+    exact = F.transform(T.phrases(x), lambda p: F.struct(p.alias("phrase"), F.when(p.rlike(r"^--|[_/.()]|^[0-9]+$"), 0.65).otherwise(0.45).alias("weight")))
+    technical = F.filter(T.tokens(x), lambda t: t.rlike(r"[./]|^--") & (F.length(t) >= 2))
+    return F.concat(exact, F.transform(technical, lambda t: F.struct(t.alias("phrase"), F.lit(0.10).alias("weight"))))
 
 
-def lexical_score(shared: Column, q_size: Column, size: Column, q_phrases: Column, marked: Column) -> Column:
-    """Overlap of terms (``shared`` of the query's and the text's), and the weights of phrases found in its marked tokens; 1 at most."""
-    shared = shared.cast("double")
-    overlap = F.when(q_size == 0, 0.0).otherwise(0.45 * shared / F.greatest(q_size, F.lit(1)) + 0.10 * shared / F.sqrt((q_size * F.greatest(size, F.lit(1))).cast("double")))
-    return F.least(F.lit(1.0), F.aggregate(q_phrases, overlap, lambda s, x: s + F.when(F.contains(marked, x["phrase"]), x["weight"]).otherwise(0.0)))
-
-
-#: Queries of a block of a lexical search: its terms are looked up in each text once.
+#: Queries of a block of a lexical search.
 LEXICAL_QUERIES = 500
 
 
 def lexical_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``chunks``: point_id, text; ``queries``: query_id, query. (query_id, point_id, score, matched, rank); rows that score 0 are dropped.
 
-    Each text is cut once to the terms that some query of the block has, so that a pair costs the shared terms and the query's
-    phrases, not the text's terms. A token is a maximal run of its characters, and a phrase has a mark (. _ / : or --) in it, so
-    the text holds the phrase exactly if one of its tokens with a mark does. The two ``inline`` are barriers: code generated for the join would cut the text again for
-    every pair, and a filter on the score would work it out a second time."""
-    chunks = chunks.select("point_id", T.tokens(T.lexical_norm(F.col("text"))).alias("own"))
+    The terms of a text meet the queries' terms in an equi-join, so that a pair of a text and a query exists only where they share a term or the
+    text holds a phrase of the query. A block's distinct phrases are looked for in each text: those of one token (with a mark: . _ / : or --) among the
+    text's tokens with a mark, since a token is a maximal run of its characters, the others in the whole text."""
+    parts = F.struct(T.tokens(T.lexical_norm(F.col("text"))).alias("own"), T.lexical_norm(F.coalesce("text", F.lit(""))).alias("norm"))
+    chunks = chunks.select("point_id", F.inline(F.array(parts)))  # a barrier: what follows does not cut the text again
     marked = F.array_join(F.array_distinct(F.filter("own", lambda t: t.rlike("[._/:]|--"))), " ")
-    chunks = chunks.select("point_id", T.contentful(F.col("own")).alias("terms"), marked.alias("marked"))
-    q_terms, own = lexical_parts(F.col("query"))
-    queries = queries.select("query_id", q_terms.alias("q_terms"), phrase_weights(own).alias("q_phrases"))
+    cut = F.struct(T.contentful(F.coalesce("own", F.array().cast("array<string>"))).alias("terms"), marked.alias("marked"), F.col("norm"))
+    chunks = chunks.select("point_id", F.inline(F.array(cut)))
+    queries = queries.select("query_id", T.contentful(T.tokens(T.lexical_norm(F.col("query")))).alias("q_terms"), phrase_weights(F.col("query")).alias("q_phrases"))
 
     def found(block: DataFrame) -> DataFrame:
-        asked = F.broadcast(block.agg(F.array_distinct(F.flatten(F.collect_list("q_terms"))).alias("asked")))
-        cut = F.struct(F.size("terms").alias("size"), F.array_intersect("terms", "asked").alias("terms"))
-        own = chunks.join(asked, F.lit(True)).select("point_id", "marked", F.inline(F.array(cut)))
-        shared = F.size(F.array_intersect("q_terms", "terms"))
-        score = lambda n: F.round(lexical_score(n, F.size("q_terms"), F.col("size"), F.col("q_phrases"), F.col("marked")), 9)
-        scored = F.transform(F.array(shared), lambda n: F.struct(score(n).alias("score"), n.cast("long").alias("matched")))
-        hits = own.join(block, F.lit(True)).select("query_id", "point_id", F.inline(F.filter(scored, lambda x: x["score"] > 0)))
+        terms = F.broadcast(block.select("query_id", F.explode("q_terms").alias("term")))
+        weights = block.select("query_id", F.explode("q_phrases").alias("p")).select("query_id", "p.phrase", "p.weight").groupBy("query_id", "phrase").agg(F.sum("weight").alias("weight"))
+        known = [r[0] for r in weights.select("phrase").distinct().collect()]  # of a block of queries
+        shared = chunks.select("point_id", F.size("terms").alias("size"), F.explode("terms").alias("term")).join(terms, "term").select("query_id", "point_id", "size", F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("weight"))
+        if known:
+            one = F.from_json(F.lit(json.dumps([p for p in known if _ONE_TOKEN.fullmatch(p)])), "array<string>")
+            more = F.from_json(F.lit(json.dumps([p for p in known if not _ONE_TOKEN.fullmatch(p)])), "array<string>")
+            held = F.concat(F.filter(one, lambda p: F.contains(F.col("marked"), p)), F.filter(more, lambda p: F.contains(F.col("norm"), p)))
+            held = chunks.select("point_id", F.size("terms").alias("size"), F.explode(held).alias("phrase"))
+            shared = shared.unionByName(held.join(F.broadcast(weights), "phrase").select("query_id", "point_id", "size", F.lit(0).cast("long").alias("n"), "weight"))
+        sizes = F.broadcast(block.select("query_id", F.size("q_terms").alias("q_size")))
+        pairs = shared.groupBy("query_id", "point_id").agg(F.max("size").alias("size"), F.sum("n").alias("matched"), F.sum("weight").alias("weight")).join(sizes, "query_id")
+        n = F.col("matched").cast("double")
+        overlap = F.when(F.col("q_size") == 0, 0.0).otherwise(0.45 * n / F.greatest("q_size", F.lit(1)) + 0.10 * n / F.sqrt((F.col("q_size") * F.greatest("size", F.lit(1))).cast("double")))
+        hits = pairs.select("query_id", "point_id", F.round(F.least(F.lit(1.0), overlap + F.col("weight")), 9).alias("score"), "matched").filter("score > 0")
         return ranked(hits, k, F.desc("score"), F.desc("matched"), F.asc("point_id"))
 
     return reduce(DataFrame.unionByName, map(found, query_blocks(queries, LEXICAL_QUERIES)))
 
 
+#: A phrase that can only stand inside one token with a mark.
+_ONE_TOKEN = re.compile(r"[A-Za-z0-9_./:-]*(?:[._/:]|--)[A-Za-z0-9_./:-]*")
+
+
 def with_neighbours(hits: DataFrame, chunks: DataFrame, k: int, window: int = 1, score: float = 0.30) -> DataFrame:
     """Adds chunks within ``window`` places of a hit in the same source. ``chunks``: point_id, source, place. Places are
     consecutive per source, so this is an equi-join on (source, place)."""
