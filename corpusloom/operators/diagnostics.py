@@ -23,7 +23,7 @@ def read_json_files(spark: SparkSession, folder: str) -> DataFrame:
     if not fs.exists(p):
         return spark.createDataFrame([], schema)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
-    return files.select("path", F.col("modificationTime").alias("modified"), F.decode("content", F.lit("UTF-8")).alias("json"))
+    return files.select("path", F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("json"))
 
 
 def summaries(manifests: DataFrame) -> DataFrame:
@@ -71,5 +71,7 @@ def read_settings(spark: SparkSession, path: str) -> DataFrame:
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return spark.createDataFrame([], "key string, value string")
-    whole = spark.read.text(path, wholetext=True)
-    return parse_settings(whole.select(F.posexplode(F.split("value", "\r?\n")).alias("place", "value")))
+    stream = fs.open(p)  # not by Spark's readers, which leave out names that begin with a dot
+    text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return parse_settings(spark.createDataFrame(list(enumerate(text.splitlines())), "place long, value string"))

@@ -9,6 +9,7 @@ import io
 import json
 import zipfile
 from collections.abc import Callable
+from datetime import UTC, datetime
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -28,13 +29,34 @@ Unit = dict
 Loader = Callable[[bytes, str], tuple[list[Unit], list[str]]]
 
 
-def discover(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
-    """path (relative, POSIX), modified, size and content of all files below ``root``. Spark's readers
-    leave out names that begin with a dot or an underscore, which is what skips hidden paths here."""
+def _left_out(spark: SparkSession, root: str) -> list[tuple]:
+    """Files that Spark's readers leave out, since a name on their path begins with a dot or an underscore: path, modified, size."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base, found = fs.makeQualified(top).toString() + "/", []
+    files = fs.listFiles(top, True)
+    while files.hasNext():
+        f = files.next()
+        path = f.getPath().toString().removeprefix(base)
+        if any(part[:1] in "._" for part in path.split("/")):
+            found.append((path, datetime.fromtimestamp(f.getModificationTime() / 1000, UTC), f.getLen()))
+    return found
+
+
+def discover(spark: SparkSession, root: str, content: bool = True, left_out: bool = True) -> DataFrame:
+    """path (relative, POSIX), modified, size and content of all files below ``root``; a missing folder has none. Files that Spark's
+    readers leave out (with a dot or an underscore before a name) are rows without content, which costs a listing by the driver."""
+    columns = "path string, modified timestamp, size long" + ", content binary" * content
     base = root.rstrip("/")
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    if not top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(top):
+        return spark.createDataFrame([], columns)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     relative = F.regexp_replace("path", "^.*?" + "\\Q" + base.split("://")[-1] + "\\E/", "")
-    return files.select(relative.alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), *(["content"] if content else []))
+    files = files.select(relative.alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), *(["content"] if content else []))
+    others = _left_out(spark, base) if left_out else []
+    return files.unionByName(spark.createDataFrame([(*r, None)[: 3 + content] for r in others], columns)) if others else files
 
 
 def decode(data: bytes) -> tuple[str, str]:
@@ -72,6 +94,7 @@ def load_csv(data: bytes, title: str) -> tuple[list[Unit], list[str]]:
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _X = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
 def load_docx(data: bytes, title: str) -> tuple[list[Unit], list[str]]:
@@ -95,11 +118,12 @@ def load_docx(data: bytes, title: str) -> tuple[list[Unit], list[str]]:
 def load_xlsx(data: bytes, title: str) -> tuple[list[Unit], list[str]]:
     book = zipfile.ZipFile(io.BytesIO(data))
     strings = ["".join(t.text or "" for t in s.iter(f"{_X}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in book.namelist() else []
-    names = [s.get("name") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_X}sheet")]
+    targets = {r.get("Id"): r.get("Target", "").lstrip("/").removeprefix("xl/") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    sheets = [(s.get("name"), targets[s.get(_ID)]) for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_X}sheet")]
     out = []
-    for number, name in enumerate(names, 1):
+    for name, target in sheets:
         rows = []
-        for r in ElementTree.fromstring(book.read(f"xl/worksheets/sheet{number}.xml")).iter(f"{_X}row"):
+        for r in ElementTree.fromstring(book.read(f"xl/{target}")).iter(f"{_X}row"):
             cells = []
             for c in r.iter(f"{_X}c"):
                 letters = "".join(filter(str.isalpha, c.get("r", "")))
@@ -145,13 +169,15 @@ def load(files: DataFrame, loaders: dict[str, Loader] | None = None) -> DataFram
     source = files.select("path", status.alias("status"), T.extension(F.col("path")).alias("ext"), T.title(F.col("path")).alias("title"), F.when(status.isNull(), F.col("content")).alias("content"))
 
     def run(batches):
-        for batch in batches:
-            for path, skipped, ext, title, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for one in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):  # one file at a time
+            for path, skipped, ext, title, data in zip(*(one.column(i).to_pylist() for i in range(5)), strict=True):
                 base = {"path": path, "status": skipped, "error": None, "warnings": [], "document_id": hashlib.sha256(path.encode()).hexdigest()[:20]}
                 units: list[Unit] = []
                 if not skipped:
-                    base["source_sha256"] = hashlib.sha256(data).hexdigest()
                     try:
+                        if data is None:
+                            raise ValueError("Spark's readers leave this file out")
+                        base["source_sha256"] = hashlib.sha256(data).hexdigest()
                         units, base["warnings"] = loaders[ext](data, title)
                         base["status"] = "loaded" if units else "loaded_empty"
                     except Exception as e:  # a file that cannot be read is a row, not a failed job
