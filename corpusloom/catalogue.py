@@ -222,6 +222,11 @@ def unique_chunks(spark, d):
     return dedup.unique_chunks(_chunks(spark, d)).select("chunk_id", "first")
 
 
+@query(f"SELECT content_sha256, representative_id, chunk_id AS duplicate_id FROM (SELECT *, first_value(chunk_id) OVER w AS representative_id, row_number() OVER w AS n FROM {_CHUNKS} WINDOW w AS (PARTITION BY content_sha256 ORDER BY ord, chunk_id)) WHERE n > 1")
+def duplicate_rows(spark, d):
+    return dedup.duplicate_rows(_chunks(spark, d))
+
+
 @query(f"SELECT count_if(n > 1) AS duplicate_groups, sum(n - 1)::BIGINT AS skipped_exact_duplicates, count(*) AS unique_chunks, sum(n)::BIGINT AS all_chunks FROM (SELECT count(*) AS n FROM {_CHUNKS} GROUP BY content_sha256)")
 def duplicate_counters(spark, d):
     return dedup.counters(_chunks(spark, d))
@@ -448,11 +453,19 @@ def latest_version(spark, d):
     return conversations.latest(e, "user_id", "at").select("user_id", "event_id", "event_type")
 
 
-@query("SELECT a.conv_id AS session_id, a.turn AS message_id, count(b.turn) AS sources FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn < a.turn AND b.role = 'user' WHERE a.role = 'assistant' GROUP BY ALL")
+@query("SELECT m.o_orderkey AS message_id, r.run AS retrieval_run_id, count(l.l_linenumber) AS sources FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 <> 0) m LEFT JOIN (SELECT o_orderkey AS run FROM orders WHERE o_orderkey % 3 <> 0) r ON r.run = m.o_orderkey LEFT JOIN (SELECT * FROM lineitem WHERE l_tax > 0.04) l ON l.l_orderkey = r.run GROUP BY ALL")
 def messages_with_sources(spark, d):
-    m = _messages(spark, d)
-    a, b = m.filter("role = 'assistant'").select("session_id", "message_id"), m.filter("role = 'user'").select(F.col("session_id").alias("s"), F.col("message_id").alias("source"))
-    return a.join(b, (F.col("s") == F.col("session_id")) & (F.col("source") < F.col("message_id")), "left").groupBy("session_id", "message_id").agg(F.count("source").alias("sources"))
+    """Orders as messages and as runs, lines as sources."""
+    k = F.col("o_orderkey")
+    messages = _read(spark, d, "orders").select(k.alias("message_id"), F.when(k % 4 != 0, "assistant").otherwise("user").alias("role"))
+    runs = _read(spark, d, "orders").filter(k % 3 != 0).select(k.alias("retrieval_run_id"), k.alias("message_id"))
+    sources = _read(spark, d, "lineitem").filter("l_tax > 0.04").select(F.col("l_orderkey").alias("retrieval_run_id"), F.col("l_linenumber").alias("source_rank"))
+    return conversations.with_sources(messages, runs, sources).groupBy("message_id", "retrieval_run_id").agg(F.count("source_rank").alias("sources"))
+
+
+@query("SELECT o_custkey AS session_id, max(o_orderkey) AS retrieval_run_id FROM orders GROUP BY 1")
+def latest_runs(spark, d):
+    return conversations.latest_runs(_read(spark, d, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("retrieval_run_id")))
 
 
 # --- routes, answers, evaluation --------------------------------------------------------------

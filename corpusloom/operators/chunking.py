@@ -193,3 +193,9 @@ def chunk_units(units: DataFrame, config: Config = Config()) -> DataFrame:
 def counters(chunks: DataFrame) -> DataFrame:
     """One row: units, chunks, their characters, and how many are oversized or small."""
     return chunks.agg(F.count_distinct("unit_id").alias("source_units"), F.count("*").alias("chunks"), F.sum("character_count").alias("chunk_characters_total"), F.count_if("oversized").alias("oversized_chunks"), F.count_if("small").alias("small_chunks"))
+
+
+def warnings(units: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(unit_id, warning): units that gave no chunk, and chunks that are over the limit."""
+    none = units.select(units["unit_id"].cast("string").alias("unit_id")).join(chunks.select("unit_id").distinct(), "unit_id", "left_anti").select("unit_id", F.lit("no chunks were made").alias("warning"))
+    return none.unionByName(chunks.filter("oversized").select("unit_id", F.concat(F.lit("chunk "), "chunk_index", F.lit(" is oversized: "), "character_count", F.lit(" characters")).alias("warning")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +35,9 @@ def summary_needed(messages: DataFrame, marks: DataFrame, trigger: int = 20) ->
 
 
 def latest(versions: DataFrame, key: str, at: str) -> DataFrame:
-    """Updates as appended versions: the newest row of each key."""
-    return versions.withColumn("v", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at)))).filter("v = 1").drop("v")
+    """Updates as appended versions: the newest row of each key; of several as new as it, one by a hash of the row, always the same."""
+    order = [F.desc(at), F.xxhash64(*versions.columns)]
+    return versions.withColumn("v", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("v = 1").drop("v")
 
 
 def delete_cascade(gone: DataFrame, tables: list[tuple[DataFrame, str, str]]) -> list[DataFrame]:
@@ -66,8 +65,8 @@ def valid_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def gates(checks: list[tuple[str, Column]], table: DataFrame) -> DataFrame:
     """(check, ok) rows of aggregate conditions over a table, in one pass."""
-    row = table.agg(*[c.alias(n) for n, c in checks])
-    return reduce(DataFrame.unionByName, [row.select(F.lit(n).alias("check"), F.coalesce(F.col(n), F.lit(False)).alias("ok")) for n, _ in checks])
+    rows = [F.struct(F.lit(n).alias("check"), F.coalesce(F.col(f"ok_{i}"), F.lit(False)).alias("ok")) for i, (n, _) in enumerate(checks)]
+    return table.agg(*[c.alias(f"ok_{i}") for i, (_, c) in enumerate(checks)]).select(F.inline(F.array(*rows)))
 
 
 # --- sessions and messages as appended tables ---------------------------------------------------
@@ -161,3 +160,15 @@ def list_sources(logged: DataFrame, runs: DataFrame | None = None, cited_only: b
 def ensure_column(table: DataFrame, name: str, kind: str, default) -> DataFrame:
     """The table with the column, filled with the default where it had none."""
     return table if name in table.columns else table.withColumn(name, F.lit(default).cast(kind))
+
+
+def with_sources(messages: DataFrame, runs: DataFrame, sources: DataFrame) -> DataFrame:
+    """Each assistant message with its run and that run's sources: two left joins on ids. ``messages``: message_id, role; ``runs``: retrieval_run_id,
+    message_id; ``sources``: retrieval_run_id, ..."""
+    said = messages.filter(F.col("role") == "assistant")
+    return said.join(runs.select("retrieval_run_id", "message_id"), "message_id", "left").join(sources, "retrieval_run_id", "left")
+
+
+def latest_runs(runs: DataFrame) -> DataFrame:
+    """The newest run of each session."""
+    return runs.groupBy("session_id").agg(F.max("retrieval_run_id").alias("retrieval_run_id"))

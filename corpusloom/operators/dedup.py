@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,9 +12,18 @@ def duplicate_groups(chunks: DataFrame, key: str = "content_sha256", order: str
     return g.filter("n > 1").select(key, "representative_id", F.expr(f"transform(slice(all, 2, cast(n as int) - 1), x -> x.{id_})").alias("duplicate_chunk_ids"), "occurrence_source_paths", (F.col("n") - 1).alias("duplicate_count"))
 
 
-def unique_chunks(chunks: DataFrame, key: str = "content_sha256", order: str = "ord") -> DataFrame:
-    """All rows with ``first``: whether it is the first of its content."""
-    return chunks.withColumn("first", F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1)
+def duplicate_rows(chunks: DataFrame, key: str = "content_sha256", order: str = "ord", id_: str = "chunk_id") -> DataFrame:
+    """The groups as rows, one for each further chunk, for groups that are too large to be one row: key, representative_id, duplicate_id. The
+    first of a content is found by a partial minimum, and the join with it can be split."""
+    first = chunks.groupBy(key).agg(F.min(F.struct(order, id_)).alias("f"), F.count("*").alias("n")).filter("n > 1").select(key, F.col(f"f.{id_}").alias("representative_id"), F.col("f").alias("head"))
+    return chunks.join(first, key).filter(F.struct(order, id_) > F.col("head")).select(key, "representative_id", F.col(id_).alias("duplicate_id"))
+
+
+def unique_chunks(chunks: DataFrame, key: str = "content_sha256", order: str = "ord", id_: str = "chunk_id") -> DataFrame:
+    """All rows with ``first``: whether it is the first of its content (by order and id). A content's first is found by a partial minimum, so that
+    no content's rows are sorted in one task; the join with it can be split where one content is very frequent."""
+    first = chunks.groupBy(key).agg(F.min(F.struct(order, id_)).alias("head"))
+    return chunks.join(first, key).withColumn("first", F.struct(order, id_) == F.col("head")).drop("head").select(*chunks.columns, "first")
 
 
 def counters(chunks: DataFrame, key: str = "content_sha256") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
@@ -38,13 +39,14 @@ class HashEmbedder:
 
 
 def embed(chunks: DataFrame, embedder: Embedder, text: str = "text") -> DataFrame:
-    """Adds ``embedding``; the model is made once per worker and gets Arrow batches."""
+    """Rows whose text is not blank, with ``embedding``; the embedder goes to each task once and gets Arrow batches."""
 
     @F.pandas_udf("array<float>")
-    def encode(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(embedder.encode(texts.fillna("").tolist())))
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(list(embedder.encode(texts.tolist())))
 
-    return chunks.withColumn("embedding", encode(F.col(text)))
+    return chunks.filter(T.strip(F.col(text)) != "").withColumn("embedding", encode(F.col(text)))
 
 
 def plan(spark: SparkSession, root: str, production: bool = True, embedder: Embedder | None = None) -> dict[str, DataFrame]:
