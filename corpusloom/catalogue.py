@@ -453,14 +453,14 @@ def latest_version(spark, d):
     return conversations.latest(e, "user_id", "at").select("user_id", "event_id", "event_type")
 
 
-@query("SELECT m.o_orderkey AS message_id, r.run AS retrieval_run_id, count(l.l_linenumber) AS sources FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 <> 0) m LEFT JOIN (SELECT o_orderkey AS run FROM orders WHERE o_orderkey % 3 <> 0) r ON r.run = m.o_orderkey LEFT JOIN (SELECT * FROM lineitem WHERE l_tax > 0.04) l ON l.l_orderkey = r.run GROUP BY ALL")
+@query("SELECT m.o_orderkey AS message_id, coalesce(r.run, -1) AS retrieval_run_id, count(l.l_linenumber) AS sources FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 <> 0) m LEFT JOIN (SELECT o_orderkey AS run FROM orders WHERE o_orderkey % 3 <> 0) r ON r.run = m.o_orderkey LEFT JOIN (SELECT * FROM lineitem WHERE l_tax > 0.04) l ON l.l_orderkey = r.run GROUP BY ALL")
 def messages_with_sources(spark, d):
     """Orders as messages and as runs, lines as sources."""
     k = F.col("o_orderkey")
     messages = _read(spark, d, "orders").select(k.alias("message_id"), F.when(k % 4 != 0, "assistant").otherwise("user").alias("role"))
     runs = _read(spark, d, "orders").filter(k % 3 != 0).select(k.alias("retrieval_run_id"), k.alias("message_id"))
     sources = _read(spark, d, "lineitem").filter("l_tax > 0.04").select(F.col("l_orderkey").alias("retrieval_run_id"), F.col("l_linenumber").alias("source_rank"))
-    return conversations.with_sources(messages, runs, sources).groupBy("message_id", "retrieval_run_id").agg(F.count("source_rank").alias("sources"))
+    return conversations.with_sources(messages, runs, sources).groupBy("message_id", F.coalesce("retrieval_run_id", F.lit(-1)).alias("retrieval_run_id")).agg(F.count("source_rank").alias("sources"))
 
 
 @query("SELECT o_custkey AS session_id, max(o_orderkey) AS retrieval_run_id FROM orders GROUP BY 1")
