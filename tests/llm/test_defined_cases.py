@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import op_queries, pii
+from corpusloom.llm import op_queries, pii, store
 
 R = random.Random(23)
 TEXT = 'token = "abcdefgh1234" mail a.b@c.de and ' + " ".join(f"w{i}" for i in range(70))
@@ -87,3 +87,15 @@ def test_terms_by_definition(spark):
     want = brute_terms(rows)
     assert {r.doc_id: [(s.start, s.end) for s in r.terms] for r in found} == want
     assert sum(map(len, want.values())) > 10
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("kind", ["long", "binary", "string"])
+def test_hot_keys_join_like_others(spark, monkeypatch, how, kind):
+    monkeypatch.setattr(store, "HOT", 5)
+    rows = [(i, None if i % 7 == 0 else 0 if i % 2 else i % 30) for i in range(200)]
+    left = spark.createDataFrame(rows, "i long, k long").withColumn("k", F.col("k").cast("string").cast(kind))
+    right = spark.createDataFrame([(k, k * 10) for k in (0, 1, 2, 4, 99)], "k long, v long").withColumn("k", F.col("k").cast("string").cast(kind))
+    got = sorted((r.i, r.v) for r in store.join_hot(left, right, "k", how).collect())
+    want = sorted((r.i, r.v) for r in left.join(right, "k", how).collect())
+    assert got == want and len({r.k for r in left.groupBy("k").count().filter("count > 40").dropna().collect()} if kind == "long" else [0]) == 1

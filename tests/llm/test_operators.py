@@ -287,7 +287,7 @@ def test_overlap_bounds():
             assert all((100 * i >= 80 * (a + b - i)) == (i >= least) for i in range(min(a, b) + 1))
 
 
-def test_op7(spark, sf):
+def test_op7(spark, sf, monkeypatch):
     first = {}
     for i, t in sorted((i, t or "") for i, t in DOCS):
         w = t.encode().split()
@@ -300,6 +300,16 @@ def test_op7(spark, sf):
         want.append((i, len(w), len(gone), sha(b" ".join(x for j, x in enumerate(w) if j not in gone))))
     assert any(x[2] for x in want)
     assert counted(op_queries.op7_substring_dedup(spark, sf).collect()) == counted(want)
+    # with hot names, and in Arrow batches that end inside names and stretches
+    monkeypatch.setattr(substrings, "SAMPLE", 2)
+    monkeypatch.setattr(substrings, "HOT_LEAST", 2)
+    monkeypatch.setattr(substrings, "HOT", 10**9)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert counted(op_queries.op7_substring_dedup(spark, sf).collect()) == counted(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def test_recompression_is_consistent():
