@@ -320,9 +320,9 @@ def _manifests(spark, d):
     return _read(spark, d, "customer").select(F.concat(F.lit("m"), c).alias("path"), json.alias("json"))
 
 
-@query("SELECT 'm' || c_custkey AS manifest_path, CASE WHEN ok THEN 'r' || c_custkey END AS rebuild_id, CASE WHEN ok THEN c_custkey * 3 END AS indexed_points, CASE WHEN ok THEN c_custkey % 9 END AS accepted_files, CASE WHEN ok THEN true END AS snapshot_created, CASE WHEN NOT ok THEN 'not a JSON object' END AS error FROM (SELECT *, c_custkey % 5 <> 0 AS ok FROM customer)")
+@query("SELECT 'm' || c_custkey AS manifest_path, CASE WHEN ok THEN 'r' || c_custkey END AS rebuild_id, CASE WHEN ok THEN c_custkey * 3 ELSE -1 END AS indexed_points, CASE WHEN ok THEN c_custkey % 9 ELSE -1 END AS accepted_files, ok AS snapshot_created, CASE WHEN NOT ok THEN 'not a JSON object' END AS error FROM (SELECT *, c_custkey % 5 <> 0 AS ok FROM customer)")
 def manifest_summaries(spark, d):
-    return D.summaries(_manifests(spark, d)).select("manifest_path", "rebuild_id", "indexed_points", "accepted_files", "snapshot_created", "error")
+    return D.summaries(_manifests(spark, d)).select("manifest_path", "rebuild_id", *[F.coalesce(c, F.lit(-1).cast("long")).alias(c) for c in ("indexed_points", "accepted_files")], F.coalesce("snapshot_created", F.lit(False)).alias("snapshot_created"), "error")
 
 
 @query(f"SELECT (SELECT count(*) FROM embeddings) = (SELECT count(*) FROM documents) AS active_index_matches_latest_manifest, (SELECT count(*) FROM embeddings) AS active_point_count, (SELECT count(*) FROM documents) AS latest_manifest_indexed_points, (SELECT count(*) FROM (SELECT {_PATH_SQL} AS p FROM documents) WHERE p = 'none') > 0 AS selected_document_exists")
