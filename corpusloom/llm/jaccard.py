@@ -5,7 +5,8 @@ prefix join, and the components that the links make.
    however large, is one class and its links are implied.
 2. Shingles have one order: by how often they repeat (a count sketch of fixed size over those that
    repeat within a task, rounded to powers of two), then by name. In this order two sets that reach the threshold share a shingle of their
-   prefixes, the first n - ceil(t n) + 1. Classes of the same size and prefix are one group.
+   prefixes, the first n - ceil(t n) + 1. Classes of the same size and prefix are one group. It is named by 64
+   bits; should two groups share a name they are treated as one, of two prefixes, which loses nothing.
 3. For each prefix shingle, groups are reduced to the smallest and largest before they are shuffled;
    shingles of one group alone are done with.
 4. First each group is tried, by one member each, against the likeliest centre among those that share a
@@ -88,7 +89,9 @@ def _sets_and_sketch(batches):
         np.add.at(sketch, (names[at[times > 1]] >> _SKETCH_AT).astype(np.int64), times[times > 1].astype(np.uint32))
         chunk.clear()
 
+    extra: list[pa.Field] = []
     for batch in batches:
+        extra = list(batch.schema)[2:]
         sizes, names = [], []
         for own in _sets(batch.column(1)):
             sizes.append(len(own))
@@ -100,7 +103,7 @@ def _sets_and_sketch(batches):
                 held = 0
         m = batch.num_rows
         nil = pa.nulls(m, pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), nil, nil], schema=_FIRST_ARROW)
+        yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), nil, nil, *batch.columns[2:]], names=[*_FIRST_ARROW.names, *batch.schema.names[2:]])
     if chunk:
         count()
     size = 1 << (SKETCH - SKETCH_RANGES)
@@ -108,7 +111,8 @@ def _sets_and_sketch(batches):
         own = sketch[r * size : (r + 1) * size]
         at = np.flatnonzero(own)
         if len(at):
-            yield pa.RecordBatch.from_pylist([{"kind": 1, "id": r, "n": 0, "class": None, "slots": at.astype(np.uint32).tobytes(), "counts": own[at].astype(np.uint32).tobytes()}], schema=_FIRST_ARROW)
+            row = pa.RecordBatch.from_pylist([{"kind": 1, "id": r, "n": 0, "class": None, "slots": at.astype(np.uint32).tobytes(), "counts": own[at].astype(np.uint32).tobytes()}], schema=_FIRST_ARROW)
+            yield pa.RecordBatch.from_arrays([*row.columns, *(pa.nulls(1, f.type) for f in extra)], names=[*_FIRST_ARROW.names, *(f.name for f in extra)])
 
 
 def _add_sketches(batches):
@@ -138,18 +142,21 @@ def ordered_prefix(own: Shingles, levels: np.ndarray, percent: int = PERCENT) ->
     return own.first[np.argsort(rank, kind="stable")[: prefix_length(len(own), percent)]]  # first ascends
 
 
-_PREFIXES = "class binary, n long, grp binary, g0 long, g1 long, prefix array<long>"
+_PREFIXES = "class binary, n long, grp long, more long, prefix array<long>"
 
 
-def _prefixes(shared, percent: int):
-    """A row per class of a batch: its name, size, group (of the same size and prefix; also as two numbers) and prefix."""
+def _prefixes(shared, first, percent: int):
+    """Of the documents that the filter ``first`` lets through (each class's smallest, and a few more), a row per class of a batch: its name, size, group (of the same size and prefix: 64 bits of a digest, and 64
+    more) and prefix."""
 
     def run(batches):
-        levels = shared.value
+        levels, bits = shared.value, first.value
         for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)  # never null
+            texts = batch.column(1).take(pa.array(np.flatnonzero(may_hold(bits, mix(ids.view(np.uint64))))))
             seen: set[bytes] = set()
             rows = []
-            for own in _sets(batch.column(0)):
+            for own in _sets(texts):
                 name = own.name()
                 if name and name not in seen:
                     seen.add(name)
@@ -160,8 +167,8 @@ def _prefixes(shared, percent: int):
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([r[3] for r in rows])))
                 halves = np.frombuffer(b"".join(r[2] for r in rows), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), lists],
-                    names=["class", "n", "grp", "g0", "g1", "prefix"],
+                    [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), lists],
+                    names=["class", "n", "grp", "more", "prefix"],
                 )
 
     return run
@@ -229,29 +236,29 @@ def _verify(percent: int):
                     both = overlap(own, x)
                     if 100 * both >= percent * (len(own) + len(x) - both):
                         out.append((star, member))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], names=["a", "b"])
 
     return run
 
 
 def _links(docs: DataFrame, members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """``pairs``: a, b (classes). Those that reach the threshold, verified on the sets of their smallest
-    documents (``members``: class, id), made again from the texts."""
+    """``pairs``: a, b (numbers of classes). Those that reach the threshold, verified on the sets of their smallest
+    documents (``members``: no, class, id), made again from the texts."""
     pairs = materialize(pairs.select("a", "b"), "jaccard-pairs")
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
     pairs = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SPREAD)).alias("part"))
-    stars = pairs.select("a", "part", F.lit(None).cast("binary").alias("b"), F.col("a").alias("class")).distinct().union(pairs.select("a", "part", "b", F.col("b").alias("class")))
-    stars = materialize(stars.join(members, "class"), "jaccard-stars")
+    stars = pairs.select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("no")).distinct().union(pairs.select("a", "part", "b", F.col("b").alias("no")))
+    stars = materialize(stars.join(members, "no"), "jaccard-stars")
     ids = stars.select("id").distinct()
-    texts = docs.filter("id is not null").mapInArrow(tidy(_needed_texts(_bits(ids, "id"))), "id long, class binary, text string").dropDuplicates(["id", "class"])
+    texts = docs.filter("id is not null").select("id", "text").mapInArrow(tidy(_needed_texts(_bits(ids, "id"))), "id long, class binary, text string").dropDuplicates(["id", "class"])
     rows = stars.join(texts, ["id", "class"]).select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return materialize(rows.mapInArrow(tidy(_verify(percent)), "a binary, b binary"), "jaccard-links")
+    return materialize(rows.mapInArrow(tidy(_verify(percent)), "a long, b long"), "jaccard-links")
 
 
 def _group_pairs(groups: DataFrame, listed: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs of groups (p, q) whose members are not all of one component, that share a prefix
     shingle, and whose sizes, places of it and number of shared prefix shingles allow the threshold.
-    ``groups``: grp, n, least, most (components of the members); ``listed``: grp, token, at."""
+    ``groups``: grp, least, most (components of the members); ``listed``: grp, n, token, at."""
     named = listed.join(groups, "grp")
     mixed = named.groupBy("token").agg(F.min("least").alias("p"), F.max("most").alias("q")).filter("p < q").select("token")
     left = materialize(named.join(mixed, "token"), "jaccard-mixed")
@@ -268,32 +275,36 @@ def _possible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """Of pairs (p, q, with sizes n_x, n_y) those whose whole prefixes share enough for the threshold."""
     pairs = materialize(pairs, "jaccard-candidates")
     some = pairs.select(F.col("p").alias("grp")).union(pairs.select("q")).distinct()
-    known = materialize(prefixes.select("grp", "prefix").join(some, "grp").dropDuplicates(["grp"]), "jaccard-compared")
+    known = materialize(prefixes.select("grp", "more", "prefix").join(some, "grp").dropDuplicates(["grp", "more"]), "jaccard-compared")
     x, y = (known.select(F.col("grp").alias(g), F.col("prefix").alias(f"prefix_{g}")) for g in "pq")
     small, large = F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
     need = F.ceil(percent * (F.col("n_x") + F.col("n_y")) / (100 + percent))
     behind = F.ceil(percent * large / 100) - 1  # shingles behind the prefix, of the larger set
     shared = F.size(F.array_intersect("prefix_p", "prefix_q"))
-    return pairs.join(x, "p").join(y, "q").filter(F.least(shared + behind, small) >= need).select("p", "q")
+    return pairs.join(x, "p").join(y, "q").filter(F.least(shared + behind, small) >= need).select("p", "q").distinct()
 
 
-def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs``: doc_id, text. One row per row of ``docs``: doc_id, n_shingles, component_id."""
+def link_documents(docs: DataFrame, percent: int = PERCENT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``docs``: doc_id, text. One row per row of ``docs``: doc_id, n_shingles, component_id, the ``keep`` columns, and component,
+    which names the row's component and is null for rows that are linked with nothing by definition."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text"))
-    first = materialize(docs.mapInArrow(tidy(_sets_and_sketch), _FIRST), "jaccard-sets")
-    sizes = first.filter("kind = 0").select("id", "n", "class")
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
+    kept = "".join(f", `keep_{c}` {docs.schema[f'keep_{c}'].dataType.simpleString()}" for c in keep)
+    first = materialize(docs.mapInArrow(tidy(_sets_and_sketch), _FIRST + kept), "jaccard-sets")
+    sizes = first.filter("kind = 0").select("id", "n", "class", *[f"keep_{c}" for c in keep])
     members = sizes.filter("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("id"))
+    members = materialize(members.withColumn("no", F.monotonically_increasing_id()), "jaccard-members")
     levels = spark.sparkContext.broadcast(_sketch(first))
-    prefixes = materialize(docs.filter("id is not null").select("text").mapInArrow(tidy(_prefixes(levels, percent)), _PREFIXES), "jaccard-prefixes")
+    prefixes = materialize(docs.filter("id is not null").select("id", "text").mapInArrow(tidy(_prefixes(levels, _bits(members, "id"), percent)), _PREFIXES), "jaccard-prefixes")
 
     # groups: classes of the same size and prefix; the smallest class stands for the group
-    classes = prefixes.select("grp", "class").distinct()
-    heads = prefixes.groupBy("grp").agg(F.min("class").alias("head"), F.first("n").alias("n"))
-    tokens = prefixes.select("g0", "g1", F.explode("prefix").alias("token"))
-    span = tokens.groupBy("token").agg(*[f(g).alias(f"{n}_{g}") for g in ("g0", "g1") for n, f in (("low", F.min), ("high", F.max))]).filter("low_g0 < high_g0 or low_g1 < high_g1")
+    classes = prefixes.select("grp", "class", "n").distinct().join(members.select("class", "no"), "class").select("grp", "no", "n")
+    classes = materialize(classes, "jaccard-grouped")
+    heads = classes.groupBy("grp").agg(F.min("no").alias("head"), F.first("n").alias("n"))
+    tokens = prefixes.select("grp", F.explode("prefix").alias("token"))
+    span = tokens.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low < high").select("token")
     span = materialize(span, "jaccard-tokens")
-    listed = prefixes.select("grp", "n", "prefix").mapInArrow(tidy(_shared_tokens(_bits(span, "token"))), "grp binary, n long, token long, at long").distinct()
+    listed = prefixes.select("grp", "n", "prefix").mapInArrow(tidy(_shared_tokens(_bits(span, "token"))), "grp long, n long, token long, at long").distinct()
     listed = materialize(listed.join(span, "token").select("grp", "n", "token", "at"), "jaccard-lists")
 
     # first: each group's head against that of the likeliest centre it shares a list with, and the members of a
@@ -307,29 +318,31 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     best = some.groupBy("q").agg(F.max(F.struct("shared", "p")).alias("best")).select("best.p", "q")
     sized = best.join(heads.select(F.col("grp").alias("p"), F.col("n").alias("n_x")), "p").join(heads.select(F.col("grp").alias("q"), F.col("n").alias("n_y")), "q")
     promising = _heads_of(_possible(sized, prefixes, percent), heads)
-    inside = classes.join(heads, "grp").filter("class != head").select(F.col("head").alias("a"), F.col("class").alias("b"))
+    inside = join_hot(classes.select("grp", "no"), heads, "grp").filter("no != head").select(F.col("head").alias("a"), F.col("no").alias("b"))
     links = _links(docs, members, promising.union(inside).distinct(), percent)
     label = components(links)
 
     # then: members of different components, of one group or of two that share a prefix shingle
-    named = materialize(classes.join(label, F.col("class") == F.col("node"), "left").select("grp", "class", F.coalesce("label", "class").alias("part")), "jaccard-classes")
+    named = materialize(classes.join(label, F.col("no") == F.col("node"), "left").select("grp", "no", F.coalesce("label", "no").alias("part")), "jaccard-classes")
     groups = named.groupBy("grp").agg(F.min("part").alias("least"), F.max("part").alias("most"))
-    pairs = _group_pairs(groups.join(heads.select("grp", "n"), "grp"), listed.select("grp", "token", "at"), prefixes, percent)
+    pairs = _group_pairs(groups, listed, prefixes, percent)
     pairs = pairs.union(groups.filter("least < most").select("grp", "grp"))
-    x, y = (named.select(F.col("grp").alias(g), F.col("class").alias(c), F.col("part").alias(f"part_{c}")) for g, c in (("p", "a"), ("q", "b")))
+    x, y = (named.select(F.col("grp").alias(g), F.col("no").alias(c), F.col("part").alias(f"part_{c}")) for g, c in (("p", "a"), ("q", "b")))
     expanded = pairs.join(x, "p").join(y, "q").filter("part_a != part_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _links(docs, members, expanded, percent)
     if not more.isEmpty():
         label = components(links.union(more))
 
     # every class's smallest document, then every document's component
-    named = members.join(label, F.col("class") == F.col("node"), "left").select("class", "id", F.coalesce("label", "class").alias("label"))
+    named = members.join(label, F.col("no") == F.col("node"), "left").select("class", "id", F.coalesce("label", "no").alias("label"))
     named = materialize(named, "jaccard-named")
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    found = materialize(join_hot(named, smallest, "label").select("class", "component_id"), "jaccard-found")
+    found = materialize(join_hot(named, smallest, "label").select("class", "component_id", F.col("label").alias("component")), "jaccard-found")
     out = join_hot(sizes, found, "class", "left")
     alone = F.col("component_id").isNull() | (F.col("n") == 0) | F.col("id").isNull()
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), *[F.col(f"keep_{c}").alias(c) for c in keep], F.when(~alone, F.col("component")).alias("component")
+    )
 
 
 def _heads_of(pairs: DataFrame, heads: DataFrame) -> DataFrame:
