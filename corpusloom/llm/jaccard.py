@@ -61,7 +61,7 @@ def prefix_length(n, percent: int = PERCENT):
 _SKETCH_AT = np.uint64(64 - SKETCH)
 
 
-def _sets(texts, rows: int = 512):
+def _sets(texts, rows: int = 128):
     """The shingle set of each text of an Arrow column, in order; words are numbered anew where they have become many."""
     lexicon = Lexicon()
     for at in range(0, len(texts), rows):
@@ -83,11 +83,12 @@ def _sets_and_sketch(batches):
     held = 0
 
     def count():
-        names = np.sort(np.concatenate(chunk))
+        names = np.concatenate(chunk)
+        chunk.clear()
+        names.sort()  # in place, with the parts given back: this is what a worker holds most in
         at = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, int)
         times = np.diff(np.append(at, len(names)))
         np.add.at(sketch, (names[at[times > 1]] >> _SKETCH_AT).astype(np.int64), times[times > 1].astype(np.uint32))
-        chunk.clear()
 
     extra: list[pa.Field] = []
     for batch in batches:

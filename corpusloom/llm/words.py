@@ -42,7 +42,7 @@ class Lexicon(dict):
     """Word to number, from 0, as words come; and the names of the numbers."""
 
     #: Words, and bytes of words, after which :meth:`full` says so.
-    WORDS, BYTES = 200_000, 32_000_000
+    WORDS, BYTES = 50_000, 8_000_000
 
     def __init__(self):
         super().__init__()
