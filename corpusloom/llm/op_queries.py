@@ -1,4 +1,4 @@
-"""The ten queries over whole tables, one per operator, each returning one row per document (or
+"""The queries over whole tables, one per operator, each returning one row per document (or
 conversation)."""
 
 from __future__ import annotations
@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, decontamination, jaccard, merkle, pii, ppm, secrets, substrings, toxicity
+from corpusloom.llm import bpe, chat, decontamination, jaccard, merkle, pii, ppm, secrets, substrings, suffixes, toxicity
 from corpusloom.llm.store import only, table
 
 
@@ -57,4 +57,8 @@ def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1)
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_fingerprint": op2_fingerprint, "op3_toxicity": op3_toxicity, "op4_chat_format": op4_chat_format, "op5_byte_bpe": op5_byte_bpe, "op6_jaccard_join": op6_jaccard_join, "op7_substring_dedup": op7_substring_dedup, "op8_secret_scan": op8_secret_scan, "op9_personal_data": op9_personal_data, "op10_ppm_score": op10_ppm_score}
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_fingerprint": op2_fingerprint, "op3_toxicity": op3_toxicity, "op4_chat_format": op4_chat_format, "op5_byte_bpe": op5_byte_bpe, "op6_jaccard_join": op6_jaccard_join, "op7_substring_dedup": op7_substring_dedup, "op8_secret_scan": op8_secret_scan, "op9_personal_data": op9_personal_data, "op10_ppm_score": op10_ppm_score, "op11_suffix_dedup": op11_suffix_dedup}

@@ -53,6 +53,14 @@ kept AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::
 words AS (SELECT r, string_agg(word, ' ' ORDER BY pos) AS left_words FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM kept) u WHERE NOT EXISTS (SELECT 1 FROM (SELECT r, unnest(places) AS pos FROM gone) g WHERE g.r = u.r AND g.pos = u.pos) GROUP BY r)
 SELECT doc_id, n_words, n_removed, sha256(coalesce(left_words, '')) AS kept_sha256 FROM kept LEFT JOIN words USING (r)"""
 
+OP11 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+windows AS (SELECT r, k, md5(substr(x, 2 * k + 1, 400)) AS said FROM (SELECT r, x, unnest(range(0, length(x) // 2 - 199)) AS k FROM d WHERE length(x) >= 400)),
+hits AS (SELECT r, k, lag(k) OVER (PARTITION BY r ORDER BY k) AS before FROM windows WHERE said IN (SELECT said FROM windows GROUP BY said HAVING count(*) > 1)),
+spans AS (SELECT r, min(k) AS a, max(k) + 200 AS b FROM (SELECT r, k, sum(CASE WHEN k <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY k) AS s FROM hits) GROUP BY r, s),
+cut AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM spans) JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN cut USING (r)"""
+
 #: Kind, pattern, and the test of a match, in the order of the kinds.
 _SECRETS = (
     ("assign", r"((?i:password|passwd|secret|token|api_?key))[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", "length(regexp_extract(m, '@', 2)) >= 8"),
@@ -77,4 +85,4 @@ found AS ({' UNION ALL '.join(_found(i, *x) for i, x in enumerate(_SECRETS))}),
 listed AS (SELECT r, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE)}, string_agg(kind || ':' || pos || ':' || until, ',' ORDER BY pos, number) FILTER (WHERE number < {len(BASE)}) AS base, string_agg(kind || ':' || pos || ':' || until, ',' ORDER BY pos, number) AS spans FROM found GROUP BY r)
 SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN listed USING (r)"""
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1, "op4_chat_format": OP4, "op6_jaccard_join": OP6, "op7_substring_dedup": OP7, "op8_secret_scan": OP8}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1, "op4_chat_format": OP4, "op6_jaccard_join": OP6, "op7_substring_dedup": OP7, "op8_secret_scan": OP8, "op11_suffix_dedup": OP11}
