@@ -61,6 +61,37 @@ spans AS (SELECT r, min(k) AS a, max(k) + 200 AS b FROM (SELECT r, k, sum(CASE W
 cut AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM spans) JOIN d USING (r) GROUP BY r)
 SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN cut USING (r)"""
 
+#: ``crc(text)`` of ASCII texts, from a table of 256 that eight steps of the rule give.
+_CRC_STEP = "SELECT b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END AS v FROM ({})"
+
+
+def _crc_table() -> str:
+    rows = "SELECT b, b AS v FROM range(256) t(b)"
+    for _ in range(8):
+        rows = _CRC_STEP.format(rows)
+    return f"crc_table AS MATERIALIZED (SELECT list(v::BIGINT ORDER BY b) AS tab FROM ({rows}))"
+
+
+def _crc(text: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c // 256, tab[(xor(c, b) % 256) + 1])), 4294967295)"
+
+
+OP12 = f"""
+WITH {_crc_table()},
+d0 AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}, 0) AS w, {_crc("doc_id::VARCHAR")} AS h FROM documents, crc_table),
+d1 AS (SELECT r, doc_id, w, len(w) AS n, h, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d0),
+d AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN w[1:a] || list_transform(range(0, n - a), lambda i: w[a + i % (1 + (n - a) // (3 + (h // 10) % 8)) + 1]) ELSE w END AS w FROM d1),
+words AS (SELECT r, n, unnest(range(0, n)) AS i, unnest(w) AS word FROM d),
+pairs AS (SELECT a.r, b.i - a.i AS q, a.i FROM words a JOIN words b ON a.r = b.r AND a.word = b.word AND b.i > a.i AND b.i - a.i <= a.n // 4),
+stretches AS (SELECT r, q, min(i) AS s, count(*) + q AS len FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM pairs) GROUP BY r, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT * FROM stretches x WHERE NOT EXISTS (SELECT 1 FROM stretches y WHERE y.r = x.r AND y.q < x.q AND y.s <= x.s AND y.s + y.len >= x.s + x.len)),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM runs GROUP BY r),
+best AS (SELECT r, s, len, q FROM runs x WHERE NOT EXISTS (SELECT 1 FROM runs y WHERE y.r = x.r AND (y.len * x.q > x.len * y.q OR y.len * x.q = x.len * y.q AND (y.s < x.s OR y.s = x.s AND y.q < x.q)))),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + len)) AS i FROM runs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS said FROM words w WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.r = w.r AND g.i = w.i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, len AS length, q AS period, 1000 * len // q AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(said, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)"""
+
 #: Kind, pattern, and the test of a match, in the order of the kinds.
 _SECRETS = (
     ("assign", r"((?i:password|passwd|secret|token|api_?key))[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", "length(regexp_extract(m, '@', 2)) >= 8"),
@@ -85,4 +116,4 @@ found AS ({' UNION ALL '.join(_found(i, *x) for i, x in enumerate(_SECRETS))}),
 listed AS (SELECT r, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE)}, string_agg(kind || ':' || pos || ':' || until, ',' ORDER BY pos, number) FILTER (WHERE number < {len(BASE)}) AS base, string_agg(kind || ':' || pos || ':' || until, ',' ORDER BY pos, number) AS spans FROM found GROUP BY r)
 SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN listed USING (r)"""
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1, "op4_chat_format": OP4, "op6_jaccard_join": OP6, "op7_substring_dedup": OP7, "op8_secret_scan": OP8, "op11_suffix_dedup": OP11}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1, "op4_chat_format": OP4, "op6_jaccard_join": OP6, "op7_substring_dedup": OP7, "op8_secret_scan": OP8, "op11_suffix_dedup": OP11, "op12_periodic_runs": OP12}
