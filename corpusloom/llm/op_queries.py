@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, decontamination, jaccard, merkle, periods, pii, ppm, secrets, substrings, suffixes, toxicity
+from corpusloom.llm import bpe, chat, decontamination, jaccard, merkle, periods, pii, ppm, repair, secrets, substrings, suffixes, toxicity
 from corpusloom.llm.store import only, table
 
 
@@ -65,4 +65,9 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digest(periods.detect_runs(periods.with_planted_runs(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_fingerprint": op2_fingerprint, "op3_toxicity": op3_toxicity, "op4_chat_format": op4_chat_format, "op5_byte_bpe": op5_byte_bpe, "op6_jaccard_join": op6_jaccard_join, "op7_substring_dedup": op7_substring_dedup, "op8_secret_scan": op8_secret_scan, "op9_personal_data": op9_personal_data, "op10_ppm_score": op10_ppm_score, "op11_suffix_dedup": op11_suffix_dedup, "op12_periodic_runs": op12_periodic_runs}
+def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.summarise(repair.repair(repair.damaged(conversations)), conversations)
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_fingerprint": op2_fingerprint, "op3_toxicity": op3_toxicity, "op4_chat_format": op4_chat_format, "op5_byte_bpe": op5_byte_bpe, "op6_jaccard_join": op6_jaccard_join, "op7_substring_dedup": op7_substring_dedup, "op8_secret_scan": op8_secret_scan, "op9_personal_data": op9_personal_data, "op10_ppm_score": op10_ppm_score, "op11_suffix_dedup": op11_suffix_dedup, "op12_periodic_runs": op12_periodic_runs, "op13_repair_conversations": op13_repair_conversations}

@@ -4,7 +4,6 @@ import glob
 import os
 
 import duckdb
-import pandas as pd
 import pytest
 
 from corpusloom.llm import op_queries, oracles
@@ -13,9 +12,9 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 
 
-def rows(df):
-    columns = sorted(df.columns)
-    return columns, sorted(str([None if pd.isna(v) else str(v) for v in r]) for r in df[columns].astype(object).values.tolist())
+def rows(table):
+    columns = sorted(table.column_names)
+    return columns, sorted(str([row[c] for c in columns]) for row in table.to_pylist())
 
 
 @pytest.mark.parametrize("name", sorted(oracles.ORACLE_SQL))
@@ -23,4 +22,4 @@ def test_oracle(spark, name):
     con = duckdb.connect()
     for p in glob.glob(f"{DATA}/*.parquet"):
         con.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
-    assert rows(op_queries.QUERIES[name](spark, DATA).toPandas()) == rows(con.execute(oracles.ORACLE_SQL[name]).df())
+    assert rows(op_queries.QUERIES[name](spark, DATA).toArrow()) == rows(con.execute(oracles.ORACLE_SQL[name]).fetch_arrow_table())
