@@ -92,6 +92,46 @@ kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS said FROM words w WHERE N
 SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, len AS length, q AS period, 1000 * len // q AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(said, '')) AS collapsed_sha256
 FROM d LEFT JOIN listed USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)"""
 
+def _way(cost: str, letter: str, of: str) -> str:
+    return f"{{'c': {cost} + {of}.c, 'a': '{letter}' || {of}.a}}"
+
+
+_NO_WAY = "{'c': 1000000000, 'a': ''}"
+
+
+def _row_ways(state: int, kept: dict[str, int], after: int) -> str:
+    keep = " ".join(f"WHEN initial = '{r}' THEN {_way('cut', 'K', f'b[{to + 1}]')}" for r, to in kept.items())
+    return f"list_min([{_way('4', 'D', f'b[{state + 1}]')}, CASE WHEN gone THEN {_NO_WAY} {keep} ELSE {_NO_WAY} END, CASE WHEN gone THEN {_NO_WAY} ELSE {_way('3 + cut', 'R', f'b[{after + 1}]')} END])"
+
+
+def _or_put_in(own: str, then: str) -> str:
+    return f"list_min([{own}, {_way('3', 'I', then)}])"
+
+
+OP13 = f"""
+WITH RECURSIVE {_crc_table()},
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS h FROM conversations, crc_table),
+damaged AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(0, CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c),
+told AS (SELECT conv_id, turn, role, text, left(role, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+ row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM damaged),
+rows AS (SELECT conv_id, turn, role, text, initial, pos, body = '' AS blank, body <> '' AND nth > 1 AS duplicate, body <> '' AND nth = 1 AND right(body, 1) NOT IN ('.', '!', '?') AS truncated,
+ coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal FROM told),
+best AS (
+ SELECT conv_id, count(*) + 1 AS pos, [{{'c': 0, 'a': ''}}, {{'c': 6, 'a': 'II'}}, {{'c': 3, 'a': 'I'}}, {{'c': 0, 'a': ''}}] AS b FROM rows GROUP BY conv_id
+ UNION ALL
+ SELECT conv_id, pos, [{_or_put_in("w[1]", "two")}, {_or_put_in("w[2]", "two")}, two, three] FROM (SELECT conv_id, pos, w, {_or_put_in("w[3]", "w[4]")} AS two, {_or_put_in("w[4]", "w[3]")} AS three FROM (
+  SELECT conv_id, pos, [{_row_ways(0, {"s": 1, "u": 2}, 2)}, {_row_ways(1, {"u": 2}, 2)}, {_row_ways(2, {"a": 3}, 3)}, {_row_ways(3, {"u": 2}, 2)}] AS w
+  FROM (SELECT r.conv_id, r.pos, r.initial, r.blank OR r.duplicate AS gone, CASE WHEN r.truncated THEN 3 ELSE 0 END AS cut, best.b FROM best JOIN rows r ON r.conv_id IS NOT DISTINCT FROM best.conv_id AND r.pos = best.pos - 1)))),
+solved AS (SELECT conv_id, b[1].c AS cost, b[1].a AS audit FROM best WHERE pos = 1),
+letters AS (SELECT conv_id, unnest(string_split(audit, '')) AS letter, unnest(range(1, length(audit) + 1)) AS k FROM solved WHERE audit <> ''),
+placed AS (SELECT conv_id, letter, k, count(*) FILTER (WHERE letter <> 'I') OVER w AS pos, count(*) FILTER (WHERE letter <> 'D') OVER w AS line FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+lines AS (SELECT p.conv_id, p.k, p.line, p.letter, r.role, r.text, max(CASE WHEN p.line = 1 AND p.letter = 'K' AND r.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv_id) AS led
+ FROM placed p LEFT JOIN rows r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.pos = p.pos AND p.letter <> 'I' WHERE p.letter <> 'D'),
+repaired AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (line - 1 - led) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY k) AS said FROM lines GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE truncated) AS truncated, count(*) FILTER (WHERE illegal) AS illegal FROM rows GROUP BY conv_id)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN repaired t ON t.conv_id IS NOT DISTINCT FROM i.conv_id"""
+
 #: Kind, pattern, and the test of a match, in the order of the kinds.
 _SECRETS = (
     ("assign", r"((?i:password|passwd|secret|token|api_?key))[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", "length(regexp_extract(m, '@', 2)) >= 8"),
@@ -116,4 +156,4 @@ found AS ({' UNION ALL '.join(_found(i, *x) for i, x in enumerate(_SECRETS))}),
 listed AS (SELECT r, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE)}, string_agg(kind || ':' || pos || ':' || until, ',' ORDER BY pos, number) FILTER (WHERE number < {len(BASE)}) AS base, string_agg(kind || ':' || pos || ':' || until, ',' ORDER BY pos, number) AS spans FROM found GROUP BY r)
 SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN listed USING (r)"""
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1, "op4_chat_format": OP4, "op6_jaccard_join": OP6, "op7_substring_dedup": OP7, "op8_secret_scan": OP8, "op11_suffix_dedup": OP11, "op12_periodic_runs": OP12}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1, "op4_chat_format": OP4, "op6_jaccard_join": OP6, "op7_substring_dedup": OP7, "op8_secret_scan": OP8, "op11_suffix_dedup": OP11, "op12_periodic_runs": OP12, "op13_repair_conversations": OP13}

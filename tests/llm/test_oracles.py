@@ -22,4 +22,4 @@ def test_oracle(spark, name):
     con = duckdb.connect()
     for p in glob.glob(f"{DATA}/*.parquet"):
         con.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
-    assert rows(op_queries.QUERIES[name](spark, DATA).toArrow()) == rows(con.execute(oracles.ORACLE_SQL[name]).fetch_arrow_table())
+    assert rows(op_queries.QUERIES[name](spark, DATA).toArrow()) == rows(con.execute(oracles.ORACLE_SQL[name]).to_arrow_table())
