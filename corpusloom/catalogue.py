@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
 from corpusloom.functions import text as T
-from corpusloom.operators import answers, chunking, conversations, dedup, evaluation, governance, retrieval
+from corpusloom.operators import answers, chunking, conversations, dedup, evaluation, governance, lexical_index, retrieval
+from corpusloom.operators.numbering import number_rows
 from corpusloom.plans.rebuild import HashEmbedder, embed
+from corpusloom.sources.scratch import shared_folder
 from corpusloom.streaming import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,7 +161,7 @@ def location_labels(spark, d):
 @query("""SELECT c_nationkey, block, min(r) AS row_start, max(r) AS row_end, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || c_custkey || ' | ' || c_name || ' |', chr(10) ORDER BY r) AS body
 FROM (SELECT *, (r - 1) // 50 AS block FROM (SELECT c_nationkey, c_custkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer)) GROUP BY ALL""")
 def row_blocks(spark, d):
-    r = _read(spark, d, "customer").select("c_nationkey", "c_custkey", "c_name", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).cast("long").alias("r"))
+    r = number_rows(_read(spark, d, "customer").select("c_nationkey", "c_custkey", "c_name"), ["c_nationkey"], ["c_custkey"], "r").withColumn("r", F.col("r") + 1)
     line = T.markdown_row(F.array(F.col("c_custkey").cast("string"), T.markdown_cell(F.col("c_name"))))
     g = r.withColumn("block", F.floor((F.col("r") - 1) / 50)).groupBy("c_nationkey", "block").agg(F.min("r").alias("row_start"), F.max("r").alias("row_end"), F.array_sort(F.collect_list(F.struct("r", line.alias("line")))).alias("lines"))
     body = F.concat(F.lit("| key | name |\n| --- | --- |\n"), F.array_join(F.col("lines.line"), "\n"))
@@ -332,9 +335,22 @@ def _asked_items(spark, d):
     return _read(spark, d, "benchmark").filter("item_id % 20 = 0")
 
 
+#: Term indexes that this application has built, by folder of tables: several queries search the same texts.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _term_index(spark, d) -> lexical_index.LexicalIndex:
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        path = f"{shared_folder(spark)}/terms-{uuid.uuid4().hex}"
+        lexical_index.build_lexical_index(_docs(spark, d).select(F.col("doc_id").alias("point_id"), "text"), path)
+        _INDEXES[key] = path
+    return lexical_index.LexicalIndex(spark, _INDEXES[key])
+
+
 def _lexical(spark, d):
     asked = _asked_items(spark, d).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return retrieval.lexical_search(_docs(spark, d).select(F.col("doc_id").alias("point_id"), "text"), asked, 32)
+    return _term_index(spark, d).search(asked, 32)
 
 
 @query(f"{_LEX_ALL} SELECT query_id, point_id, round(score, 6) AS score, matched, rank FROM lex")

@@ -78,7 +78,7 @@ def tokens(x: Column) -> Column:
 
 def contentful(own: Column) -> Column:
     stop = F.array(*[F.lit(w) for w in rules.STOPWORDS])
-    return F.array_distinct(F.filter(own, lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t)))
+    return F.array_except(F.filter(own, lambda t: F.length(t) >= 2), stop)
 
 
 def lexical_norm(x: Column) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.numbering import number_rows
+from corpusloom.sources.scratch import written
 
 #: Queries that are broadcast at once, and the bytes that they may hold.
 QUERIES, QUERY_BYTES = 10_000, 64_000_000
@@ -190,9 +192,12 @@ _ONE_TOKEN = re.compile(r"[A-Za-z0-9_./:-]*(?:[._/:]|--)[A-Za-z0-9_./:-]*")
 
 
 def with_neighbours(hits: DataFrame, chunks: DataFrame, k: int, window: int = 1, score: float = 0.30) -> DataFrame:
-    """Adds chunks within ``window`` places of a hit in the same source. ``chunks``: point_id, source, place. Places are
-    consecutive per source, so this is an equi-join on (source, place)."""
-    chunks = chunks.select("point_id", "source", F.row_number().over(Window.partitionBy("source").orderBy("place", "point_id")).alias("at"))
+    """Adds chunks within ``window`` places of a hit in the same source. ``chunks``: point_id, source, place. The chunks of sources with hits
+    are numbered by place and point_id, by ranges, so a large source is the work of many tasks; then this is an equi-join on (source, number)."""
+    hits = written(hits, "hits")  # of a batch of queries, k for each
+    own = chunks.select("point_id", "source", "place")
+    sources = own.join(F.broadcast(hits.select("point_id").distinct()) if hits.count() <= QUERIES else hits.select("point_id").distinct(), "point_id", "left_semi").select("source").distinct()
+    chunks = number_rows(own.join(sources, "source", "left_semi"), ["source"], ["place", "point_id"], "at")
     steps = F.array(*[F.lit(i) for i in range(-window, window + 1) if i])
     near = hits.join(chunks, "point_id").select("query_id", "source", "at", F.explode(steps).alias("step")).select("query_id", "source", (F.col("at") + F.col("step")).alias("at")).join(chunks, ["source", "at"]).select("query_id", "point_id").distinct()
     near = near.join(hits.select("query_id", "point_id"), ["query_id", "point_id"], "left_anti")
