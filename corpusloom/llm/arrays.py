@@ -74,3 +74,23 @@ def members(keys: Column, body: Callable[[Callable[[Column], Column]], Column])
         return let(buckets, with_buckets)
 
     return let(keys, with_keys)
+
+
+def sorted_members(keys: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``body`` of a function that tells whether a long is among ``keys`` (longs), by halving the sorted array."""
+
+    def with_keys(own: Column) -> Column:
+        bits = F.ceil(F.log2(F.size(own) + 1)).cast("int")
+        steps = F.transform(numbers(bits, 0), lambda k: F.call_function("shiftleft", F.lit(1), bits - 1 - k))
+
+        def with_steps(step: Column) -> Column:
+            def has(x: Column) -> Column:
+                # how many keys are at most x: of powers of two, from the largest, those that fit
+                reached = F.aggregate(step, F.lit(0), lambda at, n: F.when((at + n <= F.size(own)) & (F.try_element_at(own, at + n) <= x), at + n).otherwise(at))
+                return F.coalesce(F.try_element_at(own, F.greatest(reached, F.lit(1))) == x, F.lit(False))
+
+            return body(has)
+
+        return let(steps, with_steps)
+
+    return let(F.sort_array(keys), with_keys)

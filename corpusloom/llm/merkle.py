@@ -22,7 +22,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.arrays import let
+from corpusloom.llm.arrays import let, sorted_members
 from corpusloom.llm.store import materialize
 
 LEAST, MOST = 24, 63
@@ -62,65 +62,65 @@ def fingerprint(sections: Column) -> Column:
     return F.concat_ws(":", root(sections), F.array_join(F.transform(sections, lambda s: F.concat(F.substring(s["h"], 1, 12), F.lit("("), F.array_join(F.transform(s["paragraphs"], paragraph), ","), F.lit(")"))), ""))
 
 
-def _branches(nodes: Column) -> Column:
-    """Strings of a node's hash and its code points, so that set operations find equal ones by hashing."""
-    return F.transform(nodes, lambda x: F.concat(x["h"], F.lit(":"), x["n"].cast("string")))
+def _said(sections: Column) -> Column:
+    """A string for each section: hash and code points, then the same of each paragraph with its shards. Strings are what set
+    operations of arrays find by hashing, in time that grows with the text alone."""
 
+    def paragraph(p):
+        return F.concat(p["h"], F.lit(":"), p["n"].cast("string"), F.lit(":"), F.array_join(F.transform(p["shards"], lambda x: x.cast("string")), "."))
 
-def _weight(branches: Column) -> Column:
-    return F.aggregate(branches, F.lit(0).cast("long"), lambda a, x: a + F.substring_index(x, ":", -1).cast("long"))
+    return F.transform(sections, lambda s: F.concat(s["h"], F.lit(":"), s["n"].cast("string"), F.lit("|"), F.array_join(F.transform(s["paragraphs"], paragraph), "|")))
 
 
-def _weight_of_shards(own: Column) -> Column:
-    return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x.bitwiseAND(F.lit(63)))
+def _weight(said: Column) -> Column:
+    """Code points of the sections or paragraphs."""
+    return F.aggregate(said, F.lit(0).cast("long"), lambda a, x: a + F.substring_index(F.substring_index(F.substring_index(x, "|", 1), ":", 2), ":", -1).cast("long"))
 
 
-def _rest(nodes: Column, equal: Column) -> Column:
-    """The nodes that are not among the equal branches. Most trees have few sections; of many, none or few are equal."""
-    return F.when(F.size(equal) == 0, nodes).otherwise(F.filter(nodes, lambda x: ~F.array_contains(equal, F.concat(x["h"], F.lit(":"), x["n"].cast("string")))))
+def _weight_of_shards(own: Column) -> Column:
+    return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x.cast("long").bitwiseAND(F.lit(63)))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Of two trees."""
 
-    def paragraphs(x):
-        return F.flatten(F.transform(x, lambda s: s["paragraphs"]))
+    def paragraphs(said):
+        return F.array_distinct(F.flatten(F.transform(said, lambda x: F.slice(F.split(x, r"\|"), F.lit(2), F.length(x)))))
 
-    def shards(x):
-        return F.array_distinct(F.flatten(F.transform(x, lambda p: p["shards"])))
+    def shards(said):
+        return F.array_distinct(F.flatten(F.transform(said, lambda x: F.filter(F.split(F.substring_index(x, ":", -1), r"\."), lambda y: y != ""))))
 
-    def by_shards(wide: Column, equal: Column, p: Column, q: Column) -> Column:
-        def compared(x, y):
-            alike = wide + _weight(equal) + _weight_of_shards(F.array_intersect(x, y))
-            total = 2 * wide + 2 * _weight(equal) + _weight_of_shards(x) + _weight_of_shards(y)
-            return F.when(total == 0, 1.0).otherwise(2.0 * alike / total)
+    def by_shards(alike: Column, x: Column, y: Column) -> Column:
+        both = alike + _weight_of_shards(F.array_intersect(x, y))
+        total = 2 * alike + _weight_of_shards(x) + _weight_of_shards(y)
+        return F.when(total == 0, 1.0).otherwise(2.0 * both / total)
 
-        return let(shards(_rest(p, equal)), lambda x: let(shards(_rest(q, equal)), lambda y: compared(x, y)))
+    def by_paragraphs(alike: Column, p: Column, q: Column) -> Column:
+        rest = F.struct(shards(F.array_except(p, q)).alias("x"), shards(F.array_except(q, p)).alias("y"), (alike + _weight(F.array_intersect(p, q))).alias("alike"))
+        return let(rest, lambda r: by_shards(r["alike"], r["x"], r["y"]))
 
-    def by_paragraphs(equal: Column) -> Column:
-        def compared(p, q):
-            return let(F.array_intersect(_branches(p), _branches(q)), lambda same: by_shards(_weight(equal), same, p, q))
+    def by_sections(x: Column, y: Column) -> Column:
+        rest = F.struct(paragraphs(F.array_except(x, y)).alias("p"), paragraphs(F.array_except(y, x)).alias("q"), _weight(F.array_intersect(x, y)).alias("alike"))
+        return let(rest, lambda r: by_paragraphs(r["alike"], r["p"], r["q"]))
 
-        return let(paragraphs(_rest(a, equal)), lambda p: let(paragraphs(_rest(b, equal)), lambda q: compared(p, q)))
-
-    return F.when(root(a) == root(b), 1.0).otherwise(let(F.array_intersect(_branches(a), _branches(b)), by_paragraphs))
+    both = F.struct(_said(a).alias("x"), _said(b).alias("y"))
+    return F.when(root(a) == root(b), 1.0).otherwise(let(both, lambda t: by_sections(t["x"], t["y"])))
 
 
 def differing(a: Column, b: Column) -> Column:
     """array<struct<section, paragraph>>: numbers (from 0) of the paragraphs of tree ``a`` that tree ``b`` does not have, descending only into
     sections whose hash differs; empty for equal roots."""
+    none = F.array().cast("array<struct<section:int,paragraph:int>>")
 
-    def below(known_sections: Column) -> Column:
-        def with_known(known: Column) -> Column:
-            def inside(s, i):
-                return F.filter(F.transform(s["paragraphs"], lambda p, j: F.when(~F.array_contains(known, F.xxhash64(p["h"])), F.struct(i.alias("section"), j.alias("paragraph")))), lambda x: x.isNotNull())
-
-            none = F.array().cast("array<struct<section:int,paragraph:int>>")
-            return F.flatten(F.transform(a, lambda s, i: F.when(F.array_contains(known_sections, F.xxhash64(s["h"])), none).otherwise(inside(s, i))))
+    def inside(s, i, known):
+        return F.filter(F.transform(s["paragraphs"], lambda p, j: F.when(~known(F.xxhash64(p["h"])), F.struct(i.alias("section"), j.alias("paragraph")))), lambda x: x.isNotNull())
 
-        return let(F.array_distinct(F.flatten(F.transform(b, lambda t: F.transform(t["paragraphs"], lambda p: F.xxhash64(p["h"]))))), with_known)
+    def below(known_section, known) -> Column:
+        return F.flatten(F.transform(a, lambda s, i: F.when(known_section(F.xxhash64(s["h"])), none).otherwise(inside(s, i, known))))
 
-    return F.when(root(a) == root(b), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(let(F.transform(b, lambda t: F.xxhash64(t["h"])), below))
+    sections = F.transform(b, lambda t: F.xxhash64(t["h"]))
+    paragraphs = F.flatten(F.transform(b, lambda t: F.transform(t["paragraphs"], lambda p: F.xxhash64(p["h"]))))
+    return F.when(root(a) == root(b), none).otherwise(sorted_members(sections, lambda known_section: sorted_members(paragraphs, lambda known: below(known_section, known))))
 
 
 def _bucket(key: Column, bounds: list[int]) -> Column:

@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import arrays, decontamination, pii
+from corpusloom.llm import arrays, decontamination, merkle, pii
 
 N = 100_000
 
@@ -18,6 +18,9 @@ def test_running_totals_and_cuts(spark):
     most = arrays.running(F.col("xs"), F.lit(0), lambda a, x: F.greatest(a, x), lambda first: F.transform(arrays.numbers(F.lit(1001), 0), first))
     spans = [(0, 0), (0, 5), (4090, 4100), (4096, 8192), (1, 15000), (14999, 15000), (8192, 8192)]
     cuts = arrays.cutter(F.col("text"), lambda cut: F.array(*[cut(F.lit(a), F.lit(b)) for a, b in spans]))
+    keys = [(k * k) % 977 - 400 for k in range(300)]
+    among = arrays.sorted_members(F.array(*[F.lit(x).cast("long") for x in keys]), lambda has: F.transform(F.sequence(F.lit(-500).cast("long"), F.lit(700).cast("long")), has))
+    assert own.select(among.alias("k"), arrays.sorted_members(F.array().cast("array<bigint>"), lambda has: has(F.lit(3).cast("long"))).alias("none")).first() == ([x in keys for x in range(-500, 701)], False)
     known = arrays.members(F.array(*[F.lit(x).cast("long") for x in (5, -3, 2**62, 11)]), lambda has: F.array(*[has(F.lit(x).cast("long")) for x in (5, -3, 2**62, 11, 6, 0)]))
     r = own.select(sums.alias("s"), most.alias("m"), cuts.alias("c"), known.alias("k")).first()
     assert r.s == [sum(xs[:n]) for n in range(1001)] and r.m == [max(xs[:n], default=0) for n in range(1001)]
@@ -44,3 +47,12 @@ def test_passages_of_a_text_with_many_hits(spark, short):
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontamination.digest(decontamination.find_passages(docs, items)).collect()}
     assert time.perf_counter() - began < 60
     assert got == ({1: (N, 2, 1), 2: (2, 2, 1)} if short else {1: (N, N, 3), 2: (2, 2, 1)})
+
+
+@pytest.mark.parametrize(("gap", "n"), [("\n", 2 * N), ("\n\n", N // 2)])
+def test_fingerprints_of_a_text_of_many_lines(spark, gap, n):
+    docs = spark.createDataFrame([(1, gap.join(f"line {i} ends here" for i in range(n))), (2, gap.join(f"other {i} ends too" for i in range(n)))], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in merkle.fingerprint_edits(docs).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1].near_next < 0.001 and 0.4 < got[1].near_edited < 0.6 and n // 2 - 10 < got[1].n_edited < n // 2 + 10
