@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
 from corpusloom.functions import text as T
-from corpusloom.operators import answers, chunking, conversations, dedup, evaluation, governance, lexical_index, retrieval
+from corpusloom.operators import answers, chunking, conversations, dedup, dense_index, evaluation, governance, lexical_index, retrieval
 from corpusloom.operators.numbering import number_rows
 from corpusloom.plans.rebuild import HashEmbedder, embed
 from corpusloom.sources.scratch import shared_folder
@@ -301,6 +301,29 @@ def dense_above_threshold(spark, d):
     return retrieval.dense_search(_points(spark, d), _vectors(spark, d), 8, threshold=0.5).select("query_id", "point_id", F.round("score", 6).alias("score"), "rank")
 
 
+_CLUSTERED: dict[tuple[str, str], str] = {}
+
+
+def _dense_index(spark, d) -> dense_index.DenseIndex:
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _CLUSTERED:
+        path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+        dense_index.build_dense_index(_points(spark, d), path)
+        _CLUSTERED[key] = path
+    return dense_index.DenseIndex(spark, _CLUSTERED[key])
+
+
+@query(f"SELECT query_id, point_id, round(score, 6) AS score, rank FROM ({_DENSE.format(_TWENTIETH, 8)})")
+def dense_index_top_k(spark, d):
+    return _dense_index(spark, d).search(_vectors(spark, d), 8).select("query_id", "point_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"SELECT query_id, point_id, round(score, 6) AS score, rank FROM ({_DENSE.format(_TWENTIETH + ' AND p.label IN (1, 2)', 4)}) WHERE score >= 0.3")
+def dense_index_filtered(spark, d):
+    found = _dense_index(spark, d).search(_vectors(spark, d), 4, threshold=0.3, criteria={"label": [1, 2]})
+    return found.select("query_id", "point_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"SELECT vec_id, round(u[1], 6) AS first_component, round(sqrt(list_dot_product(u, u)), 6) AS norm FROM {_POINTS}")
 def unit_vectors(spark, d):
     u = _points(spark, d).select("point_id", retrieval.unit(F.col("embedding")).alias("u"))

@@ -36,6 +36,12 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
+    kind = spark.read.parquet(f"{path}/texts").schema["point_id"].dataType.simpleString()
+    columns = {"postings": f"point_id {kind}, size int, term string, bucket int", "terms": "term string, n long, least int, bucket int"}
+    return spark.read.schema(columns[name]).parquet(f"{path}/{name}")
+
+
 def build_lexical_index(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """``chunks``: point_id, text. Texts are cut into terms once, here."""
     norm = T.lexical_norm(F.coalesce("text", F.lit("")))
@@ -46,7 +52,7 @@ def build_lexical_index(chunks: DataFrame, path: str, buckets: int = BUCKETS) ->
     rows = spark.read.parquet(f"{path}/texts").select("point_id", "size", F.explode("terms").alias("term")).withColumn("bucket", _bucket(F.col("term"), buckets))
     order = ("bucket", "term", "size", "point_id")
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/postings")
-    terms = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"))
+    terms = _read(spark, path, "postings").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"))
     terms.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
 
 
@@ -67,7 +73,7 @@ class LexicalIndex:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, among: DataFrame | None = None):
         self.path, self.buckets = path, buckets
-        self.texts, self.postings, self.terms = (spark.read.parquet(f"{path}/{name}") for name in ("texts", "postings", "terms"))
+        self.texts, self.postings, self.terms = spark.read.parquet(f"{path}/texts"), _read(spark, path, "postings"), _read(spark, path, "terms")
         if among is not None:
             ids = written(among.select("point_id").distinct(), "among")
             self.texts, self.postings = (x.join(ids, "point_id", "left_semi") for x in (self.texts, self.postings))

@@ -56,3 +56,10 @@ def test_reads_less(spark, tables):
 
 def test_anchor_of_phrases():
     assert anchor("a quoted-span here") == "quoted-span" and anchor("the") is None and anchor("x") is None and anchor("ร้าน โมเดล")
+
+
+def test_empty_tables(spark, tables, tmp_path):
+    chunks, queries, path = tables
+    build_lexical_index(chunks.limit(0), str(tmp_path / "none"))
+    assert LexicalIndex(spark, str(tmp_path / "none")).search(queries, 3).collect() == []
+    assert LexicalIndex(spark, path, 8).search(queries.limit(0), 3).collect() == []
