@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions import rules
+from corpusloom.functions import patterns, rules
 from corpusloom.functions import text as T
 from corpusloom.operators import answers, chunking, conversations, dedup, dense_index, evaluation, governance, lexical_index, retrieval
 from corpusloom.operators.numbering import number_rows
@@ -172,11 +172,11 @@ def row_blocks(spark, d):
 
 
 def _hits_sql(x: str, table: dict[str, str]) -> str:
-    return "list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches({x}, {_quote(p)}) THEN '{n}' END" for n, p in table.items()) + "], lambda h: h IS NOT NULL))"
+    return "list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches({x}, {_quote(patterns.re2(p))}) THEN '{n}' END" for n, p in table.items()) + "], lambda h: h IS NOT NULL))"
 
 
-_NAME, _SEEN = "translate(p, '_-', '  ')", "translate(p, '_-', '  ') || chr(10) || substr(text, 1, 200000)"
-_SCANNED = f"""SELECT doc_id, secret, synthetic, book, p, text, regexp_matches(p, {_quote(rules.STALE_PATH)}) OR regexp_matches(text, {_quote(rules.STALE_CONTENT)}) AS stale,
+_NAME, _SEEN = "translate(p, '_-', '  ')", "translate(p, '_-', '  ') || chr(10) || text"
+_SCANNED = f"""SELECT doc_id, secret, synthetic, book, p, text, regexp_matches(p, {_quote(patterns.re2(rules.STALE_PATH))}) OR regexp_matches(text, {_quote(patterns.re2(rules.STALE_CONTENT))}) AS stale,
  CASE WHEN len(secret) > 0 THEN 'rejected' WHEN len(synthetic) > 0 OR len(book) > 0 THEN 'quarantined' ELSE 'accepted' END AS status
 FROM (SELECT doc_id, p, text, list_sort(list_distinct(list_concat({_hits_sql(_SEEN, rules.SECRET)}, {_hits_sql(_NAME, rules.SECRET_NAME)}))) AS secret, {_hits_sql(_SEEN, rules.SYNTHETIC)} AS synthetic, {_hits_sql(_SEEN, rules.BOOK)} AS book
 FROM (SELECT doc_id, {_PATH_SQL} AS p, text FROM documents))"""
@@ -513,7 +513,7 @@ def latest_runs(spark, d):
 def _route_sql(x: str, history: str) -> str:
     out = []
     for name, confidence, pattern in rules.ROUTES:
-        test = f"regexp_matches({x}, {_quote('(?i)' + pattern)})" + (f" AND {history}" if name == "follow_up" else "")
+        test = f"regexp_matches({x}, {_quote(patterns.re2(pattern, True))})" + (f" AND {history}" if name == "follow_up" else "")
         out.append((test, name, confidence))
     return out
 
@@ -547,7 +547,7 @@ def route_filters(spark, d):
     return r.groupBy("route", categories.alias("categories")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT conv_id, turn, CASE WHEN NOT h THEN 'standalone' WHEN regexp_matches(m, {_quote('(?i)' + rules.BROAD)}) AND NOT regexp_matches(m, {_quote('(?i)' + rules.PRONOUN)}) THEN 'broad' WHEN length(m) > 100 AND NOT regexp_matches(m, {_quote('(?i)' + rules.CONTEXT_HINT)}) THEN 'independent' END AS kind, coalesce({_ROUTE} IN ('technical_troubleshooting', 'kafka_iot_support'), false) AND (length(m) >= 180 OR regexp_matches(m, {_quote('(?i)' + rules.COMPLEX)})) AS thinking FROM {_ASKED}")
+@query(f"SELECT conv_id, turn, CASE WHEN NOT h THEN 'standalone' WHEN regexp_matches(m, {_quote(patterns.re2(rules.BROAD, True))}) AND NOT regexp_matches(m, {_quote(patterns.re2(rules.PRONOUN, True))}) THEN 'broad' WHEN length(m) > 100 AND NOT regexp_matches(m, {_quote(patterns.re2(rules.CONTEXT_HINT, True))}) THEN 'independent' END AS kind, coalesce({_ROUTE} IN ('technical_troubleshooting', 'kafka_iot_support'), false) AND (length(m) >= 180 OR regexp_matches(m, {_quote(patterns.re2(rules.COMPLEX, True))})) AS thinking FROM {_ASKED}")
 def followups_and_thinking(spark, d):
     r = _asked(spark, d).withColumn("r", answers.route(F.col("m"), F.col("h"), F.lit("none")))
     return r.select("conv_id", "turn", answers.followup(F.col("m"), F.col("h")).alias("kind"), answers.thinking(F.col("m"), F.col("r.route")).alias("thinking"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions import rules
+from corpusloom.functions import patterns, rules
 from corpusloom.functions import text as T
 
 _WORDCHAR = r"[\p{L}\p{N}_.:/-]"
@@ -69,7 +69,7 @@ def route(message: Column, has_history: Column, scope: Column) -> Column:
     """struct(route, confidence) by the ordered rules; route is null where a model must decide."""
     out = None
     for name, confidence, pattern in rules.ROUTES:
-        found = message.rlike(f"(?i){pattern}")
+        found = message.rlike(patterns.java(pattern, True))
         answer = F.struct(F.lit(name).alias("route"), F.lit(confidence).alias("confidence"))
         if name == "follow_up":
             found = found & has_history
@@ -89,10 +89,10 @@ def default_categories(route_: Column) -> Column:
 
 
 def thinking(message: Column, route_: Column) -> Column:
-    return F.coalesce(route_.isin(*rules.THINKING_ROUTES), F.lit(False)) & ((F.length(message) >= 180) | message.rlike(f"(?i){rules.COMPLEX}"))
+    return F.coalesce(route_.isin(*rules.THINKING_ROUTES), F.lit(False)) & ((F.length(message) >= 180) | message.rlike(patterns.java(rules.COMPLEX, True)))
 
 
 def followup(message: Column, has_history: Column) -> Column:
     """standalone, broad, independent, or null where a model must decide."""
-    hint = message.rlike(f"(?i){rules.CONTEXT_HINT}")
-    return F.when(~has_history, "standalone").when(message.rlike(f"(?i){rules.BROAD}") & ~message.rlike(f"(?i){rules.PRONOUN}"), "broad").when((F.length(message) > 100) & ~hint, "independent")
+    hint = message.rlike(patterns.java(rules.CONTEXT_HINT, True))
+    return F.when(~has_history, "standalone").when(message.rlike(patterns.java(rules.BROAD, True)) & ~message.rlike(patterns.java(rules.PRONOUN, True)), "broad").when((F.length(message) > 100) & ~hint, "independent")

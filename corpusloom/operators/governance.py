@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions import rules
+from corpusloom.functions import patterns, rules
 
 
 def _may(low: Column, name: str) -> Column:
@@ -18,7 +18,7 @@ def _may(low: Column, name: str) -> Column:
 
 def hits(x: Column, table: dict[str, str], low: Column | None = None) -> Column:
     """Sorted names of the patterns found; with the text in lower case, only those whose hints are there are tried."""
-    return F.array_sort(F.array_compact(F.array(*[F.when(x.rlike(p) if low is None else _may(low, n) & x.rlike(p), F.lit(n)) for n, p in table.items()])))
+    return F.array_sort(F.array_compact(F.array(*[F.when(x.rlike(patterns.java(p)) if low is None else _may(low, n) & x.rlike(patterns.java(p)), F.lit(n)) for n, p in table.items()])))
 
 
 def scan(files: DataFrame, production: bool, allow_secrets: bool = False, stale_days: int | None = None, now: Column | None = None, window: int | None = None) -> DataFrame:
@@ -29,10 +29,11 @@ def scan(files: DataFrame, production: bool, allow_secrets: bool = False, stale_
     text = F.coalesce("text", F.lit(""))
     seen = F.concat(name, F.lit("\n"), text if window is None else F.substring(text, 1, window))
     low, whole = F.col("__low"), F.col("__whole")
-    stale = [F.when(F.col("path").rlike(rules.STALE_PATH), F.lit("stale_path_keyword")), F.when(_may(whole, "stale_content_keyword") & text.rlike(rules.STALE_CONTENT), F.lit("stale_content_keyword"))]
+    stale = [F.when(F.col("path").rlike(patterns.java(rules.STALE_PATH)), F.lit("stale_path_keyword")), F.when(_may(whole, "stale_content_keyword") & text.rlike(patterns.java(rules.STALE_CONTENT)), F.lit("stale_content_keyword"))]
     if stale_days is not None:
         stale.insert(0, F.when(F.unix_timestamp(now if now is not None else F.current_timestamp()) - F.unix_timestamp("modified") > stale_days * 86400, F.lit(f"older_than_{stale_days}_days")))
-    lowered = files.withColumns({"__low": F.lower(seen), "__whole": F.lower(text)})
+    folded = lambda x: F.translate(F.lower(F.translate(x, "İ", "i")), "ſı", "si")  # noqa: E731  letters that equal i and s where case is ignored
+    lowered = files.withColumns({"__low": folded(seen), "__whole": folded(text)})
     found = lowered.select(
         *files.columns, F.array_sort(F.array_union(hits(seen, rules.SECRET, low), hits(name, rules.SECRET_NAME))).alias("secret_hits"), hits(seen, rules.SYNTHETIC, low).alias("synthetic_hits"), hits(seen, rules.BOOK, low).alias("external_book_hits"), F.array_compact(F.array(*stale)).alias("stale_hits")
     )
