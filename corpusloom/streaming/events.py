@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def windowed_counts(events: DataFrame, size: str = "15 minutes", slide: str = "5 minutes", late: str = "120 minutes") -> DataFrame:
@@ -59,25 +62,66 @@ def suppressed(x, confidence, least: float = 0.6):
 
 
 STATE = "user_id long, event_id long, event_type string, streak long, since_change double"
-
-
-def keyed_streaks(events: DataFrame) -> DataFrame:
-    """The streaks of :func:`streaks` on a stream, with state per user: the last type, the length of its run and when it began."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def update(key, batches, state):
-        last, streak, began = state.get if state.exists else (None, 0, 0.0)
-        for batch in batches:
-            rows = []
-            for event_id, kind, at in batch.sort_values(["at", "event_id"])[["event_id", "event_type", "at"]].itertuples(index=False):
-                last, streak, began = (kind, streak + 1, began) if kind == last else (kind, 1, at)
-                rows.append((key[0], event_id, kind, streak, at - began))
-            yield pd.DataFrame(rows, columns=["user_id", "event_id", "event_type", "streak", "since_change"])
-        state.update((last, streak, began))
-
-    own = events.select("user_id", "event_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-    return own.groupBy("user_id").applyInPandasWithState(update, STATE, "last string, streak long, began double", "append", GroupStateTimeout.NoTimeout)
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Streaks(StatefulProcessor):
+    """State of a user: the rows that the watermark has not passed, and the run that the rows before them ended with."""
+
+    def __init__(self, idle: int):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, event_id long, event_type string")
+        self.run = handle.getValueState("run", "last string, streak long, began long, seen long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(int(at), None if pd.isna(i) else int(i), kind) for batch in rows for at, i, kind in batch[["at", "event_id", "event_type"]].itertuples(index=False)]
+        self.waiting.appendList(new)
+        self.handle.registerTimer(min(at for at, _, _ in new) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs() * 1000  # no row up to here can still come
+        rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+        ready = [r for r in rows if r[0] <= now]
+        left = rows[len(ready) :]
+        last, streak, began, seen = self.run.get() if self.run.exists() else (None, 0, 0, None)
+        out = []
+        for at, event_id, kind in ready:
+            if seen is None or kind != last or at - seen > self.idle:
+                last, streak, began = kind, 0, at
+            streak, seen = streak + 1, at
+            out.append((key[0], event_id, kind, streak, (at - began) / 1e6))
+        if left:
+            self.waiting.put(left)
+            self.handle.registerTimer(left[0][0] // 1000 + 1)
+        else:
+            self.waiting.clear()
+        if seen is not None and seen + self.idle <= now and not left:
+            self.run.clear()
+        elif seen is not None:
+            self.run.update((last, streak, began, seen))
+            self.handle.registerTimer((seen + self.idle) // 1000 + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "event_id", "event_type", "streak", "since_change"])
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_streaks(events: DataFrame, late: str = "120 minutes", idle: timedelta = timedelta(days=7)) -> DataFrame:
+    """The streaks of :func:`streaks` on a stream, whatever the order in which rows come. Rows wait until the watermark, ``late`` behind the latest event, has
+    passed them, and are then counted by time and event_id; later ones are dropped (:func:`split_late` keeps them). After ``idle`` without
+    an event a user's state goes, and the next event begins a new run; so state is kept for users with recent events alone.
+
+    Rows without a time or a user are left out. State is in RocksDB, which Spark needs for it."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    own = events.filter("ts is not null and user_id is not null").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    own = own.withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
+    micros = int(idle.total_seconds() * 1_000_000)
+    return own.groupBy("user_id").transformWithStateInPandas(_Streaks(micros), outputStructType=STATE, outputMode="Append", timeMode="EventTime")
 
 
 def write_daily(events: DataFrame, path: str, checkpoint: str):

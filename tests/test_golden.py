@@ -236,17 +236,6 @@ def test_phrases_of_quotes_and_expansions(spark):
     assert scores[2][0] > scores[1][0] and scores[1][1] == 2 and 3 not in scores
 
 
-def test_streaks_of_a_stream(spark, tmp_path):
-    rows = [(1, 1, "a", "2024-01-01 00:00:00"), (1, 2, "a", "2024-01-01 00:00:10"), (1, 3, "b", "2024-01-01 00:00:30"), (2, 4, "a", "2024-01-01 00:00:00")]
-    table = spark.createDataFrame(rows, "user_id long, event_id long, event_type string, ts string").withColumn("ts", F.to_timestamp("ts"))
-    table.repartition(1).write.parquet(str(tmp_path / "in"))
-    stream = events.keyed_streaks(spark.readStream.schema(table.schema).parquet(str(tmp_path / "in")))
-    run = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).format("memory").queryName("streaks").start()
-    run.awaitTermination(60)
-    got = {r.event_id: (r.streak, r.since_change) for r in spark.table("streaks").collect()}
-    assert got == {r.event_id: (r.streak, r.since_change) for r in events.streaks(table).collect()} == {1: (1, 0.0), 2: (2, 10.0), 3: (1, 0.0), 4: (1, 0.0)}
-
-
 def test_plans(spark):
     """A search by terms is an equi-join, pruned columns reach the scan, and nothing is a nested loop."""
     chunks = spark.createDataFrame([(1, "kafka topic")], "point_id long, text string")
