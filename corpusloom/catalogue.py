@@ -5,14 +5,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import patterns, rules
+from corpusloom.functions import payload as P
 from corpusloom.functions import text as T
-from corpusloom.operators import answers, chunking, conversations, dedup, dense_index, evaluation, governance, lexical_index, retrieval
+from corpusloom.operators import answers, chunking, conversations, dedup, dense_index, evaluation, governance, lexical_index, retrieval, turns
 from corpusloom.operators.numbering import number_rows
 from corpusloom.plans.rebuild import HashEmbedder, embed
+from corpusloom.sources import sinks
 from corpusloom.sources.scratch import shared_folder
 from corpusloom.streaming import events as E
 
@@ -654,3 +656,57 @@ def event_features(spark, d):
 def late_events(spark, d):
     good, late = E.split_late(_events(spark, d), F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
     return good.agg(F.count("*").alias("in_time")).join(late.agg(F.count("*").alias("dead_letters")))
+
+
+# --- index, staging and prompts ---------------------------------------------------------------
+
+
+def _payload(spark, d):
+    return _docs(spark, d).select(F.col("doc_id").alias("point_id"), F.col("lang").alias("category"), F.col("source").alias("source_path"), F.col("n_chars").cast("long").alias("row_end"))
+
+
+@query("""SELECT doc_id AS point_id, lang AS category, n_chars + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS row_end FROM documents
+UNION ALL SELECT -1 - doc_id, lang, 0 FROM documents WHERE doc_id % 11 = 0""")
+def upserted_points(spark, d):
+    """An index of all documents, after rows of a seventh are replaced and others are added."""
+    path, rows = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", _payload(spark, d)
+    sinks.write_index(rows, path)
+    changed = rows.filter("point_id % 7 = 0").withColumn("row_end", F.col("row_end") + 1)
+    new = rows.filter("point_id % 11 = 0").withColumns({"point_id": -1 - F.col("point_id"), "row_end": F.lit(0).cast("long")})
+    sinks.upsert_index(changed.unionByName(new), path)
+    return sinks.read_index(spark, path).select("point_id", "category", "row_end")
+
+
+@query("SELECT lang AS category, source AS source_path, count(*) AS n, sum(n_chars)::BIGINT AS total FROM documents WHERE lang IN ('en', 'fr') AND n_chars >= 1000 GROUP BY ALL")
+def indexed_filter(spark, d):
+    """A filtered read of the index, by category and a number."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    sinks.write_index(_payload(spark, d), path)
+    found = sinks.read_index(spark, path).filter(retrieval.match_filter(category=["en", "fr"]) & (F.col("row_end") >= 1000))
+    return found.groupBy("category", "source_path").agg(F.count("*").alias("n"), F.sum("row_end").alias("total"))
+
+
+@query(f"SELECT {_PATH_SQL} AS path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS sha256 FROM documents")
+def promoted_files(spark, d):
+    """All documents staged and promoted, then a fifth of them staged and promoted again with other contents."""
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    files = _docs(spark, d).select(_path().alias("path"), "text", "doc_id")
+    for batch in (files.select("path", F.col("text").cast("binary").alias("content")), files.filter("doc_id % 5 = 0").select("path", F.concat("text", F.lit("!")).cast("binary").alias("content"))):
+        sinks.stage(batch, f"{path}/staged")
+        sinks.promote(spark, f"{path}/staged", f"{path}/documents")
+    return sinks.read_index(spark, f"{path}/documents").select("path", F.sha2("content", 256).alias("sha256"))
+
+
+_RUNTIME = "'Runtime context:' || chr(10) || '- Current local date: 2024-05-06' || chr(10) || '- Current local time: 14:08:09' || chr(10) || '- Timezone: Asia/Bangkok' || chr(10) || '- Treat dates before the current local date as past dates.' || chr(10) || '- Treat dates after the current local date as future dates.' || chr(10) || '- When a source document explicitly states a date, preserve the source value and interpret its timing relative to this runtime context.'"
+_PARAGRAPH = "chr(10) || chr(10)"
+
+
+@query(f"""SELECT conv_id, turn, md5({_RUNTIME} || {_PARAGRAPH} || 'Stored session summary:' || chr(10) || '(none)' || {_PARAGRAPH} || 'Recent conversation:' || chr(10) || coalesce(said, '(none)') || {_PARAGRAPH} || 'Latest user message:' || chr(10) || {_strip('text')} || {_PARAGRAPH} || 'Determine whether the latest user message is context-dependent.' || chr(10) || 'Return a standalone retrieval query.') AS prompt_md5
+FROM (SELECT conv_id, turn, role, text, string_agg(upper(role) || ': ' || text, {_PARAGRAPH}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS said FROM conversations) WHERE role = 'user'""")
+def followup_prompts(spark, d):
+    """The prompt that asks what a user message refers to, for every one of the conversations."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-8, -1)
+    said = _read(spark, d, "conversations").withColumn("said", F.collect_list(F.struct("role", F.col("text").alias("content"))).over(w)).filter("role = 'user'")
+    now = F.timestamp_seconds(F.lit(1714979289))
+    prompt = turns.followup_prompt(now, F.lit(None).cast("string"), P.history_text(F.col("said"), 8), T.strip(F.col("text")))
+    return said.select("conv_id", "turn", F.md5(prompt.cast("binary")).alias("prompt_md5"))

@@ -3,16 +3,15 @@ repaired once and replaced if they do not hold."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Protocol
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import payload as P
 from corpusloom.functions import text as T
 from corpusloom.operators import answers
+from corpusloom.operators.model_calls import ChatModel, call_model
 
 # Routes that search, and those that carry a document on.
 RAG_ROUTES = ("document_qa", "company_info", "admin_support", "developer_support", "technical_troubleshooting", "kafka_iot_support", "follow_up")
@@ -103,45 +102,30 @@ def settled(payloads: DataFrame) -> DataFrame:
     return rows.select(*kept, shown.alias("answer"), (F.col("answerable") & ~F.col("uncited") & F.col("broken").isNull()).alias("answerable"), limits.alias("limitations"), F.col("valid").alias("cited_ids"))
 
 
-class ChatModel(Protocol):
-    """A client that lives on an executor. It answers a prompt with a JSON object of the schema's fields."""
-
-    def chat_json(self, prompt: str, schema: dict) -> dict: ...
-
-
 #: What a model is asked to return.
 ANSWER_SCHEMA = {"answer": "string", "answerable": "boolean", "cited_source_ids": "array", "limitations": "array"}
 
 
-def ask(prompts: DataFrame, model: Callable[[], ChatModel]) -> DataFrame:
-    """``prompts``: query_id, prompt. (query_id, answer, answerable, cited, limitations), one call a row, the client made once for each task;
-    a call that fails gives nulls and its error in ``limitations``."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = model()
-        for batch in batches:
-            rows = []
-            for prompt in batch["prompt"]:
-                try:
-                    got = client.chat_json(prompt, ANSWER_SCHEMA)
-                    rows.append((str(got["answer"]), bool(got["answerable"]), [str(x) for x in got.get("cited_source_ids", [])], [str(x) for x in got.get("limitations", [])]))
-                except Exception as e:  # noqa: BLE001 - whatever a client raises belongs to its row
-                    rows.append((None, None, None, [f"{type(e).__name__}: {e}"]))
-            yield pd.DataFrame({"query_id": batch["query_id"], **{c: [r[i] for r in rows] for i, c in enumerate(("answer", "answerable", "cited", "limitations"))}})
-
-    return prompts.select("query_id", "prompt").mapInPandas(run, "query_id long, answer string, answerable boolean, cited array<string>, limitations array<string>")
+def ask(prompts: DataFrame, model: Callable[[], ChatModel], store: Callable[[DataFrame], DataFrame], **how) -> DataFrame:
+    """``prompts``: query_id, prompt. (query_id, answer, answerable, cited, limitations) by :func:`model_calls.call_model`, equal prompts once;
+    where no reply fits, nulls and the error in ``limitations``."""
+    told = call_model(prompts.select("query_id", "prompt"), model, ANSWER_SCHEMA, store, optional=("cited_source_ids", "limitations"), **how)
+    r = told.withColumn("r", F.from_json("reply", "answer string, answerable boolean, cited_source_ids array<string>, limitations array<string>"))
+    none = F.array().cast("array<string>")
+    limits = F.when(F.col("reply").isNull(), F.array("error")).otherwise(F.coalesce("r.limitations", none))
+    return r.select("query_id", "r.answer", "r.answerable", F.when(F.col("reply").isNotNull(), F.coalesce("r.cited_source_ids", none)).alias("cited"), limits.alias("limitations"))
 
 
 def answer(questions: DataFrame, model: Callable[[], ChatModel], store: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``questions``: query_id, question, language, prompt, allowed. Asks, checks, asks once more with the reasons where a check
     fails, and settles what is shown. ``store`` writes a table and reads it back, so that no model is asked twice."""
-    first = store(questions.join(ask(questions, model), "query_id"))
+    first = store(questions.join(ask(questions, model, store), "query_id"))
     safe = answers.keep_citations(F.col("answer"), F.col("allowed"))
     valid, _ = valid_ids(F.col("cited"), F.col("answer"), F.col("allowed"))
     first = first.withColumn("reasons", F.coalesce(repair_reasons(safe, F.col("question"), F.col("answerable"), valid), F.array().cast("array<string>")))
     again = first.filter(F.size("reasons") > 0)
     retry = again.select("query_id", F.concat("prompt", F.lit("\n\nThe previous structured answer failed validation:\n"), F.array_join(F.transform("reasons", lambda r: F.concat(F.lit("- "), r)), "\n"), F.lit("\n\nPrevious answer:\n"), "answer").alias("prompt"))
-    second = store(ask(retry, model)).select("query_id", *[F.col(c).alias(f"new_{c}") for c in ("answer", "answerable", "cited", "limitations")])
+    second = store(ask(retry, model, store)).select("query_id", *[F.col(c).alias(f"new_{c}") for c in ("answer", "answerable", "cited", "limitations")])
     both = first.join(second, "query_id", "left")
     new = F.col("new_answer").isNotNull()
     rows = both.select("query_id", "question", "language", "allowed", *[F.when(new, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("answer", "answerable", "cited", "limitations")])
