@@ -159,6 +159,26 @@ _UNITS = "path string, status string, error string, warnings array<string>, unit
 _ARROW = pa.schema([("path", pa.string()), ("status", pa.string()), ("error", pa.string()), ("warnings", pa.list_(pa.string())), ("unit_id", pa.string()), ("unit_index", pa.int64()), ("unit_type", pa.string()), ("selector", pa.string()), ("text", pa.string()), ("page_number", pa.int64()), ("sheet_name", pa.string()), ("row_start", pa.int64()), ("row_end", pa.int64()), ("document_id", pa.string()), ("source_sha256", pa.string())])
 
 
+def file_rows(path: str, skipped: str | None, ext: str, title: str, data: bytes | None, loaders: dict[str, Loader]) -> list[dict]:
+    """The rows of a file: its units, or one without text that tells what became of it."""
+    base = {"path": path, "status": skipped, "error": None, "warnings": [], "document_id": hashlib.sha256(path.encode()).hexdigest()[:20]}
+    units: list[Unit] = []
+    if not skipped:
+        try:
+            if data is None:
+                raise ValueError("Spark's readers leave this file out")
+            base["source_sha256"] = hashlib.sha256(data).hexdigest()
+            units, base["warnings"] = loaders[ext](data, title)
+            base["status"] = "loaded" if units else "loaded_empty"
+        except Exception as e:  # a file that cannot be read is a row, not a failed job
+            base |= {"status": "failed", "error": f"{type(e).__name__}: {e}"}
+    rows = []
+    for i, u in enumerate(units):
+        key = json.dumps({"selector": u["selector"], "source_path": path, "source_sha256": base["source_sha256"], "unit_index": i, "unit_type": u["unit_type"]}, sort_keys=True, ensure_ascii=False)
+        rows.append(base | u | {"unit_index": i, "unit_id": hashlib.sha256(key.encode()).hexdigest()})
+    return rows or [base]
+
+
 def load(files: DataFrame, loaders: dict[str, Loader] | None = None) -> DataFrame:
     """``files`` of :func:`discover`. A row per unit, or one without text for a file that gave none; ``status`` is loaded,
     loaded_empty, failed, skipped_hidden, skipped_sensitive or skipped_unsupported. One bad file fails alone."""
@@ -170,23 +190,8 @@ def load(files: DataFrame, loaders: dict[str, Loader] | None = None) -> DataFram
 
     def run(batches):
         for one in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):  # one file at a time
-            for path, skipped, ext, title, data in zip(*(one.column(i).to_pylist() for i in range(5)), strict=True):
-                base = {"path": path, "status": skipped, "error": None, "warnings": [], "document_id": hashlib.sha256(path.encode()).hexdigest()[:20]}
-                units: list[Unit] = []
-                if not skipped:
-                    try:
-                        if data is None:
-                            raise ValueError("Spark's readers leave this file out")
-                        base["source_sha256"] = hashlib.sha256(data).hexdigest()
-                        units, base["warnings"] = loaders[ext](data, title)
-                        base["status"] = "loaded" if units else "loaded_empty"
-                    except Exception as e:  # a file that cannot be read is a row, not a failed job
-                        base |= {"status": "failed", "error": f"{type(e).__name__}: {e}"}
-                rows = []
-                for i, u in enumerate(units):
-                    key = json.dumps({"selector": u["selector"], "source_path": path, "source_sha256": base["source_sha256"], "unit_index": i, "unit_type": u["unit_type"]}, sort_keys=True, ensure_ascii=False)
-                    rows.append(base | u | {"unit_index": i, "unit_id": hashlib.sha256(key.encode()).hexdigest()})
-                yield pa.RecordBatch.from_pylist(rows or [base], schema=_ARROW)
+            for row in zip(*(one.column(i).to_pylist() for i in range(5)), strict=True):
+                yield pa.RecordBatch.from_pylist(file_rows(*row, loaders), schema=_ARROW)
 
     return source.mapInArrow(run, _UNITS)
 
