@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from corpusloom.functions import patterns, rules
 from corpusloom.functions import payload as P
 from corpusloom.functions import text as T
-from corpusloom.operators import answers, chunking, conversations, dedup, dense_index, evaluation, governance, lexical_index, retrieval, turns
+from corpusloom.operators import answers, chunking, conversations, dedup, dense_index, diagnostics, evaluation, governance, lexical_index, retrieval, turns
 from corpusloom.operators.numbering import number_rows
 from corpusloom.plans.rebuild import HashEmbedder, embed
-from corpusloom.sources import sinks
+from corpusloom.sources import files, sinks
 from corpusloom.sources.scratch import shared_folder
 from corpusloom.streaming import events as E
 
@@ -710,3 +710,25 @@ def followup_prompts(spark, d):
     now = F.timestamp_seconds(F.lit(1714979289))
     prompt = turns.followup_prompt(now, F.lit(None).cast("string"), P.history_text(F.col("said"), 8), T.strip(F.col("text")))
     return said.select("conv_id", "turn", F.md5(prompt.cast("binary")).alias("prompt_md5"))
+
+
+@query("SELECT count(*) AS point_count FROM embeddings WHERE label IN (1, 2, 5)")
+def counted_points(spark, d):
+    return retrieval.count_points(_points(spark, d), {"label": [1, 2, 5], "page": None})
+
+
+@query(f"SELECT path FROM (SELECT {_PATH_SQL} AS path FROM documents) WHERE path LIKE '%.md' OR path LIKE '%.txt' ORDER BY path")
+def listed_documents(spark, d):
+    return files.list_documents(_docs(spark, d).select(_path().alias("path")))
+
+
+@query("SELECT true AS active_index_matches_latest_manifest, (SELECT count(*) FROM documents) AS active_point_count, 'm' || (SELECT max(page_id) - 1 FROM pages) || '.json' AS latest_manifest, (SELECT count(DISTINCT source) FROM documents) AS documents, (SELECT string_agg(lang || '=' || n, ',' ORDER BY lang) FROM (SELECT coalesce(lang, 'uncategorized') AS lang, count(*) AS n FROM documents GROUP BY 1)) AS by_category")
+def runtime_snapshot(spark, d):
+    """Points, categories and documents of the tables; every page stands for a manifest, and the newest cannot be read."""
+    docs, pages = _docs(spark, d), _read(spark, d, "pages")
+    top, n = pages.agg(F.max("page_id")).first()[0], docs.count()
+    text = F.when(F.col("page_id") == top, F.col("html")).otherwise(F.to_json(F.struct(F.when(F.col("page_id") == top - 1, n).otherwise(0).alias("indexed_points"))))
+    manifests = pages.select(F.concat(F.lit("m"), "page_id", F.lit(".json")).alias("path"), F.timestamp_seconds("page_id").alias("modified"), text.alias("json"))
+    row = diagnostics.runtime_snapshot(docs.select(F.col("lang").alias("category")), manifests, docs.select(F.col("source").alias("source_path")), F.timestamp_seconds(F.lit(0)))
+    by = F.array_join(F.transform(F.map_entries("points_by_category"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return row.select("active_index_matches_latest_manifest", "active_point_count", "latest_manifest", "documents", by.alias("by_category"))

@@ -38,6 +38,46 @@ def inventory(found: DataFrame, limit: int = 10) -> DataFrame:
     return found.orderBy(F.desc("manifest_path")).limit(limit)
 
 
+def newest_readable(manifests: DataFrame) -> DataFrame:
+    """``manifests``: path, modified, json. The newest whose text is a JSON object, by time and then by path; the others are passed over."""
+    whole = manifests.filter(F.json_object_keys("json").isNotNull())
+    return whole.orderBy(F.desc("modified"), F.desc("path")).limit(1)
+
+
+def newest(manifests: DataFrame) -> DataFrame:
+    """The newest of all, with its text if that is a JSON object, else null."""
+    first = manifests.orderBy(F.desc("modified"), F.desc("path")).limit(1)
+    return first.withColumn("json", F.when(F.json_object_keys("json").isNotNull(), F.col("json")))
+
+
+def tables_of(spark: SparkSession, database: str = "default") -> DataFrame:
+    """(name, kind, is_temporary) of the catalogue's tables, by name."""
+    rows = [(t.name, t.tableType, t.isTemporary) for t in spark.catalog.listTables(database)]
+    return spark.createDataFrame(rows, "name string, kind string, is_temporary boolean").orderBy("name")
+
+
+def runtime_snapshot(points: DataFrame, manifests: DataFrame, documents: DataFrame, now: Column, selected: str | None = None) -> DataFrame:
+    """One row: when it was taken, points by category, documents, the newest readable manifest, and :func:`consistency`. ``points``: category; ``documents``:
+    source_path; ``manifests``: path, modified, json."""
+    by = points.groupBy("category").agg(F.count("*").alias("n"))
+    listed = by.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("point_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("category", F.lit("uncategorized")).alias("k"), "n")))).alias("points_by_category"))  # a row per category
+    latest = newest_readable(manifests).select("path", F.get_json_object("json", "$.indexed_points").try_cast("long").alias("indexed_points"))
+    held = consistency(listed.select("point_count"), latest, documents, selected)
+    files = documents.agg(F.count_distinct("source_path").alias("documents"))
+    named = latest.agg(F.max("path").alias("latest_manifest"))
+    return held.crossJoin(F.broadcast(listed.select("points_by_category"))).crossJoin(F.broadcast(files)).crossJoin(F.broadcast(named)).withColumn("taken_at", now)  # one row each
+
+
+def release_freeze(snapshot: DataFrame, gates: DataFrame, reports: DataFrame, now: Column) -> DataFrame:
+    """One row: whether every gate holds, the gates that don't, the newest report of each suite, and the snapshot. ``snapshot``: one row; ``gates``: check, ok;
+    ``reports``: suite, passed, total (one row each)."""
+    failed = F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("check"))))
+    held = gates.agg(F.coalesce(F.bool_and("ok"), F.lit(False)).alias("ready"), failed.alias("failed_checks"), F.count("*").alias("checks"))
+    suites = reports.agg(F.array_sort(F.collect_list(F.struct("suite", "passed", "total"))).alias("suites"), F.coalesce(F.bool_and(F.col("passed") == F.col("total")), F.lit(False)).alias("suites_passed"))
+    one = held.crossJoin(F.broadcast(suites)).crossJoin(F.broadcast(snapshot))  # one row each
+    return one.withColumns({"frozen_at": now, "ready": F.col("ready") & F.col("suites_passed") & F.col("active_index_matches_latest_manifest")})
+
+
 def latest_per(reports: DataFrame, key: str, *order: Column) -> DataFrame:
     """The newest whole report of each suite."""
     return reports.withColumn("v", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("v = 1").drop("v")

@@ -108,6 +108,12 @@ def dense_search(points: DataFrame, queries: DataFrame, k: int, threshold: float
     return reduce(DataFrame.unionByName, found)
 
 
+def count_points(points: DataFrame, criteria: dict | None = None) -> DataFrame:
+    """One row: how many points match; the filter reaches the scan, and no other column is read."""
+    where = match_filter(**(criteria or {}))
+    return (points if where is None else points.filter(where)).agg(F.count(F.lit(1)).alias("point_count"))
+
+
 def scroll(points: DataFrame, criteria: dict, limit: int) -> DataFrame:
     """Points that match, in the order of their ids, up to the limit that a scroll has."""
     where = match_filter(**criteria)

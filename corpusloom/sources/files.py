@@ -59,6 +59,11 @@ def discover(spark: SparkSession, root: str, content: bool = True, left_out: boo
     return files.unionByName(spark.createDataFrame([(*r, None)[: 3 + content] for r in others], columns)) if others else files
 
 
+def list_documents(found: DataFrame, extensions: tuple[str, ...] = rules.LOADED_EXTENSIONS) -> DataFrame:
+    """Paths of the files that can be loaded, in order; ``found``: path."""
+    return found.filter(T.extension(F.col("path")).isin(*extensions)).select("path").orderBy("path")
+
+
 def decode(data: bytes) -> tuple[str, str]:
     for name in ("utf-8-sig", "utf-8", "cp874"):
         try:

@@ -241,6 +241,21 @@ def write_quarantine(scanned: DataFrame, path: str, rebuild_id: str) -> None:
     scanned.filter("status != 'accepted'").write.partitionBy("status").parquet(f"{path}/{rebuild_id}")
 
 
+def move_quarantined(scanned: DataFrame, root: str, path: str, rebuild_id: str) -> DataFrame:
+    """Moves each file below ``root`` that was not accepted to ``path/rebuild_id/status/`` and its own path. ``scanned``: path, status. (path, status, moved): a file
+    that is no longer there is not moved. Renames of single files by the driver, which streams their names; no contents pass through it."""
+    spark, rows = scanned.sparkSession, []
+    for row in scanned.filter("status != 'accepted'").select("path", "status").toLocalIterator():
+        fs, source = _fs(spark, f"{root}/{row.path}")
+        there = fs.exists(source)
+        if there:
+            _, target = _fs(spark, f"{path}/{rebuild_id}/{row.status}/{row.path}")
+            fs.mkdirs(target.getParent())
+            there = fs.rename(source, target)
+        rows.append((row.path, row.status, bool(there)))
+    return spark.createDataFrame(rows, "path string, status string, moved boolean")
+
+
 def write_manifest(row: DataFrame, path: str) -> None:
     """A one-row table as JSON."""
     put_text(row.sparkSession, path, row.select(F.to_json(F.struct("*"))).first()[0])
