@@ -399,7 +399,8 @@ def lexical_with_neighbours(spark, d):
     return _expanded(spark, d).select("query_id", "point_id", F.round("score", 6).alias("score"), "matched", "rank")
 
 
-_FUSED = f"""{_NEIGHBOURS}, dense AS ({_DENSE.format('q.vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 20 = 0)', 24)}), fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, score DESC, point_id) AS rank FROM (
+_ASKED_VECTORS = "q.vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 20 = 0)"
+_FUSED = f"""{_NEIGHBOURS}, dense AS ({_DENSE.format(_ASKED_VECTORS, 24)}), fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, score DESC, point_id) AS rank FROM (
  SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.point_id, b.point_id) AS point_id, CASE WHEN b.ls IS NOT NULL AND (a.score IS NULL OR b.ls > a.score) THEN b.ls ELSE a.score END AS score,
  CASE WHEN a.score IS NULL THEN 'lexical' WHEN b.ls > a.score THEN 'hybrid' END AS match_type, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 12) AS rrf
  FROM dense a FULL JOIN (SELECT *, greatest(0.30::DOUBLE, least(0.99::DOUBLE, 0.35::DOUBLE + score)) AS ls FROM expanded) b ON a.query_id = b.query_id AND a.point_id = b.point_id)),
@@ -418,6 +419,20 @@ def retrieve_hybrid(spark, d):
     return _hybrid(spark, d).select("query_id", "point_id", F.round("score", 6).alias("score"), "match_type", F.round("rrf", 9).alias("rrf"), "rank", "accepted")
 
 
+_SCOPED = _FUSED.replace("documents", "scoped").replace("WITH c AS", "WITH scoped AS (SELECT * FROM documents WHERE source = (SELECT min(source) FROM documents)), c AS", 1).replace(_ASKED_VECTORS, f"{_ASKED_VECTORS} AND p.vec_id IN (SELECT doc_id FROM scoped)")
+
+
+@query(f"{_SCOPED} SELECT query_id, point_id, round(score, 6) AS score, match_type, rank, accepted FROM taken")
+def retrieve_in_document(spark, d):
+    """A search whose filter selects a document (here the first source): vectors fused with terms and neighbours."""
+    docs = _docs(spark, d)
+    points = docs.select(F.col("doc_id").alias("point_id"), "text", "source", F.col("doc_id").alias("place"), F.col("source").alias("source_path")).join(_points(spark, d).drop("label"), "point_id", "left")
+    asked = _asked_items(spark, d).select(F.col("item_id").alias("query_id"), F.col("text").alias("query")).join(_points(spark, d).select(F.col("point_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id", "left")
+    first = docs.agg(F.min("source")).first()[0]
+    found = retrieval.retrieve(points, asked, 24, 8, 0.28, {"source_path": first})
+    return found.select("query_id", "point_id", F.round("score", 6).alias("score"), "match_type", "rank", "accepted")
+
+
 _PACKED = rf"""{_FUSED}, b AS (SELECT t.query_id, t.rank, t.point_id, d.text, 63 + length(d.text) AS size FROM taken t JOIN documents d ON d.doc_id = t.point_id WHERE accepted),
 l AS (SELECT *, 12000 - coalesce(sum(size) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM b),
 st AS (SELECT *, rest < 250 OR size > rest AS stop FROM l), ss AS (SELECT *, sum(stop::INT) OVER (PARTITION BY query_id ORDER BY rank) AS stops, greatest(0, rest - 63 - 30) AS room FROM st),

@@ -173,6 +173,7 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     queries = queries.select("query_id", T.contentful(T.tokens(T.lexical_norm(F.col("query")))).alias("q_terms"), phrase_weights(F.col("query")).alias("q_phrases"))
 
     def found(block: DataFrame) -> DataFrame:
+        block = F.broadcast(written(block, "queries"))  # its phrases are worked out once
         terms = F.broadcast(block.select("query_id", F.explode("q_terms").alias("term")))
         weights = block.select("query_id", F.explode("q_phrases").alias("p")).select("query_id", "p.phrase", "p.weight").groupBy("query_id", "phrase").agg(F.sum("weight").alias("weight"))
         known = [r[0] for r in weights.select("phrase").distinct().collect()]  # of a block of queries

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.catalogue import _ANSWERS, _PATH_SQL, _QUALITY, _TRIMMED, _WORDS24, _answered, _messages, _path, _read, query
+from corpusloom.catalogue import _ANSWERS, _PATH_SQL, _QUALITY, _RUNTIME, _TRIMMED, _WORDS24, _answered, _messages, _path, _read, query
 from corpusloom.functions import payload as P
 from corpusloom.operators import conversations as C
 from corpusloom.operators import diagnostics as D
@@ -141,26 +141,30 @@ def source_blocks(spark, d):
     return s.select("doc_id", F.sha2(block.cast("binary"), 256).alias("block"), P.display_label(F.col("p"), F.lit("page 3")).alias("label"))
 
 
-@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'a' WHEN 1 THEN NULL ELSE 'd' END AS route FROM conversations")
+@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN NULL ELSE role END AS route FROM conversations")
 def result_paths(spark, d):
-    t = F.col("turn") % 3
-    json = F.when(t == 0, '{"route": "a", "debug": {"route": "d"}}').when(t == 1, '{"route": null, "debug": {"route": "d"}}').otherwise('{"metadata": {"x": 1}, "debug": {"route": "d"}}')
+    """Results of which some have a route, some a null one, and some one further inside."""
+    t, inner = F.col("turn") % 3, F.struct(F.col("role").alias("route"), "conv_id")
+    keep = {"ignoreNullFields": "false"}
+    json = F.when(t == 0, F.to_json(F.struct(F.col("text").alias("route"), inner.alias("debug")))).when(t == 1, F.to_json(F.struct(F.lit(None).cast("string").alias("route"), inner.alias("debug")), keep)).otherwise(F.to_json(F.struct(F.struct("text").alias("metadata"), inner.alias("debug"))))
     return _read(spark, d, "conversations").select("conv_id", "turn", P.first_present(json, "route", "selected_route", "metadata.route", "debug.route").alias("route"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(text || ' AWS3 S1 [S1]', 'S\d+', 0)), '') IS NOT NULL AS found, len(list_distinct(regexp_extract_all(text || ' AWS3 S1 [S1]', 'S\d+', 0))) AS n FROM documents")
+@query(r"SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS ids FROM (SELECT doc_id, regexp_extract_all('S' || (doc_id % 7) || ' ' || text || ' AWS3 S1 [S' || n_chars || ']', 'S\d+', 0) AS l FROM documents)")
 def loose_citations(spark, d):
-    ids = P.any_cited_ids(F.concat("text", F.lit(" AWS3 S1 [S1]")))
-    return _read(spark, d, "documents").select("doc_id", ids.isNotNull().alias("found"), F.size(ids).cast("long").alias("n"))
+    said = F.concat(F.lit("S"), (F.col("doc_id") % 7).cast("string"), F.lit(" "), "text", F.lit(" AWS3 S1 [S"), F.col("n_chars").cast("string"), F.lit("]"))
+    return _read(spark, d, "documents").select("doc_id", F.array_join(P.any_cited_ids(said), ",").alias("ids"))
 
 
-@query("SELECT n_name AS key, n_regionkey::VARCHAR AS value, n_regionkey = 1 AS is_true FROM nation WHERE n_nationkey % 3 <> 0")
+@query("""SELECT 'C_' || o_custkey AS key, arg_max(o_orderpriority, o_orderkey) AS value, false AS is_true FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1
+UNION ALL SELECT 'ON_' || n_nationkey, n_regionkey::VARCHAR, n_regionkey = 1 FROM nation""")
 def settings_lines(spark, d):
-    line = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("# "), "n_name", F.lit("=1"))).otherwise(F.concat(F.lit("  "), "n_name", F.lit(' = "'), "n_regionkey", F.lit('" ')))
-    old = F.concat("n_name", F.lit("=old"))
-    n = _read(spark, d, "nation")
-    lines = n.select(F.col("n_nationkey").alias("place"), line.alias("value")).unionByName(n.filter("n_nationkey % 3 <> 0").select((F.col("n_nationkey") - 100).alias("place"), old.alias("value")))
-    return D.parse_settings(lines).select("key", "value", P.is_true(F.col("value")).alias("is_true"))
+    """Orders as lines of a settings file: those that are finished are comments, and of a customer's the last holds."""
+    o = _read(spark, d, "orders")
+    own = F.concat(F.lit("C_"), F.col("o_custkey").cast("string"))
+    line = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("# "), own, F.lit("=1"))).when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("  "), own, F.lit(' = "'), "o_orderpriority", F.lit('" '))).otherwise(F.concat(own, F.lit("="), "o_orderpriority"))
+    n = _read(spark, d, "nation").select((-1 - F.col("n_nationkey")).cast("long").alias("place"), F.concat(F.lit("ON_"), "n_nationkey", F.lit("='"), "n_regionkey", F.lit("'")).alias("value"))
+    return D.parse_settings(o.select(F.col("o_orderkey").alias("place"), line.alias("value")).unionByName(n)).select("key", "value", P.is_true(F.col("value")).alias("is_true"))
 
 
 @query("SELECT conv_id, sha256(string_agg(upper(role) || ': ' || text, chr(10) || chr(10) ORDER BY turn)) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) WHERE b <= 4 GROUP BY 1")
@@ -170,16 +174,20 @@ def history_blocks(spark, d):
     return h.select(F.col("session_id").alias("conv_id"), F.sha2(P.history_text(F.col("m"), 4).cast("binary"), 256).alias("history"))
 
 
-@query("SELECT event_id, strftime(ts + INTERVAL 7 HOUR, '%Y-%m-%d') AS day, strftime(ts + INTERVAL 7 HOUR, '%H:%M:%S') AS clock FROM events")
+@query(f"SELECT event_id, md5({_RUNTIME.replace('2024-05-06', chr(39) + ' || strftime(ts + INTERVAL 7 HOUR, ' + chr(39) + '%Y-%m-%d' + chr(39) + ') || ' + chr(39)).replace('14:08:09', chr(39) + ' || strftime(ts + INTERVAL 7 HOUR, ' + chr(39) + '%H:%M:%S' + chr(39) + ') || ' + chr(39))}) AS block_md5 FROM events")
 def runtime_contexts(spark, d):
+    """The whole block, for the time of every event."""
     utc = F.to_timestamp(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     block = P.runtime_context(F.to_utc_timestamp(F.from_utc_timestamp(utc, F.current_timezone()), F.lit("UTC")))
-    return _read(spark, d, "events").select("event_id", block.alias("b")).select("event_id", F.regexp_extract("b", r"local date: (\S+)", 1).alias("day"), F.regexp_extract("b", r"local time: (\S+)", 1).alias("clock"))
+    return _read(spark, d, "events").select("event_id", F.md5(block.cast("binary")).alias("block_md5"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'a.b_20240101T000000Z.pdf' ELSE 'a.b.pdf' END AS name FROM orders")
+@query(f"SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN regexp_replace(name, '\\.[a-z]+$', '') || '_' || strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id), '%Y%m%dT%H%M%SZ') || regexp_extract(name, '\\.[a-z]+$') ELSE name END AS name FROM (SELECT *, split_part({_PATH_SQL}, '/', -1) AS name FROM documents)")
 def unique_names(spark, d):
-    return _read(spark, d, "orders").select("o_orderkey", P.unique_name(F.lit("a.b.pdf"), (F.col("o_custkey") % 3 == 0) & (F.col("o_orderkey") % 2 == 0), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("name"))
+    """File names of all documents, where every other one is taken."""
+    name = F.substring_index(_path(), "/", -1)
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("doc_id").cast("decimal(18,6)"))
+    return _read(spark, d, "documents").select("doc_id", P.unique_name(name, F.col("n_chars") % 2 == 0, now).alias("name"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > 1 THEN round(l_quantity / (l_linenumber - 1), 6) END AS rate FROM lineitem")
@@ -258,19 +266,28 @@ def settled_answers(spark, d):
 
 # --- suites ---------------------------------------------------------------------------------------
 
-_SUITE = '{"name": "@", "defaults": {"selected_document": "d.md", "isolate_cases": false}, "cases": [{"id": "a", "question": "q", "tags": ["x", "y"], "expected_any_fragments": ["one", ["two", "three"]]}, {"id": "b", "question": "q", "selected_document": null, "session_mode": " Isolated ", "skip": true}, {"id": "c", "question": "q", "session_mode": "other", "tags": ["z"], "require_sources": false}]}'
-
-
 def _suites(spark, d):
-    return _read(spark, d, "region").select(F.replace(F.lit(_SUITE), F.lit("@"), F.col("r_name")).alias("json"))
+    """Suites of the benchmark's items: an item is a case whose question is its text; the fields that cases have differ."""
+    i, t = F.col("item_id"), F.col("text")
+    case = F.struct(
+        F.concat(F.lit("c"), i.cast("string")).alias("id"), t.alias("question"), F.array(F.concat(F.lit("t"), (i % 3).cast("string")), F.substring(t, 1, 4)).alias("tags"),
+        F.array(F.substring(t, 1, 5), F.to_json(F.array(F.substring(t, 2, 3), F.substring(t, 5, 3)))).alias("expected_any_fragments"),
+        F.when(i % 3 == 1, F.concat(F.lit("d"), i.cast("string"))).alias("selected_document"), F.when(i % 5 == 0, "other").when(i % 5 == 1, " Isolated ").alias("session_mode"), F.when(i % 4 == 0, True).alias("skip"), F.when(i % 7 == 0, False).alias("require_sources"),
+    )
+    cases = _read(spark, d, "benchmark").groupBy((i % 4).alias("s")).agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", F.to_json(case).alias("case")))), lambda x: x["case"]).alias("cases"))
+    name, defaults = F.concat(F.lit("suite "), F.col("s").cast("string")), '"defaults": {"selected_document": "d.md", "isolate_cases": false}'
+    # a group that is an array stands in the JSON as one
+    return cases.select(F.concat(F.lit('{"name": "'), name, F.lit(f'", {defaults}, "cases": ['), F.array_join("cases", ","), F.lit("]}")).alias("json"))
 
 
-_CASES = "(SELECT r_name AS suite, v.* FROM region, (VALUES ('a', 'd.md', 'shared', false, true, 'one;two|three', 'x,y', NULL), ('b', NULL, 'isolated', true, true, '', '', NULL), ('c', 'd.md', 'other', false, false, '', 'z', 'invalid session_mode: other')) v(case_id, selected_document, session_mode, skip, require_sources, groups, tags, invalid))"
+_ITEM_MODE = "CASE item_id % 5 WHEN 0 THEN 'other' WHEN 1 THEN 'isolated' ELSE 'shared' END"
+_CASES = f"""(SELECT 'suite ' || item_id % 4 AS suite, 'c' || item_id AS case_id, text AS question, CASE WHEN item_id % 3 = 1 THEN 'd' || item_id ELSE 'd.md' END AS selected_document, {_ITEM_MODE} AS session_mode, item_id % 4 = 0 AS skip, item_id % 7 <> 0 AS require_sources,
+ substr(text, 1, 5) || ';' || substr(text, 2, 3) || '|' || substr(text, 5, 3) AS groups, 't' || item_id % 3 || ',' || substr(text, 1, 4) AS tags, CASE WHEN item_id % 5 = 0 THEN 'invalid session_mode: other' END AS invalid FROM benchmark)"""
 
 
 def _cases(spark, d):
     c = E.parse_suites(_suites(spark, d))
-    return c.select("suite", "case_id", "selected_document", "session_mode", "skip", "require_sources", F.array_join(F.transform("expected_any_fragments", lambda g: F.array_join(g, "|")), ";").alias("groups"), F.array_join("tags", ",").alias("tags"), "invalid")
+    return c.select("suite", "case_id", "question", "selected_document", "session_mode", "skip", "require_sources", F.array_join(F.transform("expected_any_fragments", lambda g: F.array_join(g, "|")), ";").alias("groups"), F.array_join("tags", ",").alias("tags"), "invalid")
 
 
 @query(f"SELECT * FROM {_CASES}")
@@ -278,9 +295,10 @@ def suite_cases(spark, d):
     return _cases(spark, d)
 
 
-@query(f"SELECT suite, case_id FROM {_CASES} WHERE case_id IN ('a', 'c') AND (tags LIKE '%y%' OR tags LIKE '%q%')")
+@query(f"SELECT suite, case_id FROM {_CASES} WHERE case_id <> 'c4' AND (tags LIKE 't1,%' OR tags LIKE 't2,%')")
 def selected_cases(spark, d):
-    return E.selected(E.parse_suites(_suites(spark, d)), ["a", "c"], ["y", "q"]).select("suite", "case_id")
+    ids = [f"c{r.item_id}" for r in _read(spark, d, "benchmark").select("item_id").collect() if r.item_id != 4]  # the items of the benchmark
+    return E.selected(E.parse_suites(_suites(spark, d)), ids, ["t1", "t2"]).select("suite", "case_id")
 
 
 _EXPECTED = "struct<raw_hit_count:int,accepted_hit_count:int,min_raw_hit_count:int,min_accepted_hit_count:int,max_raw_hit_count:int,max_accepted_hit_count:int,similarity_threshold:double,selected_source_path:string,diagnostics_contains:array<string>>"
