@@ -67,7 +67,7 @@ class _Folder:
                 held = 0
             out[-1].paths.append(path)
             held += size
-        return out
+        return out or [Group([])]
 
     def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
         store, base = self.store()
