@@ -15,7 +15,7 @@ depended on; it is interior to a window if all of these are.
 4. Symbols reveal the repeat: a window is named by its interior symbols and the words before and behind them,
    which equal windows have in common. Windows come together by this name, sorted, and each
    is told the first place of the smallest id. Names that very many windows bear (fewer than ``HOT`` at a time,
-   found in a sample that decides nothing else) are pre-aggregated instead.
+   found in a sample that decides nothing else) are pre-aggregated instead, and their windows become stretches within each text.
 5. Windows that follow each other in both texts make one stretch. The words of the stretch are fetched from the
    text of the smaller id and compared with those to be removed, word by word; a difference, which two
    windows of one 128-bit name would be, ends the job.
@@ -277,20 +277,17 @@ def _first_places(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids[more]), pa.array(at[more]), pa.array(source[more]), pa.array(source_at[more].astype(np.int32))], names=["id", "at", "source", "source_at"])
 
 
-def _repeated(windows: DataFrame) -> DataFrame:
-    """``windows``: a, b, doc_id, id, at. (id, at, source, source_at) of those that a smaller doc_id has too."""
+def _hot_names(windows: DataFrame) -> list[int]:
+    """Names (their first halves) that very many of the ``windows`` bear; fewer than HOT, or than HOT_LEAST windows of the sample allow."""
     seen = windows.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
     names = seen.groupBy("a").count()
     total = names.agg(F.sum("count")).first()[0] or 0
-    hot = [r[0] for r in names.filter(F.col("count") >= max(HOT_LEAST, total // HOT)).select("a").collect()]  # HOT at most
-    is_hot = F.col("a").isin(hot) if hot else F.lit(False)
-    found = windows.filter(~is_hot).repartition("a", "b").sortWithinPartitions("a", "b", "doc_id", "id", "at").select("a", "b", "doc_id", "id", "at").mapInArrow(tidy(_first_places), _FOUND)
-    if not hot:
-        return found
-    some = windows.filter(is_hot)
-    first = some.groupBy("a", "b").agg(F.min(F.struct("doc_id", "id", "at")).alias("f"))
-    more = some.join(small(materialize(first, "repeats-hot")), ["a", "b"]).filter(F.col("doc_id") > F.col("f.doc_id"))
-    return found.unionByName(more.select("id", "at", F.col("f.id").alias("source"), F.col("f.at").alias("source_at")))
+    return [r[0] for r in names.filter(F.col("count") >= max(HOT_LEAST, total // HOT)).select("a").collect()]  # HOT at most
+
+
+def _repeated(windows: DataFrame) -> DataFrame:
+    """``windows``: a, b, doc_id, id, at. (id, at, source, source_at) of those that a smaller doc_id has too."""
+    return windows.repartition("a", "b").sortWithinPartitions("a", "b", "doc_id", "id", "at").select("a", "b", "doc_id", "id", "at").mapInArrow(tidy(_first_places), _FOUND)
 
 
 def _stretches(window: int):
@@ -300,17 +297,63 @@ def _stretches(window: int):
     def run(batches):
         for batch in batches:
             ids, at, source, source_at = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4))
-            if not len(ids):
-                continue
-            new = np.ones(len(ids), bool)
-            new[1:] = (ids[1:] != ids[:-1]) | (source[1:] != source[:-1]) | (at[1:] != at[:-1] + 1) | (source_at[1:] != source_at[:-1] + 1)
-            head = np.flatnonzero(new)
-            size = np.diff(np.append(head, len(ids))) + window - 1
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[head], at[head], size, source[head], source_at[head])], names=["id", "at", "size", "source", "source_at"])
+            if len(ids):
+                yield _as_stretches(ids, at, source, source_at, window)
 
     return run
 
 
+def _as_stretches(ids: np.ndarray, at: np.ndarray, source: np.ndarray, source_at: np.ndarray, window: int) -> pa.RecordBatch:
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (source[1:] != source[:-1]) | (at[1:] != at[:-1] + 1) | (source_at[1:] != source_at[:-1] + 1)
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(ids))) + window - 1
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[head], at[head], size, source[head], source_at[head])], names=["id", "at", "size", "source", "source_at"])
+
+
+def _hot_stretches(shared, window: int):
+    """Rows: id, doc_id, windows array<struct<at, a, b>>. Their stretches, as :func:`_stretches` makes them, by the first places of
+    the names: ``shared`` has arrays a (ascending), b, doc_id, id, at."""
+
+    def run(batches):
+        a, b, least, source, source_at = shared.value
+        for batch in batches:
+            lists = batch.column(2)
+            at, own_a, own_b = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            ids, docs = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in range(2))
+            first, last = (np.searchsorted(a, own_a, side) for side in ("left", "right"))
+            place = np.full(len(row), -1)
+            for k in range(int((last - first).max(initial=0))):  # once, but for names that share a half
+                on = np.flatnonzero(first + k < last)
+                on = on[b[first[on] + k] == own_b[on]]
+                place[on] = first[on] + k
+            more = np.flatnonzero(place >= 0)
+            more = more[docs[more] > least[place[more]]]
+            if len(more):
+                yield _as_stretches(ids[more], at[more].astype(np.int64), source[place[more]], source_at[place[more]], window)
+
+    return run
+
+
+def _stretches_of(checked: DataFrame, window: int) -> DataFrame:
+    """``checked``: id, doc_id, windows. (id, at, size, source, source_at): words that a text has in common with that of a smaller
+    doc_id. Windows of hot names are told their first places where they are, in arrays by text, since there are as many of them as
+    the texts that share a passage hold, and few stretches."""
+    schema = "id long, at long, size long, source long, source_at long"
+    of = lambda df: df.select("id", "doc_id", F.explode("windows").alias("w")).select("w.a", "w.b", "doc_id", "id", "w.at")
+    windows = of(checked)
+    hot = _hot_names(windows)
+    rest = windows.filter(~F.col("a").isin(hot)) if hot else windows
+    found = _repeated(rest).repartition("id").sortWithinPartitions("id", "at").mapInArrow(tidy(_stretches(window)), schema)
+    if not hot:
+        return found
+    some = checked.select("id", "doc_id", F.filter("windows", lambda w: w["a"].isin(hot)).alias("windows")).filter(F.size("windows") > 0)
+    first = of(some).groupBy("a", "b").agg(F.min(F.struct("doc_id", "id", "at")).alias("f")).select("a", "b", "f.*").orderBy("a").toArrow()  # a row for each hot name
+    shared = checked.sparkSession.sparkContext.broadcast([first[c].to_numpy().astype(np.int64) for c in ("a", "b", "doc_id", "id", "at")])
+    return found.unionByName(some.mapInArrow(tidy(_hot_stretches(shared, window)), schema))
+
+
 def _words_of_sources(batches):
     """Rows: source, text, wanted array<struct<source_at, size>>. The words of each stretch."""
     for batch in (b.slice(k, 1) for b in batches for k in range(b.num_rows)):
@@ -377,9 +420,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     checked = own.select(F.monotonically_increasing_id().alias("id"), "doc_id", "copied", "text").mapInArrow(tidy(_candidates(filter_words, window)), _CHECK)
     checked = materialize(checked, "repeats-windows")
 
-    windows = checked.filter("doc_id is not null").select("id", "doc_id", F.explode("windows").alias("w")).select("w.a", "w.b", "doc_id", "id", "w.at")
-    found = _repeated(windows).repartition("id").sortWithinPartitions("id", "at")
-    stretches = materialize(found.mapInArrow(tidy(_stretches(window)), "id long, at long, size long, source long, source_at long"), "repeats-stretches")
+    stretches = materialize(_stretches_of(checked.filter("doc_id is not null").select("id", "doc_id", "windows"), window), "repeats-stretches")
     texts = checked.filter("text is not null").select("id", "doc_id", "text")
     wanted = stretches.groupBy("source").agg(F.collect_set(F.struct("source_at", "size")).alias("wanted"))
     said = texts.join(wanted, F.col("id") == F.col("source")).select("source", "text", "wanted").mapInArrow(tidy(_words_of_sources), "source long, source_at long, size long, said string")
