@@ -8,7 +8,7 @@ prefix join, and the components that the links make.
    prefixes, the first n - ceil(t n) + 1. Classes of the same size and prefix are one group. It is named by 64
    bits; should two groups share a name they are treated as one, of two prefixes, which loses nothing.
 3. For each prefix shingle, groups are reduced to the smallest and largest before they are shuffled;
-   shingles of one group alone are done with.
+   shingles of one group alone are done with, and are left out wherever prefixes are compared.
 4. First each group is tried, by one member each, against the likeliest centre among those that share a
    prefix shingle with it, and each group's members against one of them; the links found make components. Then pairs of
    groups that are not of one component are filtered by size and by the number of prefix shingles
@@ -175,19 +175,24 @@ def _prefixes(shared, first, percent: int):
     return run
 
 
-def _shared_tokens(shared):
-    """(grp, n, token, at: its place from 0) for the prefix tokens that the filter lets through."""
+_SHARED = "grp long, n long, more long, prefix array<long>, places array<int>"
+
+
+def _shared_prefixes(shared):
+    """Rows: grp, n, more, prefix. The prefix cut down to the tokens that the filter lets through, with their places from 0."""
 
     def run(batches):
         words = shared.value
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
             flat, offsets = lists.flatten(), lists.offsets.to_numpy()
             tokens = flat.to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
             place = np.arange(len(row)) - np.repeat(offsets[:-1] - offsets[0], np.diff(offsets))
             stay = may_hold(words, mix(tokens.view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[stay])), batch.column(1).take(pa.array(row[stay])), pa.array(tokens[stay]), pa.array(place[stay])], names=["grp", "n", "token", "at"])
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[stay], minlength=batch.num_rows))]).astype(np.int32))
+            cut = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (tokens[stay], place[stay].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cut], names=["grp", "n", "more", "prefix", "places"])
 
     return run
 
@@ -256,7 +261,7 @@ def _links(docs: DataFrame, members: DataFrame, pairs: DataFrame, percent: int)
     return materialize(rows.mapInArrow(tidy(_verify(percent)), "a long, b long"), "jaccard-links")
 
 
-def _group_pairs(groups: DataFrame, listed: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+def _group_pairs(groups: DataFrame, listed: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """Pairs of groups (p, q) whose members are not all of one component, that share a prefix
     shingle, and whose sizes, places of it and number of shared prefix shingles allow the threshold.
     ``groups``: grp, least, most (components of the members); ``listed``: grp, n, token, at."""
@@ -269,20 +274,21 @@ def _group_pairs(groups: DataFrame, listed: DataFrame, prefixes: DataFrame, perc
     ahead = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
     sizes = f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
     both = x.join(y, (x["token"] == y["token"]) & F.expr(f"grp_x < grp_y and least(least_x, least_y) < greatest(most_x, most_y) and {sizes}") & (ahead >= need))
-    return _possible(both.select(F.col("grp_x").alias("p"), F.col("grp_y").alias("q"), "n_x", "n_y").distinct(), prefixes, percent)
+    return _possible(both.select(F.col("grp_x").alias("p"), F.col("grp_y").alias("q"), "n_x", "n_y").distinct(), shared, percent)
 
 
-def _possible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (p, q, with sizes n_x, n_y) those whose whole prefixes share enough for the threshold."""
+def _possible(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (p, q, with sizes n_x, n_y) those whose prefixes share enough for the threshold. ``shared``: grp, prefix; what two prefixes
+    share is in lists, so the tokens of one group alone are not needed, nor moved."""
     pairs = materialize(pairs, "jaccard-candidates")
     some = pairs.select(F.col("p").alias("grp")).union(pairs.select("q")).distinct()
-    known = materialize(prefixes.select("grp", "more", "prefix").join(some, "grp").dropDuplicates(["grp", "more"]), "jaccard-compared")
+    known = materialize(shared.select("grp", "prefix").join(some, "grp"), "jaccard-compared")
     x, y = (known.select(F.col("grp").alias(g), F.col("prefix").alias(f"prefix_{g}")) for g in "pq")
     small, large = F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
     need = F.ceil(percent * (F.col("n_x") + F.col("n_y")) / (100 + percent))
     behind = F.ceil(percent * large / 100) - 1  # shingles behind the prefix, of the larger set
-    shared = F.size(F.array_intersect("prefix_p", "prefix_q"))
-    return pairs.join(x, "p").join(y, "q").filter(F.least(shared + behind, small) >= need).select("p", "q").distinct()
+    both = F.size(F.array_intersect("prefix_p", "prefix_q"))
+    return pairs.join(x, "p").join(y, "q").filter(F.least(both + behind, small) >= need).select("p", "q").distinct()
 
 
 def link_documents(docs: DataFrame, percent: int = PERCENT, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -305,7 +311,9 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, keep: tuple[str, ...
     tokens = prefixes.select("grp", F.explode("prefix").alias("token"))
     span = tokens.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low < high").select("token")
     span = materialize(span, "jaccard-tokens")
-    listed = prefixes.select("grp", "n", "prefix").mapInArrow(tidy(_shared_tokens(_bits(span, "token"))), "grp long, n long, token long, at long").distinct()
+    shared = prefixes.select("grp", "n", "more", "prefix").mapInArrow(tidy(_shared_prefixes(_bits(span, "token"))), _SHARED)
+    shared = materialize(shared.dropDuplicates(["grp", "more"]).filter(F.size("prefix") > 0), "jaccard-shared")  # a row per group
+    listed = shared.select("grp", "n", F.inline(F.arrays_zip(F.col("prefix").alias("token"), F.col("places").alias("at"))))
     listed = materialize(listed.join(span, "token").select("grp", "n", "token", "at"), "jaccard-lists")
 
     # first: each group's head against that of the likeliest centre it shares a list with, and the members of a
@@ -318,7 +326,7 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, keep: tuple[str, ...
     some = listed.join(centres, "token").filter("grp != p").groupBy("p", F.col("grp").alias("q")).agg(F.count("*").alias("shared"))
     best = some.groupBy("q").agg(F.max(F.struct("shared", "p")).alias("best")).select("best.p", "q")
     sized = best.join(heads.select(F.col("grp").alias("p"), F.col("n").alias("n_x")), "p").join(heads.select(F.col("grp").alias("q"), F.col("n").alias("n_y")), "q")
-    promising = _heads_of(_possible(sized, prefixes, percent), heads)
+    promising = _heads_of(_possible(sized, shared, percent), heads)
     inside = join_hot(classes.select("grp", "no"), heads, "grp").filter("no != head").select(F.col("head").alias("a"), F.col("no").alias("b"))
     links = _links(docs, members, promising.union(inside).distinct(), percent)
     label = components(links)
@@ -326,7 +334,7 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, keep: tuple[str, ...
     # then: members of different components, of one group or of two that share a prefix shingle
     named = materialize(classes.join(label, F.col("no") == F.col("node"), "left").select("grp", "no", F.coalesce("label", "no").alias("part")), "jaccard-classes")
     groups = named.groupBy("grp").agg(F.min("part").alias("least"), F.max("part").alias("most"))
-    pairs = _group_pairs(groups, listed, prefixes, percent)
+    pairs = _group_pairs(groups, listed, shared, percent)
     pairs = pairs.union(groups.filter("least < most").select("grp", "grp"))
     x, y = (named.select(F.col("grp").alias(g), F.col("no").alias(c), F.col("part").alias(f"part_{c}")) for g, c in (("p", "a"), ("q", "b")))
     expanded = pairs.join(x, "p").join(y, "q").filter("part_a != part_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

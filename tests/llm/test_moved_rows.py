@@ -1,6 +1,8 @@
 """What the steps of the joins move and make, beside their results."""
 
-from corpusloom.llm import substrings
+from pyspark.sql import functions as F
+
+from corpusloom.llm import jaccard, substrings
 
 PASSAGE = " ".join(f"p{i}" for i in range(80))
 
@@ -29,3 +31,20 @@ def test_windows_of_hot_names_make_no_rows_of_a_join(spark, monkeypatch):
     assert got == {i: 80 * (i in range(1, 40)) for i, _ in rows}
     stretches, plan = tables["repeats-stretches"]
     assert "Join" not in plan and stretches.count() == 39
+
+
+def test_prefixes_are_compared_without_shingles_of_one_group(spark, monkeypatch):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(f"new{i}.{k // 5}" if k in (20 * (i % 9) + 3, 20 * (i % 9) + 9) else w for k, w in enumerate(base))) for i in range(12)]
+    tables = kept(monkeypatch, jaccard)
+    got = {r.doc_id: r.component_id for r in jaccard.link_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t in rows}
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                label = {k: min(label[a], label[b]) if v in (label[a], label[b]) else v for k, v in label.items()}
+    assert got == label and len(set(label.values())) < 12
+    own = tables["jaccard-prefixes"][0].select(F.explode("prefix")).count()
+    compared, _ = tables["jaccard-compared"]
+    assert 0 < compared.select(F.explode("prefix")).count() <= tables["jaccard-lists"][0].count() < own
