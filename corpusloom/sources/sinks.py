@@ -116,9 +116,27 @@ def _commit(spark: SparkSession, path: str, number: int, schema: StructType, key
     return version if put_text(spark, f"{path}/log/{number:012d}.json", text, overwrite=False) else None
 
 
+#: Bytes of keys up to which they are broadcast.
+KEY_BYTES = 64_000_000
+
+
+def _keys(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """The keys of ``rows`` (written) as a table of their own, broadcast if they are few: what they meet is not shuffled."""
+    keys = written(rows.select(F.col(key).alias("_key")), name)
+    held = keys.agg(F.sum(F.octet_length(F.col("_key").cast("string")).cast("long") + 16)).first()[0] or 0
+    return F.broadcast(keys) if held <= KEY_BYTES else keys
+
+
 def _one_of_each(rows: DataFrame, key: str) -> DataFrame:
-    rest = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max(F.struct(*rest)).alias("row")).select(key, "row.*") if rest else rows.distinct()
+    """``rows`` (written): of those of one key the largest. Only keys are counted; rows of a key that is not repeated stay where they are."""
+    again = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    if again.isEmpty():
+        return rows
+    again = _keys(again, key, "upsert-again")
+    same, rest = F.col(key).eqNullSafe(F.col("_key")), [c for c in rows.columns if c != key]
+    some = rows.join(again, same, "left_semi")
+    one = some.groupBy(key).agg(F.max(F.struct(*rest)).alias("row")).select(key, "row.*") if rest else some.distinct()
+    return written(rows.join(again, same, "left_anti").unionByName(one), "upsert-of-each")
 
 
 def write_index(points: DataFrame, path: str, key: str = "point_id", buckets: int = BUCKETS) -> str:
@@ -154,7 +172,8 @@ def upsert_index(points: DataFrame, path: str, key: str = "point_id", buckets: i
     with one key one is written, that of the largest content. Where another writer was faster, the buckets that it
     changed are merged again, on top of its rows."""
     spark = points.sparkSession
-    new = written(_one_of_each(points, key), "upsert")
+    new = _one_of_each(written(points, "upsert"), key)
+    keys = _keys(new, key, "upsert-keys")
     while True:
         number, entry = _latest(spark, path)
         count = entry["buckets"] if entry else buckets
@@ -162,7 +181,7 @@ def upsert_index(points: DataFrame, path: str, key: str = "point_id", buckets: i
         merged, base = new, {}
         if entry:
             old = _read_buckets(spark, path, entry, touched)
-            merged, base = old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True), entry["folders"]
+            merged, base = old.join(keys, F.col(key) == F.col("_key"), "left_anti").unionByName(new, allowMissingColumns=True), entry["folders"]
         own = _folders(spark, path, _write_buckets(merged, path, key, count))
         while True:
             schema = _wider(StructType.fromJson(entry["schema"]) if entry else new.schema, merged.schema)
@@ -225,8 +244,7 @@ def promote(spark: SparkSession, staging: str, documents: str) -> None:
         return
 
     def moved(batch: DataFrame, _: int) -> None:
-        batch = written(batch, "promoted")
-        if batch.isEmpty():
+        if batch.isEmpty():  # the batch is a list of files, which stay until they are deleted below
             return
         upsert_index(batch.select("path", "content"), documents, key="path")
         for row in batch.select("file").distinct().toLocalIterator():
