@@ -16,7 +16,9 @@ depended on; it is interior to a window if all of these are.
    which equal windows have in common. Windows come together by this name, sorted, and each
    is told the first place of the smallest id. Names that very many windows bear (fewer than ``HOT`` at a time,
    found in a sample that decides nothing else) are pre-aggregated instead, and their windows become stretches within each text.
-5. Windows that follow each other in both texts make one stretch. The words of the stretch are fetched from the
+5. Windows that follow each other in both texts make one stretch. Of the stretches of a text only those are kept that its words
+   to be removed need, so that no word is in more than two; words that repeat within a passage, whose windows' first places
+   go back and forth, would else make a stretch for every few words. The words of the stretch are fetched from the
    text of the smaller id and compared with those to be removed, word by word; a difference, which two
    windows of one 128-bit name would be, ends the job.
 
@@ -292,7 +294,7 @@ def _repeated(windows: DataFrame) -> DataFrame:
 
 def _stretches(window: int):
     """Rows sorted by id and place: (id, at, size, source, source_at), windows that follow each other in both texts
-    made one stretch of words. One that a batch ends is two stretches."""
+    made one stretch of words, those that :func:`_needed` keeps. One that a batch ends is two stretches."""
 
     def run(batches):
         for batch in batches:
@@ -303,11 +305,26 @@ def _stretches(window: int):
     return run
 
 
+def _needed(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[int]:
+    """Stretches [start, end) that cover all words which those of their text (a number, ascending) cover. Starts and ends
+    ascend within a text. The next is the last that leaves no word out, so the next but one shares no word with it."""
+    lane = text << np.int64(32)  # texts lie one after another, apart
+    follow = np.maximum(np.arange(len(text)) + 1, np.searchsorted(lane + start, lane + end, "right") - 1).tolist()
+    out, k = [], 0
+    while k < len(follow):
+        out.append(k)
+        k = follow[k]
+    return out
+
+
 def _as_stretches(ids: np.ndarray, at: np.ndarray, source: np.ndarray, source_at: np.ndarray, window: int) -> pa.RecordBatch:
     new = np.ones(len(ids), bool)
     new[1:] = (ids[1:] != ids[:-1]) | (source[1:] != source[:-1]) | (at[1:] != at[:-1] + 1) | (source_at[1:] != source_at[:-1] + 1)
     head = np.flatnonzero(new)
     size = np.diff(np.append(head, len(ids))) + window - 1
+    text = np.cumsum(np.concatenate([[0], ids[1:] != ids[:-1]]))[head]
+    need = _needed(text, at[head], at[head] + size)
+    head, size = head[need], size[need]
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[head], at[head], size, source[head], source_at[head])], names=["id", "at", "size", "source", "source_at"])
 
 
@@ -339,7 +356,8 @@ def _hot_stretches(shared, window: int):
 def _stretches_of(checked: DataFrame, window: int) -> DataFrame:
     """``checked``: id, doc_id, windows. (id, at, size, source, source_at): words that a text has in common with that of a smaller
     doc_id. Windows of hot names are told their first places where they are, in arrays by text, since there are as many of them as
-    the texts that share a passage hold, and few stretches."""
+    the texts that share a passage hold, and few stretches: of either kind of names, two for each ``window`` words of a text at most,
+    and one for each batch that a text ends or begins in."""
     schema = "id long, at long, size long, source long, source_at long"
     of = lambda df: df.select("id", "doc_id", F.explode("windows").alias("w")).select("w.a", "w.b", "doc_id", "id", "w.at")
     windows = of(checked)
