@@ -2,7 +2,7 @@
 
 Rounds rename each text: runs of a symbol become one symbol, then pairs (left, right) become one,
 where a coin of the name says whether a symbol may stand left or right. A new name is a 128-bit chain of the
-names that it stands for, down to digests of words, so that all tasks name alike, and equal passages
+names that it stands for, down to those of words, so that all tasks name alike, and equal passages
 get equal symbols inside, whatever surrounds them. Each symbol carries the words that its making
 depended on; it is interior to a window if all of these are.
 
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.store import bit_filter, join_hot, materialize, may_hold, small, tidy
-from corpusloom.llm.words import BLOCK, Lexicon, chain, mix, numbered, split_words, window_names
+from corpusloom.llm.words import BLOCK, chain, mix, split_words, window_names, word_names
 
 WINDOW = 50
 ROUNDS = 6
@@ -149,17 +149,13 @@ def _symbols(window: int):
             for i in range(0, len(name), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (name.view(np.int64), low, high)], names=["symbol", "low", "high"])
 
-        lexicon = Lexicon()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)  # never null
             for start, group in _grouped(batch.column(1)):
-                _, names, begins = numbered(group, lexicon)
-                p = recompress(names, begins)
+                p = recompress(*word_names(group))
                 fits = p.high - p.low <= window
                 own = ids[start + p.doc[fits]]
                 parts.append((p.name[0][fits], own, own))
-                if lexicon.full():
-                    lexicon = Lexicon()
             if sum(len(p[0]) for p in parts) > BUFFER:
                 parts = [settle()]
                 if len(parts[0][0]) > BUFFER // 2:
@@ -220,12 +216,12 @@ def _candidates(shared, window: int):
     """Rows: id, doc_id, copied (whether the text is that of a smaller id), text."""
 
     def run(batches):
-        words_filter, lexicon = shared.value, Lexicon()
+        words_filter = shared.value
         kind = pa.list_(pa.struct([("at", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]))
         for batch in batches:
             copied = batch.column(2).to_pylist()
             for first, group in _grouped(batch.column(3)):
-                _, names, begins = numbered(group, lexicon)
+                names, begins = word_names(group)
                 parse = recompress(names, begins)
                 known = may_hold(words_filter, parse.name[0])
                 symbols = np.searchsorted(parse.doc, np.arange(len(group) + 1))
@@ -251,8 +247,6 @@ def _candidates(shared, window: int):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[rows], batch.column(1)[rows], pa.array(sizes, pa.int64()), pa.array(copies, pa.int64()), pa.array(kept, pa.string()), found, pa.array(texts, pa.string())], names=["id", "doc_id", "n_words", "copied_words", "kept", "windows", "text"]
                 )
-                if lexicon.full():
-                    lexicon = Lexicon()
 
     return run
 

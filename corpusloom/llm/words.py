@@ -95,6 +95,32 @@ def numbered(texts: list[list[bytes]], lexicon: Lexicon) -> tuple[np.ndarray, np
     return numbers, lexicon.names(numbers), np.cumsum([0, *map(len, texts)])
 
 
+#: The first k bytes of eight.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word that fit a name beside their number.
+_SHORT = 15
+
+
+def word_names(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the texts' words, one text after another: names (2 lanes), and where each text begins and the last ends. For
+    those who need no numbers: a word of up to 15 bytes is named by a bijection of its bytes and their number, so equal names are equal
+    words; a longer one by 120 bits of its BLAKE2b digest, apart from the names of the others."""
+    words = [w for t in texts for w in t]
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    start = np.cumsum(size) - size
+    data = b"".join(words) + bytes(16)
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place
+    lanes = np.stack([eight[start], eight[start + 8]]).astype(np.uint64)
+    lanes[0] &= _BYTES[np.minimum(size, 8)]
+    lanes[1] &= _BYTES[np.clip(size - 8, 0, 7)]
+    lanes[1] |= np.minimum(size, 255).astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(size > _SHORT)
+    if len(long):
+        lanes[:, long] = np.frombuffer(b"".join(blake2b(words[k], digest_size=16).digest() for k in long.tolist()), "<u8").reshape(-1, 2).T
+        lanes[1, long] |= np.uint64(255) << np.uint64(56)
+    return chain(lanes, np.zeros((2, 1), np.uint64)), np.cumsum([0, *map(len, texts)])
+
+
 @dataclass
 class Shingles:
     """The distinct shingles of a text, by name: the lanes of the names, ascending, a place of each, and the

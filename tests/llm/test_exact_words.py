@@ -1,5 +1,7 @@
 """Words of special forms, and ids at the ends of their range, in the operators that compare words."""
 
+import numpy as np
+
 from corpusloom.llm import jaccard, substrings, words
 
 A, B = "a", "b"
@@ -15,6 +17,19 @@ def test_names_of_words_and_sequences_differ():
     assert (words.window_names(names[0], 1024) != words.window_names(names[1], 1024)).any()
 
 
+def test_names_without_numbers_are_equal_for_equal_words():
+    rng = np.random.default_rng(3)
+    own = [bytes(rng.choice([0, 1, 255], k).astype(np.uint8)) for k in rng.integers(1, 20, 4000)] + [A.encode(), B.encode(), A.encode(), b"a", b"a\0", b"a\0\0", b"b" * 15, b"b" * 16, b"b" * 17, b"b" * 255, b"b" * 256]
+    names, begins = words.word_names([own[:7], [], own[7:], []])
+    assert begins.tolist() == [0, 7, 7, len(own), len(own)]
+    named = {}
+    for w, name in zip(own, names.T.tolist(), strict=True):
+        named.setdefault(w, set()).add(tuple(name))
+    assert all(len(v) == 1 for v in named.values()) and len({n for v in named.values() for n in v}) == len(named)
+    assert len({n[0] for v in named.values() for n in v}) == len(named)
+    assert words.word_names([[]])[0].shape == (2, 0) and words.word_names([])[1].tolist() == [0]
+
+
 def test_shingles_that_share_a_first_lane(monkeypatch):
     """Names cut to few bits: sizes and overlaps stay exact."""
     whole = words.window_names
